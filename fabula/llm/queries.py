@@ -4,17 +4,106 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from fabula.llm import langid, mixing, packing, quality, secrets, toxicity, url_filter
 from fabula.llm.neardup import near_duplicates
 
+#: verdict, host, path
+URL_RULES = (
+    ("block", "com", "/en/"),
+    ("allow", "example.com", "/en/7"),
+    ("allow", "net", "/de/"),
+    ("block", "example.net", "/de/8"),
+    ("block", "org", "/es/"),
+)
+# The hosts whose article URLs are listed, under each domain, language and number.
+LISTED_HOSTS = ("adult-x", "ads-track", "casino-win", "cheap-pills", "free-bets", "spam-farm")
+LISTED_DOMAINS = ("example.com", "example.net", "example.org")
+LISTED_LANGS = ("de", "en", "es", "fr")
+LISTED_NUMBERS = 1000
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def fold_of(doc_id: str, folds: int) -> Column:
+    """crc32 of the id as text, modulo ``folds``; a null id counts as an empty text."""
+    return F.pmod(F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")), F.lit(folds))
+
+
+def listed_urls(spark: SparkSession) -> DataFrame:
+    each = lambda values: F.explode(F.array(*[F.lit(v) for v in values]))
+    urls = spark.range(LISTED_NUMBERS).select("id", each(LISTED_HOSTS).alias("h"))
+    urls = urls.select("*", each(LISTED_DOMAINS).alias("d")).select("*", each(LISTED_LANGS).alias("l"))
+    return urls.select(F.format_string("http://%s.%s/%s/%d", "h", "d", "l", "id").alias("url"))
+
+
+def op1_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judged(table(spark, sf_dir, "pages"), URL_RULES, listed_urls(spark))
+
+
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.digest(table(spark, sf_dir, "documents"), tokenizer_path(), capacity=1024)
+
 
 def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return near_duplicates(table(spark, sf_dir, "documents"), percent=75)
+
+
+def op5_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = secrets.scanned(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long")
+    return docs.select(
+        "doc_id", count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"),
+        F.sha2(secrets.joined("spans", base_only=True), 256).alias("base_sha256"), secrets.joined("spans").alias("spans"),
+    )
+
+
+def toxicity_lexicon(docs: DataFrame, spark: SparkSession, sf_dir: str) -> toxicity.Lexicon:
+    """Learned from the labelled rows of ``docs`` outside the held-out fold."""
+    labels = table(spark, sf_dir, "labels").select("doc_id", "toxic").dropDuplicates(["doc_id"])
+    return toxicity.learn(docs.select("doc_id", "text").filter(fold_of("doc_id", 5) != 0).join(labels, "doc_id"))
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    scores = toxicity.scored(docs, toxicity_lexicon(docs, spark, sf_dir))
+    return scores.select("doc_id", (fold_of("doc_id", 5) == 0).alias("held_out"), "score", "predicted")
+
+
+def op7_mixing_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mix = mixing.mixed(table(spark, sf_dir, "documents"), weights=(3, 1, 2), share=1.5, repeats=2)
+    return mix.select("doc_id", "size", "source_size", "target", mixing.taken(mix).alias("taken"))
+
+
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality(table(spark, sf_dir, "documents"))
+
+
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = langid.identify(docs, docs.filter(fold_of("doc_id", 3) != 1).select("text", "lang"))
+    return found.select("doc_id", (fold_of("doc_id", 3) == 1).alias("held_out"), "lang_pred", "score")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_url_filters": op1_url_filters,
+    "op3_best_fit_packing": op3_best_fit_packing,
     "op4_minhash_near_dedup": op4_minhash_near_dedup,
+    "op5_secret_scans": op5_secret_scans,
+    "op6_toxicity": op6_toxicity,
+    "op7_mixing_sources": op7_mixing_sources,
+    "op9_quality_rules": op9_quality_rules,
+    "op10_language_id": op10_language_id,
 }
 
 ORACLE_SQL: dict[str, str] = {}
