@@ -94,7 +94,6 @@ def mixed(
     # Place in the source's permuted order: a range of hashes, then the hash.
     rows = rows.withColumn("_h", F.xxhash64(F.lit(seed), "doc_id", "size"))
     rows = rows.withColumn("_range", F.pmod(F.shiftrightunsigned("_h", 40), F.lit(RANGES)).cast("int"))
-    rows = written(rows, "sizes")
     parts = written(rows.groupBy("src_key", "source", "_range").agg(F.sum("size").alias("words")), "ranges")
     sizes = parts.groupBy(F.col("source").alias("src")).agg(F.sum("words").alias("words"))
     goal = targets(sizes, weights, share, repeats).withColumn("src_key", F.xxhash64("src", F.col("src").isNull()))
@@ -107,12 +106,12 @@ def mixed(
     tree = tree.select("src_key", F.transform("_of", lambda x: x["shard"]).alias("_shards"))  # BLOCKS + sources numbers in all
     goal = goal.join(tree, "src_key", "left")
 
+    # Sizes are counted again rather than written with what is carried along.
     before = Window.partitionBy("src_key").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     base = parts.select("src_key", "_range", F.coalesce(F.sum("words").over(before), F.lit(0)).alias("_base"))
-    base = base.join(goal, "src_key")
     inside = Window.partitionBy("src_key", "_range").orderBy("_h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     placed = rows.withColumn("_in", F.coalesce(F.sum("size").over(inside), F.lit(0)))
-    placed = placed.join(base.select("src_key", "_range", "_base", "source_size", "target", "quota", "block_words", "_shards"), ["src_key", "_range"])
+    placed = placed.join(base, ["src_key", "_range"]).join(goal, "src_key")
     placed = placed.withColumn("_at", F.col("_base") + F.col("_in"))
     spans = "transform(sequence(0, {n} - 1), e -> struct(e as epoch, _at + e * source_size as lo, least(_at + e * source_size + size, quota) as hi))".format(n=repeats)
     spans = f"filter({spans}, s -> s.hi > s.lo)"

@@ -58,8 +58,8 @@ def _signed(batches):
                 counts.append(len(own))
                 sigs.append(signature(own).tobytes() if len(own) else None)
         yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), pa.array(keys, pa.int64()), pa.array(counts, pa.int64()), pa.array(sigs, pa.binary())],
-            ["doc_id", "node", "n_shingles", "sig"],
+            [batch.column("doc_id"), batch.column("text_key"), pa.array(keys, pa.int64()), pa.array(counts, pa.int64()), pa.array(sigs, pa.binary())],
+            ["doc_id", "text_key", "node", "n_shingles", "sig"],
         )
 
 
@@ -182,8 +182,22 @@ def near_duplicates(docs: DataFrame, percent: int = 75, id_col: str = "doc_id",
     kept unless nothing else is in its group; of rows that repeat the kept id all are kept.  An empty
     table gives an empty result.  Other columns are not carried, so their names cannot clash.
     """
+    return _grouped(docs, percent, id_col, text_col).drop("text_key")
+
+
+def deduplicated(docs: DataFrame, percent: int = 75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with one document of each group, all its columns as they were; of rows that repeat its id and text, one."""
+    kept = _grouped(docs, percent, id_col, text_col).filter("kept").select(F.col("doc_id").alias("_id"), "text_key").distinct()
+    keyed = docs.withColumn("_key", F.xxhash64(text_col))
+    met = keyed.join(kept, keyed[id_col].cast("long").eqNullSafe(kept._id) & (F.col("_key") == F.col("text_key")))
+    once = Window.partitionBy("_id", "_key").orderBy("_id")
+    return met.withColumn("_nth", F.row_number().over(once)).filter("_nth = 1").select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
+def _grouped(docs: DataFrame, percent: int, id_col: str, text_col: str) -> DataFrame:
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    rows = written(docs.mapInArrow(_signed, "doc_id long, node long, n_shingles long, sig binary"), "signatures")
+    signed = docs.withColumn("text_key", F.xxhash64("text")).mapInArrow(_signed, "doc_id long, text_key long, node long, n_shingles long, sig binary")
+    rows = written(signed, "signatures")
     nodes = rows.filter("node is not null").groupBy("node").agg(
         F.min("doc_id").alias("rep_id"), F.max("n_shingles").alias("n"), F.max("sig").alias("sig")
     )
@@ -246,4 +260,4 @@ def near_duplicates(docs: DataFrame, percent: int = 75, id_col: str = "doc_id",
     group = group.join(smallest, "comp").select(F.col("node").alias("of"), "component_id")
     out = rows.join(group, rows.node == group.of, "left")
     ident = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select("doc_id", "n_shingles", ident.alias("component_id"), F.col("doc_id").eqNullSafe(ident).alias("kept"))
+    return out.select("doc_id", "text_key", "n_shingles", ident.alias("component_id"), F.col("doc_id").eqNullSafe(ident).alias("kept"))
