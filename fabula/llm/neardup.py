@@ -30,6 +30,9 @@ CHUNKS, WIDTH = 12, 5
 POSITIONS = CHUNKS * WIDTH
 #: Mean 15 and deviation 3.4 at Jaccard 0.75: 4.5 deviations above.
 MAX_DISTANCE = 30
+#: Bits of the second signature, made only for documents of buckets that stay open.  At Jaccard 0.75
+#: 256 of them differ, with a deviation of 15: again 4.5 deviations.
+FINE_BITS, MAX_FINE = 2048, 323
 #: Outliers of a bucket that one task compares with the whole bucket.
 BLOCK = 2048
 
@@ -45,6 +48,19 @@ def signature(shingles: np.ndarray) -> np.ndarray:
     return (mix(best.astype(np.uint64)) & np.uint64(0xFFFF)).astype(np.uint16)
 
 
+_FINE_A = np.random.default_rng(751).integers(0, 2**31, FINE_BITS, dtype=np.int64).astype(np.uint32) * np.uint32(2) + np.uint32(1)
+_FINE_B = np.random.default_rng(571).integers(0, 2**32, FINE_BITS, dtype=np.int64).astype(np.uint32)
+
+
+def fine_signature(shingles: np.ndarray) -> np.ndarray:
+    """One bit of each of ``FINE_BITS`` minima, packed in 64-bit words."""
+    low = (shingles >> np.uint64(32)).astype(np.uint32)
+    best = np.full(FINE_BITS, 0xFFFFFFFF, dtype=np.uint32)
+    for at in range(0, len(low), 16):
+        np.minimum(best, (low[at : at + 16, None] * _FINE_A + _FINE_B).min(axis=0), out=best)
+    return np.packbits((best * np.uint32(0x9E3779B1)) >> np.uint32(31)).view(np.uint64)
+
+
 def _set_key(shingles: np.ndarray) -> int:
     return int(mix(np.array([mix(shingles).sum(dtype=np.uint64) + np.uint64(len(shingles))], dtype=np.uint64)).view(np.int64)[0])
 
@@ -63,6 +79,17 @@ def _signed(batches):
         )
 
 
+def _fine(batches):
+    for batch in batches:
+        keys, fine = [], []
+        for _, data, offsets in slices(batch.column("text")):
+            for _, own in shingle_sets(Words(data, offsets, lower=True), SHINGLE_WORDS):
+                if len(own):
+                    keys.append(_set_key(own))
+                    fine.append(fine_signature(own).tobytes())
+        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(fine, pa.binary())], ["node", "fine"])
+
+
 def _shingled(batches):
     for batch in batches:
         keys, sets = [], []
@@ -99,7 +126,7 @@ def _bucketed(batches):
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(keys.reshape(-1).view(np.int64)),
-                    pa.array(np.repeat(np.tile(np.arange(POSITIONS, dtype=np.int8), 1), 1)[None, :].repeat(n, 0).reshape(-1)),
+                    pa.array(np.tile(np.arange(POSITIONS, dtype=np.int8), n)),
                     pa.array(np.repeat(batch.column("node").to_numpy(), POSITIONS)),
                     pa.array(np.repeat(batch.column("n").to_numpy(), POSITIONS)),
                 ],
@@ -121,6 +148,7 @@ def _apart(key, rows, size_ratio: float):
     slot, block = int(rows["slot"].iloc[0]), int(key[1])
     node, comp, size = rows["node"].to_numpy(), rows["comp"].to_numpy(), rows["n"].to_numpy()
     sigs = np.frombuffer(b"".join(rows["sig"]), dtype=np.uint16).reshape(len(rows), POSITIONS)
+    fine = np.frombuffer(b"".join(rows["fine"]), dtype=np.uint64).reshape(len(rows), FINE_BITS // 64)
     outliers = np.flatnonzero(rows["outlier"].to_numpy() & (rows["part"].to_numpy() == block))
     is_outlier, chunk, pos = rows["outlier"].to_numpy(), slot // WIDTH, slot % WIDTH
     left, right = [], []
@@ -133,6 +161,7 @@ def _apart(key, rows, size_ratio: float):
         ok &= ~(met[:, :chunk] <= 1).any(axis=1)
         ok &= (met[:, chunk] == 1) | (pos == 0)
         found = np.flatnonzero(ok)
+        found = found[np.bitwise_count(fine[found] ^ fine[at]).sum(axis=1, dtype=np.int64) <= MAX_FINE]
         left.append(np.full(len(found), node[at]))
         right.append(node[found])
     a = np.concatenate(left) if left else np.zeros(0, np.int64)
@@ -157,13 +186,17 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
+def _texts(wanted: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Rows of ``docs`` whose ids stand for a node of ``wanted``; a text of another node may be among them."""
+    ids = nodes.join(wanted, "node", "left_semi").select(F.col("rep_id").alias("doc_id"))
+    return docs.join(ids, docs.doc_id.eqNullSafe(ids.doc_id), "left_semi")
+
+
 def _confirmed(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     """Those of ``pairs`` (a, b) with 100 * intersection >= percent * union of their full sets; all, with ``linked``.
     Only texts that stand for a node of a pair are shingled again."""
     wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    ids = nodes.join(wanted, "node", "left_semi").select(F.col("rep_id").alias("doc_id"))
-    text = docs.join(ids, docs.doc_id.eqNullSafe(ids.doc_id), "left_semi")
-    sets = text.mapInArrow(_shingled, "node long, shingles array<long>").filter("node is not null")
+    sets = _texts(wanted, docs, nodes).mapInArrow(_shingled, "node long, shingles array<long>").filter("node is not null")
     sets = written(sets.join(wanted, "node", "left_semi").dropDuplicates(["node"]), "sets")
     one = sets.select(F.col("node").alias("a"), F.col("shingles").alias("set_a"))
     two = sets.select(F.col("node").alias("b"), F.col("shingles").alias("set_b"))
@@ -245,11 +278,14 @@ def _grouped(docs: DataFrame, percent: int, id_col: str, text_col: str) -> DataF
 
     # All pairs of different components that are near enough and were not tried.
     open_ = written(placed(links), "open")
+    asked = open_.select("node").distinct()
+    fine = _texts(asked, docs, nodes).mapInArrow(_fine, "node long, fine binary").join(asked, "node", "left_semi").dropDuplicates(["node"])
+    fine = written(fine.join(nodes.select("node", "sig"), "node"), "fine")
     order = Window.partitionBy("bucket", "slot").orderBy(F.xxhash64("node"), "node")
-    open_ = open_.withColumn("outlier", F.col("comp") != F.first("comp").over(order)).join(nodes.select("node", "sig"), "node")
+    open_ = open_.withColumn("outlier", F.col("comp") != F.first("comp").over(order)).join(fine, "node")
     parts = F.ceil(F.col("size") / BLOCK).cast("int")
     open_ = open_.withColumn("part", F.pmod(F.xxhash64("node"), parts).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), parts - 1)))
-    open_ = open_.select("bucket", "block", "slot", "node", "n", "comp", "outlier", "part", "sig")
+    open_ = open_.select("bucket", "block", "slot", "node", "n", "comp", "outlier", "part", "sig", "fine")
     third = open_.groupBy("bucket", "block").applyInPandas(lambda key, rows: _apart(key, rows, ratio), "a long, b long")
     third = third.distinct().join(tried, ["a", "b"], "left_anti")
     links = links.union(_confirmed(written(third, "near"), docs, nodes, percent).filter("linked").select("a", "b"))
