@@ -7,27 +7,29 @@ shuffle by chapter_id serves a chain of them.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from fabula.functions.speech import COMMON_CAPITALS, named_speaker, pause_ms, pronoun_gender, quote_spans
 from fabula.functions.spoken import compared_form, has_scene_break, spoken_text
 
-CHAPTER = Window.partitionBy("chapter_id")
-IN_ORDER = CHAPTER.orderBy("id")
-
 #: Longest narration that merging may produce.
 MAX_CHARS = 800
 
 
+def per_chapter(*order: str | Column) -> WindowSpec:
+    """A chapter's rows by ``order``."""
+    return Window.partitionBy("chapter_id").orderBy(*(order or ("id",)))
+
+
 def quote_segments(chapters: DataFrame) -> DataFrame:
     """(chapter_id, text) to one row for each span of dialogue or narration, not merged: chapter_id, id,
     kind, original_text, speaker, attribution_source, paragraph_index, char_offset_start, char_offset_end."""
     paragraphs = chapters.select("chapter_id", F.posexplode(F.split("text", "\n", -1)).alias("paragraph_index", "p"))
-    before = CHAPTER.orderBy("paragraph_index").rowsBetween(Window.unboundedPreceding, -1)
+    before = per_chapter("paragraph_index").rowsBetween(Window.unboundedPreceding, -1)
     paragraphs = paragraphs.withColumn("base", F.coalesce(F.sum(F.length("p") + 1).over(before), F.lit(0)))
     spans = paragraphs.filter(F.trim("p") != "").select("chapter_id", "paragraph_index", "base", F.explode(quote_spans(F.col("p"))).alias("s"))
-    place = CHAPTER.orderBy("paragraph_index", "s.start")
+    place = per_chapter("paragraph_index", "s.start")
     return spans.select(
         "chapter_id",
         F.row_number().over(place).alias("id"),
@@ -46,7 +48,7 @@ def merge_narration(segments: DataFrame, max_chars: int = MAX_CHARS) -> DataFram
 
     Only a run of narration between two lines of dialogue is folded in order, so arrays stay as short
     as such runs."""
-    run = F.sum((F.col("kind") != "narration").cast("int")).over(IN_ORDER.rowsBetween(Window.unboundedPreceding, 0))
+    run = F.sum((F.col("kind") != "narration").cast("int")).over(per_chapter().rowsBetween(Window.unboundedPreceding, 0))
     rows = segments.withColumn("run", run)
     part = F.struct("id", "original_text", "paragraph_index", "char_offset_start", "char_offset_end")
     spoken = F.col("kind") != "narration"
@@ -61,7 +63,7 @@ def merge_narration(segments: DataFrame, max_chars: int = MAX_CHARS) -> DataFram
     )
     out = runs.select("chapter_id", "kind", "speaker", "attribution_source", F.explode(merged).alias("m"))
     return out.select(
-        "chapter_id", F.row_number().over(CHAPTER.orderBy("m.id")).alias("id"), "kind", F.col("m.original_text").alias("original_text"),
+        "chapter_id", F.row_number().over(per_chapter("m.id")).alias("id"), "kind", F.col("m.original_text").alias("original_text"),
         "speaker", "attribution_source", "m.paragraph_index", "m.char_offset_start", "m.char_offset_end",
     )
 
@@ -73,7 +75,7 @@ def split_segments(chapters: DataFrame, max_chars: int = MAX_CHARS) -> DataFrame
 
 def _neighbour(offset: int) -> Column:
     """Text of the narration beside a segment, null if there is none."""
-    kind, text = F.lag("kind", offset).over(IN_ORDER), F.lag("original_text", offset).over(IN_ORDER)
+    kind, text = F.lag("kind", offset).over(per_chapter()), F.lag("original_text", offset).over(per_chapter())
     return F.when(kind == "narration", text)
 
 
@@ -155,7 +157,7 @@ def alternate_speakers(segments: DataFrame) -> DataFrame:
 def resolve_sole_character(segments: DataFrame) -> DataFrame:
     """In a chapter with one named speaker, unknown lines are that speaker's."""
     named = F.when((F.col("kind") == "dialogue") & ~F.col("speaker").isin("unknown", "narrator"), F.col("speaker"))
-    rows = segments.withColumn("_low", F.min(named).over(CHAPTER)).withColumn("_high", F.max(named).over(CHAPTER))
+    rows = segments.withColumn("_low", F.min(named).over(Window.partitionBy("chapter_id"))).withColumn("_high", F.max(named).over(Window.partitionBy("chapter_id")))
     fill = (F.col("kind") == "dialogue") & (F.col("speaker") == "unknown") & (F.col("_low") == F.col("_high"))
     rows = rows.withColumn("attribution_source", F.when(fill, "sole_character").otherwise(F.col("attribution_source")))
     return rows.withColumn("speaker", F.when(fill, F.col("_low")).otherwise(F.col("speaker"))).drop("_low", "_high")
@@ -181,14 +183,14 @@ def character_registry(segments: DataFrame) -> DataFrame:
         F.lit(0).alias("seen"), F.lit("neutral").alias("gender"),
     )
     both = cast.unionByName(voice)
-    place = F.row_number().over(CHAPTER.orderBy("seen")) - 1
+    place = F.row_number().over(per_chapter("seen")) - 1
     return both.select("chapter_id", place.alias("position"), "name", "gender", "segments", "male_votes", "female_votes")
 
 
 def assign_pauses(segments: DataFrame) -> DataFrame:
     """Add ``pause_before_ms``."""
-    gap = F.col("paragraph_index") - F.lag("paragraph_index").over(IN_ORDER)
-    return segments.withColumn("pause_before_ms", pause_ms(F.col("kind"), F.lag("kind").over(IN_ORDER), gap))
+    gap = F.col("paragraph_index") - F.lag("paragraph_index").over(per_chapter())
+    return segments.withColumn("pause_before_ms", pause_ms(F.col("kind"), F.lag("kind").over(per_chapter()), gap))
 
 
 def normalise_segments(segments: DataFrame, lexicon: Column | None = None) -> DataFrame:
@@ -228,14 +230,14 @@ def output_projection(segments: DataFrame) -> DataFrame:
 def context_windows(segments: DataFrame, around: int = 6, max_chars: int = 200) -> DataFrame:
     """For each unresolved line, the segments within ``around`` places of it in order, texts cut."""
     item = F.struct("id", "kind", "speaker", F.substring("original_text", 1, max_chars).alias("text"))
-    rows = segments.withColumn("context", F.collect_list(item).over(IN_ORDER.rowsBetween(-around, around)))
+    rows = segments.withColumn("context", F.collect_list(item).over(per_chapter().rowsBetween(-around, around)))
     return rows.filter((F.col("kind") == "dialogue") & (F.col("speaker") == "unknown")).select("chapter_id", "id", "context")
 
 
 def llm_batches(segments: DataFrame, size: int = 20) -> DataFrame:
     """Unresolved lines of a chapter in batches: chapter_id, batch, ids."""
     asked = segments.filter((F.col("kind") == "dialogue") & (F.col("speaker") == "unknown"))
-    asked = asked.withColumn("batch", F.floor((F.row_number().over(IN_ORDER) - 1) / size).cast("int"))
+    asked = asked.withColumn("batch", F.floor((F.row_number().over(per_chapter()) - 1) / size).cast("int"))
     return asked.groupBy("chapter_id", "batch").agg(F.array_sort(F.collect_list("id")).alias("ids"))
 
 
@@ -259,5 +261,5 @@ def candidate_names(segments: DataFrame, top: int = 10, least: int = 2) -> DataF
     """Capitalised words inside narration sentences: the ``top`` most frequent of a chapter that occur ``least`` times."""
     text = segments.filter("kind = 'narration'").select("chapter_id", "id", F.posexplode(F.regexp_extract_all("original_text", F.lit(r"(?<=[a-z.,;!?’]\s)([A-Z][a-z]{2,})"), F.lit(1))).alias("pos", "name"))
     counted = text.filter(~F.col("name").isin(*COMMON_CAPITALS)).groupBy("chapter_id", "name").agg(F.count(F.lit(1)).alias("mentions"), F.min(F.struct("id", "pos")).alias("first"))
-    rank = F.row_number().over(CHAPTER.orderBy(F.desc("mentions"), "first"))
+    rank = F.row_number().over(per_chapter(F.desc("mentions"), "first"))
     return counted.withColumn("rank", rank).filter((F.col("rank") <= top) & (F.col("mentions") >= least)).select("chapter_id", "rank", "name", "mentions")
