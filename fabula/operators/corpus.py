@@ -201,6 +201,23 @@ def guard_verdicts(verdicts: DataFrame, labels: DataFrame, owners: DataFrame) ->
     return rows.select("book_id", "name", F.when(verdict != "vetoed:self", F.col("canonical")).alias("canonical"), verdict.alias("verdict"))
 
 
+def store_verdicts(old: DataFrame, new: DataFrame) -> DataFrame:
+    """Upsert verdicts by (book_id, name); a target is kept only where the verdict is a merge."""
+    new = new.withColumn("canonical", F.when(F.col("verdict") == "merge", F.col("canonical")))
+    return merged(old, new, ["book_id", "name"], [c for c in old.columns if c not in ("book_id", "name")])
+
+
+def verdict_aliases(registry: DataFrame, confidence: float = CONFIDENCE) -> DataFrame:
+    """Aliases of confident merges: book_id, alias, canonical, reason, evidence."""
+    sure = registry.filter((F.col("verdict") == "merge") & (F.col("confidence") >= confidence) & F.col("canonical").isNotNull())
+    return sure.select("book_id", F.col("name").alias("alias"), "canonical", F.lit("llm").alias("reason"), F.lit(0).cast("long").alias("evidence"))
+
+
+def store_aliases(old: DataFrame, new: DataFrame, evidence: bool = True) -> DataFrame:
+    """Upsert aliases by (book_id, alias); ``evidence`` false keeps the count that is stored."""
+    return merged(old, new, ["book_id", "alias"], ["canonical", "reason", *(["evidence"] if evidence else [])])
+
+
 def text_index(segments: DataFrame) -> DataFrame:
     """Tokens of segments by position: SEGMENT_KEY, pos, token."""
     tokens = F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
