@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fabula.llm import ann, chat, langid, mixing, packing, quality, secrets, toxicity, url_filter
+from fabula.llm import ann, chat, langid, mixing, oracles, packing, quality, secrets, toxicity, url_filter
 from fabula.llm.neardup import near_duplicates
 
 #: verdict, host, path
@@ -120,4 +120,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_language_id": op10_language_id,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+#: The others learn weights, draw by hashes, search approximately or count tokens, which SQL cannot express; tests/llm holds brute-force versions.
+ORACLE_SQL: dict[str, str] = {
+    "op1_url_filters": oracles.url_filters(URL_RULES, LISTED_HOSTS, LISTED_DOMAINS, LISTED_LANGS, LISTED_NUMBERS),
+    "op2_chat_formatting": oracles.CHAT,
+    "op4_minhash_near_dedup": oracles.NEAR_DUPLICATES,
+    "op5_secret_scans": oracles.secret_scans(),
+    "op9_quality_rules": oracles.quality(quality.MAX_DOCUMENTS, quality.MIN_SHARE, quality.MIN_WORDS),
+}
