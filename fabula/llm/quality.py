@@ -12,6 +12,8 @@ from fabula.llm.wordhash import Words, slices
 
 #: A line is boilerplate of its host if more of the host's documents have it.
 MAX_DOCUMENTS = 100
+#: The limit that goes with the host: this share of its documents, and so many at least.
+SHARE, FLOOR = 0.02, 5
 #: A document is depleted if its lines that stay hold less than this share of its words, or fewer words.
 MIN_SHARE, MIN_WORDS = 0.5, 10
 #: Ways in which a host's frequent line is dealt out before it meets the documents that have it.
@@ -121,12 +123,14 @@ def quality(
     id_col: str = "doc_id",
     text_col: str = "text",
     host_col: str = "source",
+    share: float | None = None,
 ) -> DataFrame:
     """Judge each row of ``docs``: doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
     base_failed, n_boilerplate_words, kept.
 
     A line (its words, A-Z lower-cased) that more than ``max_documents`` different documents of its host
-    have is boilerplate.  A document is kept unless the rules fail it, or its other lines hold under
+    have is boilerplate; with ``share``, the limit is that share of the host's different documents
+    instead, if that is more than ``max_documents``.  A document is kept unless the rules fail it, or its other lines hold under
     ``min_words`` words or under ``min_share`` of its words.  Null hosts are one host; a null text is
     empty and so fails.  Documents are told apart by id and text, so rows that repeat one count once
     and are judged alike.  An empty table gives an empty result.  Other columns are not carried.
@@ -137,9 +141,14 @@ def quality(
     rows = written(rows, "lines")
     # One row for each document and line, salted by document: a line that very many share is counted in parts.
     lines = rows.select("uid", F.xxhash64("host").alias("host_key"), F.explode("lines").alias("l"))
-    lines = lines.select("uid", F.xxhash64("host_key", "l.h").alias("line"), F.col("l.w").alias("w"))
+    lines = lines.select("uid", "host_key", F.xxhash64("host_key", "l.h").alias("line"), F.col("l.w").alias("w"))
     seen = lines.dropDuplicates(["uid", "line"])
-    often = seen.groupBy("line").agg(F.count(F.lit(1)).alias("documents")).filter(F.col("documents") > max_documents).select("line")
+    # A line is of one host, so its count has the host's key.
+    often = seen.groupBy("line").agg(F.count(F.lit(1)).alias("documents"), F.first("host_key").alias("host_key")).filter(F.col("documents") > max_documents)
+    if share is not None:
+        hosts = rows.select("uid", F.xxhash64("host").alias("host_key")).distinct().groupBy("host_key").agg(F.count(F.lit(1)).alias("of_host"))
+        often = often.join(hosts, "host_key").filter(F.col("documents") > share * F.col("of_host"))
+    often = often.select("line")
     often = often.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     met = seen.withColumn("salt", F.pmod("uid", F.lit(SALTS)).cast("int")).join(often, ["line", "salt"], "left_semi")
     lost = met.groupBy("uid").agg(F.sum("w").alias("lost"))

@@ -101,6 +101,11 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(table(spark, sf_dir, "documents"))
 
 
+def op9_quality_rules_by_share(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with a limit that goes with the host, so that it acts at every size."""
+    return quality.quality(table(spark, sf_dir, "documents"), max_documents=quality.FLOOR, share=quality.SHARE)
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = langid.identify(docs, docs.filter(fold_of("doc_id", 3) != 1).select("text", "lang"))
@@ -117,6 +122,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_mixing_sources": op7_mixing_sources,
     "op8_nearest_neighbours": op8_nearest_neighbours,
     "op9_quality_rules": op9_quality_rules,
+    "op9_quality_rules_by_share": op9_quality_rules_by_share,
     "op10_language_id": op10_language_id,
 }
 

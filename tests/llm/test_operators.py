@@ -385,6 +385,19 @@ def test_quality(spark):
     assert not any(r.n_boilerplate_words for r in quality.quality(many.filter("doc_id >= 34"), max_documents=10).collect())
 
 
+def test_quality_by_share_of_host(spark, tmp_path):
+    """The registered limits, on a host of 400 documents (limit 8) and one of 30 (limit 5)."""
+    rng = random.Random(17)
+    common, rare = "accept all cookies on this site now please", "read more news from our own desk here"
+    big = [prose(rng, 40, 5000) + (f"\n{common}" if k < 9 else f"\n{rare}" if k < 17 else "") for k in range(400)]
+    small = [prose(rng, 40, 5000) + (f"\n{common}" if k < 6 else f"\n{rare}" if k < 11 else "") for k in range(29)] + [f"{common}\nshort own words"]
+    rows = [(i, t, h) for i, (t, h) in enumerate([(t, "big") for t in big] + [(t, "small") for t in small])]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: r for r in queries.QUERIES["op9_quality_rules_by_share"](spark, str(tmp_path)).collect()}
+    assert {i for i, r in got.items() if r.n_boilerplate_words} == {*range(9), *range(400, 406), 429}
+    assert {i for i, r in got.items() if not r.kept} == {429} and not got[429].base_failed
+
+
 # 10
 
 
