@@ -101,9 +101,10 @@ def load_segments_words(spark, sf_dir):
     return segments(spark, sf_dir)
 
 
-def _words(spark, sf_dir):
-    """A word for each space-separated part of the first 200 letters of every turn."""
-    r = raw(spark, sf_dir).select("book_id", "chapter_number", F.col("id").alias("segment_id"), F.posexplode(F.split(F.substring("text", 1, 200), " ")).alias("idx", "word"))
+def _words(spark, sf_dir, whole=False):
+    """A word for each space-separated part of every turn, or of its first 200 letters."""
+    text = F.col("text") if whole else F.substring("text", 1, 200)
+    r = raw(spark, sf_dir).select("book_id", "chapter_number", F.col("id").alias("segment_id"), F.posexplode(F.split(text, " ")).alias("idx", "word"))
     start = F.col("segment_id") * 100.0 + F.col("idx") * 0.5
     return r.select("book_id", "chapter_number", "segment_id", "idx", start.alias("start"), (start + F.length("word") * 0.05).alias("end"), (F.pmod(F.length("word") * 7 + F.col("idx") * 3, F.lit(97)) / F.lit(97.0)).alias("score"))
 
@@ -121,12 +122,23 @@ def align_spans(spark, sf_dir):
     return C.align_spans(_words(spark, sf_dir))
 
 
-def align_health(spark, sf_dir):
-    w = _words(spark, sf_dir)
+def align_spans_whole(spark, sf_dir):
+    return C.align_spans(_words(spark, sf_dir, whole=True))
+
+
+def _health(w):
     d = w.groupBy("book_id", "chapter_number").agg((F.max("segment_id") * 100.0 + 119.37).alias("audio_s"))
     return C.align_health(w, d)
 
 
+def align_health(spark, sf_dir):
+    return _health(_words(spark, sf_dir))
+
+
+def align_health_whole(spark, sf_dir):
+    return _health(_words(spark, sf_dir, whole=True))
+
+
 def rebuild_characters(spark, sf_dir):
     return C.rebuild_characters(segments(spark, sf_dir), votes(spark, sf_dir))
 
@@ -247,7 +259,7 @@ def best_clip_per_emotion(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
-        load_segments_words, align_spans, align_health, rebuild_characters, gender_override, annotation_carry, upsert_books, replace_chapters, surname_owners, alias_derive,
+        load_segments_words, align_spans, align_health, align_spans_whole, align_health_whole, rebuild_characters, gender_override, annotation_carry, upsert_books, replace_chapters, surname_owners, alias_derive,
         alias_apply, label_stats_having, registry_guard, fts_phrase, evidence_bundle, corpus_stats, top_speakers, marker_diff, chapter_spec, clip_select, clip_spread,
         clip_manifest, voicebank, training_budget, zscore_profile, best_clip_per_emotion,
     )

@@ -5,6 +5,8 @@ lengths and ids."""
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -166,6 +168,13 @@ def search_page(spark, sf_dir):
 
 STAT = "case doc_id % 6 when 0 then concat('Item: [', left(text, 20), '] (rank ', n_chars % 100, '/', n_chars % 7, ', ???)') when 1 then concat('Effect: ??', chr(10), '***', chr(10), left(text, 60)) when 2 then concat(left(text, 30), ' & co. ', n_chars % 1000, ' / ', doc_id % 1000) when 3 then concat('- - -', chr(10), 'Name: ( , ', left(text, 9), ' )') else left(text, 80) end"
 
+#: The same around the whole text.
+WHOLE_STAT = re.sub(r"left\(text, \d+\)", "text", STAT)
+
+
+def _whole_blocks(spark, sf_dir):
+    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.expr(WHOLE_STAT).alias("t"))
+
 
 def _stat_blocks(spark, sf_dir):
     d = spark.read.parquet(f"{sf_dir}/documents.parquet").withColumn("text", F.regexp_replace("text", r"[^A-Za-z ,.]", ""))
@@ -174,13 +183,21 @@ def _stat_blocks(spark, sf_dir):
 
 def normalise_text(spark, sf_dir):
     lexicon = F.create_map(F.lit("The"), F.lit("Thee"), F.lit("The and"), F.lit("Both"))
-    return _stat_blocks(spark, sf_dir).select("doc_id", spoken_text(F.col("t"), lexicon).alias("spoken"))
+    return _whole_blocks(spark, sf_dir).select("doc_id", spoken_text(F.col("t"), lexicon).alias("spoken"))
 
 
-def normalise_scene_breaks(spark, sf_dir):
+def _scene_breaks(blocks):
     from fabula.functions.spoken import has_scene_break, scene_break_lines
 
-    return _stat_blocks(spark, sf_dir).select("doc_id", F.array_join(scene_break_lines(F.col("t")), "\n").alias("kept"), has_scene_break(F.col("t")).alias("had_break"))
+    return blocks.select("doc_id", F.array_join(scene_break_lines(F.col("t")), "\n").alias("kept"), has_scene_break(F.col("t")).alias("had_break"))
+
+
+def normalise_scene_breaks(spark, sf_dir):
+    return _scene_breaks(_stat_blocks(spark, sf_dir))
+
+
+def normalise_scene_breaks_whole(spark, sf_dir):
+    return _scene_breaks(_whole_blocks(spark, sf_dir))
 
 
 def number_names(spark, sf_dir):
@@ -195,7 +212,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         fingerprint, render_plan, redo_segments, autocast, hashed_cast, assembly_timeline, qa_report, segment_view, job_summary, status_latest, best_take, bench_stats,
-        qa_similarity, gold_set, attribution_eval, confusion_topk, cluster_labels, prefix_match, page_text, search_page, normalise_text, normalise_scene_breaks, number_names, word_keys,
+        qa_similarity, gold_set, attribution_eval, confusion_topk, cluster_labels, prefix_match, page_text, search_page, normalise_text, normalise_scene_breaks, normalise_scene_breaks_whole, number_names, word_keys,
     )
 }
 
