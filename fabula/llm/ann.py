@@ -1,10 +1,10 @@
 """Approximate nearest neighbours by inner product from balanced posting lists.
 
 Centroids come from k-means on a bounded sample.  They are joined to a graph (each with its nearest
-others) that is small enough for every task, and all look-ups of near centroids walk that graph.  A
+others) that is small enough for every task, and the look-ups of a few near centroids walk that graph.  A
 vector is posted to its nearest centroid, and to others that are nearly as near.  A list longer than
-``SUBLIST`` is dealt out over sublists, so that no task holds a whole long one.  A query visits the
-lists whose distance is within a ratio of the nearest one's.
+``SUBLIST`` is dealt out over sublists, so that no task holds a whole long one.  A query measures
+all centroids and visits every list whose distance is within a ratio of the nearest one's.
 """
 
 from __future__ import annotations
@@ -24,8 +24,8 @@ PER_LIST, MAX_LISTS = 100, 8192
 DEGREE, BEAM = 32, 96
 #: A vector is posted where its distance is under so many times the nearest one's, to so many lists at most.
 POST_RATIO, POSTINGS = 1.05, 4
-#: A query visits lists within this ratio of the nearest one's distance, at least and at most so many.
-PROBE_RATIO, MIN_PROBES, MAX_PROBES = 1.4, 12, 64
+#: A query visits all lists within this ratio of the nearest one's distance, so many at least.
+PROBE_RATIO, MIN_PROBES = 1.4, 12
 #: Rows of a sublist, and queries compared with it at once.
 SUBLIST, QUERY_BLOCK = 4096, 1024
 
@@ -69,15 +69,19 @@ class Graph:
         self.entries = np.unique(np.linspace(0, k - 1, min(k, 32)).astype(np.int64))
 
     def nearest(self, x: np.ndarray, n: int, beam: int = BEAM) -> tuple[np.ndarray, np.ndarray]:
-        """(centroids, distances) near each row of ``x``, nearest first: best-first walks, all rows in step."""
+        """(centroids, distances) near each row of ``x``, nearest first: best-first walks, all rows in step.
+        Where all centroids are asked for, all are measured without a walk."""
         n, k, m = min(n, len(self.centroids)), len(self.centroids), len(x)
         beam = min(k, max(beam, n))
         norm = (self.centroids**2).sum(1)
         best = np.full((m, k), np.inf)  # distances seen so far
         rows = np.arange(m)
-        best[:, self.entries] = norm[self.entries] - 2 * x @ self.centroids[self.entries].T
+        if n == k:
+            best = norm - 2 * x @ self.centroids.T
+        else:
+            best[:, self.entries] = norm[self.entries] - 2 * x @ self.centroids[self.entries].T
         opened = np.zeros((m, k), dtype=bool)
-        while True:
+        while n < k:
             cut = np.partition(best, beam - 1, axis=1)[:, beam - 1]
             open_ = np.where(opened, np.inf, best)
             pick = np.argpartition(open_, min(7, k - 1), axis=1)[:, :8] if k > 8 else np.tile(np.arange(k), (m, 1))
@@ -165,7 +169,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "v
                 batch = whole.slice(at, 512)
                 x = _lifted(_matrix(batch.column("v"), width), most)
                 x[:, -1] = 0
-                near, dist = graph.nearest(x, lists if lists <= MAX_PROBES else MAX_PROBES)
+                near, dist = graph.nearest(x, lists)
                 # Distances on the sphere of norm ``most``, so that the ratio does not depend on the query's length.
                 cover = np.cumsum(np.where(near >= 0, own[near], 0), axis=1)
                 before = np.concatenate([np.zeros((len(x), 1)), cover[:, :-1]], axis=1)

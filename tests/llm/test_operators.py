@@ -356,6 +356,22 @@ def test_neighbours(spark):
     assert ann.search(df.limit(0), df.limit(0)).count() == 0
 
 
+def test_neighbours_across_many_lists(spark):
+    """200 lists, and norms and directions that put a query's neighbours into many of them."""
+    rng = np.random.default_rng(5)
+    v = (rng.normal(size=(20000, 64)) * rng.uniform(0.3, 2, (20000, 1))).astype(np.float32)
+    df = spark.createDataFrame(list(enumerate(v.tolist())), "vec_id long, embedding array<float>").repartition(8)
+    got = defaultdict(set)
+    for r in ann.search(df, df.filter("vec_id % 400 = 0"), k=20).collect():
+        got[r.query_id].add(r.vec_id)
+    x, hits = v.astype(float), 0
+    for q in range(0, 20000, 400):
+        s = x @ x[q]
+        s[q] = -np.inf
+        hits += len(got[q] & set(np.argsort(-s)[:20].tolist()))
+    assert hits >= 0.99 * 50 * 20
+
+
 # 9
 
 
