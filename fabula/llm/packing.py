@@ -10,6 +10,7 @@ counted in salted groups, so that no length, however frequent, is numbered by on
 from __future__ import annotations
 
 import json
+import re
 from collections import defaultdict
 
 import numpy as np
@@ -43,7 +44,10 @@ class _WordTokens(dict):
 
         to_byte = _byte_of_char()
         with open(path, encoding="utf-8") as f:
-            vocab = json.load(f)["model"]["vocab"]
+            model = json.load(f)
+        vocab = model["model"]["vocab"]
+        self.added = {t["content"]: np.array([t["id"]], dtype="<u4").tobytes() for t in model.get("added_tokens", [])}
+        self.cut = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
         ranks = {bytes(to_byte[c] for c in token): i for token, i in vocab.items() if all(c in to_byte for c in token)}
         ranks.pop(b"<|endoftext|>", None)
         self.encoding = tiktoken.Encoding("byte-bpe", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
@@ -60,6 +64,12 @@ class _WordTokens(dict):
         return np.array(self.encoding.encode_ordinary(text), dtype="<u4").tobytes()
 
     def text_ids(self, text: str) -> bytes:
+        """Added tokens of the file are found first, wherever they stand; what lies between is encoded by itself."""
+        if self.cut is None or not self.cut.search(text):
+            return self.plain_ids(text)
+        return b"".join([self.added[part] if k % 2 else self.plain_ids(part) for k, part in enumerate(self.cut.split(text))])
+
+    def plain_ids(self, text: str) -> bytes:
         """A single space between two words always starts a token of its own, so words can be encoded
         apart; a text with other white space beside a space is encoded whole."""
         words = text.split(" ")
@@ -79,8 +89,8 @@ def _tokens(path: str) -> _WordTokens:
 def tokenised(docs: DataFrame, tokenizer: str, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", capacity: int = 1024) -> DataFrame:
     """Pieces of at most ``capacity`` tokens: doc_id, piece, start, length, ids (binary, little-endian
     unsigned 32-bit).  A null text counts as empty; each document ends with ``end_id``.  Only longer
-    documents are cut, so that all pieces but the first are full.  Strings that look like special
-    tokens are ordinary text.  ``tokenizer`` is the path of a byte-level BPE file on every machine."""
+    documents are cut, so that all pieces but the first are full.  The file's added tokens have their own
+    ids in a text; other strings that look special are ordinary text.  ``tokenizer`` is the path of a byte-level BPE file on every machine."""
 
     def pieces(batches):
         encode = _tokens(tokenizer)

@@ -114,6 +114,16 @@ def test_packing(spark):
     assert packing.digest(df.limit(0), queries.tokenizer_path()).count() == 0
 
 
+def test_added_tokens_have_their_ids(spark):
+    from tokenizers import Tokenizer
+
+    end = "<|endoftext|>"
+    texts = [f"a {end} b", f"x{end}{end}y z", end, f" {end}", f"{end} one two  {end}\n", "<|endoftext| > <|endoftext", f"é {end}q"]
+    model = Tokenizer.from_file(queries.tokenizer_path())
+    for r in packing.tokenised(documents(spark, texts), queries.tokenizer_path()).collect():
+        assert np.frombuffer(r.ids, dtype="<u4").tolist() == [*model.encode(texts[r.doc_id], add_special_tokens=False).ids, 2]
+
+
 def test_packing_plan_holds_every_length():
     rng = random.Random(1)
     for _ in range(50):
