@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
 from fabula.llm import secrets
 from fabula.llm.url_filter import INDEX_PAGES, TRACKING
 
@@ -71,9 +69,13 @@ def secret_scans() -> str:
     found = lambda kind, pattern, group: (
         f"SELECT r, {kind} AS kind, regexp_extract_all(text, {text(pattern)}) AS t, regexp_extract_all(text, {text(pattern)}, {group}) AS g, string_split_regex(text, {text(pattern)}) AS gap FROM d"
     )
-    allowed = " OR ".join(f"regexp_matches(t, {text(p)})" for p in secrets.ALLOWED)
-    most = lambda bits: round(secrets.WINDOW * (math.log2(secrets.WINDOW) - bits) * 1e6)
-    limit = "CASE " + " ".join(f"WHEN regexp_matches(t, {text(p)}) THEN {most(b)}" for p, b in secrets.CLASSES[:-1]) + f" ELSE {most(secrets.CLASSES[-1][1])} END"
+    masked = f"regexp_replace(t, {text(secrets.UUID)}, repeat(' ', {secrets.UUID_CHARS}), 'g')"
+    for word in secrets.ALLOWED_WORDS:
+        masked = f"regexp_replace({masked}, '{word}', repeat(' ', {len(word)}), 'gi')"
+    slug = f"list_bool_and([regexp_matches(x, '{secrets.PLAIN_PART}') FOR x IN string_split_regex(t, '{secrets.PART_CUT}')])"
+    plain = lambda chars: f"translate(v, '{chars}', '') = ''"
+    digits = "len(v) - len(translate(v, '0123456789', ''))"
+    limit = "CASE " + " ".join(f"WHEN {plain(c)} THEN CASE WHEN {digits} >= {d} THEN {secrets.most_bits(b)} ELSE -1 END" for c, b, d in secrets.CLASSES) + " END"
     name = f"{list(secrets.KINDS)}[kind + 1]"
     said = f"{name} || ':' || a || ':' || b"
     return f"""
@@ -82,11 +84,13 @@ f AS ({found(0, secrets.ASSIGN, 2)} UNION ALL {found(1, secrets.ACCESS, 0)} UNIO
 u AS (SELECT r, kind, unnest(t) AS t, unnest(g) AS g, unnest(gap[1:len(t)]) AS gap, unnest(range(1, len(t) + 1)) AS i FROM f),
 m AS (SELECT r, kind, t, g, i, CAST(sum(length(gap) + length(t)) OVER (PARTITION BY r, kind ORDER BY i) AS BIGINT) AS b FROM u),
 base AS (SELECT r, kind, b - length(t) AS a, b FROM m WHERE (kind = 0 AND length(g) >= {secrets.ASSIGN_MIN}) OR (kind = 1 AND length(t) >= {secrets.ACCESS_MIN}) OR kind = 2),
-c AS (SELECT r, i, t, b - length(t) AS a, {limit} AS most FROM m WHERE kind = 3 AND regexp_matches(t, '[0-9]') AND regexp_matches(t, '[A-Za-z]') AND NOT ({allowed})),
-w AS (SELECT r, i, a, most, k, unnest(string_split(substr(t, k, {secrets.WINDOW}), '')) AS x FROM (SELECT *, unnest(range(1, length(t) - {secrets.WINDOW - 2})) AS k FROM c)),
+c AS (SELECT r, i, {masked} AS t, b - length(t) AS a FROM m WHERE kind = 3 AND regexp_matches(t, '[0-9]') AND regexp_matches(t, '[A-Za-z]') AND NOT {slug}),
+v AS (SELECT r, i, a, k, {limit} AS most, v FROM (SELECT *, substr(t, k, {secrets.WINDOW}) AS v FROM (SELECT *, unnest(range(1, length(t) - {secrets.WINDOW - 2})) AS k FROM c))
+  WHERE NOT contains(v, ' ') AND regexp_matches(v, '[A-Za-z]')),
+w AS (SELECT r, i, a, most, k, unnest(string_split(v, '')) AS x FROM v),
 e AS (SELECT r, i, a, most, k, sum(round(n * log2(n) * 1e6)) AS s FROM (SELECT r, i, a, most, k, x, count(*) AS n FROM w GROUP BY ALL) GROUP BY ALL),
 h AS (SELECT r, 3 AS kind, a + min(k) - 1 AS a, a + max(k) - 1 + {secrets.WINDOW} AS b FROM e AS e WHERE s <= most GROUP BY r, i, e.a),
-spans AS (SELECT * FROM base UNION ALL SELECT * FROM h WHERE NOT EXISTS (SELECT 1 FROM base WHERE base.r = h.r AND base.a < h.b AND h.a < base.b))
+spans AS (SELECT * FROM base UNION ALL SELECT * FROM h WHERE NOT EXISTS (SELECT 1 FROM base WHERE base.r = h.r AND base.a <= h.a AND h.b <= base.b))
 SELECT doc_id, count(*) FILTER (kind = 0) AS n_assign, count(*) FILTER (kind = 1) AS n_access, count(*) FILTER (kind = 2) AS n_hex,
   sha256(coalesce(string_agg({said}, ',' ORDER BY a, kind) FILTER (kind < 3), '')) AS base_sha256, coalesce(string_agg({said}, ',' ORDER BY a, kind), '') AS spans
 FROM d LEFT JOIN spans USING (r) GROUP BY d.r, doc_id"""

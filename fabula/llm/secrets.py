@@ -20,19 +20,22 @@ KINDS = ("assign", "access", "hex", "entropy")
 WINDOW = 20
 CANDIDATE = r"[A-Za-z0-9+/_=-]{%d,}" % WINDOW
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
-#: Character classes, narrowest first, and the bits a character of a window must carry.
-CLASSES = ((r"^[0-9a-fA-F]+$", 3.0), (r"^[A-Z0-9]+$", 3.5), (r"^[a-z0-9]+$", 3.5), (r"", 3.9))
-# Strings that are no secrets however mixed: UUIDs, dates and numbers, slugs and paths of words, known examples.
-ALLOWED = (
-    r"^[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$",
-    r"^[0-9/_=-]+$",
-    r"^/?([a-z]+|[A-Z]?[a-z]+|[0-9]{1,8})([-_/]([A-Z]?[a-z]+|[0-9]{1,8}))+/?$",
-    r"(?i)example|sample|dummy|placeholder|changeme|abcdefgh|12345678|deadbeef",
-    r"(?i)^https?|^//|www",
-)
-
-
-def _prefix(values: str, n: str, op: str) -> str:
+#: Character classes of a window, narrowest first: its characters, the bits that each must carry, and the digits it must hold.
+CLASSES = (("0123456789abcdefABCDEF", 3.0, 1), ("ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", 3.5, 1), ("abcdefghijklmnopqrstuvwxyz0123456789", 3.5, 2), (ALPHABET, 3.9, 1))
+# Known examples, fillers and parts of web addresses; a window that touches one is no secret.
+ALLOWED_WORDS = (
+    "wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY", "placeholder", "changeme", "abcdefgh", "12345678", "deadbeef", "example", "sample", "dummy", "https", "http", "www", "//",
+)
+UUID, UUID_CHARS = "[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}", 36
+#: A candidate all of whose parts are words or short numbers is a slug or a path.
+PART_CUT, PLAIN_PART = "[-_/]", "^([A-Z]?[a-z]+|[0-9]{1,8})?$"
+
+
+def _sql(text: str) -> str:
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def _prefix(values: str, n: str, op: str) -> tuple[str, str]:
     """SQL for an array whose i-th element (0-based) combines the elements of ``values`` before the i-th.
 
     The array is cut into about sqrt(n) runs: each element takes the total up to its run and adds the
@@ -47,8 +50,7 @@ def _prefix(values: str, n: str, op: str) -> str:
 
 def _found(df: DataFrame, name: str, pattern: str, rank: int, hit: str, keep: str = "true", group: int = 0) -> DataFrame:
     """Add ``name``: the matches of ``pattern`` in ``_text`` as (start, rank, end, token), those that ``keep`` (of group g) allows."""
-    lit = "'" + pattern.replace("\\", "\\\\").replace("'", "\\'") + "'"
-    none = "cast(array() as array<string>)"
+    lit, none = _sql(pattern), "cast(array() as array<string>)"
     df = df.withColumn("_tok", F.expr(f"if({hit}, regexp_extract_all(_text, {lit}, 0), {none})"))
     df = df.withColumn("_n", F.size("_tok"))
     df = df.withColumn("_gap", F.expr(f"if(_n > 0, transform(split(_text, {lit}, -1), x -> cast(length(x) as bigint)), cast(array() as array<bigint>))"))
@@ -67,26 +69,70 @@ def _bits(count: int) -> int:
     return round(count * math.log2(count) * 1e6) if count else 0
 
 
-def _hot(token: str) -> str:
-    """SQL for (first, last) of the windows of ``token`` that carry enough bits; last is 0 if none does.
+def most_bits(bits: float) -> int:
+    """The largest sum of ``_bits`` over a window's counts at which each character carries ``bits``."""
+    return round(WINDOW * (math.log2(WINDOW) - bits) * 1e6)
+
 
-    The counts of a window follow from those of the one before by one character that enters and one
-    that leaves, and so does the sum of count * log2(count) over them: entropy is log2(WINDOW) minus
-    that sum divided by WINDOW."""
+def _hot(token: str) -> str:
+    """SQL for (first, last), the ends of the first and the last hot window of ``token``; last is 0 if there is none.
+
+    The token is cut into symbols once.  A window's state follows from that of the one before by the
+    symbol that enters (i) and the one that leaves (o): ``c`` holds the count of each symbol as one letter
+    of a string, ``s`` the sum of count * log2(count), from which the entropy is log2(WINDOW) minus
+    s / WINDOW, ``g`` how many of the window's symbols are of each class, digits and letters (a byte each),
+    and ``clean`` the symbols since the last that belongs to an allowed word."""
+    masked = f"regexp_replace({token}, '{UUID}', '{' ' * UUID_CHARS}')"
+    for word in ALLOWED_WORDS:
+        masked = f"regexp_replace({masked}, '(?i){word}', '{' ' * len(word)}')"
+    symbols = f"transform(split({masked}, ''), x -> instr('{ALPHABET}', x))"
+
+    digits, letters = "0123456789", ALPHABET[:52]
+    member = [[int(x in chars) << (8 * k) for x in ALPHABET] for k, chars in enumerate([*(c for c, _, _ in CLASSES[:-1]), digits, letters])]
+    tally = "array(0L, " + ", ".join(f"{sum(bits)}L" for bits in zip(*member, strict=True)) + ")"
     table = "array(" + ", ".join(f"{_bits(c)}L" for c in range(WINDOW + 2)) + ")"
-    most = lambda bits: round(WINDOW * (math.log2(WINDOW) - bits) * 1e6)
-    limit = "case " + " ".join(f"when {token} rlike '{p}' then {most(b)}L" for p, b in CLASSES[:-1]) + f" else {most(CLASSES[-1][1])}L end"
-    zero = "named_struct('c', array_repeat(0, %d), 's', 0L, 'first', 0, 'last', 0)" % (len(ALPHABET) + 1)
+    byte = lambda k: f"(shiftright(b.g, {8 * k}) & 255)"
+    n_digits, n_letters = byte(len(CLASSES) - 1), byte(len(CLASSES))
+    rules = [(f"{byte(k)} = {WINDOW}", b, d) for k, (_, b, d) in enumerate(CLASSES[:-1])]
+    limit = "case " + " ".join(f"when {test} then if({n_digits} >= {d}, {most_bits(b)}L, -1L)" for test, b, d in rules) + f" else if({n_digits} >= {CLASSES[-1][2]}, {most_bits(CLASSES[-1][1])}L, -1L) end"
+
+    i, o, full = "k[p - 1]", f"k[p - {WINDOW + 1}]", f"p > {WINDOW}"
+    count = lambda x: f"(ascii(substr(a.c, {x} + 1, 1)) - 64)"
+    put = lambda into, x, by: f"overlay({into}, chr(64 + {count(x)} + {by}), {x} + 1, 1)"
+    stays = f"{full} and {o} = {i}"
     step = (
-        f"(a, x) -> named_struct('c', transform(a.c, (v, k) -> v + if(k = x.i, 1, 0) - if(k = x.o, 1, 0)), "
-        f"'s', a.s + {table}[a.c[x.i] + 1] - {table}[a.c[x.i]] + if(x.o = 0, 0L, {table}[a.c[x.o] + if(x.o = x.i, 1, 0) - 1] - {table}[a.c[x.o] + if(x.o = x.i, 1, 0)]), "
-        f"'first', a.first, 'last', a.last)"
+        f"named_struct('c', if({stays}, a.c, {put(f'if({full}, ' + put('a.c', o, -1) + ', a.c)', i, 1)}), "
+        f"'s', if({stays}, a.s, a.s + {table}[{count(i)} + 1] - {table}[{count(i)}] + if({full}, {table}[{count(o)} - 1] - {table}[{count(o)}], 0L)), "
+        f"'g', a.g + {tally}[{i}] - if({full}, {tally}[{o}], 0L), 'clean', if({i} = 0, 0, a.clean + 1), 'first', a.first, 'last', a.last)"
     )
-    mark = f"a -> named_struct('c', a.c, 's', a.s, 'first', if(x.p >= {WINDOW} and a.s <= x.m and a.first = 0, x.p, a.first), 'last', if(x.p >= {WINDOW} and a.s <= x.m, x.p, a.last))"
-    fold = step.split("-> ", 1)[1]
-    marked = f"element_at(transform(array({fold}), {mark}), 1)"
-    steps = f"transform(sequence(1, length({token})), p -> named_struct('p', p, 'm', {limit}, 'i', instr('{ALPHABET}', substr({token}, p, 1)), 'o', if(p > {WINDOW}, instr('{ALPHABET}', substr({token}, p - {WINDOW}, 1)), 0)))"
-    return f"aggregate({steps}, {zero}, (a, x) -> {marked}, a -> named_struct('first', a.first, 'last', a.last))"
+    hot = f"b.clean >= {WINDOW} and {n_letters} > 0 and b.s <= {limit}"
+    mark = f"b -> named_struct('c', b.c, 's', b.s, 'g', b.g, 'clean', b.clean, 'first', if(b.first = 0 and {hot}, p, b.first), 'last', if({hot}, p, b.last))"
+    zero = f"named_struct('c', repeat('@', {len(ALPHABET) + 1}), 's', 0L, 'g', 0L, 'clean', 0, 'first', 0, 'last', 0)"
+    fold = f"aggregate(sequence(1, size(k)), {zero}, (a, p) -> element_at(transform(array({step}), {mark}), 1), a -> named_struct('first', a.first, 'last', a.last))"
+    return f"element_at(transform(array({symbols}), k -> {fold}), 1)"
+
+
+def _scan(df: DataFrame) -> DataFrame:
+    """Add ``spans`` to (row, _text)."""
+    df = _found(df, "_assign", ASSIGN, 0, r"_text rlike '(?i:password|passwd|secret|token|api_?key)[\"\']?\\x20*[:=]'", f"length(s.g) >= {ASSIGN_MIN}", 2)
+    df = _found(df, "_access", ACCESS, 1, "contains(_text, 'AKIA')", f"length(s.token) >= {ACCESS_MIN}")
+    # One search finds whether there is any candidate, and so any hex string that is none.
+    df = df.withColumn("_any", F.expr(f"_text rlike {_sql(CANDIDATE)}"))
+    df = _found(df, "_hex", HEX, 2, "_any")
+    slug = f"forall(split(s.token, '{PART_CUT}'), x -> x rlike '{PLAIN_PART}')"
+    df = _found(df, "_long", CANDIDATE, 3, "_any", f"s.token rlike '[0-9]' and s.token rlike '[A-Za-z]' and not {slug}")
+    df = df.withColumn("_base", F.flatten(F.array("_assign", "_access", "_hex")))
+    df = df.withColumn("_hot", F.expr(f"if(size(_long) = 0, null, transform(_long, s -> named_struct('at', s.start, 'w', {_hot('s.token')})))"))
+    added = f"transform(filter(_hot, h -> h.w.last > 0), h -> named_struct('start', h.at + h.w.first - {WINDOW}, 'kind', 3, 'end', h.at + h.w.last))"
+    added = f"filter({added}, h -> not exists(_base, b -> b.start <= h.start and h.end <= b.end))"
+    base = "transform(_base, s -> named_struct('start', s.start, 'kind', s.kind, 'end', s.end))"
+    spans = f"array_sort(concat({base}, coalesce({added}, cast(array() as array<struct<start: bigint, kind: int, end: bigint>>))))"
+    return df.select("row", "_text", F.expr(spans).alias("spans"))
+
+
+def _rows(docs: DataFrame, columns: list[str], text_col: str) -> DataFrame:
+    """The columns of a row in one struct, so that none can clash with ours."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("_text"))
 
 
 def scanned(docs: DataFrame, text_col: str = "text", spans_col: str = "spans") -> DataFrame:
@@ -95,30 +141,15 @@ def scanned(docs: DataFrame, text_col: str = "text", spans_col: str = "spans") -
 
     Patterns: ``assign`` (a name such as password, then ``=`` or ``:``, then a value of 6 or more
     characters), ``access`` and ``hex``, each leftmost without overlap.  Entropy: strings of 20 or more
-    characters of an alphabet of 67, with a letter and a digit; the span reaches from the first to the
-    last window of 20 whose entropy is that of its character class or more.  Strings that match an
-    allowed form, and spans that touch a pattern's, are not added.  A null text has no spans.  Other
-    columns pass through; one named ``spans`` is replaced.  Each row is scanned by itself.
+    characters of an alphabet of 67, with a letter and a digit, but no slugs or paths of plain words; the
+    span reaches from the first to the last hot window of 20.  A window is hot if it holds a letter and
+    digits, touches no allowed word, and its entropy is that of its own character class or more.  Such a
+    span is added unless it lies wholly within one pattern's span.  A null text has no spans; a text may
+    be of any length, as each symbol of a candidate is handled once.  Other columns pass through, whatever
+    their names; one named ``spans`` is replaced.  Each row is scanned by itself.
     """
     own = [c for c in docs.columns if c != spans_col]
-    df = docs.select(*[F.col(f"`{c}`") for c in own], F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
-    df = _found(df, "_assign", ASSIGN, 0, r"_text rlike '(?i:password|passwd|secret|token|api_?key)[\"\']?\\x20*[:=]'", f"length(s.g) >= {ASSIGN_MIN}", 2)
-    df = _found(df, "_access", ACCESS, 1, "contains(_text, 'AKIA')", f"length(s.token) >= {ACCESS_MIN}")
-    # One search finds whether there is any candidate, and so any hex string that is none.
-    df = df.withColumn("_any", F.expr(f"_text rlike '[A-Za-z0-9+/_=-]{{{WINDOW},}}'"))
-    df = _found(df, "_hex", HEX, 2, "_any")
-    allowed = " or ".join("s.token rlike '" + p.replace("\\", "\\\\") + "'" for p in ALLOWED)
-    df = _found(df, "_long", CANDIDATE, 3, "_any", f"s.token rlike '[0-9]' and s.token rlike '[A-Za-z]' and not ({allowed})")
-    df = df.withColumn("_base", F.flatten(F.array("_assign", "_access", "_hex")))
-    hot = f"transform(_long, s -> named_struct('at', s.start, 'w', {_hot('s.token')}))"
-    df = df.withColumn("_hot", F.expr(f"if(size(_long) = 0, null, {hot})"))
-    added = (
-        f"transform(filter(_hot, h -> h.w.last > 0), h -> named_struct('start', h.at + h.w.first - {WINDOW}, 'kind', 3, 'end', h.at + h.w.last))"
-    )
-    added = f"filter({added}, h -> not exists(_base, b -> b.start < h.end and h.start < b.end))"
-    base = "transform(_base, s -> named_struct('start', s.start, 'kind', s.kind, 'end', s.end))"
-    df = df.withColumn(spans_col, F.expr(f"array_sort(concat({base}, coalesce({added}, cast(array() as array<struct<start: bigint, kind: int, end: bigint>>))))"))
-    return df.select(*[F.col(f"`{c}`") for c in own], spans_col)
+    return _scan(_rows(docs, own, text_col)).select("row.*", F.col("spans").alias(spans_col))
 
 
 def joined(spans: Column | str, base_only: bool = False) -> Column:
@@ -131,17 +162,16 @@ def joined(spans: Column | str, base_only: bool = False) -> Column:
 
 
 def redacted(docs: DataFrame, text_col: str = "text", mark: str = "[secret]") -> DataFrame:
-    """``docs`` with every span of secrets in ``text`` replaced by ``mark``; overlapping spans by one mark.
-    Texts without secrets, nulls included, stay as they are."""
-    cols = docs.columns
-    df = scanned(docs, text_col, "_spans").withColumn("_n", F.size("_spans"))
-    df = df.withColumn("_end", F.expr("transform(_spans, s -> s.end)"))
+    """``docs`` with every span of secrets in ``text`` replaced by ``mark``; spans that overlap by one mark.
+    Texts without secrets, nulls included, stay as they are, as do all other columns."""
+    df = _scan(_rows(docs, docs.columns, text_col)).withColumn("_n", F.size("spans"))
+    df = df.withColumn("_end", F.expr("transform(spans, s -> s.end)"))
     prefix, base = _prefix("_end", "_n", "max")
     df = df.withColumn("_base", F.expr(f"if(_n > 0, {base}, cast(array() as array<bigint>))")).withColumn("_before", F.expr(prefix))
-    text = f"`{text_col}`"
     piece = (
-        f"transform(_spans, (s, i) -> concat(if(s.start > _before[i], substring({text}, int(_before[i]) + 1, int(s.start - _before[i])), ''), "
-        f"if(i = 0 or s.start >= _before[i], '{mark}', '')))"
+        "transform(spans, (s, i) -> concat(if(s.start > _before[i], substring(_text, int(_before[i]) + 1, int(s.start - _before[i])), ''), "
+        f"if(i = 0 or s.start >= _before[i], {_sql(mark)}, '')))"
     )
-    new = f"if(_n > 0, concat(array_join({piece}, ''), substring({text}, int(array_max(_end)) + 1)), {text})"
-    return df.withColumn("_new", F.expr(new)).select(*[F.col("_new").alias(c) if c == text_col else F.col(f"`{c}`") for c in cols])
+    new = F.expr(f"if(_n > 0, concat(array_join({piece}, ''), substring(_text, int(array_max(_end)) + 1)), null)")
+    df = df.select("row", new.alias("_new"))
+    return df.select(*[F.coalesce("_new", F.col(f"row.`{c}`")).alias(c) if c == text_col else F.col(f"row.`{c}`").alias(c) for c in docs.columns])
