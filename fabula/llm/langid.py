@@ -7,11 +7,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from fabula.llm.shared import written
+
 #: Buckets into which n-grams are hashed.
 BUCKETS = 1 << 16
-#: Languages a model may have; its matrix is ``BUCKETS`` x languages of 4 bytes, so at most 64 MB.
-MAX_LANGUAGES = 256
+#: Numbers in a model's matrix (4 bytes each): with more than 256 languages, buckets are merged in pairs until it fits.
+MODEL_NUMBERS = 1 << 24
+#: Languages whose counts a task holds before it hands them on.
+TASK_LANGUAGES = 128
 SLICE_CHARS = 1 << 20
+#: Stands between texts; no code point.
+BETWEEN = 0xFFFFFFFF
 
 _MULT = tuple(np.uint32(x) for x in (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D))
 
@@ -28,14 +34,15 @@ def grams(texts: list[str | None]):
             size += len(texts[end] or "")
             end += 1
         own = [(t or "").lower() for t in texts[at:end]]
-        joined = "\x00" + "\x00".join(own) + "\x00"
-        raw = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+        # Rows follow from lengths, as a text may hold any character.
+        length = np.array([len(t) + 1 for t in own])
+        raw = np.frombuffer(("\n" + "".join(t + "\n" for t in own)).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
         seen = np.unique(raw)
         letters = np.array([chr(c).isalpha() if not 0xD800 <= c < 0xE000 else False for c in seen.tolist()], dtype=bool)
         is_letter = letters[np.searchsorted(seen, raw)] if len(seen) > 512 else np.isin(raw, seen[letters])
-        row = np.cumsum(raw == 0) - 1
+        row = np.concatenate([[0], np.repeat(np.arange(len(own)), length)])
         code = np.where(is_letter, raw, np.uint32(32))
-        code[raw == 0] = 0
+        code[np.concatenate([[0], np.cumsum(length)])] = BETWEEN
         keep = (code != 32) | np.concatenate(([True], code[:-1] != 32))
         code, row, is_letter = code[keep], row[keep], is_letter[keep]
         buckets, rows = [], []
@@ -46,7 +53,7 @@ def grams(texts: list[str | None]):
             m = len(code) - n
             hashed = (hashed[:m] ^ (code[n:] + np.uint32(n + 1))) * _MULT[n]
             hashed ^= hashed >> np.uint32(15)
-            inside = inside[:m] & (code[n:] != 0)
+            inside = inside[:m] & (code[n:] != BETWEEN)
             some = some[:m] | is_letter[n:]
             ok = inside & some
             buckets.append(((hashed[ok] * np.uint32(0x27D4EB2F)) >> np.uint32(16)).astype(np.int64))
@@ -56,35 +63,42 @@ def grams(texts: list[str | None]):
 
 
 def _counted(batches):
-    """Counts of each (language, bucket) of a partition."""
+    """Counts of each (language, bucket) of a partition, in parts if it has many languages."""
     total: dict[str, np.ndarray] = {}
+
+    def counts():
+        for lang, own in total.items():
+            some = np.flatnonzero(own)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([lang] * len(some), pa.string()), pa.array(some.astype(np.int32)), pa.array(own[some].astype(np.int64))], ["lang", "bucket", "n"]
+            )
+        total.clear()
+
     for batch in batches:
         texts, langs = batch.column("text").to_pylist(), batch.column("lang").to_pylist()
         for at, bucket, row, n in grams(texts):
             own = np.array(langs[at : at + n], dtype=object)
-            for lang in set(own.tolist()):
-                if lang not in total and len(total) >= MAX_LANGUAGES:
-                    raise ValueError(f"more than {MAX_LANGUAGES} languages")
-                mine = np.bincount(bucket[(own == lang)[row]], minlength=BUCKETS)
-                total[lang] = total.get(lang, 0) + mine
-    for lang, counts in total.items():
-        some = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([lang] * len(some), pa.string()), pa.array(some.astype(np.int32)), pa.array(counts[some].astype(np.int64))], ["lang", "bucket", "n"]
-        )
+            for lang in sorted(set(own.tolist())):
+                if lang not in total and len(total) >= TASK_LANGUAGES:
+                    yield from counts()
+                total[lang] = total.get(lang, 0) + np.bincount(bucket[(own == lang)[row]], minlength=BUCKETS)
+    yield from counts()
 
 
 def train(labelled: DataFrame) -> tuple[list[str], np.ndarray]:
-    """(languages, log-probabilities as a BUCKETS x languages matrix) from all rows (text, lang).
+    """(languages, log-probabilities as a buckets x languages matrix) from all rows (text, lang).
 
-    Counts are summed per partition and then by Spark; what reaches the driver is one number for each
-    bucket and language, at most BUCKETS * MAX_LANGUAGES whatever the corpus."""
+    Counts are summed per partition and then by Spark.  What reaches the driver is one number for each
+    bucket and language, at most ``MODEL_NUMBERS`` whatever the corpus: the buckets are as many as
+    that leaves for the languages, ``BUCKETS`` at most."""
     counts = labelled.filter("lang is not null").select("text", "lang").mapInArrow(_counted, "lang string, bucket int, n long")
-    table = counts.groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
+    counts = written(counts.groupBy("lang", "bucket").agg(F.sum("n").alias("n")), "grams")
+    buckets = BUCKETS
+    while buckets > 1 and buckets * counts.select("lang").distinct().count() > MODEL_NUMBERS:
+        buckets //= 2
+    table = counts.groupBy("lang", F.pmod("bucket", F.lit(buckets)).alias("bucket")).agg(F.sum("n").alias("n")).toArrow()
     langs = sorted(set(table.column("lang").to_pylist()))
-    if len(langs) > MAX_LANGUAGES:
-        raise ValueError(f"{len(langs)} languages; at most {MAX_LANGUAGES} are supported")
-    matrix = np.full((BUCKETS, len(langs)), 0.1)
+    matrix = np.full((buckets, len(langs)), 0.1)
     if langs:
         of = np.searchsorted(np.array(langs, dtype=object), np.array(table.column("lang").to_pylist(), dtype=object))
         np.add.at(matrix, (table.column("bucket").to_numpy(), of), table.column("n").to_numpy())
@@ -107,6 +121,7 @@ def identify(docs: DataFrame, labelled: DataFrame, id_col: str = "doc_id", text_
             names, scores = [], []
             for _, bucket, row, n in grams(batch.column("text").to_pylist()):
                 size = np.bincount(row, minlength=n)
+                bucket %= len(matrix)
                 if not langs:
                     names += ["und"] * n
                     scores += [0.0] * n

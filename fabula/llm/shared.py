@@ -7,13 +7,20 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_own: dict[str, str] = {}
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; one of our own only where none is named (tests)."""
+    """The folder named by ``spark.checkpoint.dir``.  Where none is named, a local session (tests) has a
+    folder of its own; on a cluster that is an error, as its machines share no temporary folder."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
-        named = "file://" + tempfile.mkdtemp(prefix="fabula-")
-        spark.conf.set("spark.checkpoint.dir", named)
+        context = spark.sparkContext
+        if not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        if context.applicationId not in _own:
+            _own[context.applicationId] = "file://" + tempfile.mkdtemp(prefix="fabula-")
+        named = _own[context.applicationId]
     return named.rstrip("/")
 
 
@@ -24,3 +31,12 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def unused(columns: list[str], *names: str) -> list[str]:
+    """``names`` with as many underscores before them as keep them apart from ``columns``."""
+    have = {c.lower() for c in columns}
+    lead = "_"
+    while any(lead + n.lower() in have for n in names):
+        lead += "_"
+    return [lead + n for n in names]
