@@ -1,10 +1,12 @@
 """Approximate nearest neighbours by inner product from balanced posting lists.
 
-Centroids come from k-means on a bounded sample.  They are joined to a graph (each with its nearest
-others) that is small enough for every task, and the look-ups of a few near centroids walk that graph.  A
-vector is posted to its nearest centroid, and to others that are nearly as near.  A list longer than
-``SUBLIST`` is dealt out over sublists, so that no task holds a whole long one.  A query measures
-all centroids and visits every list whose distance is within a ratio of the nearest one's.
+Centroids come from k-means on a bounded sample.  A two-level graph over them, small enough for every
+task, finds those near a vector.  A vector is posted to its nearest centroid and, at a boundary, to others
+that are nearly as near.  Lists that lie together in the graph share a block of bounded size; a list too
+long for one is dealt over several, so blocks are balanced however the vectors lie.  A query visits the
+blocks of every list whose distance is within a ratio of the nearest one's.  The ratio is measured: a
+bounded number of queries is compared with all rows, and the ratio is the smallest that reaches
+``TARGET`` of their true neighbours.
 """
 
 from __future__ import annotations
@@ -18,16 +20,14 @@ from fabula.llm.shared import written
 
 #: Vectors of which centroids are learned, the first by a hash of id and vector.
 SAMPLE = 20_000
-#: Vectors of a list on average, and the most lists, so that the graph (64 x 4 bytes a centroid) is broadcast.
+#: Vectors of a list on average, and the most lists, so that the graph (8 bytes for each of a centroid's numbers) is broadcast.
 PER_LIST, MAX_LISTS = 100, 8192
-#: Graph neighbours of a centroid, and candidates kept during a walk.
-DEGREE, BEAM = 32, 96
 #: A vector is posted where its distance is under so many times the nearest one's, to so many lists at most.
 POST_RATIO, POSTINGS = 1.05, 4
-#: A query visits all lists within this ratio of the nearest one's distance, so many at least.
-PROBE_RATIO, MIN_PROBES = 1.4, 12
-#: Rows of a sublist, and queries compared with it at once.
-SUBLIST, QUERY_BLOCK = 4096, 1024
+#: Queries that set the ratio of visited lists, and the share of their true neighbours that it must reach.
+CALIBRATION, TARGET = 128, 0.97
+#: Rows of a block, queries that meet one block in one task, and queries compared with it at once.
+BLOCK, QUERY_SHARE, QUERY_SLICE = 4096, 8192, 1024
 
 
 def _matrix(column: pa.Array, width: int) -> np.ndarray:
@@ -58,51 +58,46 @@ def kmeans(sample: np.ndarray, k: int, seed: int = 11, rounds: int = 12) -> np.n
 
 
 class Graph:
-    """Centroids, each linked to its nearest others and to a few random ones."""
-
-    def __init__(self, centroids: np.ndarray, degree: int = DEGREE, seed: int = 5):
-        k = len(centroids)
-        self.centroids = centroids
-        near = np.concatenate([_sq_distances(part, centroids).argsort(1)[:, 1 : degree + 1] for part in np.array_split(centroids, max(1, k // 1024))])
-        far = np.random.default_rng(seed).integers(0, k, (k, max(1, degree // 4)))
-        self.links = np.concatenate([near, far], axis=1) if k > 1 else np.zeros((k, 1), dtype=np.int64)
-        self.entries = np.unique(np.linspace(0, k - 1, min(k, 32)).astype(np.int64))
-
-    def nearest(self, x: np.ndarray, n: int, beam: int = BEAM) -> tuple[np.ndarray, np.ndarray]:
-        """(centroids, distances) near each row of ``x``, nearest first: best-first walks, all rows in step.
-        Where all centroids are asked for, all are measured without a walk."""
-        n, k, m = min(n, len(self.centroids)), len(self.centroids), len(x)
-        beam = min(k, max(beam, n))
-        norm = (self.centroids**2).sum(1)
-        best = np.full((m, k), np.inf)  # distances seen so far
-        rows = np.arange(m)
-        if n == k:
-            best = norm - 2 * x @ self.centroids.T
-        else:
-            best[:, self.entries] = norm[self.entries] - 2 * x @ self.centroids[self.entries].T
-        opened = np.zeros((m, k), dtype=bool)
-        while n < k:
-            cut = np.partition(best, beam - 1, axis=1)[:, beam - 1]
-            open_ = np.where(opened, np.inf, best)
-            pick = np.argpartition(open_, min(7, k - 1), axis=1)[:, :8] if k > 8 else np.tile(np.arange(k), (m, 1))
-            ok = np.take_along_axis(open_, pick, 1) <= cut[:, None]
-            ok &= np.isfinite(np.take_along_axis(open_, pick, 1))
-            if not ok.any():
-                break
-            r, c = np.repeat(rows, pick.shape[1])[ok.ravel()], pick.ravel()[ok.ravel()]
-            opened[r, c] = True
-            near = self.links[c]
-            rr, cc = np.repeat(r, near.shape[1]), near.ravel()
-            new = ~np.isfinite(best[rr, cc])
-            rr, cc = rr[new], cc[new]
-            best[rr, cc] = norm[cc] - 2 * np.einsum("ij,ij->i", x[rr], self.centroids[cc])
-        found = np.argpartition(best, n - 1, axis=1)[:, :n] if n < k else np.tile(np.arange(k), (m, 1))
-        value = np.take_along_axis(best, found, 1)
-        order = value.argsort(axis=1, kind="stable")
-        found, value = np.take_along_axis(found, order, 1), np.take_along_axis(value, order, 1)
-        ok = np.isfinite(value)
-        dist = np.sqrt(np.maximum(value + (x * x).sum(1)[:, None], 0))
-        return np.where(ok, found, -1), np.where(ok, dist, np.inf)
+    """Centroids in a graph of two levels: each hangs from the nearest of about sqrt(n) hubs, which knows
+    how far the furthest of its own reaches."""
+
+    def __init__(self, centroids: np.ndarray):
+        hubs = kmeans(centroids, max(1, round(len(centroids) ** 0.5)), rounds=6)
+        near = _sq_distances(centroids, hubs).argmin(1)
+        used = np.unique(near)
+        self.centroids, self.hubs = centroids, hubs[used]
+        self.members = [np.flatnonzero(near == h) for h in used]
+        self.reach = np.array([np.sqrt(_sq_distances(centroids[m], hubs[[h]]).max()) for h, m in zip(used, self.members, strict=True)])
+
+    def distances(self, x: np.ndarray, ratio: float) -> np.ndarray:
+        """(rows of ``x``, centroids): the distance wherever it is within ``ratio`` of the row's nearest
+        centroid, else the distance or infinity.
+
+        Every row opens its nearest hub, and then those whose centroids may still be near enough by the
+        triangle inequality.  All rows that open a hub are measured in one product."""
+        to_hub = np.sqrt(_sq_distances(x, self.hubs))
+        out = np.full((len(x), len(self.centroids)), np.inf)
+
+        def opened(mask):
+            for h, own in enumerate(self.members):
+                rows = np.flatnonzero(mask[:, h])
+                if len(rows):
+                    out[np.ix_(rows, own)] = np.sqrt(_sq_distances(x[rows], self.centroids[own]))
+
+        first = np.zeros(to_hub.shape, dtype=bool)
+        first[np.arange(len(x)), to_hub.argmin(1)] = True
+        opened(first)
+        opened((to_hub - self.reach <= ratio * out.min(1)[:, None] + 1e-9) & ~first)
+        return out
+
+    def posts(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(row, centroid) of the lists of each row of ``x``."""
+        dist = self.distances(x, POST_RATIO)
+        n = min(POSTINGS, dist.shape[1])
+        near = np.argpartition(dist, n - 1, axis=1)[:, :n]
+        value = np.take_along_axis(dist, near, 1)
+        row, at = np.nonzero(value <= value.min(1)[:, None] * POST_RATIO + 1e-12)
+        return row, near[row, at]
 
 
 def _lifted(x: np.ndarray, most: float) -> np.ndarray:
@@ -118,6 +113,40 @@ def valid(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     return df.filter("vec_id is not null and v is not null and size(v) > 0").filter(~bad).filter(F.exists("v", lambda x: x != 0))
 
 
+def _asking(x: np.ndarray, most: float) -> np.ndarray:
+    """Queries among lifted vectors: of their norm, so that the ratio does not depend on a query's length."""
+    return np.concatenate([x * (most / np.sqrt((x * x).sum(1)))[:, None], np.zeros((len(x), 1))], axis=1)
+
+
+def nearest_of_all(rows: DataFrame, ids: np.ndarray, q: np.ndarray, k: int) -> pa.Table:
+    """(q, vec_id, score, v): the true ``k`` nearest of ``rows`` (vec_id, v) for each of a few queries, by comparison with all rows."""
+
+    def best(batches):
+        top = np.full((len(q), k), -np.inf)
+        who, what = np.zeros((len(q), k), dtype=np.int64), np.zeros((len(q), k, q.shape[1]))
+        for whole in batches:
+            for at in range(0, len(whole), 1024):
+                batch = whole.slice(at, 1024)
+                own, x = batch.column("vec_id").to_numpy(), _matrix(batch.column("v"), q.shape[1])
+                score = q @ x.T
+                score[ids[:, None] == own[None, :]] = -np.inf
+                both = np.concatenate([top, score], axis=1)
+                pick = np.argpartition(-both, k - 1, axis=1)[:, :k]
+                old = pick < k
+                new = np.where(old, 0, pick - k)
+                who = np.where(old, np.take_along_axis(who, np.where(old, pick, 0), 1), own[new])
+                what = np.where(old[:, :, None], np.take_along_axis(what, np.where(old, pick, 0)[:, :, None], 1), x[new])
+                top = np.take_along_axis(both, pick, 1)
+        r, c = np.nonzero(np.isfinite(top))
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(r.astype(np.int32)), pa.array(who[r, c]), pa.array(top[r, c]), pa.array(list(what[r, c]), pa.list_(pa.float64()))], ["q", "vec_id", "score", "v"]
+        )
+
+    order = Window.partitionBy("q").orderBy(F.desc("score"), "vec_id")
+    found = rows.select("vec_id", "v").mapInArrow(best, "q int, vec_id long, score double, v array<double>").dropDuplicates(["q", "vec_id"])
+    return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).drop("rank").toArrow()  # k rows for each query
+
+
 def search(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """The ``k`` rows of ``vectors`` with the largest inner product for each row of ``queries`` (the same
     columns): query_id, rank (from 1), vec_id, score.  A query's own id is no candidate of its own.
@@ -136,79 +165,100 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "v
         return spark.createDataFrame([], schema)
     width, total = widths["d"], widths["n"]
     rows = rows.filter(F.col("d") == width).select("vec_id", "v", "h")
+    asked = valid(queries, id_col, vector_col).filter(F.size("v") == width).dropDuplicates()
     norm = F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)
     most = float(np.sqrt(rows.agg(F.max(norm)).first()[0]))
     sample = _matrix(rows.orderBy("h", "vec_id").limit(SAMPLE).select("v").toArrow().column("v"), width)  # at most SAMPLE rows
     lists = int(max(1, min(MAX_LISTS, total // PER_LIST, len(sample) // 4)))
-    shared = spark.sparkContext.broadcast(Graph(kmeans(_lifted(sample, most), lists)))
+    graph = Graph(kmeans(_lifted(sample, most), lists))
+    shared = spark.sparkContext.broadcast(graph)
 
     def posted(batches):
-        graph = shared.value
         for whole in batches:
             for at in range(0, len(whole), 1024):
                 batch = whole.slice(at, 1024)
-                x = _lifted(_matrix(batch.column("v"), width), most)
-                near, dist = graph.nearest(x, POSTINGS, beam=BEAM)
-                keep = (near >= 0) & (dist <= dist[:, :1] * POST_RATIO + 1e-12)
-                r, c = np.nonzero(keep)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(near[r, c].astype(np.int32)), pa.array(c == 0), batch.column("vec_id").take(pa.array(r)), batch.column("v").take(pa.array(r))],
-                    ["list", "first", "vec_id", "v"],
-                )
-
-    postings = written(rows.mapInArrow(posted, "list int, first boolean, vec_id long, v array<double>"), "postings")
-    lengths = postings.groupBy("list").agg(F.count(F.lit(1)).alias("n"), F.count_if("first").alias("own"))
-    lengths = {r["list"]: (r["n"], r["own"]) for r in lengths.collect()}  # at most MAX_LISTS rows
-    own = np.array([lengths.get(c, (0, 0))[1] for c in range(lists)])
-    parts = np.array([-(-lengths.get(c, (1, 0))[0] // SUBLIST) for c in range(lists)])
+                row, near = shared.value.posts(_lifted(_matrix(batch.column("v"), width), most))
+                own = batch.take(pa.array(row))
+                yield pa.RecordBatch.from_arrays([pa.array(near.astype(np.int32)), own.column("vec_id"), own.column("h"), own.column("v")], ["list", "vec_id", "h", "v"])
+
+    postings = written(rows.mapInArrow(posted, "list int, vec_id long, h long, v array<double>"), "postings")
+    held = np.zeros(lists, dtype=np.int64)
+    for r in postings.groupBy("list").agg(F.count(F.lit(1)).alias("n")).collect():  # at most MAX_LISTS rows
+        held[r["list"]] = r["n"]
+
+    # Blocks: lists hub by hub, so that those near one another lie together; a long list has blocks of its own.
+    parts, base = np.maximum(1, -(-held // BLOCK)), np.zeros(lists, dtype=np.int64)
+    blocks, room = 0, 0
+    for c in np.concatenate(graph.members).tolist():
+        if parts[c] > 1 or held[c] > room:
+            base[c], blocks = blocks, blocks + int(parts[c])
+            room = 0 if parts[c] > 1 else BLOCK - held[c]
+        else:
+            base[c], room = blocks - 1, room - held[c]
+
+    first = asked.orderBy(F.xxhash64("vec_id", "v"), "vec_id").limit(CALIBRATION).toArrow()  # at most CALIBRATION rows
+    ratio = 1.0
+    if len(first):
+        q = _matrix(first.column("v"), width)
+        true = nearest_of_all(rows, first.column("vec_id").to_numpy(), q, k)
+        dist = graph.distances(_asking(q, most), np.inf)
+        row, near = graph.posts(_lifted(_matrix(true.column("v"), width), most))
+        need = np.full(len(true), np.inf)
+        at = true.column("q").to_numpy()
+        np.minimum.at(need, row, dist[at[row], near] / np.maximum(dist[at[row]].min(1), 1e-12))
+        ratio = float(np.quantile(need, TARGET, method="higher")) * (1 + 1e-9) if len(need) else 1.0
 
     def probed(batches):
-        graph = shared.value
         for whole in batches:
             for at in range(0, len(whole), 512):
                 batch = whole.slice(at, 512)
-                x = _lifted(_matrix(batch.column("v"), width), most)
-                x[:, -1] = 0
-                near, dist = graph.nearest(x, lists)
-                # Distances on the sphere of norm ``most``, so that the ratio does not depend on the query's length.
-                cover = np.cumsum(np.where(near >= 0, own[near], 0), axis=1)
-                before = np.concatenate([np.zeros((len(x), 1)), cover[:, :-1]], axis=1)
-                keep = (dist <= dist[:, :1] * PROBE_RATIO) | (np.arange(near.shape[1]) < MIN_PROBES) | (before < 4 * k + 4)
-                r, c = np.nonzero(keep & (near >= 0))
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("vec_id").take(pa.array(r)), batch.column("v").take(pa.array(r)), pa.array(near[r, c].astype(np.int32)), pa.array(parts[near[r, c]].astype(np.int32))],
-                    ["query_id", "q", "list", "parts"],
-                )
+                dist = shared.value.distances(_asking(_matrix(batch.column("v"), width), most), ratio)
+                visited = dist <= dist.min(1)[:, None] * ratio + 1e-12
+                # Lists must hold enough vectors, whatever the ratio: each is posted POSTINGS times at most.
+                for r in np.flatnonzero((visited * held).sum(1) < POSTINGS * (k + 1)):
+                    own = np.sqrt(_sq_distances(_asking(_matrix(batch.slice(r, 1).column("v"), width), most), shared.value.centroids))[0].argsort()
+                    visited[r, own[: np.searchsorted(np.cumsum(held[own]), POSTINGS * (k + 1)) + 1]] = True
+                row, near = np.nonzero(visited)
+                block = np.repeat(base[near], parts[near]) + np.concatenate([np.arange(p) for p in parts[near]])
+                met = np.unique(np.stack([np.repeat(row, parts[near]), block]), axis=1)
+                own = batch.take(pa.array(met[0]))
+                yield pa.RecordBatch.from_arrays([own.column("vec_id"), own.column("v"), pa.array(met[1])], ["query_id", "q", "block"])
 
-    asked = valid(queries, id_col, vector_col).filter(F.size("v") == width).dropDuplicates()
-    probes = asked.mapInArrow(probed, "query_id long, q array<double>, list int, parts int")
-    probes = probes.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("query_id", "q", "list", "part")
-    count = F.broadcast(spark.createDataFrame([(c, int(p)) for c, p in enumerate(parts)], "list int, parts int"))
-    placed = postings.join(count, "list").withColumn("part", F.pmod(F.xxhash64("vec_id"), "parts").cast("int")).select("list", "part", "vec_id", "v")
+    probes = written(asked.mapInArrow(probed, "query_id long, q array<double>, block long"), "probes")
+    place = F.broadcast(spark.createDataFrame([(c, int(b), int(p)) for c, (b, p) in enumerate(zip(base, parts, strict=True))], "list int, base long, parts int"))
+    placed = postings.join(place, "list").select((F.col("base") + F.pmod("h", "parts")).alias("block"), "vec_id", "h", "v")
+    # A block that very many queries visit meets them in shares.
+    shares = probes.groupBy("block").agg(F.ceil(F.count(F.lit(1)) / QUERY_SHARE).cast("int").alias("shares")).filter("shares > 1")
+    share = F.coalesce("shares", F.lit(1))
+    probes = probes.join(shares, "block", "left").withColumn("share", F.pmod(F.xxhash64("query_id", "q"), share).cast("int"))
+    placed = placed.join(shares, "block", "left").withColumn("share", F.explode(F.sequence(F.lit(0), share - 1)))
+    probes, placed = probes.select("block", "share", "query_id", "q"), placed.select("block", "share", "vec_id", "h", "v")
 
     def compared(_, left, right):
         import pandas as pd
 
         out = []
         if len(left) and len(right):
+            right = right.drop_duplicates(["vec_id", "h"])
             ids, x = right["vec_id"].to_numpy(), np.stack(right["v"].to_numpy())
-            for at in range(0, len(left), QUERY_BLOCK):
-                part = left.iloc[at : at + QUERY_BLOCK]
+            wide = min(len(ids), k * int(np.unique(ids, return_counts=True)[1].max()))  # an id with several vectors takes one place in the end
+            for at in range(0, len(left), QUERY_SLICE):
+                part = left.iloc[at : at + QUERY_SLICE]
                 q, who = np.stack(part["q"].to_numpy()), part["query_id"].to_numpy()
                 rough = q @ x.T
                 rough[who[:, None] == ids[None, :]] = -np.inf
-                cut = np.partition(rough, -min(k, len(ids)), axis=1)[:, -min(k, len(ids))]
+                cut = np.partition(rough, -wide, axis=1)[:, -wide]
                 # Products of one vector may differ in the last bits by its place, so near ties are measured again, alike.
                 r, c = np.nonzero((rough >= (cut - 1e-9 * np.abs(cut) - 1e-300)[:, None]) & np.isfinite(rough))
                 score = (q[r] * x[c]).sum(axis=1)
                 order = np.lexsort((ids[c], -score, r))
                 r, c, score = r[order], c[order], score[order]
                 start = np.searchsorted(r, np.arange(len(q)))
-                keep = np.arange(len(r)) - start[r] < k
+                keep = np.arange(len(r)) - start[r] < wide
                 out.append(pd.DataFrame({"query_id": who[r[keep]], "vec_id": ids[c[keep]], "score": score[keep]}))
         return pd.concat(out) if out else pd.DataFrame({"query_id": np.zeros(0, np.int64), "vec_id": np.zeros(0, np.int64), "score": np.zeros(0)})
 
-    found = probes.groupBy("list", "part").cogroup(placed.groupBy("list", "part")).applyInPandas(compared, "query_id long, vec_id long, score double")
+    found = probes.groupBy("block", "share").cogroup(placed.groupBy("block", "share")).applyInPandas(compared, "query_id long, vec_id long, score double")
     found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
