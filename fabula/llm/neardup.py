@@ -3,16 +3,16 @@
 A signature has ``CHUNKS * WIDTH`` positions of 16 bits.  Two signatures at a distance (number of
 positions that differ) of at most ``2 * CHUNKS - 1`` have, by the pigeonhole principle, a chunk with
 at most one wrong position.  Each chunk is therefore indexed under every choice of one position left
-out, and all pairs up to that distance meet in some bucket.  Pairs that meet and are no further apart
-than ``MAX_DISTANCE`` are confirmed on their full shingle sets.
+out, and all pairs up to that distance, which is ``MAX_DISTANCE``, meet in some bucket.  Pairs that meet
+are confirmed on their full shingle sets.
 
-At Jaccard 0.75 a position differs with probability 0.25, so a pair shares a bucket with probability
-1 - 6e-6, also where it lies beyond the guaranteed distance.
+At Jaccard 0.75 a position differs with probability 0.25, so a pair is within the distance with
+probability 1 - 2e-5.
 
 Buckets are never expanded into all their pairs.  (1) each member meets its bucket's leader;
 (2) members not connected by that meet the nearest of other leaders; (3) what is still apart is
-compared on signatures inside the bucket, and only pairs of different components that are near
-enough leave the task.  Links inside a component would not change it, so none that matters is lost.
+compared on signatures, a large bucket in parts of which every two meet once, and only pairs of
+different components that are near enough leave the task.  Links inside a component would not change it, so none that matters is lost.
 """
 
 from __future__ import annotations
@@ -22,19 +22,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from fabula.llm.shared import written
+from fabula.llm.shared import unused, written
 from fabula.llm.wordhash import Words, mix, shingle_sets, slices
 
 SHINGLE_WORDS = 5
-CHUNKS, WIDTH = 12, 5
+CHUNKS, WIDTH = 16, 4
 POSITIONS = CHUNKS * WIDTH
-#: Mean 15 and deviation 3.4 at Jaccard 0.75: 4.5 deviations above.
-MAX_DISTANCE = 30
+#: What the index guarantees.  Mean 16 and deviation 3.5 at Jaccard 0.75: over four deviations above.
+MAX_DISTANCE = 2 * CHUNKS - 1
 #: Bits of the second signature, made only for documents of buckets that stay open.  At Jaccard 0.75
 #: 256 of them differ, with a deviation of 15: again 4.5 deviations.
 FINE_BITS, MAX_FINE = 2048, 323
-#: Outliers of a bucket that one task compares with the whole bucket.
-BLOCK = 2048
+#: Members of a part of a bucket; two parts meet in a group of their own.
+BLOCK = 1024
 
 _A = np.random.default_rng(75).integers(0, 2**31, POSITIONS, dtype=np.int64).astype(np.uint32) * np.uint32(2) + np.uint32(1)
 _B = np.random.default_rng(57).integers(0, 2**32, POSITIONS, dtype=np.int64).astype(np.uint32)
@@ -142,20 +142,23 @@ def _distances(batches):
 
 
 def _apart(key, rows, size_ratio: float):
-    """Pairs of one bucket that lie in different components, each from the first slot only in which it meets."""
+    """Pairs of two parts of one bucket (or of one part) that lie in different components, one of them an
+    outlier, each pair from the first slot only in which it meets."""
     import pandas as pd
 
-    slot, block = int(rows["slot"].iloc[0]), int(key[1])
-    node, comp, size = rows["node"].to_numpy(), rows["comp"].to_numpy(), rows["n"].to_numpy()
+    slot = int(rows["slot"].iloc[0])
+    node, comp, size, part = (rows[c].to_numpy() for c in ("node", "comp", "n", "part"))
     sigs = np.frombuffer(b"".join(rows["sig"]), dtype=np.uint16).reshape(len(rows), POSITIONS)
     fine = np.frombuffer(b"".join(rows["fine"]), dtype=np.uint64).reshape(len(rows), FINE_BITS // 64)
-    outliers = np.flatnonzero(rows["outlier"].to_numpy() & (rows["part"].to_numpy() == block))
     is_outlier, chunk, pos = rows["outlier"].to_numpy(), slot // WIDTH, slot % WIDTH
+    two_parts = key[2] != key[3]
     left, right = [], []
-    for at in outliers:
+    for at in np.flatnonzero(is_outlier):
         differs = sigs != sigs[at]
         ok = (differs.sum(axis=1) <= MAX_DISTANCE) & (comp != comp[at])
         ok &= (np.minimum(size, size[at]) >= size_ratio * np.maximum(size, size[at])) & ~(is_outlier & (node < node[at]))
+        if two_parts:
+            ok &= part != part[at]
         wrong = differs.reshape(len(rows), CHUNKS, WIDTH)
         met = wrong.sum(axis=2)
         ok &= ~(met[:, :chunk] <= 1).any(axis=1)
@@ -220,11 +223,12 @@ def near_duplicates(docs: DataFrame, percent: int = 75, id_col: str = "doc_id",
 
 def deduplicated(docs: DataFrame, percent: int = 75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one document of each group, all its columns as they were; of rows that repeat its id and text, one."""
-    kept = _grouped(docs, percent, id_col, text_col).filter("kept").select(F.col("doc_id").alias("_id"), "text_key").distinct()
-    keyed = docs.withColumn("_key", F.xxhash64(text_col))
-    met = keyed.join(kept, keyed[id_col].cast("long").eqNullSafe(kept._id) & (F.col("_key") == F.col("text_key")))
-    once = Window.partitionBy("_id", "_key").orderBy("_id")
-    return met.withColumn("_nth", F.row_number().over(once)).filter("_nth = 1").select(*[F.col(f"`{c}`") for c in docs.columns])
+    key, ident, of, nth = unused(docs.columns, "key", "id", "of", "nth")
+    kept = _grouped(docs, percent, id_col, text_col).filter("kept").select(F.col("doc_id").alias(ident), F.col("text_key").alias(of)).distinct()
+    keyed = docs.withColumn(key, F.xxhash64(text_col))
+    met = keyed.join(kept, F.col(id_col).cast("long").eqNullSafe(F.col(ident)) & (F.col(key) == F.col(of)))
+    once = Window.partitionBy(ident, key).orderBy(ident)
+    return met.withColumn(nth, F.row_number().over(once)).filter(F.col(nth) == 1).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def _grouped(docs: DataFrame, percent: int, id_col: str, text_col: str) -> DataFrame:
@@ -237,39 +241,36 @@ def _grouped(docs: DataFrame, percent: int, id_col: str, text_col: str) -> DataF
     nodes = written(nodes, "nodes")
     ratio = percent / 100
 
-    # Members of buckets that hold more than one node, each beside its bucket's leader.
-    slots = nodes.select("node", "n", "sig").mapInArrow(_bucketed, "bucket long, slot byte, node long, n long")
-    order = Window.partitionBy("bucket", "slot").orderBy(F.xxhash64("node"), "node")
-    members = slots.select("*", F.first(F.struct("node", "n")).over(order).alias("leader"), F.lead("node").over(order).isNotNull().alias("more"))
-    members = written(members.filter(F.col("more") | (F.col("node") != F.col("leader.node"))).drop("more"), "members")
+    # Members of buckets that hold more than one node, and each bucket's leader: the smallest node, itself a hash.
+    # Leaders come from an aggregate, so that no bucket, however large, is gathered in one task.
+    slots = written(nodes.select("node", "n", "sig").mapInArrow(_bucketed, "bucket long, slot byte, node long, n long"), "slots")
+    shared = slots.groupBy("bucket", "slot").agg(F.min("node").alias("leader"), F.max("node").alias("last")).filter("leader <> last").drop("last")
+    members = written(slots.join(shared, ["bucket", "slot"]), "members")
 
     def near(pairs: DataFrame) -> DataFrame:
-        """Add the signature distance to ``pairs`` (a, b) and keep the near ones."""
-        sig = nodes.select("node", "sig")
-        two = pairs.join(sig.select(F.col("node").alias("a"), F.col("sig").alias("sig_a")), "a")
-        two = two.join(sig.select(F.col("node").alias("b"), F.col("sig").alias("sig_b")), "b")
+        """Add the signature distance to ``pairs`` (a, b) and keep the near ones whose sizes allow a link."""
+        side = lambda x: nodes.select(F.col("node").alias(x), F.col("sig").alias(f"sig_{x}"), F.col("n").alias(f"n_{x}"))
+        two = pairs.join(side("a"), "a").join(side("b"), "b").filter(F.least("n_a", "n_b") >= ratio * F.greatest("n_a", "n_b"))
         return two.mapInArrow(_distances, "a long, b long, distance int").filter(F.col("distance") <= MAX_DISTANCE)
 
     def couples(df: DataFrame, x: str, y: str) -> DataFrame:
         return df.select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b")).distinct()
 
-    alike = lambda n, m: F.least(n, m) >= ratio * F.greatest(n, m)
-    first = members.filter((F.col("node") != F.col("leader.node")) & alike("n", "leader.n"))
-    tried = written(_confirmed(written(near(couples(first, "node", "leader.node")), "near"), docs, nodes, percent), "tried")
+    first = near(couples(members.filter("node <> leader"), "node", "leader"))
+    tried = written(_confirmed(written(first, "near"), docs, nodes, percent), "tried")
     links = tried.filter("linked").select("a", "b")
 
     def placed(links: DataFrame) -> DataFrame:
-        """Members of buckets that are not within one component."""
+        """Members of buckets that are not within one component, beside another leader: the first in an order of the bucket's own."""
         comp = components(links)
         own = members.drop("leader").join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-        open_ = own.groupBy("bucket", "slot").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count(F.lit(1)).alias("size"))
-        return own.join(open_.filter("low <> high and size > 2").drop("low", "high"), ["bucket", "slot"])
-
-    # A leader of another order for those not yet in the component of one: the nearest few of them.
-    order = Window.partitionBy("bucket", "slot").orderBy(F.xxhash64("bucket", "node"), "node")
-    other = written(placed(links), "open").withColumn("leader", F.first(F.struct("node", "n", "comp")).over(order))
-    other = other.filter((F.col("comp") != F.col("leader.comp")) & alike("n", "leader.n"))
-    second = near(couples(other, "node", "leader.node").join(tried, ["a", "b"], "left_anti"))
+        order = F.struct(F.xxhash64("bucket", "node").alias("h"), "node", "comp")
+        open_ = own.groupBy("bucket", "slot").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count(F.lit(1)).alias("size"), F.min(order).alias("leader"))
+        return own.join(open_.filter("low <> high and size > 2").select("bucket", "slot", "size", "leader"), ["bucket", "slot"])
+
+    # Those not yet in the component of that leader meet it: the nearest few of such pairs.
+    other = placed(links).filter("comp <> leader.comp").withColumn("leader", F.col("leader.node"))
+    second = near(couples(other, "node", "leader").join(tried, ["a", "b"], "left_anti"))
     sides = second.select("*", F.explode(F.array("a", "b")).alias("side"))
     nearest = Window.partitionBy("side").orderBy("distance", "a", "b")
     second = couples(sides.withColumn("r", F.row_number().over(nearest)).filter("r <= 4"), "a", "b")
@@ -277,16 +278,14 @@ def _grouped(docs: DataFrame, percent: int, id_col: str, text_col: str) -> DataF
     links = tried.filter("linked").select("a", "b")
 
     # All pairs of different components that are near enough and were not tried.
-    open_ = written(placed(links), "open")
+    open_ = written(placed(links).withColumn("outlier", F.col("comp") != F.col("leader.comp")).drop("leader"), "open")
     asked = open_.select("node").distinct()
     fine = _texts(asked, docs, nodes).mapInArrow(_fine, "node long, fine binary").join(asked, "node", "left_semi").dropDuplicates(["node"])
     fine = written(fine.join(nodes.select("node", "sig"), "node"), "fine")
-    order = Window.partitionBy("bucket", "slot").orderBy(F.xxhash64("node"), "node")
-    open_ = open_.withColumn("outlier", F.col("comp") != F.first("comp").over(order)).join(fine, "node")
     parts = F.ceil(F.col("size") / BLOCK).cast("int")
-    open_ = open_.withColumn("part", F.pmod(F.xxhash64("node"), parts).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), parts - 1)))
-    open_ = open_.select("bucket", "block", "slot", "node", "n", "comp", "outlier", "part", "sig", "fine")
-    third = open_.groupBy("bucket", "block").applyInPandas(lambda key, rows: _apart(key, rows, ratio), "a long, b long")
+    open_ = open_.withColumn("part", F.pmod(F.xxhash64("node"), parts).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
+    open_ = open_.select("bucket", "slot", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"), "part", "node", "n", "comp", "outlier").join(fine, "node")
+    third = open_.groupBy("bucket", "slot", "p", "q").applyInPandas(lambda key, rows: _apart(key, rows, ratio), "a long, b long")
     third = third.distinct().join(tried, ["a", "b"], "left_anti")
     links = links.union(_confirmed(written(third, "near"), docs, nodes, percent).filter("linked").select("a", "b"))
 

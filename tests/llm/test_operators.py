@@ -185,7 +185,7 @@ def test_near_duplicates(spark):
                 other[rng.randrange(len(other))] = f"new{rng.randrange(99)}"
             texts.append(" ".join(other))
     rng.shuffle(texts)
-    df = documents(spark, texts).withColumn("component_id", F.lit("clash")).withColumn("node", F.lit(1))
+    df = documents(spark, texts).withColumn("component_id", F.lit("clash")).withColumn("node", F.lit(1)).withColumn("_key", F.lit(1)).withColumn("_nth", F.lit(1))
     got = {r.doc_id: r for r in neardup.near_duplicates(df).collect()}
     sets, group = near_groups(texts)
     for i in range(len(texts)):
@@ -195,6 +195,39 @@ def test_near_duplicates(spark):
     assert set(kept[0].asDict()) == set(df.columns)
 
 
+def test_all_pairs_within_the_distance_meet():
+    """The guarantee: any two signatures up to MAX_DISTANCE apart share a bucket, wherever the differences lie."""
+    rng = np.random.default_rng(4)
+    a = rng.integers(0, 1 << 16, (400, neardup.POSITIONS), dtype=np.uint16)
+    for far in (1, neardup.CHUNKS, neardup.MAX_DISTANCE):
+        b = a.copy()
+        for row in b:
+            # The hardest case spreads the differences evenly over the chunks.
+            chunks = np.concatenate([rng.permutation(neardup.CHUNKS) for _ in range(neardup.WIDTH)])[:far]
+            for c, n in Counter(chunks.tolist()).items():
+                row[c * neardup.WIDTH + rng.permutation(neardup.WIDTH)[:n]] += 1
+        assert ((a != b).sum(axis=1) == far).all()
+        assert (neardup.chunk_keys(a) == neardup.chunk_keys(b)).reshape(len(a), -1).any(axis=1).all()
+
+
+def test_near_duplicates_in_a_large_bucket(spark, monkeypatch):
+    """Many different texts of one template below the threshold, in parts of which every two meet, with links across parts."""
+    monkeypatch.setattr(neardup, "BLOCK", 4)
+    rng = random.Random(16)
+    shared = prose(rng, 100, 9999).split()
+    texts = []
+    for _ in range(40):
+        own = prose(rng, 22, 9999).split()
+        texts.append(" ".join(shared + own))
+        if len(texts) % 3:
+            texts.append(" ".join([*shared, *own[:-1], "end"]))
+    rng.shuffle(texts)
+    _, group = near_groups(texts)
+    assert 20 < len(set(group)) < len(texts)
+    got = {r.doc_id: r.component_id for r in neardup.near_duplicates(documents(spark, texts)).collect()}
+    assert [got[i] for i in range(len(texts))] == group
+
+
 def test_near_duplicates_of_nothing(spark):
     assert neardup.near_duplicates(documents(spark, ["x"]).limit(0)).count() == 0
     rows = spark.createDataFrame([(None, "a b c"), (None, "a b c"), (3, "a b c")], "doc_id long, text string")
