@@ -1,11 +1,11 @@
 """Mixing sources to target weights through a multivariate-hypergeometric splitting tree.  DataFrame functions only.
 
 A source's words, in a permuted order of its documents and as often as they may be repeated, are one
-long stream, cut into blocks.  The mix takes a whole number of blocks of each source and a part of
-one more.  The blocks taken are split among the output shards by halves: at each node of the tree a
-random half of its blocks, that is a multivariate hypergeometric draw of the sources' quotas, goes to
-either side, until a node is a shard.  So shards hold near-equal numbers of blocks, quotas are exact,
-and no block is drawn twice.
+long stream, cut into blocks.  The mix takes a source's quota of them.  The blocks taken are split among
+the output shards by halves: at each node of the tree a random half of its blocks, that is a multivariate
+hypergeometric draw of the sources' quotas, goes to either side, until a node is a shard.  So shards hold
+near-equal numbers of blocks, quotas are exact, and no block is drawn twice.  A document goes, whole, to
+the shard of the block in which it starts, and takes its place there in a local shuffle.
 """
 
 from __future__ import annotations
@@ -17,12 +17,12 @@ from pyspark.sql import functions as F
 
 from fabula.llm.shared import written
 
-#: Levels of the tree: 2 ** LEVELS shards.
-LEVELS = 4
-#: Blocks of the whole mix, about; each source may add one.  Bounds what the tree and its broadcast hold.
-BLOCKS = 4096
+#: Words of a shard, about, and the levels of the tree: 2 ** levels shards.
+SHARD_WORDS, MIN_LEVELS, MAX_LEVELS = 1 << 24, 4, 12
+#: Blocks of the whole mix, about, and of a shard at least; each source may add one.  At most 16 << MAX_LEVELS are split in one task.
+BLOCKS, SHARD_BLOCKS = 4096, 16
 #: Ranges of the permuted order in which a source's words are summed before documents are placed.
-RANGES = 1024
+RANGES = 1 << 14
 
 
 def word_count(text: Column) -> Column:
@@ -71,22 +71,24 @@ def mixed(
     share: float = 1.5,
     repeats: int = 2,
     seed: int = 7,
-    levels: int = LEVELS,
-    blocks: int = BLOCKS,
+    levels: int | None = None,
+    blocks: int | None = None,
     id_col: str = "doc_id",
     text_col: str = "text",
     source_col: str = "source",
     carry: Sequence[str] = (),
 ) -> DataFrame:
     """The part of each row of ``docs`` in the mix: doc_id, source, ``carry``, size, source_size, target,
-    and draws, an array of (epoch, block, shard, first, words): the words from ``first`` (0-based) of the
-    row that a block of the given shard holds in the given repetition.
+    and draws, an array of (epoch, block, shard, words), one for each time that the mix takes the row: the
+    block in which it starts, the shard which the tree gave that block, and how many of its words are taken,
+    from the first on.  Only where a source's quota ends is that less than all.
 
     All words that the draws of a source name add up to its target, rounded; a row's words are named at
     most ``repeats`` times.  Reruns agree, as order and draws come from hashes of ids, sizes and ``seed``.
     A null text has size 0 and no draws; null ids and repeated rows are rows like any other; a null
     source is a source of its own, the last.  An empty table gives an empty result.  Sources are a
-    column of modest variety: one row for each is handled by one task.
+    column of modest variety: one row for each is handled by one task.  The number of shards follows from
+    the words of the mix unless ``levels`` gives it.
     """
     row = [F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size")]
     more = [F.col(c).alias(f"_{k}") for k, c in enumerate(carry)]
@@ -98,8 +100,12 @@ def mixed(
     sizes = parts.groupBy(F.col("source").alias("src")).agg(F.sum("words").alias("words"))
     goal = targets(sizes, weights, share, repeats).withColumn("src_key", F.xxhash64("src", F.col("src").isNull()))
     goal = goal.select("src_key", F.col("words").alias("source_size"), "target", F.round("target").cast("long").alias("quota"))
-    goal = goal.withColumn("block_words", F.greatest(F.lit(1), F.ceil(F.sum("quota").over(Window.partitionBy()) / blocks)).cast("long"))
     goal = written(goal, "targets")
+    total = goal.agg(F.coalesce(F.sum("quota"), F.lit(0))).first()[0]
+    if levels is None:
+        levels = min(MAX_LEVELS, max(MIN_LEVELS, (total // SHARD_WORDS).bit_length()))
+    blocks = blocks or max(BLOCKS, SHARD_BLOCKS << levels)
+    goal = goal.withColumn("block_words", F.lit(max(1, -(-total // blocks))))
 
     tree = goal.filter("quota > 0").select("src_key", F.explode(F.sequence(F.lit(0).cast("long"), F.expr("(quota - 1) div block_words"))).alias("block"))
     tree = split(tree, levels, seed).groupBy("src_key").agg(F.array_sort(F.collect_list(F.struct("block", "shard"))).alias("_of"))
@@ -113,14 +119,11 @@ def mixed(
     placed = rows.withColumn("_in", F.coalesce(F.sum("size").over(inside), F.lit(0)))
     placed = placed.join(base, ["src_key", "_range"]).join(goal, "src_key")
     placed = placed.withColumn("_at", F.col("_base") + F.col("_in"))
-    spans = "transform(sequence(0, {n} - 1), e -> struct(e as epoch, _at + e * source_size as lo, least(_at + e * source_size + size, quota) as hi))".format(n=repeats)
-    spans = f"filter({spans}, s -> s.hi > s.lo)"
-    cut = (
-        "flatten(transform({s}, s -> transform(sequence(s.lo div block_words, (s.hi - 1) div block_words), b -> struct(s.epoch as epoch, b as block, "
-        "_shards[int(b)] as shard, greatest(s.lo, b * block_words) - s.lo as first, least(s.hi, (b + 1) * block_words) - greatest(s.lo, b * block_words) as words))))"
-    ).format(s=spans)
+    spans = f"transform(sequence(0, {repeats} - 1), e -> struct(e as epoch, _at + e * source_size as lo, least(_at + e * source_size + size, quota) as hi))"
+    draw = "struct(s.epoch as epoch, s.lo div block_words as block, _shards[int(s.lo div block_words)] as shard, s.hi - s.lo as words)"
+    draws = F.expr(f"transform(filter({spans}, s -> s.hi > s.lo), s -> {draw})")
     carried = [F.col(f"_{k}").alias(c) for k, c in enumerate(carry)]
-    return placed.select("doc_id", "source", *carried, "size", "source_size", "target", F.expr(cut).alias("draws"))
+    return placed.select("doc_id", "source", *carried, "size", "source_size", "target", draws.alias("draws"))
 
 
 def taken(mix: DataFrame) -> Column:
@@ -128,8 +131,14 @@ def taken(mix: DataFrame) -> Column:
     return F.aggregate("draws", F.lit(0).cast("long"), lambda a, d: a + d["words"])
 
 
+def place(draw: Column, doc_id: Column, size: Column, seed: int = 7) -> Column:
+    """A draw's place in its shard's shuffle, a hash; places order a shard's rows."""
+    return F.xxhash64(F.lit(seed), draw["shard"], draw["epoch"], draw["block"], doc_id, size)
+
+
 def sharded(mix: DataFrame, seed: int = 7) -> DataFrame:
-    """One row for each draw, with its place in the shard's local shuffle: shard, place, doc_id, source, epoch, block, first, words."""
-    drawn = mix.select("doc_id", "source", F.explode("draws").alias("d")).select("doc_id", "source", "d.*")
-    mixed_up = F.xxhash64(F.lit(seed), "shard", "epoch", "block", "doc_id", "first")
-    return drawn.withColumn("place", mixed_up).repartition("shard").sortWithinPartitions("shard", "place")
+    """One row for each draw, shard by shard, in the order of its shard's shuffle: the columns of ``mix``
+    without draws, and epoch, block, shard, words, place.  A shard may be written by several tasks."""
+    rows = mix.select("*", F.explode("draws").alias("draw"))
+    rows = rows.select("*", "draw.*", place(F.col("draw"), F.col("doc_id"), F.col("size"), seed).alias("place")).drop("draw", "draws")
+    return rows.repartitionByRange("shard", "place").sortWithinPartitions("shard", "place")
