@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fabula.llm import mixing, neardup, packing, queries, secrets, toxicity
-from fabula.llm.shared import written
+from fabula.llm.shared import unused, written
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -22,25 +22,24 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, secrets masked; ``n_chars`` follows where a text changes."""
-    clean = secrets.redacted(docs.withColumn("_was", F.col("text")))
-    changed = ~F.col("text").eqNullSafe(F.col("_was"))
+    (was,) = unused(docs.columns, "was")
+    clean = secrets.redacted(docs.withColumn(was, F.col("text")))
+    changed = ~F.col("text").eqNullSafe(F.col(was))
     size = F.when(changed, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)
-    return clean.withColumn("n_chars", size).select(*docs.columns)
+    return clean.withColumn("n_chars", size).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A row for each time the mix takes a document; a document of which it takes a part has those words."""
-    rest = [c for c in docs.columns if c not in ("doc_id", "source")]
-    mix = mixing.mixed(docs, weights=(3, 1, 2), share=1.5, repeats=2, carry=rest)
-    epochs = "filter(transform(sequence(0, 1), e -> filter(draws, d -> d.epoch = e)), x -> size(x) > 0)"
-    part = f"transform({epochs}, x -> named_struct('first', x[0].first, 'words', aggregate(x, 0L, (a, d) -> a + d.words)))"
-    rows = mix.withColumn("_part", F.explode(F.expr(part)))
-    words = F.expr(r"filter(split(text, '[\\x20\\x09-\\x0D]+', -1), w -> w <> '')")
-    cut = F.array_join(F.slice(words, (F.col("_part.first") + 1).cast("int"), F.col("_part.words").cast("int")), " ")
-    rows = rows.withColumn("_cut", F.when(F.col("_part.words") < F.col("size"), cut))
-    size = F.coalesce(F.length("_cut"), F.col("n_chars")).cast(docs.schema["n_chars"].dataType)
-    new = {"text": F.coalesce("_cut", "text").alias("text"), "n_chars": size.alias("n_chars")}
-    return rows.select(*[new.get(c, F.col(f"`{c}`")) for c in docs.columns])
+    """A row for each time the mix takes a document, shard by shard in shuffled order.  Where a source's
+    quota ends within a document, its words up to there, with the white space between them."""
+    (row,) = unused(docs.columns, "row")
+    whole = docs.withColumn(row, F.struct(*[F.col(f"`{c}`") for c in docs.columns]))
+    rows = mixing.sharded(mixing.mixed(whole, weights=(3, 1, 2), share=1.5, repeats=2, carry=[row]))
+    words = F.regexp_extract_all(F.col(f"{row}.text"), F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0))
+    cut = F.when(F.col("words") < F.col("size"), F.array_join(F.slice(words, F.lit(1), F.col("words").cast("int")), ""))
+    size = F.coalesce(F.length(cut), F.col(f"{row}.n_chars")).cast(docs.schema["n_chars"].dataType)
+    new = {"text": F.coalesce(cut, F.col(f"{row}.text")), "n_chars": size}
+    return rows.select(*[new.get(c, F.col(f"{row}.`{c}`")).alias(c) for c in docs.columns])
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
