@@ -47,7 +47,7 @@ SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, least(w.doc_id, coalesce(low.b,
 FROM w LEFT JOIN n USING (doc_id) LEFT JOIN low USING (doc_id)"""
 
 
-def quality(max_documents: int, min_share: float, min_words: int) -> str:
+def quality(floor: int, percent: int, min_share: float, min_words: int) -> str:
     return rf"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, source AS host, coalesce(text, '') AS text FROM documents),
 w AS (SELECT *, {_WORDS.format(x="text")} AS w FROM d),
@@ -56,7 +56,9 @@ c AS (SELECT r, count(DISTINCT k + j) AS n_repeat_words FROM k, range(0, 5) t(j)
 l AS (SELECT r, doc_id, host, text, unnest(string_split(text, chr(10))) AS line FROM d),
 b AS (SELECT r, count(*) - count(DISTINCT line) AS n_dup_lines FROM l WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY 1),
 f AS (SELECT r, doc_id, host, text, key, sum(n) AS n FROM (SELECT r, doc_id, host, text, len({_WORDS.format(x="line")}) AS n, array_to_string({_WORDS.format(x=_LOWER.format(x="line"))}, ' ') AS key FROM l) WHERE n > 0 GROUP BY ALL),
-often AS (SELECT host, key FROM f GROUP BY 1, 2 HAVING count(DISTINCT (doc_id, text)) > {max_documents}),
+hosts AS (SELECT host, count(DISTINCT (doc_id, text)) AS of_host FROM d GROUP BY 1),
+counted AS (SELECT host, key, count(DISTINCT (doc_id, text)) AS n FROM f GROUP BY 1, 2),
+often AS (SELECT c.host, key FROM counted c JOIN hosts h ON h.host IS NOT DISTINCT FROM c.host WHERE n > {floor} AND 100 * n > {percent} * of_host),
 lost AS (SELECT r, sum(n) AS lost FROM f JOIN often o ON o.key = f.key AND o.host IS NOT DISTINCT FROM f.host GROUP BY 1),
 m AS (SELECT doc_id, len(w) AS n_words, length(regexp_replace(text, '[\x20\x09-\x0D]', '', 'g')) AS word_chars, length(text) - length(translate(text, '#*$%&|<>', '')) AS n_symbols,
   coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words, CAST(coalesce(lost, 0) AS BIGINT) AS lost FROM w LEFT JOIN c USING (r) LEFT JOIN b USING (r) LEFT JOIN lost USING (r)),

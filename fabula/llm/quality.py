@@ -4,16 +4,14 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fabula.llm.shared import written
+from fabula.llm.shared import unused, written
 from fabula.llm.wordhash import Words, slices
 
-#: A line is boilerplate of its host if more of the host's documents have it.
-MAX_DOCUMENTS = 100
-#: The limit that goes with the host: this share of its documents, and so many at least.
-SHARE, FLOOR = 0.02, 5
+#: A line is boilerplate of its host if more than so many of a hundred of the host's documents have it, and more than so many in all.
+PERCENT, FLOOR = 2, 5
 #: A document is depleted if its lines that stay hold less than this share of its words, or fewer words.
 MIN_SHARE, MIN_WORDS = 0.5, 10
 #: Ways in which a host's frequent line is dealt out before it meets the documents that have it.
@@ -50,9 +48,20 @@ def _per_row(row: np.ndarray, n: int, weights=None) -> np.ndarray:
     return np.bincount(row, weights=weights, minlength=n).astype(np.int64)
 
 
+def _keyed_lines(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Start, end, row, number of words and key of each line.  A line's key is a hash of its words in
+    lower case (A-Z), whatever stands between them."""
+    start, end, row = _lines(words)
+    at = np.searchsorted(words.start, start)
+    held = np.searchsorted(words.start, end) - at
+    low = Words(words.data, words.offsets, lower=True)
+    back = np.concatenate([[np.uint64(0)], np.cumsum(low.hash * _rank_weight(len(low.hash)))])
+    return start, end, row, held, _line_key(back, at, held)
+
+
 def _measured(batches):
     for batch in batches:
-        out: list[list] = [[] for _ in range(7)]
+        out: list[list] = [[] for _ in range(6)]
         for _, data, offsets in slices(batch.column("text")):
             n = len(offsets) - 1
             words = Words(data, offsets)
@@ -65,33 +74,24 @@ def _measured(batches):
             np.add.at(cover, first[again], 1)
             np.add.at(cover, first[again] + 5, -1)
             covered = np.cumsum(cover[:-1]) > 0
-            start, end, row = _lines(words)
-            held = np.searchsorted(words.start, end) - np.searchsorted(words.start, start)
-            some = held > 0
-            start, end, row, held = start[some], end[some], row[some], held[some]
+            some = np.flatnonzero((lines := _keyed_lines(words))[3] > 0)
+            start, end, row, held, key = (x[some] for x in lines)
             _, later = _repeated(row, words.span_hash(start, end))
-            # A line's normal form: its words in lower case (A-Z), whatever stands between them.
-            low = Words(data, offsets, lower=True)
-            at = np.searchsorted(words.start, start)
-            back = np.concatenate([[np.uint64(0)], np.cumsum(low.hash * _rank_weight(len(low.hash)))])
-            key = _line_key(back, at, held)
             uniq, inverse = np.unique(np.stack([row.astype(np.uint64), key]), axis=1, return_inverse=True) if len(row) else (np.zeros((2, 0), np.uint64), np.zeros(0, int))
             total = np.bincount(inverse.reshape(-1), weights=held, minlength=uniq.shape[1]).astype(np.int64)
             bound = np.searchsorted(uniq[0], np.arange(n + 1, dtype=np.uint64))
-            text = words.span_hash(offsets[:-1], offsets[1:]).view(np.int64)
-            out[0] += text.tolist()
-            out[1] += n_words.tolist()
-            out[2] += (char[offsets[1:]] - char[offsets[:-1]]).tolist()
-            out[3] += (symbol[offsets[1:]] - symbol[offsets[:-1]]).tolist()
-            out[4] += _per_row(row[later], n).tolist()
-            out[5] += _per_row(words.row[covered], n).tolist()
+            out[0] += n_words.tolist()
+            out[1] += (char[offsets[1:]] - char[offsets[:-1]]).tolist()
+            out[2] += (symbol[offsets[1:]] - symbol[offsets[:-1]]).tolist()
+            out[3] += _per_row(row[later], n).tolist()
+            out[4] += _per_row(words.row[covered], n).tolist()
             hashes = uniq[1].view(np.int64)
-            out[6] += [[{"h": h, "w": w} for h, w in zip(hashes[a:b].tolist(), total[a:b].tolist(), strict=True)] for a, b in zip(bound[:-1], bound[1:], strict=True)]
-        ints = [pa.array(x, pa.int64()) for x in out[:6]]
-        lines = pa.array(out[6], pa.list_(pa.struct([("h", pa.int64()), ("w", pa.int64())])))
+            out[5] += [[{"h": h, "w": w} for h, w in zip(hashes[a:b].tolist(), total[a:b].tolist(), strict=True)] for a, b in zip(bound[:-1], bound[1:], strict=True)]
+        ints = [pa.array(x, pa.int64()) for x in out[:5]]
+        lines = pa.array(out[5], pa.list_(pa.struct([("h", pa.int64()), ("w", pa.int64())])))
         yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), batch.column("host"), *ints, lines],
-            ["doc_id", "host", "text_hash", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "lines"],
+            [batch.column("doc_id"), batch.column("host_key"), batch.column("uid"), *ints, lines],
+            ["doc_id", "host_key", "uid", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "lines"],
         )
 
 
@@ -115,48 +115,89 @@ def _line_key(back: np.ndarray, at: np.ndarray, held: np.ndarray) -> np.ndarray:
     return mix((back[at + held] - back[at]) * shift[at] + held.astype(np.uint64))
 
 
-def quality(
-    docs: DataFrame,
-    max_documents: int = MAX_DOCUMENTS,
-    min_share: float = MIN_SHARE,
-    min_words: int = MIN_WORDS,
-    id_col: str = "doc_id",
-    text_col: str = "text",
-    host_col: str = "source",
-    share: float | None = None,
-) -> DataFrame:
-    """Judge each row of ``docs``: doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
-    base_failed, n_boilerplate_words, kept.
+def _uid(id_col: str, text_col: str, host_col: str) -> Column:
+    """Documents are told apart by id, text and host."""
+    return F.xxhash64(F.col(id_col).cast("long"), F.coalesce(F.col(text_col), F.lit("")), F.col(host_col).cast("string"))
 
-    A line (its words, A-Z lower-cased) that more than ``max_documents`` different documents of its host
-    have is boilerplate; with ``share``, the limit is that share of the host's different documents
-    instead, if that is more than ``max_documents``.  A document is kept unless the rules fail it, or its other lines hold under
-    ``min_words`` words or under ``min_share`` of its words.  Null hosts are one host; a null text is
-    empty and so fails.  Documents are told apart by id and text, so rows that repeat one count once
-    and are judged alike.  An empty table gives an empty result.  Other columns are not carried.
-    """
-    few = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(host_col).cast("string").alias("host"), F.col(text_col).alias("text"))
-    schema = "doc_id long, host string, text_hash long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, lines array<struct<h: long, w: long>>"
-    rows = few.mapInArrow(_measured, schema).withColumn("uid", F.xxhash64("doc_id", "text_hash", "host"))
-    rows = written(rows, "lines")
+
+def _judged(docs: DataFrame, floor: int, percent: int, min_share: float, min_words: int, id_col: str, text_col: str, host_col: str) -> DataFrame:
+    """The columns of ``quality``, uid, and ``gone``: the keys of a document's boilerplate lines."""
+    few = docs.select(
+        F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(host_col).cast("string")).alias("host_key"), F.col(text_col).alias("text"), _uid(id_col, text_col, host_col).alias("uid")
+    )
+    schema = "doc_id long, host_key long, uid long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, lines array<struct<h: long, w: long>>"
+    rows = written(few.mapInArrow(_measured, schema), "lines")
     # One row for each document and line, salted by document: a line that very many share is counted in parts.
-    lines = rows.select("uid", F.xxhash64("host").alias("host_key"), F.explode("lines").alias("l"))
-    lines = lines.select("uid", "host_key", F.xxhash64("host_key", "l.h").alias("line"), F.col("l.w").alias("w"))
+    lines = rows.select("uid", "host_key", F.explode("lines").alias("l"))
+    lines = lines.select("uid", "host_key", F.xxhash64("host_key", "l.h").alias("line"), F.col("l.h").alias("h"), F.col("l.w").alias("w"))
     seen = lines.dropDuplicates(["uid", "line"])
     # A line is of one host, so its count has the host's key.
-    often = seen.groupBy("line").agg(F.count(F.lit(1)).alias("documents"), F.first("host_key").alias("host_key")).filter(F.col("documents") > max_documents)
-    if share is not None:
-        hosts = rows.select("uid", F.xxhash64("host").alias("host_key")).distinct().groupBy("host_key").agg(F.count(F.lit(1)).alias("of_host"))
-        often = often.join(hosts, "host_key").filter(F.col("documents") > share * F.col("of_host"))
-    often = often.select("line")
+    often = seen.groupBy("line").agg(F.count(F.lit(1)).alias("documents"), F.first("host_key").alias("host_key")).filter(F.col("documents") > floor)
+    hosts = rows.select("uid", "host_key").distinct().groupBy("host_key").agg(F.count(F.lit(1)).alias("of_host"))
+    often = often.join(hosts, "host_key").filter(100 * F.col("documents") > percent * F.col("of_host")).select("line")
     often = often.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     met = seen.withColumn("salt", F.pmod("uid", F.lit(SALTS)).cast("int")).join(often, ["line", "salt"], "left_semi")
-    lost = met.groupBy("uid").agg(F.sum("w").alias("lost"))
+    lost = met.groupBy("uid").agg(F.sum("w").alias("lost"), F.collect_list("h").alias("gone"))
     out = rows.drop("lines").join(lost, "uid", "left").withColumn("lost", F.coalesce("lost", F.lit(0)).cast("long"))
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     stays = F.col("n_words") - F.col("lost")
     depleted = (stays < min_words) | (stays < min_share * F.col("n_words"))
     return out.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
-        failed.alias("base_failed"), F.col("lost").alias("n_boilerplate_words"), (~failed & ~depleted).alias("kept"),
+        failed.alias("base_failed"), F.col("lost").alias("n_boilerplate_words"), (~failed & ~depleted).alias("kept"), "uid", "gone",
     )
+
+
+def quality(
+    docs: DataFrame,
+    floor: int = FLOOR,
+    percent: int = PERCENT,
+    min_share: float = MIN_SHARE,
+    min_words: int = MIN_WORDS,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    host_col: str = "source",
+) -> DataFrame:
+    """Judge each row of ``docs``: doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+    base_failed, n_boilerplate_words, kept.
+
+    A line (its words, A-Z lower-cased) is boilerplate if over ``percent`` of a hundred different documents
+    of its host have it, and more than ``floor`` in all.  A document is kept unless the rules fail it, or
+    its other lines hold under ``min_words`` words or under ``min_share`` of its words.  Null hosts are one
+    host; a null text is empty and so fails.  Documents are told apart by id and text, so rows that repeat
+    one count once and are judged alike.  An empty table gives an empty result.  Other columns are not carried.
+    """
+    return _judged(docs, floor, percent, min_share, min_words, id_col, text_col, host_col).drop("uid", "gone")
+
+
+def cleaned(
+    docs: DataFrame,
+    floor: int = FLOOR,
+    percent: int = PERCENT,
+    min_share: float = MIN_SHARE,
+    min_words: int = MIN_WORDS,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    host_col: str = "source",
+) -> DataFrame:
+    """Rows of ``docs`` that ``quality`` keeps, their text without its boilerplate lines, all other columns as they were."""
+    uid, ident, gone = unused(docs.columns, "uid", "of", "gone")
+    judged = _judged(docs, floor, percent, min_share, min_words, id_col, text_col, host_col).filter("kept")
+    judged = judged.select(F.col("uid").alias(ident), F.col("gone").alias(gone)).dropDuplicates([ident])
+    met = docs.withColumn(uid, _uid(id_col, text_col, host_col)).join(judged, F.col(uid) == F.col(ident)).drop(uid, ident)
+
+    def without(batches):
+        for batch in batches:
+            texts = batch.column(text_col).to_pylist()
+            for k, keys in enumerate(batch.column(gone).to_pylist()):
+                if keys:
+                    data = np.frombuffer(texts[k].encode("utf-8", "surrogatepass"), dtype=np.uint8)
+                    _, _, _, held, key = _keyed_lines(Words(data, np.array([0, len(data)])))
+                    out = set(keys)
+                    lines = zip(texts[k].split("\n"), held.tolist(), key.view(np.int64).tolist(), strict=True)
+                    texts[k] = "\n".join(line for line, n, h in lines if not (n and h in out))
+            at = batch.schema.get_field_index(text_col)
+            batch = batch.set_column(at, batch.schema.field(at), pa.array(texts, batch.schema.field(at).type))
+            yield batch.select([c for c in batch.schema.names if c != gone])
+
+    return met.mapInArrow(without, docs.schema)

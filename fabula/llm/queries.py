@@ -89,7 +89,11 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_mixing_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     mix = mixing.mixed(table(spark, sf_dir, "documents"), weights=(3, 1, 2), share=1.5, repeats=2)
-    return mix.select("doc_id", "size", "source_size", "target", mixing.taken(mix).alias("taken"))
+    listed = lambda value: F.array_join(F.transform("draws", lambda d: value(d).cast("string")), ",")
+    return mix.select(
+        "doc_id", "size", "source_size", "target", mixing.taken(mix).alias("taken"), listed(lambda d: d["shard"]).alias("shards"),
+        listed(lambda d: mixing.place(d, F.col("doc_id"), F.col("size"))).alias("places"),
+    )
 
 
 def op8_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -101,11 +105,6 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(table(spark, sf_dir, "documents"))
 
 
-def op9_quality_rules_by_share(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same with a limit that goes with the host, so that it acts at every size."""
-    return quality.quality(table(spark, sf_dir, "documents"), max_documents=quality.FLOOR, share=quality.SHARE)
-
-
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = langid.identify(docs, docs.filter(fold_of("doc_id", 3) != 1).select("text", "lang"))
@@ -122,7 +121,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_mixing_sources": op7_mixing_sources,
     "op8_nearest_neighbours": op8_nearest_neighbours,
     "op9_quality_rules": op9_quality_rules,
-    "op9_quality_rules_by_share": op9_quality_rules_by_share,
     "op10_language_id": op10_language_id,
 }
 
@@ -132,5 +130,5 @@ ORACLE_SQL: dict[str, str] = {
     "op2_chat_formatting": oracles.CHAT,
     "op4_minhash_near_dedup": oracles.NEAR_DUPLICATES,
     "op5_secret_scans": oracles.secret_scans(),
-    "op9_quality_rules": oracles.quality(quality.MAX_DOCUMENTS, quality.MIN_SHARE, quality.MIN_WORDS),
+    "op9_quality_rules": oracles.quality(quality.FLOOR, quality.PERCENT, quality.MIN_SHARE, quality.MIN_WORDS),
 }

@@ -368,26 +368,37 @@ def test_mixing(spark):
     for s, i in zip(names, size, strict=True):
         sizes[s] += size[i]
     goal = water(sizes, 1.5, 2)
-    blocks = defaultdict(set)
+    blocks = {}
     for r in rows:
         assert (r.size, r.source_size) == (size[r.doc_id], sizes[r.source]) and r.taken <= 2 * r.size
         assert r.target == pytest.approx(goal[r.source])
         taken[r.source] += r.taken
+        assert [d.epoch for d in r.draws] == sorted({d.epoch for d in r.draws}) and all(0 < d.words <= r.size for d in r.draws)
         for d in r.draws:
-            assert 0 <= d.first and d.first + d.words <= r.size
-            blocks[(r.source, d.block)].add(d.shard)
+            assert blocks.setdefault((r.source, d.block), d.shard) == d.shard
     assert all(abs(taken[s] - goal[s]) <= 0.5 for s in goal)
-    assert all(len(x) == 1 for x in blocks.values())
-    per_shard = Counter(next(iter(x)) for x in blocks.values())
-    assert set(per_shard) == set(range(4)) and max(per_shard.values()) - min(per_shard.values()) <= 2
+    assert sum(0 < d.words < r.size for r in rows for d in r.draws) <= len(sizes)
+    assert set(blocks.values()) == set(range(4))
     again = mixing.mixed(df.repartition(7), blocks=64, levels=2)
     key = lambda r: (r.doc_id, r.target, [tuple(d) for d in r.draws])
     assert sorted(map(key, again.collect())) == sorted(map(key, rows))
-    drawn = mixing.sharded(mix).agg(F.sum("words")).first()[0]
-    assert drawn == sum(taken.values())
+    shards = [(r.shard, r.place, r.words) for r in mixing.sharded(mix).collect()]
+    assert sum(w for _, _, w in shards) == sum(taken.values()) and shards == sorted(shards)
     assert mixing.mixed(df.limit(0)).count() == 0
 
 
+def test_splitting_tree(spark):
+    """Quotas split exactly; shards hold near-equal numbers of blocks; draws vary with the seed."""
+    quota = {1: 100, 2: 37, 3: 1}
+    blocks = spark.createDataFrame([(s, b) for s, n in quota.items() for b in range(n)], "src_key long, block long")
+    got = [{(r.src_key, r.block): r.shard for r in mixing.split(blocks, 3, seed).collect()} for seed in (1, 2)]
+    for shard_of in got:
+        assert len(shard_of) == sum(quota.values())
+        per = Counter(shard_of.values())
+        assert set(per) == set(range(8)) and max(per.values()) - min(per.values()) <= 1
+    assert got[0] != got[1]
+
+
 # 8
 
 
@@ -465,7 +476,7 @@ def test_quality(spark):
     texts = [f"Accept all  cookies on this site now please\n{t}" if k % 2 else t for k, t in enumerate(plain)]
     texts += ["accept ALL cookies on this site now please\nshort own line of text here ok", None, "", "a\n\na\n b\na", "x y z w v " * 8, "# * $ % & | < > é\n" * 3, "tail line\n\n"]
     df = documents(spark, texts).withColumn("kept", F.lit("clash"))
-    got = {r.doc_id: r for r in quality.quality(df, max_documents=10).collect()}
+    got = {r.doc_id: r for r in quality.quality(df, floor=10, percent=0).collect()}
     for i, t in enumerate(texts):
         words = WORD.findall(t or "")
         win = Counter(tuple(words[k : k + 5]) for k in range(len(words) - 4))
@@ -482,7 +493,7 @@ def test_quality(spark):
         assert r.n_boilerplate_words == (8 if "ookies" in (t or "") else 0)
     assert all(got[i].kept for i in range(30)) and not got[30].base_failed and not got[30].kept
     many = df.crossJoin(spark.range(50)).drop("id")
-    assert not any(r.n_boilerplate_words for r in quality.quality(many.filter("doc_id >= 34"), max_documents=10).collect())
+    assert not any(r.n_boilerplate_words for r in quality.quality(many.filter("doc_id >= 34"), floor=10, percent=0).collect())
 
 
 def test_quality_by_share_of_host(spark, tmp_path):
@@ -493,9 +504,16 @@ def test_quality_by_share_of_host(spark, tmp_path):
     small = [prose(rng, 40, 5000) + (f"\n{common}" if k < 6 else f"\n{rare}" if k < 11 else "") for k in range(29)] + [f"{common}\nshort own words"]
     rows = [(i, t, h) for i, (t, h) in enumerate([(t, "big") for t in big] + [(t, "small") for t in small])]
     spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(str(tmp_path / "documents.parquet"))
-    got = {r.doc_id: r for r in queries.QUERIES["op9_quality_rules_by_share"](spark, str(tmp_path)).collect()}
+    got = {r.doc_id: r for r in queries.QUERIES["op9_quality_rules"](spark, str(tmp_path)).collect()}
     assert {i for i, r in got.items() if r.n_boilerplate_words} == {*range(9), *range(400, 406), 429}
     assert {i for i, r in got.items() if not r.kept} == {429} and not got[429].base_failed
+    docs = spark.read.parquet(str(tmp_path / "documents.parquet")).withColumn("_gone", F.lit("x")).withColumn("uid", F.lit(1))
+    clean = quality.cleaned(docs)
+    assert clean.columns == docs.columns
+    said = {r.doc_id: r.text for r in clean.collect()}
+    assert set(said) == set(range(429))
+    for i, t, h in rows[:429]:
+        assert said[i] == ("\n".join(x for x in t.split("\n") if x != common) if got[i].n_boilerplate_words else t)
 
 
 # 10
