@@ -191,37 +191,38 @@ def packed(pieces: DataFrame, capacity: int = 1024) -> DataFrame:
     """
     spark = pieces.sparkSession
     salts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    salted = pieces.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "piece", "start"), F.lit(salts)).cast("int"))
-    counts = salted.groupBy("length", "_salt").agg(F.count(F.lit(1)).alias("_n"))
-    counts = written(counts, "lengths")
-    histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("_n").alias("n")).collect()}  # at most ``capacity`` rows
+    # A row's columns go in one struct, so that none can clash with ours.
+    salted = pieces.select(
+        F.struct(*[F.col(f"`{c}`") for c in pieces.columns]).alias("row"), "doc_id", "piece", "length", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(salts)).cast("int").alias("salt")
+    )
+    counts = written(salted.groupBy("length", "salt").agg(F.count(F.lit(1)).alias("n")), "lengths")
+    histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most ``capacity`` rows
     if not histogram:
         return pieces.withColumn("sequence_id", F.lit(0).cast("long")).withColumn("offset", F.lit(0).cast("long"))
 
-    before = Window.partitionBy("length").orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)
-    base = counts.select("length", "_salt", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
-    order = Window.partitionBy("length", "_salt").orderBy("doc_id", "piece")
-    ranked = salted.withColumn("_in", F.row_number().over(order)).join(base, ["length", "_salt"])
-    ranked = ranked.withColumn("_rank", F.col("_base") + F.col("_in") - 1)
+    before = Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
+    base = counts.select("length", "salt", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    order = Window.partitionBy("length", "salt").orderBy("doc_id", "piece")
+    # The ranked rows are partitioned and sorted for this join already, and its other side grows with the cluster: no broadcast.
+    ranked = salted.withColumn("in", F.row_number().over(order)).join(base.hint("merge"), ["length", "salt"])
+    ranked = ranked.select("row", "length", (F.col("base") + F.col("in") - 1).alias("rank"))
 
     # The plan has a few thousand runs at most, so a length's places fit one array.
     by_length: dict[int, list] = defaultdict(list)
     for n, rank, copies, sequence, offset in places(plan(histogram, capacity)):
         by_length[n].append((rank, copies, sequence, offset))
     rows = [(n, *map(list, zip(*sorted(x), strict=True))) for n, x in by_length.items()]
-    lookup = spark.createDataFrame(rows, "length long, _rank0 array<long>, _copies array<long>, _seq array<long>, _off array<long>")
+    lookup = spark.createDataFrame(rows, "length long, rank0 array<long>, copies array<long>, seq array<long>, off array<long>")
 
     placed = ranked.join(F.broadcast(lookup), "length")
     # How many places of this length start at or before the rank: a binary search over the sorted starts.
     at = F.expr(
-        "aggregate(sequence(1, 20), named_struct('lo', 0, 'hi', size(_rank0)), (s, k) -> if(s.hi - s.lo <= 1, s, "
-        "if(_rank0[int((s.lo + s.hi) div 2)] <= _rank, named_struct('lo', int((s.lo + s.hi) div 2), 'hi', s.hi), "
+        "aggregate(sequence(1, 20), named_struct('lo', 0, 'hi', size(rank0)), (s, k) -> if(s.hi - s.lo <= 1, s, "
+        "if(rank0[int((s.lo + s.hi) div 2)] <= rank, named_struct('lo', int((s.lo + s.hi) div 2), 'hi', s.hi), "
         "named_struct('lo', s.lo, 'hi', int((s.lo + s.hi) div 2)))), s -> s.lo)"
     )
-    placed = placed.withColumn("_at", at).withColumn("_k", F.expr("_rank - _rank0[_at]"))
-    placed = placed.withColumn("sequence_id", F.expr("_seq[_at] + _k div _copies[_at]"))
-    placed = placed.withColumn("offset", F.expr("_off[_at] + (_k % _copies[_at]) * length"))
-    return placed.select(*pieces.columns, "sequence_id", "offset")
+    placed = placed.withColumn("at", at).withColumn("k", F.expr("rank - rank0[at]"))
+    return placed.select("row.*", F.expr("seq[at] + k div copies[at]").alias("sequence_id"), F.expr("off[at] + (k % copies[at]) * length").alias("offset"))
 
 
 def sequences(placed: DataFrame) -> DataFrame:
