@@ -80,6 +80,7 @@ def judged(pages: DataFrame, rules: Sequence[Rule], listed: DataFrame, id_col: s
 
     The filter of the list is broadcast, never over 16 MB.  URLs that it rules out are done; the others
     meet the list itself, each different one once, which removes false positives whatever their number.
+    The pages are read twice: once for the URLs that pass the filter, once for the verdicts.
     A null URL, or one without ``://``, has an empty host and path, no rule, and is allowed.  Rows that
     repeat are judged alike; an empty list blocks nothing; other columns are not carried.
     """
@@ -108,12 +109,10 @@ def judged(pages: DataFrame, rules: Sequence[Rule], listed: DataFrame, id_col: s
     passed = passed.withColumn("possible", F.coalesce(F.col("probe").isNotNull() & F.col("block").isNotNull() & all_set, F.lit(False)))
     passed = passed.select("page_id", "host", "path", "rule", "ruled", "key", "possible")
 
-    maybe = passed.filter("possible")
-    hits = maybe.select("key").distinct().join(keys.hint("shuffle_hash"), "key", "left_semi").withColumn("listed", F.lit(True))
-    maybe = maybe.join(hits, "key", "left")
-    rest = passed.filter("not possible").withColumn("listed", F.lit(False))
-    out = maybe.select("page_id", "host", "path", "rule", "ruled", F.coalesce("listed", F.lit(False)).alias("listed")).unionByName(
-        rest.select("page_id", "host", "path", "rule", "ruled", "listed")
-    )
+    # URLs that the filter rules out have no key to join by.
+    passed = passed.withColumn("key", F.when(F.col("possible"), F.col("key")))
+    asked = passed.filter("key is not null").select("key").distinct()
+    hits = asked.join(keys.hint("shuffle_hash"), "key", "left_semi").withColumn("listed", F.lit(True))
+    out = passed.join(hits, "key", "left").withColumn("listed", F.coalesce("listed", F.lit(False)))
     own = F.when(F.col("listed"), F.lit("block")).otherwise(F.lit("allow"))
     return out.select("page_id", "host", "path", "rule", F.coalesce("ruled", own).alias("verdict"), "listed")
