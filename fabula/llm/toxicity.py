@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+import itertools
 import math
 import unicodedata
 from collections import Counter
@@ -11,15 +13,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from fabula.llm.shared import written
+
 #: Labelled rows from which weights are learned, the first by a hash of their ids.
 MAX_TRAIN_ROWS = 20_000
-#: Learned entries of a lexicon.
-MAX_ENTRIES = 2_000
 #: A learned entry is in at least so many toxic training documents ...
 MIN_SUPPORT = 8
 #: ... and so many times likelier there than in others.
 MIN_ODDS = 20.0
-MIN_PREFIX, MAX_PREFIX = 4, 10
+#: An entry is a whole word, or the first letters of words: so many.  Of a longer word the first ``MAX_PREFIX`` letters count.
+MIN_PREFIX, MAX_PREFIX = 4, 32
 
 # Insults known before any label is seen.
 SEED_WORDS = ("clown", "disgusting", "idiot", "loser", "moron", "pathetic", "scum", "stupid", "trash", "worthless")
@@ -60,30 +63,40 @@ def folded(text: str | None) -> str:
     return " " + (text or "").lower().translate(_FOLD) + " "
 
 
-def _word_counts(batches):
-    """How many toxic and other documents of a partition have each word."""
+@functools.lru_cache(maxsize=200_000)
+def _forms(word: str) -> tuple[str, ...]:
+    """What an entry may be for a word: its beginnings, and itself with the space after it."""
+    whole = (word + " ",) if len(word) <= MAX_PREFIX else ()
+    return (*(word[:n] for n in range(MIN_PREFIX, min(MAX_PREFIX, len(word)) + 1)), *whole)
+
+
+def _form_counts(batches):
+    """How many toxic and other documents of a partition have each form of a word."""
     counts: tuple[Counter, Counter] = (Counter(), Counter())
     seen: tuple[int, int] = (0, 0)
     for batch in batches:
         for text, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist(), strict=True):
-            counts[toxic].update(w[:24] for w in set(folded(text).split()) if len(w) >= MIN_PREFIX)
+            counts[toxic].update(set(itertools.chain.from_iterable(map(_forms, {w[: MAX_PREFIX + 1] for w in folded(text).split()}))))
             seen = (seen[0] + (not toxic), seen[1] + toxic)
-    words = list(counts[0].keys() | counts[1].keys())
+    forms = list(counts[0].keys() | counts[1].keys())
     yield pa.RecordBatch.from_arrays(
-        [pa.array([*words, ""], pa.string()), pa.array([*(counts[1][w] for w in words), seen[1]], pa.int64()), pa.array([*(counts[0][w] for w in words), seen[0]], pa.int64())],
-        ["word", "toxic", "other"],
+        [pa.array([*forms, ""], pa.string()), pa.array([*(counts[1][w] for w in forms), seen[1]], pa.int64()), pa.array([*(counts[0][w] for w in forms), seen[0]], pa.int64())],
+        ["entry", "toxic", "other"],
     )
 
 
 def _entries(table: list, n_toxic: int, n_other: int) -> dict[str, float]:
-    """Prefixes with their log odds: the longest of those that stand for the same words."""
-    found = {r["prefix"]: (r["toxic"], math.log((r["toxic"] + 0.5) / (n_toxic + 1)) - math.log((r["other"] + 0.5) / (n_other + 1))) for r in table}
-    kept = {}
-    for prefix, (n, weight) in found.items():
-        longer = max((found[p][0] for p in found if len(p) == len(prefix) + 1 and p.startswith(prefix)), default=0)
-        if longer < 0.95 * n and not any(p != prefix and prefix.startswith(p) and found[p][0] > 1.05 * n for p in found):
-            kept[prefix] = weight
-    return kept
+    """Entries with their log odds.  Of entries that stand for the same words, the longest; none that is
+    rarer than one it begins with."""
+    found = {r["entry"]: (r["toxic"], math.log((r["toxic"] + 0.5) / (n_toxic + 1)) - math.log((r["other"] + 0.5) / (n_other + 1))) for r in table}
+    longer: Counter = Counter()
+    for entry, (n, _) in found.items():
+        longer[entry[:-1]] = max(longer[entry[:-1]], n)
+    return {
+        entry: weight
+        for entry, (n, weight) in found.items()
+        if longer[entry] < 0.95 * n and not any(found.get(entry[:k], (0,))[0] > 1.05 * n for k in range(1, len(entry)))
+    }
 
 
 class Lexicon:
@@ -147,23 +160,18 @@ def _fit_curve(weights: np.ndarray, toxic: np.ndarray) -> tuple[float, float]:
 
 def learn(labelled: DataFrame, max_rows: int = MAX_TRAIN_ROWS) -> Lexicon:
     """A lexicon from rows (doc_id, text, toxic), of which the first ``max_rows`` by a hash of the id are
-    used.  Entries are word prefixes, so that inflected forms count.  Rows with null text or label teach
+    used.  Entries are whole words (written with a space after them) and beginnings of words, so that
+    inflected forms count; all that are frequent and telling enough.  Rows with null text or label teach
     nothing; equal texts count once; without rows the seed words have the weight of ``MIN_ODDS``."""
     rows = labelled.filter("text is not null and toxic is not null").select("doc_id", "text", F.col("toxic").cast("int").alias("toxic"))
     ids = rows.select("doc_id", F.xxhash64("doc_id").alias("h")).distinct().orderBy("h", "doc_id").limit(max_rows).select("doc_id")
     sample = rows.join(F.broadcast(ids), "doc_id", "left_semi").withColumn("h", F.xxhash64("text")).dropDuplicates(["h"]).select("text", "toxic")
-    words = sample.mapInArrow(_word_counts, "word string, toxic long, other long").groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other"))
-    words = words.cache()
-    total = words.filter("word = ''").select("toxic", "other").first()
+    counts = sample.mapInArrow(_form_counts, "entry string, toxic long, other long").groupBy("entry").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other"))
+    counts = written(counts, "entries")
+    total = counts.filter("entry = ''").select("toxic", "other").first()
     n_toxic, n_other = (total["toxic"], total["other"]) if total else (0, 0)
-    prefixes = words.filter("word <> ''").select(
-        F.explode(F.expr(f"transform(sequence({MIN_PREFIX}, least({MAX_PREFIX}, length(word))), n -> left(word, n))")).alias("prefix"), "toxic", "other"
-    )
-    prefixes = prefixes.groupBy("prefix").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other"))
     odds = (F.col("toxic") + 0.5) / (n_toxic + 1) / ((F.col("other") + 0.5) / (n_other + 1))
-    likely = prefixes.filter((F.col("toxic") >= MIN_SUPPORT) & (odds >= MIN_ODDS))
-    table = likely.orderBy(F.desc(F.col("toxic") * F.log(odds)), "prefix").limit(MAX_ENTRIES).collect()
-    words.unpersist()
+    table = counts.filter((F.col("entry") != "") & (F.col("toxic") >= MIN_SUPPORT) & (odds >= MIN_ODDS)).collect()  # entries of ``max_rows`` texts at most
     weights = dict.fromkeys(SEED_WORDS, math.log(MIN_ODDS)) | _entries(table, n_toxic, n_other)
     lexicon = Lexicon(weights)
 

@@ -90,7 +90,7 @@ def test_packing(spark):
 
     rng = random.Random(4)
     texts = [prose(rng, rng.choice([0, 1, 3, 40, 200, 500, 1500])) for _ in range(80)] + [None, "a  b\n c ", "it's  \t x", "é" * 50, "<|x|> 12 34", "tail \n"]
-    df = documents(spark, texts).withColumn("sequence_id", F.lit("clash")).withColumn("offset", F.lit(0))
+    df = documents(spark, texts).withColumn("sequence_id", F.lit("clash")).withColumn("offset", F.lit(0)).withColumn("salt", F.lit(1))
     got = packing.digest(df, queries.tokenizer_path(), capacity=256).collect()
     model = Tokenizer.from_file(queries.tokenizer_path())
     ids = {i: [*model.encode(t or "", add_special_tokens=False).ids, 2] for i, t in enumerate(texts)}
@@ -142,7 +142,8 @@ def test_packing_plan_holds_every_length():
 def test_sequences_hold_the_ids(spark):
     from fabula.llm.shared import written
 
-    pieces = written(packing.tokenised(documents(spark, ["one two", "three", None]), queries.tokenizer_path(), capacity=8), "p")
+    pieces = packing.tokenised(documents(spark, ["one two", "three", None]), queries.tokenizer_path(), capacity=8)
+    pieces = written(pieces.withColumn("salt", F.lit(1)).withColumn("rank", F.lit("x")).withColumn("row", F.lit(2)), "p")
     out = packing.sequences(packing.packed(pieces, 8)).collect()
     assert sum(r.n_tokens for r in out) == sum(len(r.ids) // 4 for r in out) == sum(r.length for r in pieces.collect())
 
@@ -335,6 +336,55 @@ def test_toxicity(spark):
     assert set(seeds.weights) == set(toxicity.SEED_WORDS)
 
 
+def test_weights_against_plain_search():
+    """The automaton against a scan of every position for every entry: overlaps, prefixes of one another, exceptions, odd signs."""
+    rng = random.Random(14)
+    letters = "abc"
+    for _ in range(60):
+        entries = {"".join(rng.choices(letters, k=rng.randint(1, 5))) + rng.choice(["", "", " "]): rng.uniform(0.5, 4) for _ in range(8)}
+        phrases = tuple(" ".join("".join(rng.choices(letters, k=rng.randint(1, 4))) for _ in range(rng.randint(1, 3))) for _ in range(3))
+        lexicon = toxicity.Lexicon(entries, phrases)
+        for _ in range(30):
+            text = "".join(rng.choices("abcABC" + " " * 4 + "\n.-áв4\x00", k=rng.randint(0, 60)))
+            own = toxicity.folded(text)
+            harmless = [(at, at + len(p) + 2) for p in phrases for at in range(len(own)) if own.startswith(f" {p} ", at)]
+            total = 0.0
+            for at in range(len(own)):
+                fits = [e for e in entries if own.startswith(" " + e, at)]
+                if fits and not any(a <= at and at + 1 + len(max(fits, key=len)) <= b for a, b in harmless):
+                    total += entries[max(fits, key=len)]
+            assert lexicon.weight(text) == pytest.approx(total / max(1.0, own.count(" ") / 100) ** 0.5), text
+    long = "abc " * (1 << 18)
+    assert toxicity.Lexicon({"abc": 1.0}, ()).weight(long) == pytest.approx((1 << 18) / ((1 << 18) + 2) ** 0.5 * 10)
+
+
+def test_learned_entries_against_plain_counts(spark):
+    """Every word beginning and whole word, short and long, counted by document in Python."""
+    rng = random.Random(15)
+    words = ["ab", "x", "zzap", "zzapper", "q" * 40, "harmlessword", "commonest"]
+    rows = []
+    for i in range(240):
+        toxic = int(i % 3 == 0)
+        own = [f"w{i}"] + rng.sample(words[5:], 1) + (rng.sample(words[:5], 3) if toxic else [])
+        rows.append((i, " ".join(own), toxic))
+    lexicon = toxicity.learn(spark.createDataFrame(rows, "doc_id long, text string, toxic int"))
+    count = {1: Counter(), 0: Counter()}
+    for _, t, y in rows:
+        forms = set()
+        for w in toxicity.folded(t).split():
+            forms |= {w[:n] for n in range(4, min(32, len(w)) + 1)} | ({w + " "} if len(w) <= 32 else set())
+        count[y].update(forms)
+    n1, n0 = sum(y for *_, y in rows), sum(1 - y for *_, y in rows)
+    odds = lambda e: (count[1][e] + 0.5) / (n1 + 1) / ((count[0][e] + 0.5) / (n0 + 1))
+    telling = {e for e in count[1] if count[1][e] >= toxicity.MIN_SUPPORT and odds(e) >= toxicity.MIN_ODDS}
+    kept = set(lexicon.weights) - set(toxicity.SEED_WORDS)
+    assert kept <= telling and {"ab ", "x ", "q" * 32} <= kept
+    for e in telling:  # each is stood for: itself, or an entry that begins it, or a longer one as frequent
+        assert e in kept or any(e.startswith(k) or (k.startswith(e) and count[1][k] >= 0.8 * count[1][e]) for k in kept), e
+    for e in kept:
+        assert lexicon.weights[e] == pytest.approx(np.log(odds(e)))
+
+
 def test_folding():
     assert toxicity.folded("1d10t ІDІOT Stüpíd").split() == ["idiot", "idiot", "stupid"]
     weak = toxicity.Lexicon({"clown": 3.0})
