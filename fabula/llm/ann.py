@@ -6,7 +6,8 @@ that are nearly as near.  Lists that lie together in the graph share a block of
 long for one is dealt over several, so blocks are balanced however the vectors lie.  A query visits the
 blocks of every list whose distance is within a ratio of the nearest one's.  The ratio is measured: a
 bounded number of queries is compared with all rows, and the ratio is the smallest that reaches
-``TARGET`` of their true neighbours.
+``TARGET`` of their true neighbours.  Each query meets its nearest few blocks first; the others then give
+only vectors that are no worse than the last of the best found so far.
 """
 
 from __future__ import annotations
@@ -26,8 +27,10 @@ PER_LIST, MAX_LISTS = 100, 8192
 POST_RATIO, POSTINGS = 1.05, 4
 #: Queries that set the ratio of visited lists, and the share of their true neighbours that it must reach.
 CALIBRATION, TARGET = 128, 0.97
-#: Rows of a block, queries that meet one block in one task, and queries compared with it at once.
-BLOCK, QUERY_SHARE, QUERY_SLICE = 4096, 8192, 1024
+#: Numbers in the vectors of a block, queries that meet one block in one task, and queries compared with it at once.
+BLOCK_NUMBERS, QUERY_SHARE, QUERY_SLICE = 1 << 19, 8192, 1024
+#: Blocks that a query meets first.
+FIRST = 4
 
 
 def _matrix(column: pa.Array, width: int) -> np.ndarray:
@@ -187,12 +190,13 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "v
         held[r["list"]] = r["n"]
 
     # Blocks: lists hub by hub, so that those near one another lie together; a long list has blocks of its own.
-    parts, base = np.maximum(1, -(-held // BLOCK)), np.zeros(lists, dtype=np.int64)
+    size = max(64, BLOCK_NUMBERS // width)
+    parts, base = np.maximum(1, -(-held // size)), np.zeros(lists, dtype=np.int64)
     blocks, room = 0, 0
     for c in np.concatenate(graph.members).tolist():
         if parts[c] > 1 or held[c] > room:
             base[c], blocks = blocks, blocks + int(parts[c])
-            room = 0 if parts[c] > 1 else BLOCK - held[c]
+            room = 0 if parts[c] > 1 else size - held[c]
         else:
             base[c], room = blocks - 1, room - held[c]
 
@@ -220,34 +224,36 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "v
                     visited[r, own[: np.searchsorted(np.cumsum(held[own]), POSTINGS * (k + 1)) + 1]] = True
                 row, near = np.nonzero(visited)
                 block = np.repeat(base[near], parts[near]) + np.concatenate([np.arange(p) for p in parts[near]])
-                met = np.unique(np.stack([np.repeat(row, parts[near]), block]), axis=1)
-                own = batch.take(pa.array(met[0]))
-                yield pa.RecordBatch.from_arrays([own.column("vec_id"), own.column("v"), pa.array(met[1])], ["query_id", "q", "block"])
+                row, far = np.repeat(row, parts[near]), np.repeat(dist[row, near], parts[near])
+                # Each block once, at the distance of its nearest list; then a row's blocks by distance.
+                order = np.lexsort((far, block, row))
+                row, block, far = row[order], block[order], far[order]
+                once = np.concatenate([[True], (row[1:] != row[:-1]) | (block[1:] != block[:-1])])
+                order = np.lexsort((block[once], far[once], row[once]))
+                row, block = row[once][order], block[once][order]
+                first = np.arange(len(row)) - np.searchsorted(row, row) < FIRST
+                own = batch.take(pa.array(row))
+                yield pa.RecordBatch.from_arrays([own.column("vec_id"), own.column("v"), pa.array(block), pa.array(first)], ["query_id", "q", "block", "first"])
 
-    probes = written(asked.mapInArrow(probed, "query_id long, q array<double>, block long"), "probes")
+    probes = written(asked.mapInArrow(probed, "query_id long, q array<double>, block long, first boolean"), "probes")
     place = F.broadcast(spark.createDataFrame([(c, int(b), int(p)) for c, (b, p) in enumerate(zip(base, parts, strict=True))], "list int, base long, parts int"))
     placed = postings.join(place, "list").select((F.col("base") + F.pmod("h", "parts")).alias("block"), "vec_id", "h", "v")
-    # A block that very many queries visit meets them in shares.
-    shares = probes.groupBy("block").agg(F.ceil(F.count(F.lit(1)) / QUERY_SHARE).cast("int").alias("shares")).filter("shares > 1")
-    share = F.coalesce("shares", F.lit(1))
-    probes = probes.join(shares, "block", "left").withColumn("share", F.pmod(F.xxhash64("query_id", "q"), share).cast("int"))
-    placed = placed.join(shares, "block", "left").withColumn("share", F.explode(F.sequence(F.lit(0), share - 1)))
-    probes, placed = probes.select("block", "share", "query_id", "q"), placed.select("block", "share", "vec_id", "h", "v")
+    nothing = {"query_id": np.zeros(0, np.int64), "vec_id": np.zeros(0, np.int64), "score": np.zeros(0)}
 
     def compared(_, left, right):
         import pandas as pd
 
-        out = []
+        out = [pd.DataFrame(nothing)]
         if len(left) and len(right):
             right = right.drop_duplicates(["vec_id", "h"])
             ids, x = right["vec_id"].to_numpy(), np.stack(right["v"].to_numpy())
             wide = min(len(ids), k * int(np.unique(ids, return_counts=True)[1].max()))  # an id with several vectors takes one place in the end
             for at in range(0, len(left), QUERY_SLICE):
                 part = left.iloc[at : at + QUERY_SLICE]
-                q, who = np.stack(part["q"].to_numpy()), part["query_id"].to_numpy()
+                q, who, least = np.stack(part["q"].to_numpy()), part["query_id"].to_numpy(), part["least"].to_numpy()
                 rough = q @ x.T
                 rough[who[:, None] == ids[None, :]] = -np.inf
-                cut = np.partition(rough, -wide, axis=1)[:, -wide]
+                cut = np.maximum(np.partition(rough, -wide, axis=1)[:, -wide], least)
                 # Products of one vector may differ in the last bits by its place, so near ties are measured again, alike.
                 r, c = np.nonzero((rough >= (cut - 1e-9 * np.abs(cut) - 1e-300)[:, None]) & np.isfinite(rough))
                 score = (q[r] * x[c]).sum(axis=1)
@@ -256,9 +262,23 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "v
                 start = np.searchsorted(r, np.arange(len(q)))
                 keep = np.arange(len(r)) - start[r] < wide
                 out.append(pd.DataFrame({"query_id": who[r[keep]], "vec_id": ids[c[keep]], "score": score[keep]}))
-        return pd.concat(out) if out else pd.DataFrame({"query_id": np.zeros(0, np.int64), "vec_id": np.zeros(0, np.int64), "score": np.zeros(0)})
-
-    found = probes.groupBy("block", "share").cogroup(placed.groupBy("block", "share")).applyInPandas(compared, "query_id long, vec_id long, score double")
-    found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+        return pd.concat(out[1:]) if len(out) > 1 else out[0]
+
+    def met(probes: DataFrame) -> DataFrame:
+        """(query_id, vec_id, score) of the vectors that blocks give for ``probes`` (query_id, q, block, least)."""
+        # A block that very many queries visit meets them in shares.
+        shares = probes.groupBy("block").agg(F.ceil(F.count(F.lit(1)) / QUERY_SHARE).cast("int").alias("shares")).filter("shares > 1")
+        share = F.coalesce("shares", F.lit(1))
+        left = probes.join(shares, "block", "left").withColumn("share", F.pmod(F.xxhash64("query_id", "q"), share).cast("int")).drop("shares")
+        right = placed.join(shares, "block", "left").withColumn("share", F.explode(F.sequence(F.lit(0), share - 1))).drop("shares")
+        return left.groupBy("block", "share").cogroup(right.groupBy("block", "share")).applyInPandas(compared, "query_id long, vec_id long, score double")
+
+    def ranked(found: DataFrame) -> DataFrame:
+        found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+        order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+        return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+
+    near = written(ranked(met(probes.filter("first").select("query_id", "q", "block", F.lit(float("-inf")).alias("least")))), "near")
+    last = near.filter(F.col("rank") == k).select("query_id", F.col("score").alias("last"))
+    rest = probes.filter("not first").join(last, "query_id", "left").select("query_id", "q", "block", F.coalesce("last", F.lit(float("-inf"))).alias("least"))
+    return ranked(near.select("query_id", "vec_id", "score").unionByName(met(rest))).select("query_id", "rank", "vec_id", "score")
