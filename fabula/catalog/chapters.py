@@ -126,8 +126,13 @@ paused AS (
 """
 
 
+def _quoted(spark, sf_dir):
+    rows = paragraphs(spark, sf_dir)
+    return S.paragraph_segments(rows.select("chapter_id", (F.row_number().over(S.per_chapter("turn")) - 1).alias("paragraph_index"), "p"))
+
+
 def _split(spark, sf_dir):
-    return S.split_segments(chapters(spark, sf_dir))
+    return S.merge_narration(_quoted(spark, sf_dir))
 
 
 def _explicit(spark, sf_dir):
@@ -142,7 +147,7 @@ WHO = ["chapter_id", "id", "kind", "speaker", "attribution_source"]
 
 
 def segment_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.quote_segments(chapters(spark, sf_dir)).drop("attribution_source")
+    return _quoted(spark, sf_dir).drop("attribution_source")
 
 
 def narration_merge(spark: SparkSession, sf_dir: str) -> DataFrame:

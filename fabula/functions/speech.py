@@ -27,11 +27,12 @@ NON_NAMES = tuple(
 # Capitalised words that are common inside sentences.
 COMMON_CAPITALS = tuple(
     "The There Their They These This That Those Then Than When Where What Which While Who How Here His Her Its Our But And For Not All Can Has Had Was Were Are Did "
-    "Does May Most Much Many Some Just Also From Into With After Before About Still Even Only Very Each Every Both Such Instead Mostly Sunburn Looking Glancing".split()
+    "Does May Most Much Many Some Just Also From Into With After Before About Still Even Only Very Each Every Both Such Instead Mostly".split()
 )
 
 OPEN, CLOSE = "", ""  # stand for straight quotes that open and close
 
+# What a speech verb, a name of one to three capitalised words, and their orders look like.
 _VERB = "(?i:" + "|".join(sorted(SPEECH_VERBS, key=lambda v: (-len(v), v))) + ")"
 _NAME = r"((?:[Tt]he\s+)?[A-Z][a-z]+(?:\s+[A-Z][a-z]+){0,2})"
 VERB_NAME = rf"\b{_VERB}\s+{_NAME}"
@@ -41,32 +42,30 @@ VERB_PRONOUN = rf"\b{_VERB}\s+(?i:(he|she))\b"
 
 
 def quote_spans(paragraph: Column) -> Column:
-    """Array of (start, end, kind, text) of a paragraph; blank spans are left out.
+    """Array of the spans of a paragraph, which together are the whole of it: dialogue and what stands between.
 
     A straight quote closes after a letter, digit or sentence mark, else it opens; each is first
     replaced by a sign of its own, so that one pattern cuts the paragraph.  Signs are one character
     long, so positions are running sums of span lengths."""
     marked = F.regexp_replace(paragraph, "([A-Za-z0-9.,!?;…’'])\"", "$1" + CLOSE)
-    marked = F.translate(marked, '"', OPEN)
     pattern = f"[“«{OPEN}][^”»{CLOSE}]*[”»{CLOSE}]?|[^“«{OPEN}]+"
-    spans = F.regexp_extract_all(marked, F.lit(pattern), F.lit(0))
-    starts = F.transform(spans, lambda s, i: F.aggregate(F.slice(spans, F.lit(1), i), F.lit(0), lambda a, x: a + F.length(x)))
+    return F.regexp_extract_all(F.translate(marked, '"', OPEN), F.lit(pattern), F.lit(0))
 
-    def one(span: Column, i: Column) -> Column:
-        spoken = F.substring(span, 1, 1).isin("“", "«", OPEN)
-        bare = F.regexp_replace(F.regexp_replace(span, f"^[“«{OPEN}]", ""), f"[”»{CLOSE}]$", "")
-        text = F.trim(F.translate(F.when(spoken, bare).otherwise(span), OPEN + CLOSE, '""'))
-        start = F.get(starts, i)
-        kind = F.when(spoken, F.lit("dialogue")).otherwise(F.lit("narration"))
-        return F.struct(start.alias("start"), (start + F.length(span)).alias("end"), kind.alias("kind"), text.alias("text"))
 
-    return F.filter(F.transform(spans, one), lambda s: F.length(s["text"]) > 0)
+def is_spoken(span: Column) -> Column:
+    return F.substring(span, 1, 1).isin("“", "«", OPEN)
+
+
+def span_text(span: Column) -> Column:
+    """A span without the quotes around it, inner straight quotes as they were."""
+    bare = F.regexp_replace(F.regexp_replace(span, f"^[“«{OPEN}]", ""), f"[”»{CLOSE}]$", "")
+    return F.trim(F.translate(F.when(is_spoken(span), bare).otherwise(span), OPEN + CLOSE, '""'))
 
 
 def _first_name(context: Column, pattern: str) -> Column:
     names = F.transform(F.regexp_extract_all(context, F.lit(pattern), F.lit(1)), lambda n: F.trim(F.regexp_replace(F.trim(n), r"^(?i:the)\s+", "")))
     words = lambda n: F.split(F.lower(n), r"\s+")
-    good = F.filter(names, lambda n: (F.length(n) >= 2) & ~F.arrays_overlap(words(n), F.array(*[F.lit(w) for w in NON_NAMES])))
+    good = F.filter(names, lambda n: (F.length(n) >= 2) & ~F.arrays_overlap(words(n), F.expr(f"array{NON_NAMES}")))
     return F.get(good, F.lit(0))
 
 

@@ -1,8 +1,9 @@
 """Chapter text to ordered, attributed, timed and speakable segments.
 
 Every operator maps DataFrames to DataFrames.  A segment is a row keyed by (chapter_id, id); order is
-always the column ``id``.  Chapters are independent, so all windows and folds are per chapter and one
-shuffle by chapter_id serves a chain of them.
+always the column ``id``.  Chapters are independent, so all windows, groups and folds are per chapter
+and none joins its input to itself: one shuffle by chapter_id serves a whole chain.  A chapter's lines
+must fit one task, as its text is one value in the sources.
 """
 
 from __future__ import annotations
@@ -10,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from fabula.functions.speech import COMMON_CAPITALS, named_speaker, pause_ms, pronoun_gender, quote_spans
+from fabula.functions.speech import COMMON_CAPITALS, is_spoken, named_speaker, pause_ms, pronoun_gender, quote_spans, span_text
 from fabula.functions.spoken import compared_form, has_scene_break, spoken_text
 
 #: Longest narration that merging may produce.
@@ -25,43 +26,52 @@ def per_chapter(*order: str | Column) -> WindowSpec:
 def quote_segments(chapters: DataFrame) -> DataFrame:
     """(chapter_id, text) to one row for each span of dialogue or narration, not merged: chapter_id, id,
     kind, original_text, speaker, attribution_source, paragraph_index, char_offset_start, char_offset_end."""
-    paragraphs = chapters.select("chapter_id", F.posexplode(F.split("text", "\n", -1)).alias("paragraph_index", "p"))
-    before = per_chapter("paragraph_index").rowsBetween(Window.unboundedPreceding, -1)
-    paragraphs = paragraphs.withColumn("base", F.coalesce(F.sum(F.length("p") + 1).over(before), F.lit(0)))
-    spans = paragraphs.filter(F.trim("p") != "").select("chapter_id", "paragraph_index", "base", F.explode(quote_spans(F.col("p"))).alias("s"))
-    place = per_chapter("paragraph_index", "s.start")
+    return paragraph_segments(chapters.select("chapter_id", F.posexplode(F.split("text", "\n", -1)).alias("paragraph_index", "p")))
+
+
+def paragraph_segments(paragraphs: DataFrame) -> DataFrame:
+    """The same from (chapter_id, paragraph_index, p), paragraphs numbered from 0."""
+    spans = paragraphs.select("chapter_id", "paragraph_index", F.posexplode(quote_spans(F.col("p"))).alias("place", "span"))
+    # Spans tile their paragraphs and one newline follows each, so offsets are sums over the chapter.
+    before = per_chapter("paragraph_index", "place").rowsBetween(Window.unboundedPreceding, -1)
+    start = F.coalesce(F.sum(F.length("span")).over(before), F.lit(0)) + F.col("paragraph_index")
+    spans = spans.select("*", start.cast("int").alias("start"), span_text(F.col("span")).alias("original_text")).filter("original_text <> ''")
+    kind = F.when(is_spoken(F.col("span")), "dialogue").otherwise("narration")
     return spans.select(
         "chapter_id",
-        F.row_number().over(place).alias("id"),
-        F.col("s.kind").alias("kind"),
-        F.col("s.text").alias("original_text"),
-        F.when(F.col("s.kind") == "narration", "narrator").otherwise("unknown").alias("speaker"),
+        F.row_number().over(per_chapter("paragraph_index", "place")).alias("id"),
+        kind.alias("kind"),
+        "original_text",
+        F.when(kind == "narration", "narrator").otherwise("unknown").alias("speaker"),
         F.lit("none").alias("attribution_source"),
         "paragraph_index",
-        (F.col("base") + F.col("s.start")).cast("int").alias("char_offset_start"),
-        (F.col("base") + F.col("s.end")).cast("int").alias("char_offset_end"),
+        F.col("start").alias("char_offset_start"),
+        (F.col("start") + F.length("span")).alias("char_offset_end"),
     )
 
 
 def merge_narration(segments: DataFrame, max_chars: int = MAX_CHARS) -> DataFrame:
     """Join runs of narration with newlines while the result stays within ``max_chars``; ids are given anew.
 
-    Only a run of narration between two lines of dialogue is folded in order, so arrays stay as short
-    as such runs."""
-    run = F.sum((F.col("kind") != "narration").cast("int")).over(per_chapter().rowsBetween(Window.unboundedPreceding, 0))
-    rows = segments.withColumn("run", run)
-    part = F.struct("id", "original_text", "paragraph_index", "char_offset_start", "char_offset_end")
+    A run of narration between two lines of dialogue is folded over its lengths alone, which gives where
+    its merged segments begin; each of them is then joined from its lines at once."""
     spoken = F.col("kind") != "narration"
-    runs = rows.groupBy("chapter_id", "run", spoken.alias("spoken"), F.when(spoken, F.col("id")).alias("one")).agg(
+    run = F.sum(spoken.cast("int")).over(per_chapter().rowsBetween(Window.unboundedPreceding, 0))
+    part = F.struct("id", "original_text", "paragraph_index", "char_offset_start", "char_offset_end")
+    runs = segments.withColumn("run", run).groupBy("chapter_id", "run", spoken.alias("spoken"), F.when(spoken, F.col("id")).alias("one")).agg(
         F.first("kind").alias("kind"), F.first("speaker").alias("speaker"), F.first("attribution_source").alias("attribution_source"), F.array_sort(F.collect_list(part)).alias("parts")
     )
-    merged = F.expr(
-        "aggregate(parts, cast(array() as array<struct<id:int,original_text:string,paragraph_index:int,char_offset_start:int,char_offset_end:int>>), (a, x) -> "
-        f"if(size(a) > 0 and length(a[size(a) - 1].original_text) + length(x.original_text) + 1 <= {max_chars}, "
-        "concat(slice(a, 1, size(a) - 1), array(named_struct('id', a[size(a) - 1].id, 'original_text', concat(a[size(a) - 1].original_text, '\n', x.original_text), "
-        "'paragraph_index', a[size(a) - 1].paragraph_index, 'char_offset_start', a[size(a) - 1].char_offset_start, 'char_offset_end', x.char_offset_end))), concat(a, array(x))))"
+    begins = (
+        "aggregate(transform(parts, x -> length(x.original_text)), named_struct('i', 0, 'chars', -1, 'at', cast(array() as array<int>)), (s, n) -> "
+        f"if(s.chars >= 0 and s.chars + n + 1 <= {max_chars}, named_struct('i', s.i + 1, 'chars', s.chars + n + 1, 'at', s.at), "
+        "named_struct('i', s.i + 1, 'chars', n, 'at', concat(s.at, array(s.i)))), s -> concat(s.at, array(s.i)))"
     )
-    out = runs.select("chapter_id", "kind", "speaker", "attribution_source", F.explode(merged).alias("m"))
+    joined = (
+        "transform(transform(array({b}), b -> transform(sequence(0, size(b) - 2), k -> slice(parts, b[k] + 1, b[k + 1] - b[k])))[0], m -> named_struct('id', m[0].id, "
+        "'original_text', array_join(transform(m, x -> x.original_text), '\n'), 'paragraph_index', m[0].paragraph_index, 'char_offset_start', m[0].char_offset_start, "
+        "'char_offset_end', m[size(m) - 1].char_offset_end))"
+    ).format(b=begins)
+    out = runs.select("chapter_id", "kind", "speaker", "attribution_source", F.explode(F.expr(joined)).alias("m"))
     return out.select(
         "chapter_id", F.row_number().over(per_chapter("m.id")).alias("id"), "kind", F.col("m.original_text").alias("original_text"),
         "speaker", "attribution_source", "m.paragraph_index", "m.char_offset_start", "m.char_offset_end",
@@ -104,54 +114,56 @@ def resolve_pronouns(segments: DataFrame) -> DataFrame:
 
     A speaker's gender is the last one seen in narration beside their explicit lines; male words are
     looked for first."""
-    sides = F.array(F.struct(F.lit(0).alias("side"), _neighbour(1).alias("t")), F.struct(F.lit(1).alias("side"), _neighbour(-1).alias("t")))
-    rows = segments.withColumn("_sides", sides)
-    seen = rows.filter((F.col("attribution_source") == "explicit") & (F.col("speaker") != "narrator")).select("chapter_id", "speaker", "id", F.explode("_sides").alias("s"))
-    low = F.lower("s.t")
-    gender = F.when(_has(low, ("he", "his", "him")), "male").when(_has(low, ("she", "her", "hers")), "female")
-    seen = seen.withColumn("gender", gender).filter("gender is not null")
-    last = seen.groupBy("chapter_id", "speaker").agg(F.max_by("gender", F.struct("id", "s.side")).alias("gender"))
-    only = last.groupBy("chapter_id", F.concat(F.lit("pronoun_"), "gender").alias("attribution_source")).agg(F.count(F.lit(1)).alias("n"), F.first("speaker").alias("_only"))
-    out = rows.drop("_sides").join(only.filter("n = 1").drop("n"), ["chapter_id", "attribution_source"], "left")
-    found = F.col("_only").isNotNull()
-    return out.select(
-        *[
-            F.coalesce("_only", "speaker").alias(c) if c == "speaker" else F.when(found, "turn_taking").otherwise(F.col(c)).alias(c) if c == "attribution_source" else F.col(c)
-            for c in segments.columns
-        ]
-    )
-
-
-_TURN_STATE = "named_struct('p2', cast(null as string), 'p1', cast(null as string), 'streak', 0, 'out', cast(array() as array<struct<id:int,speaker:string,source:string>>))"
+    seen = lambda offset: F.when(_has(F.lower(_neighbour(offset)), ("he", "his", "him")), "male").when(_has(F.lower(_neighbour(offset)), ("she", "her", "hers")), "female")
+    named = (F.col("attribution_source") == "explicit") & (F.col("speaker") != "narrator")
+    rows = segments.withColumn("_seen", F.when(named, F.coalesce(seen(-1), seen(1))))
+    own = Window.partitionBy("chapter_id", "speaker")
+    rows = rows.withColumn("_gender", F.when(named, F.max_by("_seen", F.when(F.col("_seen").isNotNull(), F.col("id"))).over(own)))
+    whole = Window.partitionBy("chapter_id")
+    only = F.lit(None).cast("string")
+    for gender in ("male", "female"):
+        who = F.when(F.col("_gender") == gender, F.col("speaker"))
+        one = F.when(F.min(who).over(whole) == F.max(who).over(whole), F.min(who).over(whole))
+        only = F.when(F.col("attribution_source") == f"pronoun_{gender}", one).otherwise(only)
+    rows = rows.withColumn("_only", only)
+    new = {"speaker": F.coalesce("_only", "speaker"), "attribution_source": F.when(F.col("_only").isNotNull(), "turn_taking").otherwise(F.col("attribution_source"))}
+    return rows.select(*[new.get(c, F.col(f"`{c}`")).alias(c) for c in segments.columns])
+
+
+_TURN_STATE = "named_struct('p2', cast(null as string), 'p1', cast(null as string), 'streak', 0, 'given', cast(null as string))"
 #: One step of the alternation: narration lengthens a streak and two in a row forget the speakers; a
 #: known speaker who is not the last one moves up; an unknown line goes to the last but one, else the last.
-_TURN_STEP = """
-(s, x) -> case
-  when x.kind = 'narration' then named_struct(
-    'p2', if(s.streak + 1 >= 2, cast(null as string), s.p2), 'p1', if(s.streak + 1 >= 2, cast(null as string), s.p1), 'streak', s.streak + 1, 'out', s.out)
-  when x.kind <> 'dialogue' then named_struct('p2', s.p2, 'p1', s.p1, 'streak', 0, 'out', s.out)
-  when x.speaker <> 'unknown' and x.source <> 'none' then named_struct(
-    'p2', if(s.p1 is null or s.p1 <> x.speaker, s.p1, s.p2), 'p1', x.speaker, 'streak', 0, 'out', s.out)
-  when s.p2 is not null then named_struct(
-    'p2', s.p1, 'p1', s.p2, 'streak', 0, 'out', concat(s.out, array(named_struct('id', x.id, 'speaker', s.p2, 'source', 'turn_taking'))))
-  when s.p1 is not null then named_struct(
-    'p2', s.p2, 'p1', s.p1, 'streak', 0, 'out', concat(s.out, array(named_struct('id', x.id, 'speaker', s.p1, 'source', 'turn_taking'))))
-  else named_struct('p2', s.p2, 'p1', s.p1, 'streak', 0, 'out', s.out) end
-"""
+_TURN_STEP = """case
+  when x.line.kind = 'narration' then named_struct(
+    'p2', if(s.streak >= 1, cast(null as string), s.p2), 'p1', if(s.streak >= 1, cast(null as string), s.p1), 'streak', s.streak + 1, 'given', cast(null as string))
+  when x.line.kind <> 'dialogue' then named_struct('p2', s.p2, 'p1', s.p1, 'streak', 0, 'given', cast(null as string))
+  when x.line.speaker <> 'unknown' and x.line.attribution_source <> 'none' then named_struct(
+    'p2', if(s.p1 is null or s.p1 <> x.line.speaker, s.p1, s.p2), 'p1', x.line.speaker, 'streak', 0, 'given', cast(null as string))
+  when s.p2 is not null then named_struct('p2', s.p1, 'p1', s.p2, 'streak', 0, 'given', s.p2)
+  else named_struct('p2', s.p2, 'p1', s.p1, 'streak', 0, 'given', s.p1) end"""
 
 
 def alternate_speakers(segments: DataFrame) -> DataFrame:
     """Unknown lines of a conversation alternate between its two latest speakers.
 
     The only state that later lines can see is the last two speakers and the length of the current run
-    of narration, so a chapter is folded once over its lines without their text."""
-    line = F.struct("id", "kind", "speaker", F.col("attribution_source").alias("source"))
-    lines = segments.groupBy("chapter_id").agg(F.array_sort(F.collect_list(line)).alias("lines"))
-    turns = lines.select("chapter_id", F.explode(F.expr(f"aggregate(lines, {_TURN_STATE}, {_TURN_STEP}, s -> s.out)")).alias("t"))
-    turns = turns.select("chapter_id", F.col("t.id").alias("id"), F.col("t.speaker").alias("_speaker"), F.col("t.source").alias("_source"))
-    out = segments.join(turns, ["chapter_id", "id"], "left")
-    new = {"speaker": F.coalesce("_speaker", "speaker").alias("speaker"), "attribution_source": F.coalesce("_source", "attribution_source").alias("attribution_source")}
-    return out.select(*[new.get(c, F.col(c)) for c in segments.columns])
+    of narration, so a chapter is folded once over its lines and comes out of the fold as rows again.  The
+    fold runs in blocks of about sqrt(n) lines, each with its own short list of speakers given, so that no
+    list is copied for every line."""
+    line = F.struct("id", F.struct(*[F.col(f"`{c}`") for c in segments.columns]).alias("line"))
+    lines = segments.groupBy("chapter_id").agg(F.array_sort(F.collect_list(line), lambda a, b: a["id"] - b["id"]).alias("lines"))
+    size = "cast(ceil(sqrt(size(lines))) as int)"
+    inner = (
+        f"aggregate(slice(lines, b * {size} + 1, {size}), named_struct('s', o.s, 'out', cast(array() as array<string>)), "
+        f"(a, x) -> transform(array(a.s), s -> transform(array({_TURN_STEP}), t -> named_struct('s', t, 'out', concat(a.out, array(t.given))))[0])[0])"
+    )
+    given = (
+        f"aggregate(sequence(0, (size(lines) - 1) div {size}), named_struct('s', {_TURN_STATE}, 'out', cast(array() as array<string>)), "
+        f"(o, b) -> transform(array({inner}), t -> named_struct('s', t.s, 'out', concat(o.out, t.out)))[0], o -> o.out)"
+    )
+    turns = lines.select("chapter_id", F.explode(F.expr(f"zip_with(lines, {given}, (l, g) -> named_struct('line', l.line, 'given', g))")).alias("t"))
+    new = {"chapter_id": F.col("chapter_id"), "speaker": F.coalesce("t.given", "t.line.speaker"), "attribution_source": F.when(F.col("t.given").isNotNull(), "turn_taking").otherwise(F.col("t.line.attribution_source"))}
+    return turns.select(*[new.get(c, F.col(f"t.line.`{c}`")).alias(c) for c in segments.columns])
 
 
 def resolve_sole_character(segments: DataFrame) -> DataFrame:
@@ -173,18 +185,18 @@ def character_registry(segments: DataFrame) -> DataFrame:
     segments, male_votes, female_votes.  Narration beside a line votes for a gender, or both, by its pronouns."""
     votes = lambda p: sum((F.coalesce(_neighbour(o).rlike(rf"(?i)\b({p})\b"), F.lit(False)).cast("int") for o in (1, -1)), F.lit(0))
     rows = segments.select("chapter_id", "id", "kind", "speaker", votes("he|him|his").alias("m"), votes("she|her|hers").alias("f"))
-    cast = rows.filter((F.col("kind") == "dialogue") & ~F.col("speaker").isin("unknown", "narrator")).groupBy("chapter_id", F.col("speaker").alias("name")).agg(
-        F.count(F.lit(1)).alias("segments"), F.sum("m").alias("male_votes"), F.sum("f").alias("female_votes"), F.min("id").alias("seen")
+    named = (F.col("kind") == "dialogue") & ~F.col("speaker").isin("unknown", "narrator")
+    zero = F.lit(0)
+    # Every row counts for the narrator of its chapter, who is there without a line as well, and named ones for their speaker.
+    speaks = F.struct(F.col("speaker").alias("name"), F.lit(1).alias("n"), "m", "f", F.col("id").alias("seen"))
+    tells = F.struct(F.lit("narrator").alias("name"), (F.col("speaker") == "narrator").cast("int").alias("n"), zero.alias("m"), zero.alias("f"), zero.alias("seen"))
+    each = rows.select("chapter_id", F.explode(F.when(named, F.array(tells, speaks)).otherwise(F.array(tells))).alias("c"))
+    cast = each.groupBy("chapter_id", F.col("c.name").alias("name")).agg(
+        F.sum("c.n").alias("segments"), F.sum("c.m").alias("male_votes"), F.sum("c.f").alias("female_votes"), F.min("c.seen").alias("seen")
     )
-    gender = F.when(F.col("male_votes") > F.col("female_votes"), "male").when(F.col("female_votes") > F.col("male_votes"), "female").otherwise("unknown")
-    cast = cast.withColumn("gender", gender)
-    voice = rows.groupBy("chapter_id").agg(F.count_if(F.col("speaker") == "narrator").alias("segments")).select(
-        "chapter_id", F.lit("narrator").alias("name"), "segments", F.lit(0).cast("long").alias("male_votes"), F.lit(0).cast("long").alias("female_votes"),
-        F.lit(0).alias("seen"), F.lit("neutral").alias("gender"),
-    )
-    both = cast.unionByName(voice)
+    gender = F.when(F.col("seen") == 0, "neutral").when(F.col("male_votes") > F.col("female_votes"), "male").when(F.col("female_votes") > F.col("male_votes"), "female").otherwise("unknown")
     place = F.row_number().over(per_chapter("seen")) - 1
-    return both.select("chapter_id", place.alias("position"), "name", "gender", "segments", "male_votes", "female_votes")
+    return cast.select("chapter_id", place.alias("position"), "name", gender.alias("gender"), "segments", "male_votes", "female_votes")
 
 
 def assign_pauses(segments: DataFrame) -> DataFrame:
