@@ -213,7 +213,7 @@ def scene_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def candidate_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").filter("lang = 'de'")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     rows = docs.select(F.col("doc_id").alias("chapter_id"), F.lit(1).alias("id"), F.lit("narration").alias("kind"), F.regexp_replace("text", "[.,] ", " ").alias("original_text"))
     return S.candidate_names(rows)
 
@@ -291,7 +291,7 @@ found AS (
   UNION SELECT DISTINCT chapter_id, batch, n FROM scene, (SELECT unnest(['Asher', 'Ursula', 'Marcus']) AS n) WHERE regexp_matches(original_text, '\\b' || n || '\\b'))
 SELECT b.chapter_id, b.batch, coalesce(string_agg(f.name, ',' ORDER BY f.name), '') AS candidates FROM bounds b LEFT JOIN found f USING (chapter_id, batch) GROUP BY 1, 2""",
     "candidate_names": f"""
-WITH t AS (SELECT doc_id, string_split_regex(regexp_replace(text, '[.,] ', ' ', 'g'), '\\s') AS l FROM documents WHERE lang = 'de'),
+WITH t AS (SELECT doc_id, string_split_regex(regexp_replace(text, '[.,] ', ' ', 'g'), '\\s') AS l FROM documents),
 words AS (
   SELECT doc_id, k AS pos, regexp_extract(l[k], '^[A-Z][a-z]{{2,}}') AS name FROM (SELECT doc_id, l, unnest(range(2, len(l) + 1)) AS k FROM t)
   WHERE regexp_matches(l[k], '^[A-Z][a-z]{{2,}}') AND regexp_matches(l[k - 1], '[a-z.,;!?’]$')),

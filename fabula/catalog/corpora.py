@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from fabula.operators import corpus as C
 from fabula.operators import selection as L
 
-LABELS = ("Jason", "Rufus", "Training Rufus", "Phoebe Geller", "Phoebe", "Geller", "unknown", "Ventress", "Jason Ventress")
+LABELS = ("Edwin", "Tobias", "Training Tobias", "Clara Winslow", "Clara", "Winslow", "unknown", "Marlow", "Edwin Marlow")
 PICK = "(conv_id * 4 + turn * 2) % 9"
 SPEAKER = "case when role = 'system' then 'narrator' " + " ".join(f"when {PICK} = {k} then '{n}'" for k, n in enumerate(LABELS)) + " end"
 KIND = "case when role = 'system' then 'narration' when turn % 6 = 5 then 'heading' else 'dialogue' end"
@@ -55,14 +55,14 @@ def votes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def registry(spark: SparkSession) -> DataFrame:
-    rows = [(1, "Rufus", "female", 0.9), (1, "Phoebe", "male", 0.4), (2, "Jason", "unknown", 0.99), (2, "Geller", "female", 0.6), (3, "Ventress", "male", 0.75)]
+    rows = [(1, "Tobias", "female", 0.9), (1, "Clara", "male", 0.4), (2, "Edwin", "unknown", 0.99), (2, "Winslow", "female", 0.6), (3, "Marlow", "male", 0.75)]
     return spark.createDataFrame(rows, "book_id long, name string, gender string, confidence double")
 
 
-REGISTRY = "(VALUES (1, 'Rufus', 'female', 0.9), (1, 'Phoebe', 'male', 0.4), (2, 'Jason', 'unknown', 0.99), (2, 'Geller', 'female', 0.6), (3, 'Ventress', 'male', 0.75)) r(book_id, name, gender, confidence)"
+REGISTRY = "(VALUES (1, 'Tobias', 'female', 0.9), (1, 'Clara', 'male', 0.4), (2, 'Edwin', 'unknown', 0.99), (2, 'Winslow', 'female', 0.6), (3, 'Marlow', 'male', 0.75)) r(book_id, name, gender, confidence)"
 
 #: Prose in which surnames follow first names, a number of times that differs by customer.
-PROSE = "case c_custkey % 5 when 0 then 'When Jason Ventress came' when 1 then 'Then Phoebe Geller and Rufus Geller sat' when 2 then 'So Rufus Remore said' when 3 then 'and Jason Asano left' else 'with Gary Xandier' end"
+PROSE = "case c_custkey % 5 when 0 then 'When Edwin Marlow came' when 1 then 'Then Clara Winslow and Tobias Winslow sat' when 2 then 'So Tobias Remore said' when 3 then 'and Edwin Asano left' else 'with Gary Xandier' end"
 
 
 def prose(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -101,16 +101,15 @@ def load_segments_words(spark, sf_dir):
     return segments(spark, sf_dir)
 
 
-def _words(spark, sf_dir, whole=False):
-    """A word for each space-separated part of every turn, or of its first 200 letters."""
-    text = F.col("text") if whole else F.substring("text", 1, 200)
-    r = raw(spark, sf_dir).select("book_id", "chapter_number", F.col("id").alias("segment_id"), F.posexplode(F.split(text, " ")).alias("idx", "word"))
+def _words(spark, sf_dir):
+    """A word for each space-separated part of every turn."""
+    r = raw(spark, sf_dir).select("book_id", "chapter_number", F.col("id").alias("segment_id"), F.posexplode(F.split("text", " ")).alias("idx", "word"))
     start = F.col("segment_id") * 100.0 + F.col("idx") * 0.5
     return r.select("book_id", "chapter_number", "segment_id", "idx", start.alias("start"), (start + F.length("word") * 0.05).alias("end"), (F.pmod(F.length("word") * 7 + F.col("idx") * 3, F.lit(97)) / F.lit(97.0)).alias("score"))
 
 
 WORDS = """
-WITH r AS (SELECT conv_id % 3 + 1 AS book_id, conv_id AS chapter_number, turn AS segment_id, string_split(substr(coalesce(text, ''), 1, 200), ' ') AS w FROM conversations),
+WITH r AS (SELECT conv_id % 3 + 1 AS book_id, conv_id AS chapter_number, turn AS segment_id, string_split(coalesce(text, ''), ' ') AS w FROM conversations),
 words AS (SELECT book_id, chapter_number, segment_id, i AS idx, segment_id * 100.0::DOUBLE + i * 0.5::DOUBLE AS start, segment_id * 100.0::DOUBLE + i * 0.5::DOUBLE + length(w[i + 1]) * 0.05::DOUBLE AS stop,
   ((length(w[i + 1]) * 7 + i * 3) % 97) / 97.0::DOUBLE AS score FROM (SELECT *, unnest(range(0, len(w))) AS i FROM r)),
 spans AS (SELECT book_id, chapter_number, segment_id, min_by(start, idx) AS start, max_by(stop, idx) AS "end", count(*) AS words, round(avg(score), 3) AS mean_score,
@@ -122,10 +121,6 @@ def align_spans(spark, sf_dir):
     return C.align_spans(_words(spark, sf_dir))
 
 
-def align_spans_whole(spark, sf_dir):
-    return C.align_spans(_words(spark, sf_dir, whole=True))
-
-
 def _health(w):
     d = w.groupBy("book_id", "chapter_number").agg((F.max("segment_id") * 100.0 + 119.37).alias("audio_s"))
     return C.align_health(w, d)
@@ -135,10 +130,6 @@ def align_health(spark, sf_dir):
     return _health(_words(spark, sf_dir))
 
 
-def align_health_whole(spark, sf_dir):
-    return _health(_words(spark, sf_dir, whole=True))
-
-
 def rebuild_characters(spark, sf_dir):
     return C.rebuild_characters(segments(spark, sf_dir), votes(spark, sf_dir))
 
@@ -259,7 +250,7 @@ def best_clip_per_emotion(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
-        load_segments_words, align_spans, align_health, align_spans_whole, align_health_whole, rebuild_characters, gender_override, annotation_carry, upsert_books, replace_chapters, surname_owners, alias_derive,
+        load_segments_words, align_spans, align_health, rebuild_characters, gender_override, annotation_carry, upsert_books, replace_chapters, surname_owners, alias_derive,
         alias_apply, label_stats_having, registry_guard, fts_phrase, evidence_bundle, corpus_stats, top_speakers, marker_diff, chapter_spec, clip_select, clip_spread,
         clip_manifest, voicebank, training_budget, zscore_profile, best_clip_per_emotion,
     )

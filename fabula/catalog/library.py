@@ -46,7 +46,7 @@ def judging_client(prompt: str) -> str:
     if k == 2:
         raise ConnectionError("refused")
     return (
-        '{"is_character": true, "canonical": "Jason", "gender": male, "confidence": 0.9, "reason": "r"}',
+        '{"is_character": true, "canonical": "Edwin", "gender": male, "confidence": 0.9, "reason": "r"}',
         '{"is_character": "FALSE", "canonical": null, "gender": "other", "confidence": "high", "reason": null}',
         "",
         '{"is_character": "maybe", "canonical": "", "gender": "female", "confidence": 7, "reason": "' + "x" * 400 + '"}',
@@ -196,7 +196,7 @@ SELECT m.chapter_id, m.id, CASE WHEN ok THEN {list(models.EMOTIONS)}[m.id % 11 +
 FROM merged m LEFT JOIN f USING (chapter_id, id)""",
     "registry_verdicts": K.PRELUDE + """
 , s AS (SELECT book_id, speaker AS name, count(*) AS lines, length(speaker) % 5 AS k FROM segments WHERE kind = 'dialogue' AND speaker NOT IN ('narrator', 'unknown') GROUP BY 1, 2 HAVING count(*) >= 2)
-SELECT book_id, name, lines, CASE k WHEN 0 THEN true WHEN 1 THEN false END AS is_character, CASE k WHEN 0 THEN 'Jason' END AS canonical, CASE k WHEN 0 THEN 'male' WHEN 3 THEN 'female' ELSE 'unknown' END AS gender,
+SELECT book_id, name, lines, CASE k WHEN 0 THEN true WHEN 1 THEN false END AS is_character, CASE k WHEN 0 THEN 'Edwin' END AS canonical, CASE k WHEN 0 THEN 'male' WHEN 3 THEN 'female' ELSE 'unknown' END AS gender,
   CASE k WHEN 0 THEN 0.9::DOUBLE WHEN 3 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS confidence, CASE k WHEN 0 THEN 'r' WHEN 2 THEN 'model call failed' WHEN 3 THEN repeat('x', 300) ELSE '' END AS reason FROM s""",
     "registry_apply": K.PRELUDE + K.DERIVED + _GUARD + """
 , llm AS (SELECT book_id, name AS alias, min(canonical) AS canonical FROM k WHERE verdict = 'merge' AND length(name) % 10 >= 6 GROUP BY 1, 2),

@@ -16,7 +16,8 @@ VOICE_FIELDS = ("emotion", "engine", "intensity", "speaker", "speed", "voice")
 
 
 def _sql_array(values) -> str:
-    return "array(" + ", ".join(f"'{v}'" for v in values) + ")"
+    said = lambda v: v.replace("\\", "\\\\").replace("'", "\\'")
+    return "array(" + ", ".join(f"'{said(v)}'" for v in values) + ")"
 
 
 def autocast(speakers: DataFrame) -> DataFrame:
@@ -98,19 +99,31 @@ def hashed_cast(speakers: DataFrame, bank: DataFrame, forced: DataFrame | None =
     return out.select("job_id", "c.speaker", "c.voice")
 
 
-def fingerprint(text: Column, **voice: Column) -> Column:
-    """16 hex digits of the SHA-256 of canonical JSON (sorted keys) of a render's text and settings; nulls are left out."""
+def _json_text(value: Column) -> Column:
+    """A JSON string: quotes, backslashes and control characters escaped, all else as it is."""
+    names = {8: "b", 9: "t", 10: "n", 12: "f", 13: "r"}
+    out = F.regexp_replace(value, r'([\\"])', r"\\$1")
+    for code in range(32):
+        out = F.replace(out, F.lit(chr(code)), F.lit("\\" + names.get(code, f"u{code:04x}")))
+    return F.concat(F.lit('"'), out, F.lit('"'))
+
 
-    def quoted(c: Column) -> Column:
-        out = F.regexp_replace(F.regexp_replace(c, r"\\", r"\\\\"), '"', '\\\\"')
-        for char, code in (("\n", "n"), ("\t", "t"), ("\r", "r")):
-            out = F.regexp_replace(out, char, rf"\\{code}")
-        return F.concat(F.lit('"'), out, F.lit('"'))
+def _json_number(value: Column) -> Column:
+    """A JSON number in its shortest form: in figures from 1e-4 up to 1e16, else with an exponent of two digits or more."""
+    shown, size = value.cast("string"), F.abs(value.cast("double"))
+    figures = F.regexp_replace(F.regexp_replace(value.cast("decimal(38,20)").cast("string"), "0+$", ""), r"\.$", ".0")
+    power = F.regexp_extract(shown, r"E(-?\d+)$", 1).cast("int")
+    sign = F.when(power < 0, "-").otherwise("+")
+    exponent = F.concat(F.regexp_replace(F.regexp_extract(shown, "^([^E]+)E", 1), r"\.0$", ""), F.lit("e"), sign, F.lpad(F.abs(power).cast("string"), 2, "0"))
+    return F.when(~F.contains(shown, F.lit("E")), shown).when((size >= 1e-4) & (size < 1e16), figures).otherwise(exponent)
 
+
+def fingerprint(text: Column, **voice: Column) -> Column:
+    """16 hex digits of the SHA-256 of canonical JSON (sorted keys) of a render's text and settings; nulls are left out."""
     parts = []
     for key in sorted((*voice, "text")):
         value = F.coalesce(text, F.lit("")) if key == "text" else voice[key]
-        shown = value.cast("string") if key in ("intensity", "speed") else quoted(value)
+        shown = _json_number(value) if key in ("intensity", "speed") else _json_text(value)
         parts.append(F.when(value.isNotNull(), F.concat(F.lit(f'"{key}": '), shown)))
     return F.substring(F.sha2(F.concat(F.lit("{"), F.concat_ws(", ", *parts), F.lit("}")), 256), 1, 16)
 

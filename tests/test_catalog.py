@@ -57,7 +57,7 @@ def test_order_of_input_does_not_matter(spark):
 def test_whole_turns_are_aligned(spark, tmp_path):
     texts = ["ab cde " * 60 + "end", "short one", None, "x" * 250 + " tail"]
     spark.createDataFrame([(7, k, "user", t) for k, t in enumerate(texts)], "conv_id long, turn long, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
-    got = {r.segment_id: r for r in QUERIES["align_spans_whole"](spark, str(tmp_path)).collect()}
+    got = {r.segment_id: r for r in QUERIES["align_spans"](spark, str(tmp_path)).collect()}
     score, speech = [], 0.0
     for k, t in enumerate(texts):
         words = (t or "").split(" ")
@@ -66,7 +66,7 @@ def test_whole_turns_are_aligned(spark, tmp_path):
         assert got[k].words == len(words) and abs(got[k].mean_score - sum(own) / len(own)) < 6e-4
         assert got[k].start == k * 100 and abs(got[k].duration - length) < 1e-6
         score, speech = score + own, speech + length
-    (h,) = QUERIES["align_health_whole"](spark, str(tmp_path)).collect()
+    (h,) = QUERIES["align_health"](spark, str(tmp_path)).collect()
     assert h.word_count == len(score) and h.low_confidence_words == sum(s < 0.5 for s in score)
     assert abs(h.speech_ratio - speech / (300 + 119.37)) < 1e-4
 
@@ -79,7 +79,7 @@ def test_whole_texts_are_normalised(spark, tmp_path):
     assert spoken[4] == f"{lead}. Thee end and three out of four of it"
     assert spoken[6] == "Item: A ring of old silver worth its weight Q9, rank twenty-three out of four"
     assert spoken[7] == f"{lead}. last"
-    breaks = {r.doc_id: r for r in QUERIES["normalise_scene_breaks_whole"](spark, str(tmp_path)).collect()}
+    breaks = {r.doc_id: r for r in QUERIES["normalise_scene_breaks"](spark, str(tmp_path)).collect()}
     assert breaks[4].had_break and breaks[4].kept == f"{lead}\nThe end & 3/4 of [it]"
     assert not breaks[6].had_break
     assert breaks[7].had_break and breaks[7].kept == f"Effect: ??\n{lead}\nlast"
