@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import functools
-import itertools
 import math
 import unicodedata
 from collections import Counter
@@ -63,26 +61,37 @@ def folded(text: str | None) -> str:
     return " " + (text or "").lower().translate(_FOLD) + " "
 
 
-@functools.lru_cache(maxsize=200_000)
-def _forms(word: str) -> tuple[str, ...]:
+#: Forms that a task counts before it hands the counts on.
+TASK_FORMS = 200_000
+
+
+def _forms(word: str) -> list[str]:
     """What an entry may be for a word: its beginnings, and itself with the space after it."""
-    whole = (word + " ",) if len(word) <= MAX_PREFIX else ()
-    return (*(word[:n] for n in range(MIN_PREFIX, min(MAX_PREFIX, len(word)) + 1)), *whole)
+    whole = [word + " "] if len(word) <= MAX_PREFIX else []
+    return [word[:n] for n in range(MIN_PREFIX, min(MAX_PREFIX, len(word)) + 1)] + whole
 
 
-def _form_counts(batches):
-    """How many toxic and other documents of a partition have each form of a word."""
-    counts: tuple[Counter, Counter] = (Counter(), Counter())
-    seen: tuple[int, int] = (0, 0)
+def _form_counts(batches, known: frozenset[str] | None = None):
+    """In how many documents of a partition each form occurs, of all forms or of the ``known``."""
+    counts: Counter = Counter()
+    memo: dict[str, list[str]] = {}
     for batch in batches:
-        for text, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist(), strict=True):
-            counts[toxic].update(set(itertools.chain.from_iterable(map(_forms, {w[: MAX_PREFIX + 1] for w in folded(text).split()}))))
-            seen = (seen[0] + (not toxic), seen[1] + toxic)
-    forms = list(counts[0].keys() | counts[1].keys())
-    yield pa.RecordBatch.from_arrays(
-        [pa.array([*forms, ""], pa.string()), pa.array([*(counts[1][w] for w in forms), seen[1]], pa.int64()), pa.array([*(counts[0][w] for w in forms), seen[0]], pa.int64())],
-        ["entry", "toxic", "other"],
-    )
+        for text in batch.column("text").to_pylist():
+            own: set[str] = set()
+            for word in {w[: MAX_PREFIX + 1] for w in folded(text).split()}:
+                if known is None:
+                    own.update(_forms(word))
+                    continue
+                if word not in memo:
+                    if len(memo) >= TASK_FORMS:
+                        memo.clear()
+                    memo[word] = [f for f in _forms(word) if f in known]
+                own.update(memo[word])
+            counts.update(own)
+            if len(counts) > TASK_FORMS:
+                yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], ["entry", "n"])
+                counts = Counter()
+    yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], ["entry", "n"])
 
 
 def _entries(table: list, n_toxic: int, n_other: int) -> dict[str, float]:
@@ -166,12 +175,17 @@ def learn(labelled: DataFrame, max_rows: int = MAX_TRAIN_ROWS) -> Lexicon:
     rows = labelled.filter("text is not null and toxic is not null").select("doc_id", "text", F.col("toxic").cast("int").alias("toxic"))
     ids = rows.select("doc_id", F.xxhash64("doc_id").alias("h")).distinct().orderBy("h", "doc_id").limit(max_rows).select("doc_id")
     sample = rows.join(F.broadcast(ids), "doc_id", "left_semi").withColumn("h", F.xxhash64("text")).dropDuplicates(["h"]).select("text", "toxic")
-    counts = sample.mapInArrow(_form_counts, "entry string, toxic long, other long").groupBy("entry").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other"))
-    counts = written(counts, "entries")
-    total = counts.filter("entry = ''").select("toxic", "other").first()
-    n_toxic, n_other = (total["toxic"], total["other"]) if total else (0, 0)
-    odds = (F.col("toxic") + 0.5) / (n_toxic + 1) / ((F.col("other") + 0.5) / (n_other + 1))
-    table = counts.filter((F.col("entry") != "") & (F.col("toxic") >= MIN_SUPPORT) & (odds >= MIN_ODDS)).collect()  # entries of ``max_rows`` texts at most
+    sample = written(sample, "labelled")  # ``max_rows`` texts at most
+    seen = {r["toxic"]: r["n"] for r in sample.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
+    n_toxic, n_other = seen.get(1, 0), seen.get(0, 0)
+    # Forms that enough toxic texts have; in the other texts only these are counted.
+    toxic = sample.filter("toxic = 1").mapInArrow(_form_counts, "entry string, n long").groupBy("entry").agg(F.sum("n").alias("toxic"))
+    toxic = {r["entry"]: r["toxic"] for r in toxic.filter(F.col("toxic") >= MIN_SUPPORT).collect()}  # forms of ``max_rows`` texts at most
+    known = sample.sparkSession.sparkContext.broadcast(frozenset(toxic))
+    other = sample.filter("toxic = 0").mapInArrow(lambda b: _form_counts(b, known.value), "entry string, n long").groupBy("entry").agg(F.sum("n").alias("other"))
+    other = {r["entry"]: r["other"] for r in other.collect()}  # some of the same forms
+    odds = lambda e: (toxic[e] + 0.5) / (n_toxic + 1) / ((other.get(e, 0) + 0.5) / (n_other + 1))
+    table = [{"entry": e, "toxic": n, "other": other.get(e, 0)} for e, n in toxic.items() if odds(e) >= MIN_ODDS]
     weights = dict.fromkeys(SEED_WORDS, math.log(MIN_ODDS)) | _entries(table, n_toxic, n_other)
     lexicon = Lexicon(weights)
 
