@@ -156,14 +156,27 @@ def timeline(clips: DataFrame, crossfade_ms: int = 50) -> DataFrame:
     """When each clip (job_id, id, pause_before_ms, duration_ms) starts in the assembled audio.
 
     A pause is silence before a clip; without one the clip overlaps the end of what stands there, if that
-    is longer than the overlap.  The length so far decides, so a job's clips are folded in order."""
-    row = F.struct("id", F.col("pause_before_ms").alias("p"), F.col("duration_ms").alias("d"))
-    jobs = clips.groupBy("job_id").agg(F.array_sort(F.collect_list(row)).alias("c"))
-    start = f"case when x.p > 0 then s.at + x.p when s.at > {crossfade_ms} and {crossfade_ms} > 0 then s.at - {crossfade_ms} else s.at end"
-    step = f"(s, x) -> named_struct('at', {start} + x.d, 'out', concat(s.out, array(named_struct('id', x.id, 'start', {start}))))"
-    zero = "named_struct('at', 0L, 'out', cast(array() as array<struct<id:bigint,start:bigint>>))"
-    out = jobs.select("job_id", F.expr(f"aggregate(transform(c, x -> named_struct('id', bigint(x.id), 'p', bigint(x.p), 'd', bigint(x.d))), {zero}, {step})").alias("r"))
-    return out.select("job_id", F.col("r.at").alias("total_ms"), F.explode("r.out").alias("o")).select("job_id", "o.id", F.col("o.start").alias("start_ms"), "total_ms")
+    is longer than the overlap.  The length so far decides, so a job's clips stream past one running number,
+    in order of id; nothing of a job is held."""
+    import pandas as pd
+
+    def run(batches):
+        job, at = None, 0
+        for batch in batches:
+            starts, stops = [], []
+            for j, pause, long in zip(batch["job_id"].tolist(), batch["p"].tolist(), batch["d"].tolist()):
+                at = 0 if j != job else at
+                job = j
+                start = at + pause if pause > 0 else at - crossfade_ms if at > crossfade_ms > 0 else at
+                at = start + long
+                starts.append(start)
+                stops.append(at)
+            yield pd.DataFrame({"job_id": batch["job_id"], "id": batch["id"], "start_ms": starts, "stop": stops})
+
+    rows = clips.select("job_id", F.col("id").cast("long").alias("id"), *[F.coalesce(F.col(c).cast("long"), F.lit(0)).alias(a) for c, a in (("pause_before_ms", "p"), ("duration_ms", "d"))])
+    kind = clips.schema["job_id"].dataType.simpleString()
+    out = rows.repartition("job_id").sortWithinPartitions("job_id", "id").mapInPandas(run, f"job_id {kind}, id long, start_ms long, stop long")
+    return out.select("job_id", "id", "start_ms", F.max_by("stop", "id").over(Window.partitionBy("job_id")).alias("total_ms"))
 
 
 def segment_view(segments: DataFrame, qa: DataFrame, ledger: DataFrame, failed: bool = False, speaker: str | None = None) -> DataFrame:
@@ -211,8 +224,16 @@ def best_take(takes: DataFrame, enough: float = 0.95, rerolls: int = 3) -> DataF
 
 
 def bench_stats(runs: DataFrame) -> DataFrame:
-    """Per case: segments, seconds, audio, real-time factor, upper median and longest."""
-    per = F.array_sort(F.collect_list("elapsed_s"))
-    out = runs.groupBy("case").agg(F.count(F.lit(1)).alias("segments"), F.round(F.sum("elapsed_s"), 3).alias("wall_s"), F.round(F.sum("audio_s"), 3).alias("audio_s"), per.alias("p"))
-    half = F.get("p", F.floor(F.size("p") / 2).cast("int"))
-    return out.select("case", "segments", "wall_s", "audio_s", F.round(F.col("wall_s") / F.col("audio_s"), 3).alias("rtf"), half.alias("median_s"), F.element_at("p", -1).alias("max_s"))
+    """Per case: segments, seconds, audio, real-time factor, upper median and longest.
+
+    Times are counted by value first; the median is the first value whose running count goes beyond half."""
+    per = runs.groupBy("case", "elapsed_s").agg(F.count(F.lit(1)).alias("n"), F.sum("audio_s").alias("audio_s"))
+    timed = F.when(F.col("elapsed_s").isNotNull(), F.col("n")).otherwise(0)
+    upto = F.sum(timed).over(Window.partitionBy("case").orderBy("elapsed_s").rowsBetween(Window.unboundedPreceding, 0))
+    every = F.sum(timed).over(Window.partitionBy("case"))
+    per = per.withColumn("upper", upto > F.floor(every / 2))
+    out = per.groupBy("case").agg(
+        F.sum("n").alias("segments"), F.round(F.sum(F.col("elapsed_s") * F.col("n")), 3).alias("wall_s"), F.round(F.sum("audio_s"), 3).alias("audio_s"),
+        F.min(F.when(F.col("upper"), F.col("elapsed_s"))).alias("median_s"), F.max("elapsed_s").alias("max_s"),
+    )
+    return out.select("case", "segments", "wall_s", "audio_s", F.round(F.col("wall_s") / F.col("audio_s"), 3).alias("rtf"), "median_s", "max_s")

@@ -92,14 +92,19 @@ def training_set(segments: DataFrame, budget_s: float, min_score: float = 0.93,
     return out.drop("_in", "_before")
 
 
+def profile_clips(segments: DataFrame, min_score: float = 0.93, min_words: int = 8, low: float = 2.5, high: float = 15.0) -> DataFrame:
+    """Aligned dialogue that is long and sure enough to measure a delivery by."""
+    good = (F.col("align_score") >= min_score) & (F.col("word_count") >= min_words) & F.col("duration_s").between(low, high)
+    return segments.filter((F.col("kind") == "dialogue") & F.col("audio_start_s").isNotNull() & good)
+
+
 def z_profile(measures: DataFrame, columns: list[str]) -> DataFrame:
     """Add ``subdued`` and ``intense``: minus and plus the mean of the columns' z-scores (deviation 0 counts as 1)."""
-    m = measures.agg(*[f(c).alias(f"{n}_{c}") for c in columns for n, f in (("m", F.avg), ("s", F.stddev_pop))]).first()  # one row
-    rows = measures
-    z = [(F.col(c) - F.lit(m[f"m_{c}"])) / F.lit(m[f"s_{c}"] or 1.0) for c in columns]
+    stats = measures.agg(F.struct(*[f(c).alias(f"{n}_{c}") for c in columns for n, f in (("m", F.avg), ("s", F.stddev_pop))])).scalar()
+    spread = lambda c: F.coalesce(F.nullif(stats[f"s_{c}"], F.lit(0.0)), F.lit(1.0))
+    z = [(F.col(c) - stats[f"m_{c}"]) / spread(c) for c in columns]
     mean = sum(z[1:], z[0]) / len(z)
-    out = rows.withColumn("subdued", F.round(-mean, 3)).withColumn("intense", F.round(mean, 3))
-    return out.select(*measures.columns, "subdued", "intense")
+    return measures.select("*", F.round(-mean, 3).alias("subdued"), F.round(mean, 3).alias("intense"))
 
 
 def best_clip_per_emotion(clips: DataFrame, min_clips: int = 3, top: int = 8) -> DataFrame:

@@ -4,9 +4,12 @@ Running a pipeline only builds a plan: Spark optimises all of its stages togethe
 
 from __future__ import annotations
 
+import importlib
+import pkgutil
 import time
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass
+from types import ModuleType
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -44,6 +47,14 @@ def register(stage: Stage) -> Stage:
     return stage
 
 
+def discover(package: ModuleType) -> list[str]:
+    """Import the modules of ``package``, so that their stages register; names with a leading underscore and ``base`` are skipped."""
+    found = [m.name for m in pkgutil.iter_modules(package.__path__) if not m.name.startswith("_") and m.name != "base"]
+    for name in found:
+        importlib.import_module(f"{package.__name__}.{name}")
+    return found
+
+
 def registered(name: str) -> Stage:
     if name not in REGISTRY:
         raise KeyError(f"no stage named {name!r}; there are {', '.join(sorted(REGISTRY))}")

@@ -147,3 +147,43 @@ def write_manifest(rows: DataFrame, path: str, sep: str = ",", header: bool = Tr
 def not_done(wanted: DataFrame, done: DataFrame, key: list[str]) -> DataFrame:
     """Work whose results are not there yet."""
     return wanted.join(done.select(*key).distinct(), key, "left_anti")
+
+
+def voice_profiles(texts: DataFrame) -> DataFrame:
+    """Settings of voice casts, rows (cast, text) of YAML with ``voices:``, names two spaces in and settings four:
+    cast, speaker, key, value.  Comments, quotes around values and other top-level parts are left out.
+
+    One row is one cast file, written by hand; its lines are read in order within that row."""
+    line = F.regexp_replace("line", r"(^|\s+)#.*$|\s+$", "")
+    rows = texts.select("cast", F.posexplode(F.split("text", "\r?\n")).alias("at", "line")).withColumn("line", line).filter("line <> ''")
+    before = Window.partitionBy("cast").orderBy("at")
+    part = F.last(F.nullif(F.regexp_extract("line", r"^(\S[^:]*):", 1), F.lit("")), ignorenulls=True).over(before)
+    name = F.last(F.nullif(F.regexp_extract("line", r"""^ {2}["']?([^ "'][^:"']*)["']?:$""", 1), F.lit("")), ignorenulls=True).over(before)
+    key, value = F.regexp_extract("line", r"^ {4}(\w+):\s*(.*)$", 1), F.regexp_extract("line", r"^ {4}(\w+):\s*(.*)$", 2)
+    out = rows.select("cast", part.alias("part"), name.alias("speaker"), key.alias("key"), F.regexp_replace(value, r"""^(["'])(.*)\1$""", "$2").alias("value"))
+    return out.filter("part = 'voices' and speaker is not null and key <> ''").drop("part")
+
+
+def manifest_entries(texts: DataFrame, fields: str) -> DataFrame:
+    """Entries of manifests that are one JSON object each, rows (source, text): source, name and the ``fields`` (DDL) of each."""
+    kinds = F.from_json("text", f"map<string, struct<{fields}>>")
+    return texts.select("source", F.explode(kinds).alias("name", "e")).select("source", "name", "e.*")
+
+
+def bank_entries(texts: DataFrame) -> DataFrame:
+    """Clips of voice bank manifests ``{"voices": {name: [clip, ...]}}``, rows (source, text): source, voice, place and the clip's fields."""
+    kinds = F.from_json("text", "voices map<string, array<struct<file:string,text:string,align_score:double,duration_s:double,emotion:string>>>")
+    rows = texts.select("source", F.explode(kinds["voices"]).alias("voice", "clips"))
+    return rows.select("source", "voice", F.posexplode("clips").alias("place", "c")).select("source", "voice", "place", "c.*")
+
+
+def backends(config: DataFrame) -> DataFrame:
+    """Engines and their addresses from rows (text) of JSON ``{engine: url or [url, ...]}``: engine, urls."""
+    rows = config.select(F.explode(F.from_json("text", "map<string, string>")).alias("engine", "said"))
+    return rows.select("engine", F.when(F.col("said").startswith("["), F.from_json("said", "array<string>")).otherwise(F.array("said")).alias("urls"))
+
+
+def with_schema(rows: DataFrame, schema: str) -> DataFrame:
+    """A table written by an earlier version, with the columns of ``schema`` (DDL): those it lacks are null, others are left out."""
+    kinds = rows.sparkSession.createDataFrame([], schema).schema
+    return rows.select(*[(F.col(f"`{f.name}`") if f.name in rows.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in kinds])
