@@ -96,7 +96,12 @@ def _parts(path: str, content: bytes) -> Iterator[dict]:
 
 
 def epub_parts(spark: SparkSession, path: str) -> DataFrame:
-    """A row for each spine document of the EPUB files at ``path``: book, pos, html, points (navigation points into it)."""
+    """The parts of the EPUB files at ``path``."""
+    return opened(spark.read.format("binaryFile").option("pathGlobFilter", "*.epub").load(path))
+
+
+def opened(files: DataFrame) -> DataFrame:
+    """A row for each spine document of EPUB ``files`` (path, content): book, pos, html, points (navigation points into it)."""
 
     def run(batches):
         for batch in batches:
@@ -104,7 +109,7 @@ def epub_parts(spark: SparkSession, path: str) -> DataFrame:
                 for part in _parts(book, content):  # one document at a time, however long the book
                     yield pd.DataFrame([part])
 
-    return spark.read.format("binaryFile").option("pathGlobFilter", "*.epub").load(path).select("path", "content").mapInPandas(run, PARTS)
+    return files.select("path", "content").mapInPandas(run, PARTS)
 
 
 @F.pandas_udf(ArrayType(StringType()))
