@@ -17,6 +17,7 @@ from fabula.operators import production as P
 from fabula.sources.pages import page_text as pages_text
 
 EMOTION = "case id % 3 when 0 then 'happy' when 1 then 'sad' else 'neutral' end"
+GENDER = "case speaker when 'narrator' then 'neutral' when 'Clara' then 'female' when 'Clara Winslow' then 'female' when 'Winslow' then 'female' when 'unknown' then 'unknown' when 'Tobias' then 'unknown' else 'male' end"
 STAGES = ("analysis", "synthesis", "assembly", "qa")
 
 
@@ -62,8 +63,7 @@ def redo_segments(spark, sf_dir):
 
 
 def autocast(spark, sf_dir):
-    g = "case speaker when 'narrator' then 'neutral' when 'Clara' then 'female' when 'Clara Winslow' then 'female' when 'Winslow' then 'female' when 'unknown' then 'unknown' when 'Tobias' then 'unknown' else 'male' end"
-    who = jobs(spark, sf_dir).select(F.expr("job_id % 10").alias("job_id"), "speaker", F.expr(g).alias("gender")).distinct()
+    who = jobs(spark, sf_dir).select(F.expr("job_id % 10").alias("job_id"), "speaker", F.expr(GENDER).alias("gender")).distinct()
     return P.autocast(who.withColumn("voice", F.expr("if(speaker = 'Marlow' and job_id % 2 = 0, 'Dylan', null)")))
 
 
@@ -219,6 +219,30 @@ SELECT job_id, id, fingerprint, CASE WHEN reuse THEN 'reuse' ELSE 'todo' END AS
     "redo_segments": PRELUDE + """
 SELECT j.job_id, coalesce(string_agg(CAST(j.id AS VARCHAR), ',' ORDER BY j.id) FILTER (l.id IS NOT NULL), '') AS forgotten, coalesce(string_agg(CAST(j.id AS VARCHAR), ',' ORDER BY j.id) FILTER (l.id IS NULL), '') AS unknown
 FROM j LEFT JOIN ledger l USING (job_id, id) WHERE j.id % 2 = 0 GROUP BY 1""",
+    "autocast": PRELUDE.replace("WITH raw", "WITH RECURSIVE raw", 1) + f"""
+, who AS (SELECT DISTINCT job_id % 10 AS job_id, speaker, {GENDER} AS gender, CASE WHEN speaker = 'Marlow' AND job_id % 2 = 0 THEN 'Dylan' END AS voice FROM jobs),
+asked AS (SELECT job_id, speaker, gender, row_number() OVER (PARTITION BY job_id ORDER BY speaker) AS k FROM who WHERE voice IS NULL AND speaker <> 'narrator'),
+fold AS (
+  SELECT job_id, CAST(0 AS BIGINT) AS k, '' AS speaker, '' AS voice, CASE WHEN bool_or(voice IS NOT NULL) THEN ['Dylan', 'Ryan'] ELSE ['Ryan'] END AS used, CAST(0 AS BIGINT) AS m, CAST(0 AS BIGINT) AS f FROM who GROUP BY 1
+  UNION ALL
+  SELECT job_id, k, speaker, voice, list_append(used, voice), CASE WHEN gender = 'male' THEN m + passed ELSE m END, CASE WHEN gender = 'female' THEN f + passed ELSE f END FROM (
+    SELECT *, coalesce(free[1], turn[1]) AS voice, coalesce(list_position(turn, free[1]), len(turn) + 1) AS passed FROM (
+      SELECT *, [v FOR v IN turn IF NOT list_contains(used, v)] AS free FROM (
+        SELECT a.*, p.used, p.m, p.f, CASE gender WHEN 'male' THEN [{list(P.MALE)}[(p.m + i) % {len(P.MALE)} + 1] FOR i IN range({len(P.MALE)})] WHEN 'female' THEN [{list(P.FEMALE)}[(p.f + i) % {len(P.FEMALE)} + 1] FOR i IN range({len(P.FEMALE)})]
+          ELSE {[P.NEUTRAL, *P.MALE, *P.FEMALE]} END AS turn FROM fold p JOIN asked a ON a.job_id = p.job_id AND a.k = p.k + 1))))
+SELECT job_id, speaker, voice FROM fold WHERE k > 0 UNION ALL SELECT job_id, speaker, coalesce(voice, 'Ryan') FROM who WHERE voice IS NOT NULL OR speaker = 'narrator'""",
+    "hashed_cast": PRELUDE.replace("WITH raw", "WITH RECURSIVE raw", 1) + """
+, who AS (SELECT DISTINCT job_id % 10 AS job_id, speaker FROM jobs WHERE speaker <> 'unknown'),
+spares AS (SELECT job_id, CASE WHEN bool_or(speaker = 'Tobias') THEN ['Karl', 'Otto', 'Vera'] ELSE ['Karl', 'Otto', 'Tobias', 'Vera'] END AS spare FROM who GROUP BY 1),
+hashed AS (SELECT job_id, speaker, spare, row_number() OVER (PARTITION BY job_id ORDER BY speaker) AS k, CAST(list_sum([(strpos('0123456789abcdef', substr(sha256(speaker), i, 1)) - 1) * 16 ** (8 - i) FOR i IN range(1, 9)]) AS BIGINT) % len(spare) AS first
+  FROM who JOIN spares USING (job_id) WHERE speaker NOT IN ('narrator', 'Tobias', 'Marlow')),
+asked AS (SELECT *, [spare[(first + i) % len(spare) + 1] FOR i IN range(len(spare))] AS turn FROM hashed),
+fold AS (
+  SELECT job_id, CAST(0 AS BIGINT) AS k, '' AS speaker, '' AS voice, ['Mina'] AS taken FROM spares
+  UNION ALL
+  SELECT job_id, k, speaker, voice, list_append(taken, voice) FROM (
+    SELECT a.*, p.taken, coalesce([v FOR v IN turn IF NOT list_contains(p.taken, v)][1], turn[1]) AS voice FROM fold p JOIN asked a ON a.job_id = p.job_id AND a.k = p.k + 1))
+SELECT job_id, speaker, voice FROM fold WHERE k > 0 UNION ALL SELECT job_id, speaker, CASE speaker WHEN 'Marlow' THEN 'Mina' ELSE speaker END FROM who WHERE speaker IN ('narrator', 'Tobias', 'Marlow')""",
     "assembly_timeline": PRELUDE.replace("WITH raw", "WITH RECURSIVE raw", 1) + """
 , c AS (SELECT job_id, id, CASE id % 3 WHEN 0 THEN 300 WHEN 1 THEN 0 ELSE 500 END AS p, length(text) * 7 % 900 AS d FROM j),
 f AS (SELECT job_id, id, CAST(p AS BIGINT) AS start, CAST(p + d AS BIGINT) AS stop FROM c WHERE id = 1
