@@ -96,3 +96,37 @@ spans AS (SELECT * FROM base UNION ALL SELECT * FROM h WHERE NOT EXISTS (SELECT
 SELECT doc_id, count(*) FILTER (kind = 0) AS n_assign, count(*) FILTER (kind = 1) AS n_access, count(*) FILTER (kind = 2) AS n_hex,
   sha256(coalesce(string_agg({said}, ',' ORDER BY a, kind) FILTER (kind < 3), '')) AS base_sha256, coalesce(string_agg({said}, ',' ORDER BY a, kind), '') AS spans
 FROM d LEFT JOIN spans USING (r) GROUP BY d.r, doc_id"""
+
+
+_FIELD = "CASE WHEN {x} IS NULL THEN '-' ELSE strlen({x}) || ':' || {x} END"
+
+
+def _leaf(text: str) -> str:
+    fields = ["CAST(doc_id AS VARCHAR)", "source", "lang", "CAST(n_chars AS VARCHAR)", text]
+    return "sha256(" + " || ".join(f"({_FIELD.format(x=x)})" for x in fields) + ")"
+
+
+#: CRC-32 by its table; the trees level by level; then each leaf folded with its siblings, one step at a time.
+MERKLE = f"""
+WITH RECURSIVE crc AS (SELECT list_transform(range(256), lambda n: list_reduce([n] || [0, 0, 0, 0, 0, 0, 0, 0], lambda a, x: CASE WHEN a % 2 = 1 THEN xor(a // 2, 3988292384) ELSE a // 2 END)) AS t),
+d AS (SELECT row_number() OVER () AS r, doc_id, lang, {_leaf("text")} AS leaf, {_leaf(_LOWER.format(x="text"))} AS lowered,
+  coalesce(xor(list_reduce([4294967295] || [ascii(c) FOR c IN string_split(CAST(doc_id AS VARCHAR), '')], lambda a, c: xor(a // 256, t[1 + xor(a, c) % 256])), 4294967295) % 3 = 0, false) AS hit FROM documents, crc),
+l AS (SELECT r, doc_id, lang, leaf, CASE WHEN hit THEN lowered ELSE leaf END AS start, row_number() OVER g - 1 AS i, count(*) OVER (PARTITION BY lang) AS n
+  FROM d WINDOW g AS (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf, hit AND lowered <> leaf, lowered)),
+tree AS (SELECT 0 AS level, lang, i, n, leaf AS node FROM l UNION ALL
+  SELECT level + 1, lang, i // 8, (n + 7) // 8, sha256(string_agg(node, '' ORDER BY i)) FROM tree WHERE n > 1 GROUP BY level, lang, i // 8, n),
+sub AS (SELECT lang, level, node, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS i, count(*) OVER () AS n FROM tree WHERE n = 1),
+top AS (SELECT 0 AS level, i, n, node FROM sub UNION ALL SELECT level + 1, i // 8, (n + 7) // 8, sha256(string_agg(node, '' ORDER BY i)) FROM top WHERE n > 1 GROUP BY level, i // 8, n),
+root AS (SELECT node AS root FROM top WHERE n = 1),
+own AS (SELECT r, level, l.i // CAST(pow(8, level) AS BIGINT) AS i, l.lang FROM l JOIN (SELECT DISTINCT lang, level FROM tree WHERE n > 1) k ON k.lang IS NOT DISTINCT FROM l.lang),
+low AS (SELECT r, o.level AS step, coalesce(string_agg(t.node, '' ORDER BY t.i) FILTER (t.i < o.i), '') AS before, coalesce(string_agg(t.node, '' ORDER BY t.i) FILTER (t.i > o.i), '') AS after
+  FROM own o JOIN tree t ON t.lang IS NOT DISTINCT FROM o.lang AND t.level = o.level AND t.i // 8 = o.i // 8 GROUP BY r, o.level),
+high AS (SELECT s.lang, s.level + t.level AS step, coalesce(string_agg(t.node, '' ORDER BY t.i) FILTER (t.i < s.i // CAST(pow(8, t.level) AS BIGINT)), '') AS before,
+  coalesce(string_agg(t.node, '' ORDER BY t.i) FILTER (t.i > s.i // CAST(pow(8, t.level) AS BIGINT)), '') AS after
+  FROM sub s JOIN top t ON t.n > 1 AND t.i // 8 = s.i // CAST(pow(8, t.level + 1) AS BIGINT) GROUP BY s.lang, s.level, t.level),
+steps AS (SELECT * FROM low UNION ALL SELECT r, step, before, after FROM l JOIN high h ON h.lang IS NOT DISTINCT FROM l.lang),
+fold AS (SELECT r, 0 AS step, start AS h FROM l UNION ALL SELECT f.r, f.step + 1, sha256(s.before || f.h || s.after) FROM fold f JOIN steps s ON s.r = f.r AND s.step = f.step),
+done AS (SELECT r, arg_max(h, step) AS folded_root FROM fold GROUP BY 1),
+proofs AS (SELECT r, string_agg(before || after, '' ORDER BY step) AS p FROM steps GROUP BY 1)
+SELECT doc_id, leaf, sub.node AS subroot, root, sha256(coalesce(p, '')) AS proof_sha256, folded_root, folded_root = root AS verified
+FROM l JOIN sub ON sub.lang IS NOT DISTINCT FROM l.lang CROSS JOIN root JOIN done USING (r) LEFT JOIN proofs USING (r)"""

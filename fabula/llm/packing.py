@@ -9,8 +9,6 @@ counted in salted groups, so that no length, however frequent, is numbered by on
 
 from __future__ import annotations
 
-import json
-import re
 from collections import defaultdict
 
 import numpy as np
@@ -18,74 +16,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from fabula.llm.bpe import encoder
 from fabula.llm.shared import written
 
-#: Words whose tokens a Python worker remembers.
-CACHE_WORDS = 400_000
-
-_encoders: dict[str, "_WordTokens"] = {}
-
-
-def _byte_of_char() -> dict[str, int]:
-    """The printable characters by which byte-level BPE files write bytes: printable Latin-1 stands
-    for itself, the rest is numbered from U+0100 in order."""
-    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    rest = [b for b in range(256) if b not in set(own)]
-    return {chr(b): b for b in own} | {chr(256 + k): b for k, b in enumerate(rest)}
-
-
-class _WordTokens(dict):
-    """Token ids (little-endian unsigned 32-bit) of a word with a space before it, remembered by word."""
-
-    def __init__(self, path: str):
-        import tiktoken
-
-        from public_tokenizers import PATTERN
-
-        to_byte = _byte_of_char()
-        with open(path, encoding="utf-8") as f:
-            model = json.load(f)
-        vocab = model["model"]["vocab"]
-        self.added = {t["content"]: np.array([t["id"]], dtype="<u4").tobytes() for t in model.get("added_tokens", [])}
-        self.cut = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
-        ranks = {bytes(to_byte[c] for c in token): i for token, i in vocab.items() if all(c in to_byte for c in token)}
-        ranks.pop(b"<|endoftext|>", None)
-        self.encoding = tiktoken.Encoding("byte-bpe", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
-
-    def __missing__(self, word: str) -> bytes:
-        ids = self.ids(" " + word)
-        if len(word) <= 40:
-            if len(self) >= CACHE_WORDS:
-                self.clear()
-            self[word] = ids
-        return ids
-
-    def ids(self, text: str) -> bytes:
-        return np.array(self.encoding.encode_ordinary(text), dtype="<u4").tobytes()
-
-    def text_ids(self, text: str) -> bytes:
-        """Added tokens of the file are found first, wherever they stand; what lies between is encoded by itself."""
-        if self.cut is None or not self.cut.search(text):
-            return self.plain_ids(text)
-        return b"".join([self.added[part] if k % 2 else self.plain_ids(part) for k, part in enumerate(self.cut.split(text))])
-
-    def plain_ids(self, text: str) -> bytes:
-        """A single space between two words always starts a token of its own, so words can be encoded
-        apart; a text with other white space beside a space is encoded whole."""
-        words = text.split(" ")
-        if len(words) == 1:
-            return self.ids(text)
-        if "" in words or any(w[0].isspace() or w[-1].isspace() for w in words):
-            return self.ids(text)
-        return self.ids(words[0]) + b"".join([self[w] for w in words[1:]])
-
-
-def _tokens(path: str) -> _WordTokens:
-    if path not in _encoders:
-        _encoders[path] = _WordTokens(path)
-    return _encoders[path]
-
-
 def tokenised(docs: DataFrame, tokenizer: str, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", capacity: int = 1024) -> DataFrame:
     """Pieces of at most ``capacity`` tokens: doc_id, piece, start, length, ids (binary, little-endian
     unsigned 32-bit).  A null text counts as empty; each document ends with ``end_id``.  Only longer
@@ -93,7 +26,7 @@ def tokenised(docs: DataFrame, tokenizer: str, end_id: int = 2, id_col: str = "d
     ids in a text; other strings that look special are ordinary text.  ``tokenizer`` is the path of a byte-level BPE file on every machine."""
 
     def pieces(batches):
-        encode = _tokens(tokenizer)
+        encode = encoder(tokenizer)
         end = np.array([end_id], dtype="<u4").tobytes()
         for batch in batches:
             docs_, piece, start, length, ids = [], [], [], [], []

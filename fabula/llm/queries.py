@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fabula.llm import ann, chat, langid, mixing, oracles, packing, quality, secrets, toxicity, url_filter
+from fabula.llm import ann, chat, langid, merkle, mixing, oracles, packing, quality, secrets, sharding, tokenalign, toxicity, url_filter
 from fabula.llm.neardup import near_duplicates
 
 #: verdict, host, path
@@ -52,10 +52,10 @@ def op2_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.formatted(turns))
 
 
-def tokenizer_path() -> str:
+def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     import public_tokenizers
 
-    return public_tokenizers.path("byte_bpe_50k.json")
+    return public_tokenizers.path(name)
 
 
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -111,6 +111,37 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (fold_of("doc_id", 3) == 1).alias("held_out"), "lang_pred", "score")
 
 
+#: The columns of a leaf, in order.
+LEAF = ("doc_id", "source", "lang", "n_chars", "text")
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A null id is not tampered with."""
+    docs = table(spark, sf_dir, "documents")
+    lowered = F.translate("text", UPPER, LOWER)
+    hit = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 0
+    tampered = F.when(hit & ~lowered.eqNullSafe(F.col("text")), merkle.leaf(*[lowered if c == "text" else F.col(c) for c in LEAF]))
+    found = merkle.manifest(docs, F.col("lang"), "doc_id", merkle.leaf(*map(F.col, LEAF)), {"tampered": tampered})
+    found = found.withColumn("folded_root", merkle.folded(F.coalesce("tampered", "leaf"), F.col("path")))
+    return found.select("doc_id", "leaf", "subroot", "root", merkle.proof(F.col("path")).alias("proof_sha256"), "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
+SHARDS = 24
+
+
+def op12_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = sharding.sharded(table(spark, sf_dir, "documents"), sharding.create(spark, SHARDS), SHARDS)
+    return found.select(
+        F.col("id").alias("doc_id"), "size", "text_crc32", F.lit("bytes").alias("law"), "shard", F.col("place").alias("slot"), F.lit(None).cast("int").alias("grown_shard"), F.col("slot").alias("virtual_slot")
+    )
+
+
+def op13_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = tokenalign.alignment(table(spark, sf_dir, "documents"), tokenizer_path(), tokenizer_path("piece_bpe_32k.model"))
+    return found.select("doc_id", "n_a", "n_b", "n_groups", "n_links", F.col("n_best_b").alias("n_best"), "count_sum", "groups_sha256")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filters": op1_url_filters,
     "op2_chat_formatting": op2_chat_formatting,
@@ -122,13 +153,17 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_nearest_neighbours": op8_nearest_neighbours,
     "op9_quality_rules": op9_quality_rules,
     "op10_language_id": op10_language_id,
+    "op11_merkle_manifest": op11_merkle_manifest,
+    "op12_sharding": op12_sharding,
+    "op13_tokenizer_alignment": op13_tokenizer_alignment,
 }
 
-#: The others learn weights, draw by hashes, search approximately or count tokens, which SQL cannot express; tests/llm holds brute-force versions.
+#: The others learn weights, draw or deal by hashes, search approximately or count tokens, which SQL cannot express; tests/llm holds brute-force versions.
 ORACLE_SQL: dict[str, str] = {
     "op1_url_filters": oracles.url_filters(URL_RULES, LISTED_HOSTS, LISTED_DOMAINS, LISTED_LANGS, LISTED_NUMBERS),
     "op2_chat_formatting": oracles.CHAT,
     "op4_minhash_near_dedup": oracles.NEAR_DUPLICATES,
     "op5_secret_scans": oracles.secret_scans(),
     "op9_quality_rules": oracles.quality(quality.FLOOR, quality.PERCENT, quality.MIN_SHARE, quality.MIN_WORDS),
+    "op11_merkle_manifest": oracles.MERKLE,
 }
