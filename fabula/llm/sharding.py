@@ -107,13 +107,14 @@ def rebalanced(have: SlotMap, weights: dict[Unit, Weight], shards: int) -> SlotM
     heapq.heapify(full)
     heapq.heapify(empty)
     while full:
+        # A shard is listed anew with each change; what was listed before is passed over.
         load, most = full[0]
         if -load != state.load[most]:
-            heapq.heapreplace(full, (-state.load[most], most))
+            heapq.heappop(full)
             continue
         load, least = empty[0]
         if load != state.load[least]:
-            heapq.heapreplace(empty, (state.load[least], least))
+            heapq.heappop(empty)
             continue
         gap = state.load[most] - load
         if gap <= near:
@@ -127,6 +128,10 @@ def rebalanced(have: SlotMap, weights: dict[Unit, Weight], shards: int) -> SlotM
             state.move(least, next(k for k, x in enumerate(state.held[least]) if x[1] == back), most)
         else:
             heapq.heappop(full)  # it stays as full as it is; the emptiest only gets fuller
+            continue
+        for k in (most, least):
+            heapq.heappush(full, (-state.load[k], k))
+            heapq.heappush(empty, (state.load[k], k))
     return state.map
 
 
