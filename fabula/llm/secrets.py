@@ -35,33 +35,38 @@ def _sql(text: str) -> str:
     return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-def _prefix(values: str, n: str, op: str) -> tuple[str, str]:
-    """SQL for an array whose i-th element (0-based) combines the elements of ``values`` before the i-th.
+def _let(name: str, value: str, then: str) -> str:
+    """SQL for ``then`` with ``value`` computed once, under ``name``: names of lambdas, unlike columns, are never written out by the optimiser."""
+    return f"element_at(transform(array({value}), {name} -> {then}), 1)"
+
+
+def _prefix(values: str, op: str, then: str) -> str:
+    """SQL for ``then``, in which ``pre(i)`` combines the elements of the array ``values`` (a name) before the i-th.
 
     The array is cut into about sqrt(n) runs: each element takes the total up to its run and adds the
     rest of its run, so that n elements cost n ** 1.5 steps and no array grows inside a fold."""
     total = {"sum": "aggregate({x}, 0L, (p, q) -> p + q)", "max": "coalesce(array_max({x}), 0L)"}[op]
     both = {"sum": "({x}) + ({y})", "max": "greatest({x}, {y})"}[op]
-    run = f"cast(ceil(sqrt({n})) as int)"
-    start = f"transform(sequence(0, ({n} - 1) div {run}), j -> {total.format(x=f'slice({values}, 1, cast(j as int) * {run})')})"
-    here = total.format(x=f"slice({values}, cast(i div {run} as int) * {run} + 1, cast(i % {run} as int))")
-    return f"if({n} = 0, cast(array() as array<bigint>), transform(sequence(0, {n} - 1), i -> {both.format(x=f'_base[cast(i div {run} as int)]', y=here)}))", start
+    runs = f"transform(sequence(0, (size({values}) - 1) div run), j -> {total.format(x=f'slice({values}, 1, cast(j as int) * run)')})"
+    here = total.format(x=f"slice({values}, cast(i div run as int) * run + 1, cast(i % run as int))")
+    own = both.format(x="runs[cast(i div run as int)]", y=here)
+    return _let("run", f"cast(ceil(sqrt(size({values}))) as int)", _let("runs", runs, then.replace("pre(i)", f"({own})")))
+
+
+#: Characters of a text's blocks, from which masked texts are put together.
+BLOCK = 4096
+SPANS = "array<struct<start: bigint, kind: int, end: bigint, token: string>>"
 
 
 def _found(df: DataFrame, name: str, pattern: str, rank: int, hit: str, keep: str = "true", group: int = 0) -> DataFrame:
     """Add ``name``: the matches of ``pattern`` in ``_text`` as (start, rank, end, token), those that ``keep`` (of group g) allows."""
-    lit, none = _sql(pattern), "cast(array() as array<string>)"
-    df = df.withColumn("_tok", F.expr(f"if({hit}, regexp_extract_all(_text, {lit}, 0), {none})"))
-    df = df.withColumn("_n", F.size("_tok"))
-    df = df.withColumn("_gap", F.expr(f"if(_n > 0, transform(split(_text, {lit}, -1), x -> cast(length(x) as bigint)), cast(array() as array<bigint>))"))
-    df = df.withColumn("_grp", F.expr(f"if(_n > 0, regexp_extract_all(_text, {lit}, {group}), {none})"))
-    df = df.withColumn("_len", F.expr("transform(_tok, (t, i) -> _gap[i] + length(t))"))
-    prefix, base = _prefix("_len", "_n", "sum")
-    df = df.withColumn("_base", F.expr(f"if(_n > 0, {base}, cast(array() as array<bigint>))")).withColumn("_pre", F.expr(prefix))
-    spans = f"filter(transform(_tok, (t, i) -> named_struct('start', _pre[i] + _gap[i], 'kind', {rank}, 'end', _pre[i] + _gap[i] + length(t), 'token', t, 'g', _grp[i])), s -> {keep})"
-    return df.withColumn(name, F.expr(f"transform({spans}, s -> named_struct('start', s.start, 'kind', s.kind, 'end', s.end, 'token', s.token))")).drop(
-        "_tok", "_n", "_gap", "_grp", "_len", "_base", "_pre"
-    )
+    lit = _sql(pattern)
+    parts = f"named_struct('gap', transform(split(_text, {lit}, -1), x -> cast(length(x) as bigint)), 'grp', regexp_extract_all(_text, {lit}, {group}))"
+    at = "transform(tok, (t, i) -> named_struct('start', pre(i) + m.gap[i], 'token', t, 'g', m.grp[i]))"
+    kept = f"transform(filter(spans, s -> {keep}), s -> named_struct('start', s.start, 'kind', {rank}, 'end', s.start + length(s.token), 'token', s.token))"
+    placed = _let("m", parts, _let("len", "transform(tok, (t, i) -> m.gap[i] + length(t))", _let("spans", _prefix("len", "sum", at), kept)))
+    found = _let("tok", f"regexp_extract_all(_text, {lit}, 0)", f"if(size(tok) = 0, cast(array() as {SPANS}), {placed})")
+    return df.withColumn(name, F.expr(f"if({hit}, {found}, cast(array() as {SPANS}))"))
 
 
 def _bits(count: int) -> int:
@@ -121,12 +126,18 @@ def _scan(df: DataFrame) -> DataFrame:
     df = _found(df, "_hex", HEX, 2, "_any")
     slug = f"forall(split(s.token, '{PART_CUT}'), x -> x rlike '{PLAIN_PART}')"
     df = _found(df, "_long", CANDIDATE, 3, "_any", f"s.token rlike '[0-9]' and s.token rlike '[A-Za-z]' and not {slug}")
-    df = df.withColumn("_base", F.flatten(F.array("_assign", "_access", "_hex")))
     df = df.withColumn("_hot", F.expr(f"if(size(_long) = 0, null, transform(_long, s -> named_struct('at', s.start, 'w', {_hot('s.token')})))"))
+    # A pattern's spans (z) are sorted and apart, so only the last that starts no later than a hot span (h) can hold it.
+    held = (
+        "aggregate(sequence(0, 30), 0, (at, x) -> if(shiftleft(1, 30 - x) <= size(z) - at and z[at + shiftleft(1, 30 - x) - 1].start <= h.start, at + shiftleft(1, 30 - x), at), "
+        "at -> at > 0 and z[at - 1].end >= h.end)"
+    )
+    kinds = "array(" + ", ".join(f"transform({x}, s -> named_struct('start', s.start, 'kind', s.kind, 'end', s.end))" for x in ("_assign", "_access", "_hex")) + ")"
     added = f"transform(filter(_hot, h -> h.w.last > 0), h -> named_struct('start', h.at + h.w.first - {WINDOW}, 'kind', 3, 'end', h.at + h.w.last))"
-    added = f"filter({added}, h -> not exists(_base, b -> b.start <= h.start and h.end <= b.end))"
-    base = "transform(_base, s -> named_struct('start', s.start, 'kind', s.kind, 'end', s.end))"
-    spans = f"array_sort(concat({base}, coalesce({added}, cast(array() as array<struct<start: bigint, kind: int, end: bigint>>))))"
+    alone = f"filter({added}, h -> not exists(kinds, z -> {held}))"
+    plain = "cast(array() as array<struct<start: bigint, kind: int, end: bigint>>)"
+    bound = _let("kinds", kinds, f"array_sort(concat(flatten(kinds), coalesce({alone}, {plain})))")
+    spans = f"if(size(_assign) + size(_access) + size(_hex) + size(_long) = 0, {plain}, {bound})"
     return df.select("row", "_text", F.expr(spans).alias("spans"))
 
 
@@ -164,14 +175,16 @@ def joined(spans: Column | str, base_only: bool = False) -> Column:
 def redacted(docs: DataFrame, text_col: str = "text", mark: str = "[secret]") -> DataFrame:
     """``docs`` with every span of secrets in ``text`` replaced by ``mark``; spans that overlap by one mark.
     Texts without secrets, nulls included, stay as they are, as do all other columns."""
-    df = _scan(_rows(docs, docs.columns, text_col)).withColumn("_n", F.size("spans"))
-    df = df.withColumn("_end", F.expr("transform(spans, s -> s.end)"))
-    prefix, base = _prefix("_end", "_n", "max")
-    df = df.withColumn("_base", F.expr(f"if(_n > 0, {base}, cast(array() as array<bigint>))")).withColumn("_before", F.expr(prefix))
-    piece = (
-        "transform(spans, (s, i) -> concat(if(s.start > _before[i], substring(_text, int(_before[i]) + 1, int(s.start - _before[i])), ''), "
-        f"if(i = 0 or s.start >= _before[i], {_sql(mark)}, '')))"
+    df = _scan(_rows(docs, docs.columns, text_col))
+    # Cut into blocks, as finding a place in a text takes as long as the place is far from its start.
+    first, end = f"int(before div {BLOCK})", f"int((s.start - 1) div {BLOCK})"
+    plain = (
+        f"if({first} = {end}, substring(blocks[{first}], int(before % {BLOCK}) + 1, int(s.start - before)), concat(substring(blocks[{first}], int(before % {BLOCK}) + 1), "
+        f"array_join(slice(blocks, {first} + 2, {end} - {first} - 1), ''), substring(blocks[{end}], 1, int((s.start - 1) % {BLOCK}) + 1)))"
     )
-    new = F.expr(f"if(_n > 0, concat(array_join({piece}, ''), substring(_text, int(array_max(_end)) + 1)), null)")
+    piece = f"transform(found, (s, i) -> {_let('before', 'pre(i)', f'concat(if(s.start > before, {plain}, {_sql(str())}), if(i = 0 or s.start >= before, {_sql(mark)}, {_sql(str())}))')})"
+    new = f"concat(array_join({_prefix('ends', 'max', piece)}, ''), substring(_text, int(array_max(ends)) + 1))"
+    new = _let("blocks", f"regexp_extract_all(_text, '(?s).{{1,{BLOCK}}}', 0)", _let("found", "spans", _let("ends", "transform(found, s -> s.end)", new)))
+    new = F.expr(f"if(size(spans) = 0, null, {new})")
     df = df.select("row", new.alias("_new"))
     return df.select(*[F.coalesce("_new", F.col(f"row.`{c}`")).alias(c) if c == text_col else F.col(f"row.`{c}`").alias(c) for c in docs.columns])
