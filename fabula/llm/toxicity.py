@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import re
 import unicodedata
 from collections import Counter
 
@@ -19,8 +20,12 @@ MAX_TRAIN_ROWS = 20_000
 MIN_SUPPORT = 8
 #: ... and so many times likelier there than in others.
 MIN_ODDS = 20.0
-#: An entry is a whole word, or the first letters of words: so many.  Of a longer word the first ``MAX_PREFIX`` letters count.
+#: An entry is a whole word of any length, or the first letters of words: so many.
 MIN_PREFIX, MAX_PREFIX = 4, 32
+#: In scripts that put no spaces between words, an entry is so many letters in a row, wherever they stand.
+MIN_RUN, MAX_RUN = 2, 6
+# Thai, Lao, Tibetan, Myanmar, Khmer, kana and Chinese characters.
+UNSPACED = re.compile("[\u0e00-\u0fff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]+")
 
 # Insults known before any label is seen.
 SEED_WORDS = ("clown", "disgusting", "idiot", "loser", "moron", "pathetic", "scum", "stupid", "trash", "worthless")
@@ -66,9 +71,12 @@ TASK_FORMS = 200_000
 
 
 def _forms(word: str) -> list[str]:
-    """What an entry may be for a word: its beginnings, and itself with the space after it."""
-    whole = [word + " "] if len(word) <= MAX_PREFIX else []
-    return [word[:n] for n in range(MIN_PREFIX, min(MAX_PREFIX, len(word)) + 1)] + whole
+    """What an entry may be for a word: its beginnings, itself with the space after it, and of unspaced scripts the letters in a row."""
+    own = [word[:n] for n in range(MIN_PREFIX, min(MAX_PREFIX, len(word)) + 1)] + [word + " "]
+    if not word.isascii():
+        for run in UNSPACED.findall(word):
+            own += [run[k : k + n] for n in range(MIN_RUN, MAX_RUN + 1) for k in range(len(run) - n + 1)]
+    return own
 
 
 def _form_counts(batches, known: frozenset[str] | None = None):
@@ -78,10 +86,13 @@ def _form_counts(batches, known: frozenset[str] | None = None):
     for batch in batches:
         for text in batch.column("text").to_pylist():
             own: set[str] = set()
-            for word in {w[: MAX_PREFIX + 1] for w in folded(text).split()}:
+            for word in set(folded(text).split()):
                 if known is None:
                     own.update(_forms(word))
                     continue
+                if len(word) > MAX_PREFIX:
+                    own.update(f for f in _forms(word) if f in known)
+                    continue
                 if word not in memo:
                     if len(memo) >= TASK_FORMS:
                         memo.clear()
@@ -96,7 +107,8 @@ def _form_counts(batches, known: frozenset[str] | None = None):
 
 def _entries(table: list, n_toxic: int, n_other: int) -> dict[str, float]:
     """Entries with their log odds.  Of entries that stand for the same words, the longest; none that is
-    rarer than one it begins with."""
+    rarer than one it begins with (which has ``MAX_PREFIX`` letters and a space at most).  A longer word is an entry only
+    where its beginning is none: that stands for the word as well."""
     found = {r["entry"]: (r["toxic"], math.log((r["toxic"] + 0.5) / (n_toxic + 1)) - math.log((r["other"] + 0.5) / (n_other + 1))) for r in table}
     longer: Counter = Counter()
     for entry, (n, _) in found.items():
@@ -104,7 +116,7 @@ def _entries(table: list, n_toxic: int, n_other: int) -> dict[str, float]:
     return {
         entry: weight
         for entry, (n, weight) in found.items()
-        if longer[entry] < 0.95 * n and not any(found.get(entry[:k], (0,))[0] > 1.05 * n for k in range(1, len(entry)))
+        if longer[entry] < 0.95 * n and (len(entry) <= MAX_PREFIX + 1 or entry[:MAX_PREFIX] not in found) and not any(found.get(entry[:k], (0,))[0] > 1.05 * n for k in range(1, min(len(entry), MAX_PREFIX + 2)))
     }
 
 
@@ -112,7 +124,10 @@ class Lexicon:
     """Entries with weights, and the curve from a text's weight to a probability.
 
     The weight of a text is the sum of its matches' weights, divided by the square root of its number
-    of words (in hundreds, one at least); ``curve`` is (intercept, slope) on its logarithm."""
+    of words (in hundreds, one at least); ``curve`` is (intercept, slope) on its logarithm.
+
+    An entry matches at the start of a word, and with a space at its end only where the word ends too; one of letters of
+    unspaced scripts matches anywhere."""
 
     def __init__(self, weights: dict[str, float], exceptions=EXCEPTIONS, curve: tuple[float, float] = (-2.0, 4.0)):
         self.weights, self.exceptions, self.curve = weights, tuple(exceptions), curve
@@ -126,8 +141,9 @@ class Lexicon:
             import ahocorasick
 
             self._automaton = ahocorasick.Automaton()
-            for word, weight in self.weights.items():
-                self._automaton.add_word(" " + word, (len(word) + 1, weight))
+            for entry, weight in self.weights.items():
+                entry = entry if UNSPACED.fullmatch(entry) else " " + entry
+                self._automaton.add_word(entry, (len(entry), weight))
             for phrase in self.exceptions:
                 self._automaton.add_word(" " + folded(phrase).strip() + " ", (len(phrase) + 2, None))
             self._automaton.make_automaton()
@@ -140,10 +156,15 @@ class Lexicon:
         hits, harmless = [], []
         for end, (size, weight) in self._built().iter(own):
             (harmless if weight is None else hits).append((end + 1 - size, end + 1, weight))
-        # Of entries that start at one word, the longest counts.
+        # Of entries that start at one place, the longest counts (ends ascend, so it is the last).
         longest = {start: (end, weight) for start, end, weight in hits}
-        inside = lambda a, b: any(x <= a and b <= y for x, y, _ in harmless)
-        total = sum(weight for start, (end, weight) in longest.items() if not (harmless and inside(start, end)))
+        harmless.sort()
+        total, at, reach = 0.0, 0, 0
+        for start, (end, weight) in sorted(longest.items()):
+            while at < len(harmless) and harmless[at][0] <= start:
+                reach, at = max(reach, harmless[at][1]), at + 1
+            if end > reach:
+                total += weight
         if not total:
             return 0.0
         return total / math.sqrt(max(1.0, own.count(" ") / 100))
@@ -169,8 +190,8 @@ def _fit_curve(weights: np.ndarray, toxic: np.ndarray) -> tuple[float, float]:
 
 def learn(labelled: DataFrame, max_rows: int = MAX_TRAIN_ROWS) -> Lexicon:
     """A lexicon from rows (doc_id, text, toxic), of which the first ``max_rows`` by a hash of the id are
-    used.  Entries are whole words (written with a space after them) and beginnings of words, so that
-    inflected forms count; all that are frequent and telling enough.  Rows with null text or label teach
+    used.  Entries are whole words of any length and beginnings of words, so that inflected forms count, and letters in a row of
+    scripts without spaces; all that are frequent and telling enough.  Rows with null text or label teach
     nothing; equal texts count once; without rows the seed words have the weight of ``MIN_ODDS``."""
     rows = labelled.filter("text is not null and toxic is not null").select("doc_id", "text", F.col("toxic").cast("int").alias("toxic"))
     ids = rows.select("doc_id", F.xxhash64("doc_id").alias("h")).distinct().orderBy("h", "doc_id").limit(max_rows).select("doc_id")
