@@ -8,6 +8,10 @@ blocks of every list whose distance is within a ratio of the nearest one's.  The
 bounded number of queries is compared with all rows, and the ratio is the smallest that reaches
 ``TARGET`` of their true neighbours.  Each query meets its nearest few blocks first; the others then give
 only vectors that are no worse than the last of the best found so far.
+
+Any finite vector may come.  Lists are found with vectors divided by ``most``, twice the norm that all but a
+thousandth stay under.  The few that are longer still would make all others look alike, so they have a list of their own, which every
+query visits.  Products are compared with queries divided by the sum of their components, so that none overflows.
 """
 
 from __future__ import annotations
@@ -31,6 +35,8 @@ CALIBRATION, TARGET = 128, 0.97
 BLOCK_NUMBERS, QUERY_SHARE, QUERY_SLICE = 1 << 19, 8192, 1024
 #: Blocks that a query meets first.
 FIRST = 4
+#: Vectors over ``LONG`` times the norm that this share stays under are met by every query.
+SHARE, LONG = 0.999, 2.0
 
 
 def _matrix(column: pa.Array, width: int) -> np.ndarray:
@@ -103,9 +109,17 @@ class Graph:
         return row, near[row, at]
 
 
+def _norms(x: np.ndarray) -> np.ndarray:
+    """Of rows that are not zero; their squares may be beyond a double's range, their norms rarely are."""
+    top = np.abs(x).max(axis=1)
+    with np.errstate(over="ignore"):
+        return top * np.sqrt(((x / top[:, None]) ** 2).sum(1))
+
+
 def _lifted(x: np.ndarray, most: float) -> np.ndarray:
-    """Vectors with one more coordinate, so that all have the norm ``most``: the nearest then has the largest inner product."""
-    return np.concatenate([x, np.sqrt(np.maximum(most**2 - (x * x).sum(1), 0))[:, None]], axis=1)
+    """Vectors over ``most`` with one more coordinate, so that all have the norm 1: the nearest then has the largest inner product."""
+    x = x / most
+    return np.concatenate([x, np.sqrt(np.maximum(1 - (x * x).sum(1), 0))[:, None]], axis=1)
 
 
 def valid(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
@@ -116,14 +130,28 @@ def valid(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     return df.filter("vec_id is not null and v is not null and size(v) > 0").filter(~bad).filter(F.exists("v", lambda x: x != 0))
 
 
-def _asking(x: np.ndarray, most: float) -> np.ndarray:
+def _unit(x: np.ndarray) -> np.ndarray:
+    x = x / np.abs(x).max(axis=1)[:, None]
+    return x / np.sqrt((x * x).sum(1))[:, None]
+
+
+def _asking(x: np.ndarray) -> np.ndarray:
     """Queries among lifted vectors: of their norm, so that the ratio does not depend on a query's length."""
-    return np.concatenate([x * (most / np.sqrt((x * x).sum(1)))[:, None], np.zeros((len(x), 1))], axis=1)
+    return np.concatenate([_unit(x), np.zeros((len(x), 1))], axis=1)
+
+
+def _weighing(q: np.ndarray) -> np.ndarray:
+    """Queries divided by the sum of their components: a product with any vector is no larger than that vector's components,
+    and orders vectors as the query's own does."""
+    q = q / np.abs(q).max(axis=1)[:, None]
+    return q / np.abs(q).sum(1)[:, None]
 
 
 def nearest_of_all(rows: DataFrame, ids: np.ndarray, q: np.ndarray, k: int) -> pa.Table:
     """(q, vec_id, score, v): the true ``k`` nearest of ``rows`` (vec_id, v) for each of a few queries, by comparison with all rows."""
 
+    weighing = _weighing(q)
+
     def best(batches):
         top = np.full((len(q), k), -np.inf)
         who, what = np.zeros((len(q), k), dtype=np.int64), np.zeros((len(q), k, q.shape[1]))
@@ -131,7 +159,7 @@ def nearest_of_all(rows: DataFrame, ids: np.ndarray, q: np.ndarray, k: int) -> p
             for at in range(0, len(whole), 1024):
                 batch = whole.slice(at, 1024)
                 own, x = batch.column("vec_id").to_numpy(), _matrix(batch.column("v"), q.shape[1])
-                score = q @ x.T
+                score = weighing @ x.T
                 score[ids[:, None] == own[None, :]] = -np.inf
                 both = np.concatenate([top, score], axis=1)
                 pick = np.argpartition(-both, k - 1, axis=1)[:, :k]
@@ -154,7 +182,8 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "v
     """The ``k`` rows of ``vectors`` with the largest inner product for each row of ``queries`` (the same
     columns): query_id, rank (from 1), vec_id, score.  A query's own id is no candidate of its own.
 
-    Scores are exact, in double precision; ties go to the smaller id.  Vectors that are null, zero, or
+    Scores are exact, in double precision; ties go to the smaller id.  A score beyond the range of a double is infinite; such
+    are ordered by what they would be.  Vectors that are null, zero, or
     hold a null or non-finite component take no part, nor do null ids or vectors whose width is not the
     most common one.  Rows that repeat id and vector count once; so does an id with several vectors, by
     its best.  With fewer than ``k`` candidates in all, all are found.  Empty tables give an empty result.
@@ -169,31 +198,38 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "v
     width, total = widths["d"], widths["n"]
     rows = rows.filter(F.col("d") == width).select("vec_id", "v", "h")
     asked = valid(queries, id_col, vector_col).filter(F.size("v") == width).dropDuplicates()
-    norm = F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)
-    most = float(np.sqrt(rows.agg(F.max(norm)).first()[0]))
-    sample = _matrix(rows.orderBy("h", "vec_id").limit(SAMPLE).select("v").toArrow().column("v"), width)  # at most SAMPLE rows
+    top = F.array_max(F.transform("v", F.abs))
+    norm = top * F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + (x / top) * (x / top)))
+    longest, common = rows.agg(F.max(norm), F.percentile_approx(norm, SHARE, 10_000)).first()
+    most = min(longest, LONG * common)
+    sample = _matrix(rows.filter(norm <= most).orderBy("h", "vec_id").limit(SAMPLE).select("v").toArrow().column("v"), width)  # at most SAMPLE rows
     lists = int(max(1, min(MAX_LISTS, total // PER_LIST, len(sample) // 4)))
     graph = Graph(kmeans(_lifted(sample, most), lists))
+    # Vectors longer than ``most`` are the last list.
     shared = spark.sparkContext.broadcast(graph)
 
     def posted(batches):
         for whole in batches:
             for at in range(0, len(whole), 1024):
                 batch = whole.slice(at, 1024)
-                row, near = shared.value.posts(_lifted(_matrix(batch.column("v"), width), most))
+                x = _matrix(batch.column("v"), width)
+                long = _norms(x) > most
+                (short,) = np.nonzero(~long)
+                row, near = shared.value.posts(_lifted(x[short], most)) if len(short) else (short, short)
+                row, near = np.concatenate([short[row], np.flatnonzero(long)]), np.concatenate([near, np.full(long.sum(), lists)])
                 own = batch.take(pa.array(row))
                 yield pa.RecordBatch.from_arrays([pa.array(near.astype(np.int32)), own.column("vec_id"), own.column("h"), own.column("v")], ["list", "vec_id", "h", "v"])
 
     postings = written(rows.mapInArrow(posted, "list int, vec_id long, h long, v array<double>"), "postings")
-    held = np.zeros(lists, dtype=np.int64)
-    for r in postings.groupBy("list").agg(F.count(F.lit(1)).alias("n")).collect():  # at most MAX_LISTS rows
+    held = np.zeros(lists + 1, dtype=np.int64)
+    for r in postings.groupBy("list").agg(F.count(F.lit(1)).alias("n")).collect():  # at most MAX_LISTS rows and one
         held[r["list"]] = r["n"]
 
     # Blocks: lists hub by hub, so that those near one another lie together; a long list has blocks of its own.
     size = max(64, BLOCK_NUMBERS // width)
-    parts, base = np.maximum(1, -(-held // size)), np.zeros(lists, dtype=np.int64)
+    parts, base = np.maximum(1, -(-held // size)), np.zeros(lists + 1, dtype=np.int64)
     blocks, room = 0, 0
-    for c in np.concatenate(graph.members).tolist():
+    for c in [*np.concatenate(graph.members).tolist(), lists]:
         if parts[c] > 1 or held[c] > room:
             base[c], blocks = blocks, blocks + int(parts[c])
             room = 0 if parts[c] > 1 else size - held[c]
@@ -205,23 +241,28 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "v
     if len(first):
         q = _matrix(first.column("v"), width)
         true = nearest_of_all(rows, first.column("vec_id").to_numpy(), q, k)
-        dist = graph.distances(_asking(q, most), np.inf)
-        row, near = graph.posts(_lifted(_matrix(true.column("v"), width), most))
-        need = np.full(len(true), np.inf)
-        at = true.column("q").to_numpy()
-        np.minimum.at(need, row, dist[at[row], near] / np.maximum(dist[at[row]].min(1), 1e-12))
-        ratio = float(np.quantile(need, TARGET, method="higher")) * (1 + 1e-9) if len(need) else 1.0
+        dist = graph.distances(_asking(q), np.inf)
+        x, at = _matrix(true.column("v"), width), true.column("q").to_numpy()
+        short = np.flatnonzero(_norms(x) <= most)  # the others are met anyway
+        need = np.where(_norms(x) <= most, np.inf, 0.0)
+        if len(short):
+            row, near = graph.posts(_lifted(x[short], most))
+            row = short[row]
+            np.minimum.at(need, row, dist[at[row], near] / np.maximum(dist[at[row]].min(1), 1e-12))
+        ratio = max(1.0, float(np.quantile(need, TARGET, method="higher"))) * (1 + 1e-9) if len(need) else 1.0
 
     def probed(batches):
         for whole in batches:
             for at in range(0, len(whole), 512):
                 batch = whole.slice(at, 512)
-                dist = shared.value.distances(_asking(_matrix(batch.column("v"), width), most), ratio)
+                q = _asking(_matrix(batch.column("v"), width))
+                dist = shared.value.distances(q, ratio)
                 visited = dist <= dist.min(1)[:, None] * ratio + 1e-12
                 # Lists must hold enough vectors, whatever the ratio: each is posted POSTINGS times at most.
-                for r in np.flatnonzero((visited * held).sum(1) < POSTINGS * (k + 1)):
-                    own = np.sqrt(_sq_distances(_asking(_matrix(batch.slice(r, 1).column("v"), width), most), shared.value.centroids))[0].argsort()
+                for r in np.flatnonzero((visited * held[:-1]).sum(1) < POSTINGS * (k + 1)):
+                    own = np.sqrt(_sq_distances(q[[r]], shared.value.centroids))[0].argsort()
                     visited[r, own[: np.searchsorted(np.cumsum(held[own]), POSTINGS * (k + 1)) + 1]] = True
+                dist, visited = np.pad(dist, ((0, 0), (0, 1))), np.pad(visited, ((0, 0), (0, 1)), constant_values=held[-1] > 0)
                 row, near = np.nonzero(visited)
                 block = np.repeat(base[near], parts[near]) + np.concatenate([np.arange(p) for p in parts[near]])
                 row, far = np.repeat(row, parts[near]), np.repeat(dist[row, near], parts[near])
@@ -238,7 +279,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "v
     probes = written(asked.mapInArrow(probed, "query_id long, q array<double>, block long, first boolean"), "probes")
     place = F.broadcast(spark.createDataFrame([(c, int(b), int(p)) for c, (b, p) in enumerate(zip(base, parts, strict=True))], "list int, base long, parts int"))
     placed = postings.join(place, "list").select((F.col("base") + F.pmod("h", "parts")).alias("block"), "vec_id", "h", "v")
-    nothing = {"query_id": np.zeros(0, np.int64), "vec_id": np.zeros(0, np.int64), "score": np.zeros(0)}
+    nothing = {"query_id": np.zeros(0, np.int64), "vec_id": np.zeros(0, np.int64), "score": np.zeros(0), "weighed": np.zeros(0)}
 
     def compared(_, left, right):
         import pandas as pd
@@ -251,34 +292,54 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "v
             for at in range(0, len(left), QUERY_SLICE):
                 part = left.iloc[at : at + QUERY_SLICE]
                 q, who, least = np.stack(part["q"].to_numpy()), part["query_id"].to_numpy(), part["least"].to_numpy()
-                rough = q @ x.T
+                weighing = _weighing(q)
+                rough = weighing @ x.T
                 rough[who[:, None] == ids[None, :]] = -np.inf
                 cut = np.maximum(np.partition(rough, -wide, axis=1)[:, -wide], least)
                 # Products of one vector may differ in the last bits by its place, so near ties are measured again, alike.
                 r, c = np.nonzero((rough >= (cut - 1e-9 * np.abs(cut) - 1e-300)[:, None]) & np.isfinite(rough))
-                score = (q[r] * x[c]).sum(axis=1)
-                order = np.lexsort((ids[c], -score, r))
-                r, c, score = r[order], c[order], score[order]
+                weighed = (weighing[r] * x[c]).sum(axis=1)
+                with np.errstate(over="ignore", invalid="ignore"):
+                    score = (q[r] * x[c]).sum(axis=1)
+                    score = np.where(np.isfinite(score), score, np.copysign(np.inf, weighed))
+                order = np.lexsort((ids[c], np.where(np.isfinite(score), 0, -weighed), -score, r))
+                r, c, score, weighed = r[order], c[order], score[order], weighed[order]
                 start = np.searchsorted(r, np.arange(len(q)))
                 keep = np.arange(len(r)) - start[r] < wide
-                out.append(pd.DataFrame({"query_id": who[r[keep]], "vec_id": ids[c[keep]], "score": score[keep]}))
+                out.append(pd.DataFrame({"query_id": who[r[keep]], "vec_id": ids[c[keep]], "score": score[keep], "weighed": weighed[keep]}))
         return pd.concat(out[1:]) if len(out) > 1 else out[0]
 
     def met(probes: DataFrame) -> DataFrame:
-        """(query_id, vec_id, score) of the vectors that blocks give for ``probes`` (query_id, q, block, least)."""
+        """(query_id, vec_id, score, weighed) of the vectors that blocks give for ``probes`` (query_id, q, block, least)."""
         # A block that very many queries visit meets them in shares.
         shares = probes.groupBy("block").agg(F.ceil(F.count(F.lit(1)) / QUERY_SHARE).cast("int").alias("shares")).filter("shares > 1")
         share = F.coalesce("shares", F.lit(1))
         left = probes.join(shares, "block", "left").withColumn("share", F.pmod(F.xxhash64("query_id", "q"), share).cast("int")).drop("shares")
         right = placed.join(shares, "block", "left").withColumn("share", F.explode(F.sequence(F.lit(0), share - 1))).drop("shares")
-        return left.groupBy("block", "share").cogroup(right.groupBy("block", "share")).applyInPandas(compared, "query_id long, vec_id long, score double")
+        return left.groupBy("block", "share").cogroup(right.groupBy("block", "share")).applyInPandas(compared, "query_id long, vec_id long, score double, weighed double")
 
     def ranked(found: DataFrame) -> DataFrame:
-        found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
-        order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+        best = F.max(F.struct("score", "weighed")).alias("best")
+        found = found.groupBy("query_id", "vec_id").agg(best).select("query_id", "vec_id", "best.*")
+        beyond = F.when(F.abs("score") == float("inf"), F.col("weighed"))
+        order = Window.partitionBy("query_id").orderBy(F.desc("score"), F.desc(beyond), "vec_id")
         return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
     near = written(ranked(met(probes.filter("first").select("query_id", "q", "block", F.lit(float("-inf")).alias("least")))), "near")
-    last = near.filter(F.col("rank") == k).select("query_id", F.col("score").alias("last"))
+    last = near.filter(F.col("rank") == k).select("query_id", F.col("weighed").alias("last"))
     rest = probes.filter("not first").join(last, "query_id", "left").select("query_id", "q", "block", F.coalesce("last", F.lit(float("-inf"))).alias("least"))
-    return ranked(near.select("query_id", "vec_id", "score").unionByName(met(rest))).select("query_id", "rank", "vec_id", "score")
+    found = ranked(near.select("query_id", "vec_id", "score", "weighed").unionByName(met(rest))).select("query_id", "rank", "vec_id", "score")
+    found = written(found, "found")
+    _guarded(found, asked, rows, k)
+    return found
+
+
+def _guarded(found: DataFrame, asked: DataFrame, rows: DataFrame, k: int) -> None:
+    """An error if a query has fewer than ``k`` rows while there are candidates left."""
+    ids = asked.select("vec_id").distinct().join(rows.select("vec_id", F.lit(1).alias("own")).distinct(), "vec_id", "left")
+    total = rows.select("vec_id").distinct().count()
+    want = F.least(F.lit(k).cast("long"), F.lit(total) - F.coalesce("own", F.lit(0)))
+    have = found.groupBy(F.col("query_id").alias("vec_id")).agg(F.count(F.lit(1)).alias("n"))
+    short = ids.join(have, "vec_id", "left").filter(F.coalesce("n", F.lit(0)) < want).count()
+    if short:
+        raise RuntimeError(f"{short} queries have fewer neighbours than there are candidates")
