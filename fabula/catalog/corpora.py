@@ -62,7 +62,7 @@ def registry(spark: SparkSession) -> DataFrame:
 REGISTRY = "(VALUES (1, 'Tobias', 'female', 0.9), (1, 'Clara', 'male', 0.4), (2, 'Edwin', 'unknown', 0.99), (2, 'Winslow', 'female', 0.6), (3, 'Marlow', 'male', 0.75)) r(book_id, name, gender, confidence)"
 
 #: Prose in which surnames follow first names, a number of times that differs by customer.
-PROSE = "case c_custkey % 5 when 0 then 'When Edwin Marlow came' when 1 then 'Then Clara Winslow and Tobias Winslow sat' when 2 then 'So Tobias Remore said' when 3 then 'and Edwin Asano left' else 'with Gary Xandier' end"
+PROSE = "case c_custkey % 5 when 0 then 'When Edwin Marlow came' when 1 then 'Then Clara Winslow and Tobias Winslow sat' when 2 then 'So Tobias Quillfeather said' when 3 then 'and Edwin Thrushcombe left' else 'with Osbert Plinkett' end"
 
 
 def prose(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -94,7 +94,7 @@ def _owners(spark, sf_dir):
 
 
 def _aliases(spark, sf_dir):
-    return C.derive_aliases(C.label_counts(segments(spark, sf_dir)), _owners(spark, sf_dir))
+    return C.derive_aliases(C.label_counts(segments(spark, sf_dir)), C.name_pairs(prose(spark, sf_dir)))
 
 
 def load_segments_words(spark, sf_dir):

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fabula.catalog import corpora as K
-from fabula.functions.spoken import duration_text, number_words, spoken_text, word_key
+from fabula.functions.spoken import duration_text, number_words, with_spoken, word_key
 from fabula.operators import evaluation as E
 from fabula.operators import production as P
 from fabula.sources.pages import page_text as pages_text
@@ -173,8 +173,7 @@ def _stat_blocks(spark, sf_dir):
 
 
 def normalise_text(spark, sf_dir):
-    lexicon = F.create_map(F.lit("The"), F.lit("Thee"), F.lit("The and"), F.lit("Both"))
-    return _stat_blocks(spark, sf_dir).select("doc_id", spoken_text(F.col("t"), lexicon).alias("spoken"))
+    return with_spoken(_stat_blocks(spark, sf_dir), F.col("t"), "spoken", {"The": "Thee", "The and": "Both"}).select("doc_id", "spoken")
 
 
 def _scene_breaks(blocks):

@@ -6,6 +6,7 @@ keys; a replaced chapter is an anti join and a union.
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -124,49 +125,84 @@ def label_stats(segments: DataFrame, min_lines: int = 2) -> DataFrame:
     return out.filter(F.col("lines") >= min_lines)
 
 
+def name_pairs(prose: DataFrame, min_pairs: int = 3) -> DataFrame:
+    """How often the prose (book_id, text) has two capitalised words in a row: book_id, first, surname, pairs, from ``min_pairs`` times."""
+    pairs = prose.select("book_id", F.explode(F.regexp_extract_all("text", F.lit(r"\b[A-Z][a-z]+ [A-Z][a-z]+\b"), F.lit(0))).alias("p"))
+    pairs = pairs.groupBy("book_id", "p").agg(F.count(F.lit(1)).alias("pairs")).filter(F.col("pairs") >= min_pairs)
+    return pairs.select("book_id", F.substring_index("p", " ", 1).alias("first"), F.substring_index("p", " ", -1).alias("surname"), "pairs")
+
+
 def surname_owners(prose: DataFrame, labels: DataFrame, min_lines: int = 5, min_pairs: int = 3) -> DataFrame:
     """Which first names the prose (book_id, text) gives a surname: book_id, surname, first, pairs, ambiguous.
 
     First names are labels of one word with ``min_lines`` lines; a pair counts from ``min_pairs`` times."""
-    pairs = prose.select("book_id", F.explode(F.regexp_extract_all("text", F.lit(r"\b[A-Z][a-z]+ [A-Z][a-z]+\b"), F.lit(0))).alias("p"))
-    pairs = pairs.groupBy("book_id", F.substring_index("p", " ", 1).alias("first"), F.substring_index("p", " ", -1).alias("surname")).agg(F.count(F.lit(1)).alias("pairs"))
     anchors = labels.filter((~F.contains("label", F.lit(" "))) & (F.col("lines") >= min_lines)).select("book_id", F.col("label").alias("first"))
-    owners = pairs.filter(F.col("pairs") >= min_pairs).join(anchors, ["book_id", "first"], "left_semi")
+    owners = name_pairs(prose, min_pairs).join(anchors, ["book_id", "first"], "left_semi")
     return owners.withColumn("ambiguous", F.count(F.lit(1)).over(Window.partitionBy("book_id", "surname")) > 1)
 
 
-def derive_aliases(labels: DataFrame, owners: DataFrame, min_lines: int = 5) -> DataFrame:
+def _proposed(lines: dict[str, int], owners: dict[str, dict[str, int]], min_lines: int) -> dict[str, tuple[str, str, int]]:
+    """What each label of a book stands for by the first rule that fits: canonical, reason, evidence."""
+    out = {}
+    for label in lines:
+        words = label.split(" ")
+        own = owners.get(label, {})
+        tail = next((t for t in (" ".join(words[k:]) for k in range(1, len(words))) if t in lines and len(owners.get(t, ())) < 2), None)
+        if len(own) == 1 and label not in own:
+            ((first, pairs),) = own.items()
+            out[label] = (first, "surname", pairs)
+        elif tail is not None:
+            out[label] = (tail, "suffix", lines[tail])
+        elif len(words) == 2 and lines.get(words[0], 0) >= min_lines:
+            out[label] = (words[0], "full_name", lines[words[0]])
+    return out
+
+
+def _ends(step: dict[str, str]) -> dict[str, str]:
+    """Where the chain from each name stops: at a name without a step, or at the first met twice.  Every name is walked once."""
+    end: dict[str, str] = {}
+    for start in step:
+        way, at = {}, start
+        while at in step and at not in way and at not in end:
+            way[at] = len(way)
+            at = step[at]
+        # Names on a ring meet themselves again; those before it stop at the name where they enter it.
+        enter = way.get(at, len(way))
+        last = end.get(at, at)
+        for name, k in way.items():
+            end[name] = last if k < enter else name
+    return end
+
+
+def derive_aliases(labels: DataFrame, pairs: DataFrame, min_lines: int = 5) -> DataFrame:
     """Labels that stand for another: book_id, alias, canonical, reason, evidence, lines.
 
-    Rules by rank: a surname of one owner; a label that ends in another label (longest ending first); a
-    known first name with one more word.  Chains are followed to their end; a label that leads back to
-    itself is left alone."""
-    ambiguous = owners.filter("ambiguous").select("book_id", F.col("surname").alias("canonical")).distinct()
-    have = labels.select("book_id", F.col("label").alias("canonical"), F.col("lines").alias("evidence"))
-    one = owners.filter("not ambiguous and first <> surname").select("book_id", F.col("surname").alias("label"), F.col("first").alias("canonical"), F.col("pairs").alias("evidence"))
-    one = labels.join(one, ["book_id", "label"]).select("book_id", "label", "canonical", "evidence", F.lit(1).alias("rank"), F.lit("surname").alias("reason"))
-    words = labels.withColumn("w", F.split("label", " ")).filter(F.size("w") > 1)
-    tails = words.select("book_id", "label", F.explode(F.expr("transform(sequence(2, size(w)), k -> named_struct('cut', k, 't', array_join(slice(w, k, size(w)), ' ')))")).alias("c"))
-    tails = tails.select("book_id", "label", F.col("c.t").alias("canonical"), F.col("c.cut").alias("cut")).join(have, ["book_id", "canonical"])
-    tails = tails.join(ambiguous, ["book_id", "canonical"], "left_anti")
-    two = tails.groupBy("book_id", "label").agg(F.min_by(F.struct("canonical", "evidence"), "cut").alias("b")).select("book_id", "label", "b.canonical", "b.evidence", F.lit(2).alias("rank"), F.lit("suffix").alias("reason"))
-    three = words.filter(F.size("w") == 2).select("book_id", "label", F.get("w", F.lit(0)).alias("canonical")).join(have.filter(F.col("evidence") >= min_lines), ["book_id", "canonical"])
-    three = three.select("book_id", "label", "canonical", "evidence", F.lit(3).alias("rank"), F.lit("full_name").alias("reason"))
-    best = Window.partitionBy("book_id", "label").orderBy("rank")
-    chosen = one.unionByName(two).unionByName(three).withColumn("n", F.row_number().over(best)).filter("n = 1").drop("n", "rank")
-    # A name has few words, so a chain has few links; each pass follows one more.
-    step = chosen.select("book_id", F.col("label").alias("_from"), F.col("canonical").alias("_to"))
-    out = chosen.withColumn("seen", F.array("label"))
-    for _ in range(4):
-        met = out.withColumn("_from", F.col("canonical")).join(step, ["book_id", "_from"], "left")
-        go = F.col("_to").isNotNull() & ~F.array_contains("seen", F.col("canonical"))
-        new = {
-            "seen": F.when(go, F.array_append("seen", F.col("canonical"))).otherwise(F.col("seen")).alias("seen"),
-            "canonical": F.when(go, F.col("_to")).otherwise(F.col("canonical")).alias("canonical"),
-        }
-        out = met.select(*[new.get(c, F.col(c)) for c in out.columns])
-    out = out.filter("canonical <> label").join(labels, ["book_id", "label"])
-    return out.select("book_id", F.col("label").alias("alias"), "canonical", "reason", "evidence", "lines")
+    ``labels``: book_id, label, lines.  ``pairs``: book_id, first, surname, pairs, from the prose (``name_pairs`` or ``surname_owners``).
+    Rules by rank: a surname of one owner, which is a label of one word with ``min_lines`` lines; a label that ends in another label
+    (longest ending first), unless several own that ending; a known first name with one more word.  Chains are followed to their end;
+    a label that leads back to itself is left alone.
+
+    Both tables are counted already, so a book's part is its cast and its frequent names, however long the book is: it is
+    looked up and followed in one group by book, and each table is read once.
+    """
+
+    def derived(key, tables):
+        own = tables[tables["kind"] == "label"]
+        lines = dict(zip(own["name"], own["n"].astype(int), strict=True))
+        told = tables[tables["kind"] == "pair"]
+        owners: dict[str, dict[str, int]] = {}
+        for first, surname, n in zip(told["name"], told["surname"], told["n"], strict=True):
+            if " " not in first and lines.get(first, 0) >= min_lines:
+                owners.setdefault(surname, {})[first] = int(n)
+        found = _proposed(lines, owners, min_lines)
+        end = _ends({label: canonical for label, (canonical, _, _) in found.items()})
+        rows = [(key[0], label, end[label], reason, evidence, lines[label]) for label, (_, reason, evidence) in found.items() if end[label] != label]
+        return pd.DataFrame(rows, columns=["book_id", "alias", "canonical", "reason", "evidence", "lines"])
+
+    book = labels.schema["book_id"].dataType.simpleString()
+    each = labels.select("book_id", F.lit("label").alias("kind"), F.col("label").alias("name"), F.lit(None).cast("string").alias("surname"), F.col("lines").alias("n"))
+    each = each.unionByName(pairs.select(F.col("book_id").cast(book).alias("book_id"), F.lit("pair").alias("kind"), F.col("first").alias("name"), "surname", F.col("pairs").alias("n")))
+    return each.filter("name is not null").groupBy("book_id").applyInPandas(derived, f"book_id {book}, alias string, canonical string, reason string, evidence long, lines long")
 
 
 def apply_aliases(segments: DataFrame, aliases: DataFrame) -> DataFrame:

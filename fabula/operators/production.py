@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from fabula.sources.tables import kept
+
 # Preset voices by gender, the narrator's, and the one for unknown gender.
 MALE = ("Ryan", "Dylan", "Eric", "Aiden", "Uncle_Fu")
 FEMALE = ("Serena", "Vivian", "Sohee", "Ono_Anna")
@@ -152,31 +155,96 @@ def redo(ledger: DataFrame, asked: DataFrame) -> DataFrame:
     return rows.groupBy("job_id").agg(pick(F.col("_k").isNotNull()).alias("forgotten"), pick(F.col("_k").isNull()).alias("unknown"))
 
 
+def _lengths_after(pieces: list[tuple[int, int]], pause: int, long: int, overlap: int) -> list[tuple[int, int]]:
+    """How a clip changes the length so far, after ``pieces``: (limit, add) says that lengths up to the limit (and over the one
+    before) grow by so much.  A clip either adds the same to every length, or parts those that it can overlap from those it cannot."""
+    if pause > 0 or overlap <= 0:
+        return [(limit, add + pause + long) if pause > 0 else (limit, add + long) for limit, add in pieces]
+    out: list[tuple[int, int]] = []
+    low = -1
+    for limit, add in pieces:
+        cut = overlap - add
+        for upto, grow in ((min(limit, cut), add + long), (limit, add - overlap + long)):
+            if upto > low:
+                if out and out[-1][1] == grow:
+                    out[-1] = (upto, grow)
+                else:
+                    out.append((upto, grow))
+                low = upto
+    return out
+
+
+#: Longer than any audio.
+ENDLESS = (1 << 62) - 1
+
+
 def timeline(clips: DataFrame, crossfade_ms: int = 50) -> DataFrame:
-    """When each clip (job_id, id, pause_before_ms, duration_ms) starts in the assembled audio.
+    """When each clip (job_id, id, pause_before_ms, duration_ms) starts in the assembled audio, and how long that is: job_id, id, start_ms, total_ms.
 
     A pause is silence before a clip; without one the clip overlaps the end of what stands there, if that
-    is longer than the overlap.  The length so far decides, so a job's clips stream past one running number,
-    in order of id; nothing of a job is held."""
-    import pandas as pd
+    is longer than the overlap.  So a start depends on the length so far, and a block of clips is a function of the length
+    before it: a few pieces, on each of which a constant is added.  Clips are dealt out in ranges of (job, id); each task
+    puts its ranges' functions together; those of a job are applied one after another, a row for each range; then all ranges
+    are filled in at the same time.  No job, however long, is in one task.
+
+    Missing pauses and durations count as 0.  Of clips with one id, the one with the shorter pause, then the shorter itself, comes first.
+    Clips without a job take no part.
+    """
+    kind = clips.schema["job_id"].dataType.simpleString()
+    ms = lambda c: F.coalesce(F.col(c).cast("long"), F.lit(0))
+    rows = clips.filter("job_id is not null").select("job_id", F.col("id").cast("long").alias("id"), ms("pause_before_ms").alias("p"), ms("duration_ms").alias("d"))
+    rows = kept(rows.repartitionByRange("job_id", "id", "p", "d").withColumn("range", F.spark_partition_id()), "clips")
+    order = ["job_id", "range", "id", "p", "d"]
 
-    def run(batches):
-        job, at = None, 0
+    def functions(batches):
+        at, pieces = None, []
         for batch in batches:
-            starts, stops = [], []
-            for j, pause, long in zip(batch["job_id"].tolist(), batch["p"].tolist(), batch["d"].tolist()):
-                at = 0 if j != job else at
-                job = j
-                start = at + pause if pause > 0 else at - crossfade_ms if at > crossfade_ms > 0 else at
-                at = start + long
+            done = []
+            for job, place, pause, long in zip(batch["job_id"].tolist(), batch["range"].tolist(), batch["p"].tolist(), batch["d"].tolist(), strict=True):
+                if at != (job, place):
+                    if at is not None:
+                        done.append((*at, [x for x, _ in pieces], [x for _, x in pieces]))
+                    at, pieces = (job, place), [(ENDLESS, 0)]
+                pieces = _lengths_after(pieces, pause, long, crossfade_ms)
+            yield pd.DataFrame(done, columns=["job_id", "range", "limits", "adds"])
+        if at is not None:
+            yield pd.DataFrame([(*at, [x for x, _ in pieces], [x for _, x in pieces])], columns=["job_id", "range", "limits", "adds"])
+
+    def applied(key, blocks):
+        length, out = 0, []
+        for place, limits, adds in blocks.sort_values("range")[["range", "limits", "adds"]].itertuples(index=False):
+            out.append((key[0], place, length))
+            length += int(adds[next(k for k, limit in enumerate(limits) if length <= limit)])
+        return pd.DataFrame([(*x, length) for x in out], columns=["job_id", "range", "before", "total_ms"])
+
+    def filled(batches):
+        at, length = None, 0
+        for batch in batches:
+            starts = []
+            for job, place, before, pause, long in zip(*[batch[c].tolist() for c in ("job_id", "range", "before", "p", "d")], strict=True):
+                if at != (job, place):
+                    at, length = (job, place), before
+                start = length + pause if pause > 0 else length - crossfade_ms if length > crossfade_ms > 0 else length
+                length = start + long
                 starts.append(start)
-                stops.append(at)
-            yield pd.DataFrame({"job_id": batch["job_id"], "id": batch["id"], "start_ms": starts, "stop": stops})
+            yield pd.DataFrame({"job_id": batch["job_id"], "id": batch["id"], "start_ms": starts, "total_ms": batch["total_ms"]})
 
-    rows = clips.select("job_id", F.col("id").cast("long").alias("id"), *[F.coalesce(F.col(c).cast("long"), F.lit(0)).alias(a) for c, a in (("pause_before_ms", "p"), ("duration_ms", "d"))])
-    kind = clips.schema["job_id"].dataType.simpleString()
-    out = rows.repartition("job_id").sortWithinPartitions("job_id", "id").mapInPandas(run, f"job_id {kind}, id long, start_ms long, stop long")
-    return out.select("job_id", "id", "start_ms", F.max_by("stop", "id").over(Window.partitionBy("job_id")).alias("total_ms"))
+    blocks = rows.repartition("job_id", "range").sortWithinPartitions(*order).mapInPandas(functions, f"job_id {kind}, range int, limits array<long>, adds array<long>")
+    before = blocks.groupBy("job_id").applyInPandas(applied, f"job_id {kind}, range int, before long, total_ms long")  # a row for each range of a job
+    placed = rows.join(before.hint("merge"), ["job_id", "range"]).sortWithinPartitions(*order)
+    return placed.mapInPandas(filled, f"job_id {kind}, id long, start_ms long, total_ms long")
+
+
+def assembly_order(segments: DataFrame, reused: DataFrame, rendered: DataFrame) -> DataFrame:
+    """The clips that a job is assembled from, in reading order: job_id, id, place (from 1), clip, fresh.
+
+    ``segments``: job_id, id.  ``reused`` and ``rendered``: job_id, id, clip; a render replaces what would have been reused, and
+    of several the greatest clip counts.  Segments without a clip are left out, and the places close up."""
+    tagged = lambda df, fresh: df.filter("clip is not null").select("job_id", "id", F.struct(F.lit(fresh).alias("fresh"), "clip").alias("c"))
+    both = tagged(reused, False).unionByName(tagged(rendered, True)).groupBy("job_id", "id").agg(F.max("c").alias("c"))
+    rows = segments.select("job_id", "id").distinct().join(both, ["job_id", "id"])
+    place = F.row_number().over(Window.partitionBy("job_id").orderBy("id"))
+    return rows.select("job_id", "id", place.alias("place"), "c.clip", "c.fresh")
 
 
 def segment_view(segments: DataFrame, qa: DataFrame, ledger: DataFrame, failed: bool = False, speaker: str | None = None) -> DataFrame:

@@ -32,3 +32,9 @@ def production_report(clips: DataFrame) -> DataFrame:
         F.coalesce(F.sum("audio_s"), F.lit(0.0)).alias("audio_s"), F.coalesce(F.sum("elapsed_s"), F.lit(0.0)).alias("elapsed_s"),
     )
     return out.select("job_id", "synthesized", "failed", F.round(F.col("audio_s") / 60, 2).alias("audio_minutes"), F.round(F.when(F.col("audio_s") > 0, F.col("elapsed_s") / F.col("audio_s")), 3).alias("rtf"))
+
+
+def voice_seconds(clips: DataFrame, voice: str, seconds: str) -> DataFrame:
+    """Clips and seconds (to a tenth) of each voice of a book; clips without a length count as 0 s."""
+    total = F.round(F.sum(F.coalesce(F.col(seconds), F.lit(0)).cast("decimal(18,3)")), 1).cast("double")
+    return clips.groupBy("book_id", voice).agg(F.count(F.lit(1)).alias("voice_clips"), total.alias("voice_seconds"))

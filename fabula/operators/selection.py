@@ -107,6 +107,11 @@ def z_profile(measures: DataFrame, columns: list[str]) -> DataFrame:
     return measures.select("*", F.round(-mean, 3).alias("subdued"), F.round(mean, 3).alias("intense"))
 
 
+def subdued_first(profile: DataFrame) -> DataFrame:
+    """Add ``place`` to clips with ``subdued``: from the most subdued of a book down, ties by order."""
+    return profile.withColumn("place", F.row_number().over(Window.partitionBy("book_id").orderBy(F.desc("subdued"), "book_seq")))
+
+
 def best_clip_per_emotion(clips: DataFrame, min_clips: int = 3, top: int = 8) -> DataFrame:
     """Of each (speaker, emotion) with enough clips the longest of its ``top`` best aligned; ties by order."""
     group = Window.partitionBy("speaker", "emotion")

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fabula.operators import segments as S
+from fabula.plans.calls import TRANSPORT
 
 Client = Callable[[str], str]
 
@@ -20,7 +21,9 @@ GENDERS = ("male", "female", "unknown")
 
 
 def asked(requests: DataFrame, client: Client, attempts: int = 1) -> DataFrame:
-    """Add ``reply`` to ``requests`` (with ``prompt``): null where every attempt failed."""
+    """Add ``reply`` to ``requests`` (with ``prompt``): null where every attempt failed in transport.  A client's own mistakes end the job.
+
+    Calls stay in the tasks that hold the requests, one at a time; ``calls.called`` spreads them over replicas."""
     fields = [*requests.schema.fields]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + ", reply string"
 
@@ -28,7 +31,7 @@ def asked(requests: DataFrame, client: Client, attempts: int = 1) -> DataFrame:
         for _ in range(attempts):
             try:
                 return client(prompt)
-            except Exception:  # a client may fail in any way; its batch is then left as it was
+            except TRANSPORT:  # its batch is then left as it was
                 continue
         return None
 

@@ -1,97 +1,178 @@
-"""Job status, progress and incremental renders as streams.
+"""Job status, progress and incremental renders as streams with keyed state.
 
-Streams read files of events as they arrive (``availableNow`` for one catch-up run) and keep what they
-know in tables of the shared folder, one version for each batch, so that a batch that is run again after
-a failure writes the same version again."""
+A processor keeps one state for each job (or segment) in Spark's state store: what a batch brings is folded into it, and
+nothing that earlier batches brought is read again, so plans and batches stay as large as what arrives.  State and
+offsets are committed together: a batch that is run again after a failure starts from the state before it.  The present
+state of all keys is a table of the checkpoint (``state_of``).
+
+Events of one key are reduced within each task before they are dealt out by key, so that a job with very many events sends
+one row for each input batch of a task.
+"""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from fabula.operators.production import render_plan
+from fabula.sources.tables import Folder, work_dir
 
+__all__ = ["PHASES", "events_stream", "incremental_renders", "job_states", "latest_status_stream", "phases", "phases_stream", "progress_stream", "state_of", "work_dir"]
 
-def work_dir(spark: SparkSession, name: str) -> str:
-    """A new folder under ``spark.checkpoint.dir``; under one of our own only where that is not set (tests)."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        named = "file://" + tempfile.mkdtemp(prefix="fabula-")
-        spark.conf.set("spark.checkpoint.dir", named)
-    return f"{named.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+#: Phases of a job in order; an error ends it wherever it is.
+PHASES = ("analyzing", "synthesizing", "verifying", "done")
+STORE, ROCKS = "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def events_stream(spark: SparkSession, path: str, schema) -> DataFrame:
     return spark.readStream.schema(schema).parquet(path)
 
 
-def _last(events: DataFrame, key: str, order: str, columns: list[str]) -> DataFrame:
-    kept = F.max_by(F.struct(*columns), order).alias("e")
-    return events.groupBy(key).agg(kept, F.max(order).alias(order), F.sum("events").alias("events")).select(key, order, "events", *[f"e.{c}" for c in columns])
+@contextmanager
+def _state_store(spark: SparkSession):
+    """Streams started within use the state store that keyed processors need; the session's own choice returns after."""
+    before = spark.conf.get(STORE, None)
+    spark.conf.set(STORE, ROCKS)
+    try:
+        yield
+    finally:
+        spark.conf.set(STORE, before) if before else spark.conf.unset(STORE)
 
 
-def latest_status_stream(events: DataFrame, key: str, order: str, columns: list[str], folder: str) -> DataFrame:
-    """Follow ``events`` until they are read up; the last event of each key and the number of its events.
+def _caught_up(rows: DataFrame, folder: str, sink: Callable, mode: str) -> None:
+    """Run the stream until its source is read up."""
+    with _state_store(rows.sparkSession):
+        sink(rows.writeStream.outputMode(mode)).option("checkpointLocation", f"{folder}/offsets").trigger(availableNow=True).start().awaitTermination()
 
-    Each batch is reduced to one row a key before it meets the table of the batches so far."""
-    spark, source = events.sparkSession, events.select(key, order, *columns, F.lit(1).cast("long").alias("events"))
-    version = lambda n: f"{folder}/v{n}"
-    newest = [-1]
 
-    def step(batch: DataFrame, number: int) -> None:
-        rows = _last(batch, key, order, columns)
-        if number > 0:
-            rows = _last(rows.unionByName(batch.sparkSession.read.parquet(version(number - 1)), allowMissingColumns=False), key, order, columns)
-        rows.write.mode("overwrite").parquet(version(number))
-        newest[0] = number
+def state_of(spark: SparkSession, folder: str, name: str) -> DataFrame | None:
+    """The present state of every key (key.*, then the state's fields), or nothing before the first batch."""
+    if not Folder(spark, f"{folder}/offsets/commits").exists("0"):
+        return None
+    return spark.read.format("statestore").option("stateVarName", name).load(f"{folder}/offsets").select("key.*", "value.*")
 
-    source.writeStream.foreachBatch(step).option("checkpointLocation", f"{folder}/offsets").trigger(availableNow=True).start().awaitTermination()
-    if newest[0] < 0:
-        return spark.createDataFrame([], _last(spark.createDataFrame([], source.schema), key, order, columns).schema)
-    return spark.read.parquet(version(newest[0]))
 
+def _reduced(rows: pd.DataFrame, key: str, order: str, columns: list[str]) -> pd.DataFrame:
+    """One row for each key of ``rows`` (key, order, columns, events, far): the last event, the sum of events, the furthest phase."""
+    rows = rows.sort_values([order, *columns], kind="stable", na_position="first")
+    by = rows.groupby(key, sort=False, dropna=False)
+    return by.tail(1)[[key, order, *columns]].merge(by.agg(events=("events", "sum"), far=("far", "max")).reset_index(), on=key)
 
-def progress_stream(done: DataFrame, reused: DataFrame, key: str, folder: str) -> DataFrame:
-    """Segments finished of each job: those reused (key, n), and one for each event of ``done``.  The count is
-    the stream's own state; its table is replaced by the rows a batch changed."""
-    spark, counts = done.sparkSession, done.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
 
-    def step(batch: DataFrame, number: int) -> None:
-        batch.withColumn("version", F.lit(number)).write.mode("overwrite").parquet(f"{folder}/v={number}")
+class JobState(StatefulProcessor):
+    """For each job: how many events, how far it is, and its last event (greatest order, ties by the columns)."""
 
-    counts.writeStream.outputMode("update").foreachBatch(step).option("checkpointLocation", f"{folder}/offsets").trigger(availableNow=True).start().awaitTermination()
-    rows = spark.read.schema(f"{counts.schema[key].name} {counts.schema[key].dataType.simpleString()}, n long, version int").parquet(f"{folder}/v=*")
-    last = rows.groupBy(key).agg(F.max_by("n", "version").alias("rendered"))
-    out = reused.select(key, F.col("n").alias("reused")).join(last, key, "full")
-    return out.select(key, (F.coalesce("reused", F.lit(0)) + F.coalesce("rendered", F.lit(0))).cast("long").alias("completed"))
+    def __init__(self, key: str, order: str, columns: list[str], state: StructType):
+        self.key, self.order, self.columns, self.schema = key, order, columns, state
 
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.state = handle.getValueState("job", self.schema)
 
-def incremental_renders(segments: DataFrame, ledger: DataFrame, folder: str) -> DataFrame:
-    """Follow a stream of segments (job_id, id, fingerprint) and plan each batch against ``ledger`` and the
-    renders that earlier batches asked for: what is unchanged is not asked for twice."""
-    spark = segments.sparkSession
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        fields = [f.name for f in self.schema]
+        new = pd.concat(list(rows))
+        if self.state.exists():
+            old = pd.DataFrame([self.state.get()], columns=fields)
+            old[self.key] = new[self.key].iloc[0]
+            new = pd.concat([new, old.astype(new.dtypes.to_dict(), errors="ignore")])
+        now = _reduced(new, self.key, self.order, self.columns)
+        self.state.update(tuple(None if pd.isna(x) else getattr(x, "item", lambda x=x: x)() for x in now[fields].iloc[0].tolist()))
+        yield now[[self.key, *fields]]
 
-    def step(batch: DataFrame, number: int) -> None:
-        have = ledger.select("job_id", "id", "fingerprint", "clip")
-        for earlier in range(number):
-            asked = batch.sparkSession.read.parquet(f"{folder}/v{earlier}").filter("action = 'todo'")
-            have = have.join(asked, ["job_id", "id"], "left_anti").unionByName(asked.select("job_id", "id", "fingerprint", F.concat_ws("_", F.lit("new"), "job_id", "id").alias("clip")))
-        none = batch.select("job_id", "id").limit(0)
-        render_plan(batch, have, have.select("clip").distinct(), none).write.mode("overwrite").parquet(f"{folder}/v{number}")
+    def close(self) -> None:
+        pass
 
-    segments.writeStream.foreachBatch(step).option("checkpointLocation", f"{folder}/offsets").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.parquet(f"{folder}/v*")
 
+def job_states(events: DataFrame, key: str, order: str, columns: list[str], folder: str, phase: str | None = None) -> DataFrame:
+    """Follow ``events`` until they are read up; for every job seen so far: key, order, events, far (place of the furthest phase in
+    ``PHASES`` from 1, else 0) and the ``columns`` of its last event.  Events without a key or an order take no part."""
+    spark = events.sparkSession
+    place = F.array_position(F.array(*[F.lit(p) for p in PHASES]), F.col(phase)) if phase else F.lit(0)
+    source = events.filter(F.col(key).isNotNull() & F.col(order).isNotNull())
+    source = source.select(key, order, *columns, F.lit(1).cast("long").alias("events"), F.coalesce(place, F.lit(0)).cast("long").alias("far"))
+    kind = {f.name: f.dataType for f in source.schema}
+    state = StructType([StructField(c, kind[c]) for c in (order, *columns)] + [StructField("events", LongType()), StructField("far", LongType())])
+    out = StructType([StructField(key, kind[key]), *state])
+    own = source.columns
+    partial = source.mapInPandas(lambda batches: (_reduced(b, key, order, columns)[own] for b in batches if len(b)), source.schema)
+    rows = partial.groupBy(key).transformWithStateInPandas(JobState(key, order, columns, state), out, "Update", "None")
+    _caught_up(rows, folder, lambda w: w.format("noop"), "update")
+    now = state_of(spark, folder, "job")
+    return (spark.createDataFrame([], out) if now is None else now).select(key, order, "events", "far", *columns)
 
-#: Phases of a job in order; an error ends it wherever it is.
-PHASES = ("analyzing", "synthesizing", "verifying", "done")
+
+def latest_status_stream(events: DataFrame, key: str, order: str, columns: list[str], folder: str) -> DataFrame:
+    """The last event of each key and the number of its events: key, order, events, columns."""
+    return job_states(events, key, order, columns, folder).drop("far")
+
+
+def progress_stream(done: DataFrame, reused: DataFrame, key: str, folder: str) -> DataFrame:
+    """Segments finished of each job: those reused (key, n), and one for each event of ``done``."""
+    counted = done.select(key, F.lit(0).cast("long").alias("seq"))
+    last = job_states(counted, key, "seq", [], folder).select(key, F.col("events").alias("rendered"))
+    out = reused.select(key, F.col("n").alias("reused")).join(last, key, "full")
+    return out.select(key, (F.coalesce("reused", F.lit(0)) + F.coalesce("rendered", F.lit(0))).cast("long").alias("completed"))
+
+
+def _phase(far, last):
+    return F.when(last == "error", "error").otherwise(F.get(F.array(*[F.lit(p) for p in PHASES]), far.cast("int") - 1))
 
 
 def phases(events: DataFrame) -> DataFrame:
     """The phase of each job from events (job_id, seq, phase): the furthest one reached, or error if the last event is one."""
     place = F.array_position(F.array(*[F.lit(p) for p in PHASES]), F.col("phase"))
     out = events.groupBy("job_id").agg(F.max(place).alias("far"), F.max_by("phase", "seq").alias("last"))
-    return out.select("job_id", F.when(F.col("last") == "error", "error").otherwise(F.get(F.array(*[F.lit(p) for p in PHASES]), F.col("far").cast("int") - 1)).alias("phase"))
+    return out.select("job_id", _phase(F.col("far"), F.col("last")).alias("phase"))
+
+
+def phases_stream(events: DataFrame, folder: str) -> DataFrame:
+    """``phases`` of a stream: job_id, phase, events."""
+    out = job_states(events, "job_id", "seq", ["phase"], folder, phase="phase")
+    return out.select("job_id", _phase(F.col("far"), F.col("phase")).alias("phase"), "events")
+
+
+class Renders(StatefulProcessor):
+    """For each segment of a job, the fingerprint last asked for or rendered, and its clip."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.clip = handle.getValueState("clip", StructType([StructField("fingerprint", StringType()), StructField("clip", StringType())]))
+
+    def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
+        row = initialState.iloc[0]
+        self.clip.update((row["fingerprint"], row["clip"]))
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        have = self.clip.get() if self.clip.exists() else (None, None)
+        out = []
+        for fingerprint in sorted(pd.concat(list(rows))["fingerprint"].dropna()):
+            if fingerprint == have[0]:
+                out.append((*key, fingerprint, "reuse", have[1]))
+            else:
+                have = (fingerprint, f"new_{key[0]}_{key[1]}")
+                out.append((*key, fingerprint, "todo", None))
+        if have[0] is not None:
+            self.clip.update(have)
+        yield pd.DataFrame(out, columns=["job_id", "id", "fingerprint", "action", "clip"])
+
+    def close(self) -> None:
+        pass
+
+
+def incremental_renders(segments: DataFrame, ledger: DataFrame, folder: str) -> DataFrame:
+    """Follow a stream of segments (job_id, id, fingerprint): what is unchanged since ``ledger`` (job_id, id, fingerprint, clip) or since it was
+    last asked for is reused, all else is to do.  Of several fingerprints for a segment in one batch, each is taken in turn, in
+    order.  The ledger fills the state before the first batch and is not read again; rows without a fingerprint take no part.
+
+    Returns the decisions of all batches so far: job_id, id, fingerprint, action, clip."""
+    kind = lambda c: segments.schema[c].dataType
+    out = StructType([StructField("job_id", kind("job_id")), StructField("id", kind("id"))] + [StructField(c, StringType()) for c in ("fingerprint", "action", "clip")])
+    known = ledger.filter("fingerprint is not null").groupBy("job_id", "id").agg(F.max(F.struct("fingerprint", "clip")).alias("l")).select("job_id", "id", "l.*")
+    rows = segments.select("job_id", "id", "fingerprint").groupBy("job_id", "id")
+    rows = rows.transformWithStateInPandas(Renders(), out, "Append", "None", initialState=known.groupBy("job_id", "id"))
+    _caught_up(rows, folder, lambda w: w.format("parquet").option("path", f"{folder}/decisions"), "append")
+    return segments.sparkSession.read.schema(out).parquet(f"{folder}/decisions")

@@ -7,11 +7,11 @@ import math
 import duckdb
 import pytest
 
-from fabula.catalog import casting, chapters, corpora, library, production, shelves
+from fabula.catalog import casting, chapters, corpora, library, mechanisms, production, shelves
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-MODULES = (chapters, corpora, production, casting, library, shelves)
+MODULES = (chapters, corpora, production, casting, library, shelves, mechanisms)
 QUERIES = {k: v for m in MODULES for k, v in m.QUERIES.items()}
 SQL = {k: v for m in MODULES for k, v in m.ORACLE_SQL.items()}
 
