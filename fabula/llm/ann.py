@@ -190,19 +190,19 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "v
     """
     spark = vectors.sparkSession
     rows = valid(vectors, id_col, vector_col)
-    rows = written(rows.select("vec_id", "v", F.size("v").alias("d"), F.xxhash64("vec_id", "v").alias("h")), "vectors")
+    # The largest component first, and the norm from what that leaves of the others.
+    norm = F.transform(F.array(F.array_max(F.transform("v", F.abs))), lambda top: top * F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + (x / top) * (x / top))))[0]
+    rows = written(rows.select("vec_id", "v", F.size("v").alias("d"), F.xxhash64("vec_id", "v").alias("h"), norm.alias("norm")), "vectors")
     widths = rows.groupBy("d").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "d").first()
     schema = "query_id long, rank int, vec_id long, score double"
     if widths is None:
         return spark.createDataFrame([], schema)
     width, total = widths["d"], widths["n"]
-    rows = rows.filter(F.col("d") == width).select("vec_id", "v", "h")
+    rows = rows.filter(F.col("d") == width).select("vec_id", "v", "h", "norm")
     asked = valid(queries, id_col, vector_col).filter(F.size("v") == width).dropDuplicates()
-    top = F.array_max(F.transform("v", F.abs))
-    norm = top * F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + (x / top) * (x / top)))
-    longest, common = rows.agg(F.max(norm), F.percentile_approx(norm, SHARE, 10_000)).first()
+    longest, common = rows.agg(F.max("norm"), F.percentile_approx("norm", SHARE, 10_000)).first()
     most = min(longest, LONG * common)
-    sample = _matrix(rows.filter(norm <= most).orderBy("h", "vec_id").limit(SAMPLE).select("v").toArrow().column("v"), width)  # at most SAMPLE rows
+    sample = _matrix(rows.filter(F.col("norm") <= most).orderBy("h", "vec_id").limit(SAMPLE).select("v").toArrow().column("v"), width)  # at most SAMPLE rows
     lists = int(max(1, min(MAX_LISTS, total // PER_LIST, len(sample) // 4)))
     graph = Graph(kmeans(_lifted(sample, most), lists))
     # Vectors longer than ``most`` are the last list.
@@ -220,7 +220,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "v
                 own = batch.take(pa.array(row))
                 yield pa.RecordBatch.from_arrays([pa.array(near.astype(np.int32)), own.column("vec_id"), own.column("h"), own.column("v")], ["list", "vec_id", "h", "v"])
 
-    postings = written(rows.mapInArrow(posted, "list int, vec_id long, h long, v array<double>"), "postings")
+    postings = written(rows.drop("norm").mapInArrow(posted, "list int, vec_id long, h long, v array<double>"), "postings")
     held = np.zeros(lists + 1, dtype=np.int64)
     for r in postings.groupBy("list").agg(F.count(F.lit(1)).alias("n")).collect():  # at most MAX_LISTS rows and one
         held[r["list"]] = r["n"]
