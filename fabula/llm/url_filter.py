@@ -17,6 +17,8 @@ MAX_BLOCKS = 1 << 18
 BITS_PER_KEY = 16
 #: Rules must be few, as each becomes an expression.
 MAX_RULES = 1000
+#: Keys over which URLs that are done are spread.
+SPREAD = 1 << 16
 
 Rule = tuple[str, str, str]  # verdict, host, path
 
@@ -109,10 +111,12 @@ def judged(pages: DataFrame, rules: Sequence[Rule], listed: DataFrame, id_col: s
     passed = passed.withColumn("possible", F.coalesce(F.col("probe").isNotNull() & F.col("block").isNotNull() & all_set, F.lit(False)))
     passed = passed.select("page_id", "host", "path", "rule", "ruled", "key", "possible")
 
-    # URLs that the filter rules out have no key to join by.
-    passed = passed.withColumn("key", F.when(F.col("possible"), F.col("key")))
-    asked = passed.filter("key is not null").select("key").distinct()
+    # URLs that the filter rules out have no key to join by.  They are nearly all: each has one of many keys that meet nothing, so that
+    # they spread over all tasks where the join is a shuffle.
+    asked = passed.filter("possible").select("key", "possible").distinct()
     hits = asked.join(keys.hint("shuffle_hash"), "key", "left_semi").withColumn("listed", F.lit(True))
-    out = passed.join(hits, "key", "left").withColumn("listed", F.coalesce("listed", F.lit(False)))
+    spread = F.pmod(F.xxhash64("page_id", "host", "path"), F.lit(SPREAD)).cast("string")
+    passed = passed.withColumn("key", F.when(F.col("possible"), F.col("key")).otherwise(spread))
+    out = passed.join(hits, ["key", "possible"], "left").withColumn("listed", F.coalesce("listed", F.lit(False)))
     own = F.when(F.col("listed"), F.lit("block")).otherwise(F.lit("allow"))
     return out.select("page_id", "host", "path", "rule", F.coalesce("ruled", own).alias("verdict"), "listed")
