@@ -96,12 +96,16 @@ def train(labelled: DataFrame) -> tuple[list[str], np.ndarray]:
     buckets = BUCKETS
     while buckets > 1 and buckets * counts.select("lang").distinct().count() > MODEL_NUMBERS:
         buckets //= 2
-    table = counts.groupBy("lang", F.pmod("bucket", F.lit(buckets)).alias("bucket")).agg(F.sum("n").alias("n")).toArrow()
-    langs = sorted(set(table.column("lang").to_pylist()))
+    # A row for each language, with a cell for each of its buckets: as many as the model has at most.
+    cells = counts.groupBy("lang", F.pmod("bucket", F.lit(buckets)).alias("bucket")).agg(F.sum("n").alias("n"))
+    table = cells.groupBy("lang").agg(F.collect_list(F.struct("bucket", "n")).alias("cells")).orderBy("lang").toArrow()
+    langs = table.column("lang").to_pylist()
     matrix = np.full((buckets, len(langs)), 0.1)
     if langs:
-        of = np.searchsorted(np.array(langs, dtype=object), np.array(table.column("lang").to_pylist(), dtype=object))
-        np.add.at(matrix, (table.column("bucket").to_numpy(), of), table.column("n").to_numpy())
+        own = table.column("cells").combine_chunks()
+        of = np.repeat(np.arange(len(langs)), np.diff(own.offsets.to_numpy()))
+        cell = own.flatten()
+        np.add.at(matrix, (cell.field("bucket").to_numpy(zero_copy_only=False), of), cell.field("n").to_numpy(zero_copy_only=False))
         matrix = np.log(matrix / matrix.sum(axis=0, keepdims=True))
     return langs, np.ascontiguousarray(matrix.astype(np.float32))
 
