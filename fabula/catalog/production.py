@@ -210,7 +210,29 @@ quotes AS (SELECT {KEY.format(t='text')} AS key, CASE book_seq % 5 WHEN 0 THEN s
 matched AS (SELECT q.key, g.speaker AS want, q.got, CASE WHEN q.got IS NULL THEN 'unlabelled' WHEN contains(lower(q.got), lower(g.speaker)) OR contains(lower(g.speaker), lower(q.got)) THEN 'correct' ELSE 'wrong' END AS outcome FROM quotes q JOIN gold g USING (key))
 """
 
+#: Spoken forms: lines, what is left of each, what of that is a ratio, and two terms (twice, as a match takes the signs beside it).
+SPOKEN = r"""
+WITH o AS (SELECT string_split('zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen', ' ') AS ones, string_split('twenty thirty forty fifty sixty seventy eighty ninety', ' ') AS tens),
+low AS (SELECT n, CASE WHEN n < 20 THEN ones[n + 1] ELSE tens[n // 10 - 1] || CASE WHEN n % 10 > 0 THEN '-' || ones[n % 10 + 1] ELSE '' END END AS said FROM o, range(100) t(n)),
+names AS (SELECT list(said ORDER BY n) AS names FROM (SELECT n, said FROM low UNION ALL SELECT h * 100 + n, ones[h + 1] || ' hundred' || CASE WHEN n > 0 THEN ' and ' || said ELSE '' END FROM low, o, range(1, 10) t(h))),
+t AS (SELECT row_number() OVER () AS r, doc_id, BLOCKS AS t FROM documents),
+cut AS (SELECT r, string_split_regex(t, '\r\n|[\n\r\x0b\x0c\x1c-\x1e\x{85}\x{2028}\x{2029}]') AS l FROM t),
+lines AS (SELECT r, unnest(CASE WHEN l[len(l)] = '' THEN l[:len(l) - 1] ELSE l END) AS line, unnest(range(len(CASE WHEN l[len(l)] = '' THEN l[:len(l) - 1] ELSE l END))) AS i FROM cut),
+kept AS (SELECT r, i, line, regexp_extract(line, '^BLANK*([A-Z][A-Za-z ]{0,20}):', 1) AS label, regexp_replace(regexp_replace(line, '\[([^\]\n]{1,60})\]', '\1', 'g'), '\?{2,}', '', 'g') AS plain FROM lines
+  WHERE regexp_matches(line, '[\p{L}\p{N}]') OR NOT regexp_matches(regexp_replace(line, '^BLANK+|BLANK+$', '', 'g'), '^(?:BLANK|[*\-—_#~=.]){3,}$')),
+told AS (SELECT r, i, label, plain, regexp_replace(regexp_replace(regexp_replace(regexp_extract(plain, '^[^:]*:BLANK*(.*)$', 1), 'BLANK+$', ''), 'BLANK*\(([^)]*)\)', ', \1', 'g'), '^[ ,]+|[ ,]+$', '', 'g') AS value FROM kept),
+said AS (SELECT r, i, regexp_replace(regexp_replace(regexp_replace(regexp_replace(CASE WHEN label = '' THEN plain ELSE regexp_replace(regexp_replace(label || ': ' || value, '\[([^\]\n]{1,60})\]', '\1', 'g'), '\?{2,}', '', 'g') END,
+    '\(BLANK*(?:,BLANK*){0,2}\)|(\()BLANK*,BLANK*|,BLANK*(\))', '\1\2', 'g'), 'BLANK+([.,;:!?])', '\1', 'g'), '^(?:BLANK|[.,;:])+', ''), 'BLANK+$', '') AS line FROM told WHERE label = '' OR value <> ''),
+spoken AS (SELECT *, lead(i) OVER (PARTITION BY r ORDER BY i) IS NULL AS last FROM said WHERE regexp_matches(line, '[\p{L}\p{N}_]')),
+j AS (SELECT r, string_agg(line || CASE WHEN last OR regexp_matches(line, '[.!?,;:—]$') THEN '' ELSE '.' END, ' ' ORDER BY i) AS t FROM spoken GROUP BY 1),
+m AS (SELECT r, string_split_regex(t, '\b\d{1,3}BLANK*/BLANK*\d{1,3}\b') AS gaps, regexp_extract_all(t, '\b(\d{1,3})BLANK*/BLANK*(\d{1,3})\b', 1) AS a, regexp_extract_all(t, '\b(\d{1,3})BLANK*/BLANK*(\d{1,3})\b', 2) AS b FROM j),
+n AS (SELECT r, array_to_string([gaps[k] || CASE WHEN k <= len(a) THEN names[CAST(a[k] AS INTEGER) + 1] || ' out of ' || names[CAST(b[k] AS INTEGER) + 1] ELSE '' END FOR k IN range(1, len(gaps) + 1)], '') AS t FROM m, names),
+w AS (SELECT r, regexp_replace(t, 'BLANK*&BLANK*', ' and ', 'g') AS t FROM n),
+x AS (SELECT r, list_reduce([t, 'The and', 'The and', 'The', 'The'], lambda s, term: regexp_replace(s, '(^|[^\p{L}\p{N}_])' || term || '($|[^\p{L}\p{N}_])', '\1' || CASE term WHEN 'The' THEN 'Thee' ELSE 'Both' END || '\2', 'g')) AS t FROM w)
+SELECT doc_id, CASE WHEN t.t IS NOT NULL THEN coalesce(trim(regexp_replace(x.t, 'BLANK+', ' ', 'g')), '') END AS spoken FROM t LEFT JOIN x USING (r)"""
+
 ORACLE_SQL = {
+    "normalise_text": SPOKEN.replace("BLOCKS", STAT).replace("BLANK", r"[\s\p{Z}\x0b\x{85}\x1c-\x1f]"),
     "fingerprint": PRELUDE + "SELECT job_id, id, fingerprint FROM printed",
     "render_plan": PRELUDE + """
 , d AS (SELECT p.job_id, p.id, p.fingerprint, l.clip, coalesce(l.fingerprint = p.fingerprint AND (p.job_id * 3 + p.id) % 8 <> 0 AND NOT (p.job_id % 6 = 0 AND p.id = 3), false) AS reuse FROM printed p LEFT JOIN ledger l USING (job_id, id))

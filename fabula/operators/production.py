@@ -64,6 +64,10 @@ def autocast(speakers: DataFrame) -> DataFrame:
     return out.select("job_id", "c.speaker", "c.voice")
 
 
+#: Voices of a bank.
+MAX_VOICES = 10_000
+
+
 def stable_index(name: Column, count: Column | int) -> Column:
     """The first four bytes of the name's SHA-256, big-endian, modulo ``count``."""
     return F.conv(F.substring(F.sha2(name, 256), 1, 8), 16, 10).cast("long") % count
@@ -73,31 +77,31 @@ def hashed_cast(speakers: DataFrame, bank: DataFrame, forced: DataFrame | None =
     """Bank voices for the speakers (job_id, speaker): their own, the forced one, else a spare one found from
     a hash of the name onwards; spares are shared only when all are taken.  ``bank``: voice.  ``forced``:
     speaker, voice.  A job that needs a spare where there is none fails."""
-    voices = [r["voice"] for r in bank.select("voice").distinct().orderBy("voice").limit(10_001).collect()]  # voices recorded by hand
-    if len(voices) > 10_000:
-        raise ValueError("more than 10000 bank voices")
+    # One row: voices are recorded by hand.
+    held = F.array_sort(F.collect_set("voice"))
+    voices = bank.agg(F.when(F.size(held) > MAX_VOICES, F.raise_error(F.lit(f"more than {MAX_VOICES} bank voices"))).otherwise(held)).scalar()
     rows = speakers.select("job_id", "speaker").filter("speaker <> 'unknown'").distinct()
     if forced is not None:
-        given = forced.filter(F.col("voice").isin(*voices)).select("speaker", F.col("voice").alias("_forced"))
+        given = forced.join(bank.select("voice").distinct(), "voice", "left_semi").select("speaker", F.col("voice").alias("_forced"))
         rows = rows.join(given, "speaker", "left")
-        all_forced = [r["_forced"] for r in given.select("_forced").distinct().collect()]
+        lent = given.agg(F.array_sort(F.collect_set("_forced"))).scalar()
     else:
-        rows, all_forced = rows.withColumn("_forced", F.lit(None).cast("string")), []
-    own = F.col("_forced").isNull() & F.col("speaker").isin(*voices)
+        rows, lent = rows.withColumn("_forced", F.lit(None).cast("string")), F.array().cast("array<string>")
+    own = F.col("_forced").isNull() & F.array_contains(voices, F.col("speaker"))
     rows = rows.withColumn("_own", F.when(own, F.col("speaker")))
     jobs = rows.groupBy("job_id").agg(
         F.array_sort(F.collect_list(F.when(F.coalesce("_forced", "_own").isNull(), F.col("speaker")))).alias("asked"), F.collect_list("_own").alias("matched"),
         F.collect_list(F.when(F.coalesce("_forced", "_own").isNotNull(), F.struct("speaker", F.coalesce("_forced", "_own").alias("voice")))).alias("fixed"),
     )
-    spare = F.array_sort(F.array_except(F.array_except(F.expr(_sql_array(voices)), F.expr(_sql_array((*PROTECTED, *all_forced)))), F.col("matched")))
-    jobs = jobs.withColumn("spare", spare)
+    spare = F.array_except(F.array_except(voices, F.concat(F.array(*[F.lit(v) for v in PROTECTED]), lent)), F.col("matched"))
+    jobs = jobs.withColumn("lent", lent).withColumn("spare", F.sort_array(spare))
     none = (F.size("asked") > 0) & (F.size("spare") == 0)
     jobs = jobs.withColumn("spare", F.when(none, F.raise_error(F.lit("no spare voices in the bank"))).otherwise(F.col("spare")))
     start = "cast(cast(conv(substring(sha2(x, 256), 1, 8), 16, 10) as bigint) % size(spare) as int)"
     walk = f"transform(sequence(0, size(spare) - 1), k -> spare[({start} + k) % size(spare)])"
     pick = f"coalesce(get(filter({walk}, v -> not array_contains(s.taken, v)), 0), get(spare, {start}))"
     step = f"(s, x) -> element_at(transform(array({pick}), v -> named_struct('taken', array_union(s.taken, array(v)), 'out', concat(s.out, array(named_struct('speaker', x, 'voice', v))))), 1)"
-    zero = f"named_struct('taken', cast({_sql_array(all_forced)} as array<string>), 'out', cast(array() as array<struct<speaker:string,voice:string>>))"
+    zero = "named_struct('taken', lent, 'out', cast(array() as array<struct<speaker:string,voice:string>>))"
     out = jobs.select("job_id", F.explode(F.concat("fixed", F.expr(f"aggregate(asked, {zero}, {step}, s -> s.out)"))).alias("c"))
     return out.select("job_id", "c.speaker", "c.voice")
 

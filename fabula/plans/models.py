@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from fabula.operators import segments as S
 from fabula.plans.calls import TRANSPORT
+from fabula.sources.tables import kept
 
 Client = Callable[[str], str]
 
@@ -54,7 +55,10 @@ def attribution_requests(segments: DataFrame, names: DataFrame, size: int = 20,
 
 
 def attribute_by_model(segments: DataFrame, names: DataFrame, client: Client, size: int = 20) -> DataFrame:
-    """Give unresolved lines the speakers that ``client`` names, if they may be in the scene."""
+    """Give unresolved lines the speakers that ``client`` names, if they may be in the scene.
+
+    Requests, their context and their scenes are all made from the segments, which are therefore written once."""
+    segments = kept(segments, "attributed")
     replies = asked(attribution_requests(segments, names, size), client)
     said = F.from_json("reply", "attributions array<struct<segment_id:int,speaker:string>>")["attributions"]
     rows = replies.select("chapter_id", "candidates", F.posexplode(said).alias("place", "a")).withColumn("who", F.trim("a.speaker"))
