@@ -11,6 +11,7 @@ import posixpath
 import zipfile
 from collections.abc import Iterator
 from html.parser import HTMLParser
+from typing import BinaryIO
 from urllib.parse import unquote
 from xml.etree import ElementTree
 
@@ -73,8 +74,9 @@ def _local(root: ElementTree.Element, name: str) -> list[ElementTree.Element]:
     return [e for e in root.iter() if e.tag.rpartition("}")[2] == name]
 
 
-def _parts(path: str, content: bytes) -> Iterator[dict]:
-    with zipfile.ZipFile(io.BytesIO(content)) as book:
+def book_parts(path: str, content: BinaryIO, html: bool = True) -> Iterator[dict]:
+    """The spine documents of one book, one at a time; without ``html`` only the package and the navigation are unpacked."""
+    with zipfile.ZipFile(content) as book:
         names = book.namelist()
         package = _local(ElementTree.fromstring(book.read("META-INF/container.xml")), "rootfile")[0].get("full-path")
         opf = ElementTree.fromstring(book.read(package))
@@ -92,7 +94,7 @@ def _parts(path: str, content: bytes) -> Iterator[dict]:
                 points.setdefault(at(target), []).append({"place": place, "label": (label.text or "").strip(), "anchor": unquote(anchor)})
         for pos, name in enumerate(spine):
             first = spine.index(name) == pos
-            yield {"book": path, "pos": pos, "html": book.read(name).decode("utf-8", "replace") if name in names else "", "points": points.get(name, []) if first else []}
+            yield {"book": path, "pos": pos, "html": book.read(name).decode("utf-8", "replace") if html and name in names else "", "points": points.get(name, []) if first else []}
 
 
 def epub_parts(spark: SparkSession, path: str) -> DataFrame:
@@ -106,7 +108,7 @@ def opened(files: DataFrame) -> DataFrame:
     def run(batches):
         for batch in batches:
             for book, content in zip(batch["path"], batch["content"], strict=True):
-                for part in _parts(book, content):  # one document at a time, however long the book
+                for part in book_parts(book, io.BytesIO(content)):  # one document at a time, however long the book
                     yield pd.DataFrame([part])
 
     return files.select("path", "content").mapInPandas(run, PARTS)
