@@ -135,3 +135,70 @@ def test_a_query_without_its_neighbours_is_an_error(spark):
         ann._guarded(found, rows.filter("vec_id = 0"), rows, 4)
     with pytest.raises(RuntimeError):
         ann._guarded(found, rows.filter("vec_id < 2"), rows, 3)
+
+
+# very long texts of the others
+
+
+def test_a_very_long_url(spark):
+    from fabula.llm import url_filter
+
+    host = "a" * 1_000_000
+    urls = [f"http://{host}.com/en/" + "p" * 1_000_000 + "?" + "&".join(f"k{n}=v" for n in range(20_000)), "http://x.net/de/" + "/" * 500_000, "x" * 1_000_000]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = {r.page_id: r for r in url_filter.judged(pages, queries.URL_RULES, pages.filter("page_id = 1").select("url")).collect()}
+    assert (got[0].host, got[0].rule, got[0].verdict) == (f"{host}.com", "com/en/", "block") and len(got[0].path) == 1_000_004
+    assert (got[1].rule, got[1].verdict) == ("net/de/", "allow") and (got[2].host, got[2].path, got[2].verdict) == ("", "", "allow")
+
+
+def test_a_very_long_turn(spark):
+    import hashlib
+
+    from fabula.llm import chat
+
+    texts = ["<|im_end|>" * 100_000, "é" * 1_000_000, "<\\\\|im_start|>" * 50_000]
+    turns = [(1, k, "assistant" if k % 2 else "user", t) for k, t in enumerate(texts)]
+    (r,) = chat.read_back(chat.formatted(spark.createDataFrame(turns, "conv_id long, turn long, role string, text string"))).collect()
+    assert r.n_turns == 3 and r.loss_chars == 1_000_000 and r.loss_sha256 == hashlib.sha256(texts[1].encode()).hexdigest()
+    assert r.turns_sha256 == hashlib.sha256("".join(f"{role}\n{t}\n" for _, _, role, t in turns).encode()).hexdigest()
+
+
+def test_very_long_documents_are_linked(spark):
+    from fabula.llm.neardup import near_duplicates
+
+    rng = random.Random(3)
+    words = [f"w{rng.randrange(1 << 40)}" for _ in range(150_000)]
+    texts = [" ".join(words), " ".join(words[:140_000]), " ".join(words[:75_000]), "x " * 1_000_000, "x" * 2_000_000, " " * 2_000_000]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), percent=75).collect()}
+    assert got == {0: (149_996, 0), 1: (139_996, 0), 2: (74_996, 2), 3: (1, 3), 4: (1, 4), 5: (0, 5)}
+
+
+def test_very_long_documents_are_judged(spark):
+    from fabula.llm import quality
+
+    rng = random.Random(4)
+    lines = [" ".join(f"w{rng.randrange(1 << 30)}" for _ in range(9)) for _ in range(20_000)]
+    texts = ["\n".join(lines), "\n".join(lines * 2), "a" * 2_000_000, "# " * 500_000]
+    docs = spark.createDataFrame([(k, t, "en", "s", 0) for k, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r.doc_id: r for r in quality.quality(docs).collect()}
+    assert (got[0].n_words, got[0].n_dup_lines, got[0].n_repeat_words, got[0].kept) == (180_000, 0, 0, True)
+    assert (got[1].n_words, got[1].n_dup_lines, got[1].n_repeat_words, got[1].base_failed) == (360_000, 20_000, 360_000, True)
+    assert (got[2].n_words, got[2].word_chars, got[2].base_failed) == (1, 2_000_000, True) and got[3].n_symbols == 500_000
+
+
+def test_very_long_documents_in_the_pipeline(spark, tmp_path):
+    import corpus_pipeline
+
+    rng = random.Random(5)
+    plain = [" ".join(f"w{rng.randrange(1 << 30)}" for _ in range(200)) for _ in range(30)]
+    texts = [*plain, " \n" * 600_000 + plain[0], plain[1] + " password=abcdef1" * 5000, "\t" * 1_000_000, None, ""]
+    spark.createDataFrame([(k, t, "en", f"s{k % 3}", len(t or "")) for k, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(k, 1, 0) for k in range(30)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    pieces = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert len({r.doc_id for r in pieces}) >= 20 and all(0 < r.length <= 1024 for r in pieces)
+    place = defaultdict(list)
+    for r in pieces:
+        place[r.sequence_id].append((r.offset, r.length))
+    for own in place.values():
+        own.sort()
+        assert [o for o, _ in own] == [sum(n for _, n in own[:k]) for k in range(len(own))]
