@@ -16,7 +16,8 @@ import numpy as np
 #: Words whose tokens a Python worker remembers.
 CACHE_WORDS = 400_000
 #: White space as the pattern knows it, in runs too long for it.
-LONG_SPACE = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{512,}")
+LONG = 512
+LONG_SPACE = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{%d,}" % LONG)
 
 _encoders: dict[str, "Encoder"] = {}
 
@@ -71,6 +72,8 @@ class Encoder(dict):
     def ids(self, text: str) -> bytes:
         """Ids of a text as it stands.  Of a long run of white space, the pattern gives all but the last character
         to one group, or all of it at the end of a text; the last one goes with what follows."""
+        if len(text) < LONG:
+            return _packed(self.encoding.encode_ordinary(text))
         out, at = [], 0
         for run in LONG_SPACE.finditer(text):
             end = run.end() if run.end() == len(text) else run.end() - 1
