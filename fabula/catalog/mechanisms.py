@@ -9,9 +9,11 @@ from pyspark.sql import functions as F
 
 from fabula.catalog import corpora as K
 from fabula.functions.lexicon import lexicon_of, replaced_in
+from fabula.functions.spoken import held_text
 from fabula.operators import corpus as C
 from fabula.operators import crawl, reports, selection
 from fabula.operators import production as P
+from fabula.operators import segments as S
 from fabula.operators.fulltext import PhraseIndex
 from fabula.plans.calls import Engine, Engines, called
 from fabula.sources import artifacts as A
@@ -170,11 +172,48 @@ def subdued_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranked.join(reports.voice_seconds(m, "speaker", "duration_s"), ["book_id", "speaker"]).select("book_id", "book_seq", "place", "voice_clips", "voice_seconds")
 
 
+def stage_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as records of stages, of which some fields are state; what is left, in order of key."""
+    e = _table(spark, sf_dir, "events")
+    keys = {"status": F.col("event_type"), "at": F.col("ts").cast("string"), "artifact": F.lit("a.json"), "value": F.floor("value").cast("string"), "user": F.col("user_id").cast("string")}
+    record = F.map_filter(F.create_map(*[x for k, v in keys.items() for x in (F.lit(k), v)]), lambda key, value: (key != "value") | (F.col("event_id") % 3 > 0))
+    said = F.transform(F.array_sort(F.map_entries(P.stage_details(record))), lambda x: F.concat_ws("=", x["key"], x["value"]))
+    return e.select("event_id", F.array_join(said, ",").alias("details"))
+
+
+def analyser_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Segments as an analysis hands them on, with the text that a renderer would take from them."""
+    s = K.segments(spark, sf_dir).select(
+        F.col("chapter_number").alias("chapter_id"), F.col("chapter_seq").alias("id"), "kind", "speaker", F.expr("case when book_seq % 5 > 0 then concat(' ', text, '  ') end").alias("original_text"),
+        F.expr("case book_seq % 3 when 0 then '' when 1 then upper(kind) end").alias("spoken_text"), F.expr("if(book_seq % 4 = 0, null, 300)").alias("pause_before_ms"),
+    )
+    return S.analyser_lines(s).withColumn("held", held_text(F.col("original_text"), F.col("spoken_text"))).drop("original_text")
+
+
+def cast_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return C.cast_of(K.segments(spark, sf_dir))
+
+
+def registry_overrides(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return C.overrides(C.rebuild_characters(K.segments(spark, sf_dir), K.votes(spark, sf_dir)), K.registry(spark))
+
+
+def flagged_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = _table(spark, sf_dir, "orders")
+    return P.flagged(o.select(F.expr("o_custkey % 40").alias("job_id"), F.col("o_orderkey").alias("id"), F.expr("if(o_orderkey % 7 = 0, null, o_orderkey % 64 / cast(64 as double))").alias("similarity"), F.expr("o_custkey % 9").alias("words")))
+
+
+def voice_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The view, asked in SQL."""
+    C.aligned_view(K.segments(spark, sf_dir))
+    return spark.sql("select book_id, speaker, speaker_raw, count(*) as clips, min(book_seq) as first, sum(word_count) as words from voice_corpus where kind = 'dialogue' group by 1, 2, 3")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         lexicon_replacement, phrase_index, crawl_order, phase_stream, render_stream, assembly_order, engine_calls, versioned_loads, chapter_files, segment_files, attribution_lines, alias_reload,
-        migrated_segments, subdued_rank,
+        migrated_segments, subdued_rank, stage_records, analyser_lines, cast_names, registry_overrides, flagged_segments, voice_corpus,
     )
 }
 
@@ -232,6 +271,23 @@ FROM segments WHERE kind = 'dialogue' GROUP BY 1, 2, 3""",
 , a AS (SELECT DISTINCT book_id, speaker AS alias FROM segments WHERE (kind <> 'heading' AND contains(speaker, ' ')) OR speaker IN ('Clara Winslow', 'Marlow'))
 SELECT s.book_id, CASE WHEN a.alias IS NULL THEN speaker WHEN alias IN ('Clara Winslow', 'Marlow') THEN 'Clara' ELSE string_split(alias, ' ')[-1] END AS speaker, a.alias AS speaker_raw, count(*) AS lines
 FROM segments s LEFT JOIN a ON a.book_id = s.book_id AND a.alias = s.speaker GROUP BY ALL""",
+    "stage_records": """
+SELECT event_id, 'user=' || user_id || CASE WHEN event_id % 3 > 0 THEN ',value' || coalesce('=' || CAST(floor(value) AS BIGINT), '') ELSE '' END AS details FROM events""",
+    "analyser_lines": K.PRELUDE + r"""
+, a AS (SELECT chapter_number AS chapter_id, CAST(chapter_seq AS INTEGER) AS id, kind, CASE WHEN kind = 'dialogue' THEN speaker ELSE 'narrator' END AS speaker, CASE WHEN book_seq % 5 > 0 THEN ' ' || text || '  ' ELSE '' END AS o,
+  CASE WHEN book_seq % 3 = 1 THEN upper(kind) END AS s, CASE WHEN book_seq % 4 = 0 THEN 0 ELSE 300 END AS pause_before_ms FROM segments)
+SELECT chapter_id, id, kind, speaker, coalesce(s, o) AS spoken_text, pause_before_ms, regexp_replace(coalesce(nullif(o, ''), s, ''), '^[\s\p{Z}]+|[\s\p{Z}]+$', '', 'g') AS held FROM a""",
+    "cast_names": K.PRELUDE + """
+, f AS (SELECT book_id, speaker, min(book_seq) AS first FROM segments GROUP BY 1, 2)
+SELECT book_id, speaker, CAST(row_number() OVER (PARTITION BY book_id ORDER BY speaker) AS INTEGER) AS by_name, CAST(row_number() OVER (PARTITION BY book_id ORDER BY first, speaker) AS INTEGER) AS by_entrance FROM f""",
+    "registry_overrides": K.PRELUDE + f"""
+, c AS (SELECT DISTINCT book_id, speaker AS name FROM segments WHERE kind <> 'heading' AND speaker NOT IN ('narrator', 'unknown'))
+SELECT c.book_id, count(*) AS gender_set FROM c JOIN {K.REGISTRY} ON r.book_id = c.book_id AND r.name = c.name WHERE gender IN ('male', 'female') AND confidence >= 0.6 GROUP BY 1""",
+    "flagged_segments": """
+WITH r AS (SELECT o_custkey % 40 AS job_id, o_orderkey AS id, CASE WHEN o_custkey % 9 >= 4 THEN 'failed' ELSE 'suspect' END AS verdict FROM orders WHERE o_orderkey % 7 > 0 AND o_orderkey % 64 / 64.0 < 0.85)
+SELECT *, CAST(row_number() OVER (PARTITION BY job_id ORDER BY verdict, id) AS INTEGER) AS place FROM r""",
+    "voice_corpus": K.PRELUDE + """
+SELECT book_id, speaker, CAST(NULL AS VARCHAR) AS speaker_raw, count(*) AS clips, min(book_seq) AS first, CAST(sum(word_count) AS BIGINT) AS words FROM segments WHERE audio_start_s IS NOT NULL AND kind = 'dialogue' GROUP BY 1, 2""",
     "migrated_segments": K.PRELUDE + "SELECT book_id, CAST(sum(book_seq) AS BIGINT) AS places, CAST(0 AS BIGINT) AS raw, CAST(sum(CAST(duration_s AS DECIMAL(9,3))) AS DOUBLE) AS seconds FROM segments GROUP BY 1",
     "subdued_rank": K.PRELUDE + """
 , m AS (SELECT avg(duration_s) AS a1, stddev_pop(duration_s) AS s1, avg(align_score) AS a2, stddev_pop(align_score) AS s2, avg(word_count) AS a3, stddev_pop(word_count) AS s3 FROM segments WHERE audio_start_s IS NOT NULL),

@@ -112,6 +112,26 @@ def override_gender(characters: DataFrame, registry: DataFrame, confidence: floa
     return out.withColumn("gender", F.coalesce("_g", "gender")).select(*characters.columns)
 
 
+def overrides(characters: DataFrame, registry: DataFrame, confidence: float = CONFIDENCE) -> DataFrame:
+    """How many characters of each book have a gender that the registry is sure of: book_id, gender_set."""
+    sure = registry.filter(F.col("gender").isin("male", "female") & (F.col("confidence") >= confidence)).select("book_id", "name")
+    return characters.select("book_id", "name").join(sure, ["book_id", "name"]).groupBy("book_id").agg(F.count(F.lit(1)).alias("gender_set"))
+
+
+def aligned_view(segments: DataFrame, name: str = "voice_corpus") -> None:
+    """A view of what clips are picked from: the segments with a place in the audio, to be ordered by book_id and book_seq."""
+    raw = F.col("speaker_raw") if "speaker_raw" in segments.columns else F.lit(None).cast("string")
+    columns = ["book_id", "speaker", raw.alias("speaker_raw"), "kind", "chapter_number", "book_seq", "text", "word_count", "audio_start_s", "audio_end_s", "duration_s", "align_score"]
+    segments.filter("audio_start_s is not null").select(*columns).createOrReplaceTempView(name)
+
+
+def cast_of(segments: DataFrame) -> DataFrame:
+    """The speakers of each book, a row for each: book_id, speaker, by_name and by_entrance (places from 1 in order of name and of their first line)."""
+    first = segments.groupBy("book_id", "speaker").agg(F.min("book_seq").alias("first"))
+    place = lambda *order: F.row_number().over(Window.partitionBy("book_id").orderBy(*order))
+    return first.select("book_id", "speaker", place("speaker").alias("by_name"), place("first", "speaker").alias("by_entrance"))
+
+
 def label_counts(segments: DataFrame) -> DataFrame:
     """Lines of each label as attribution gave it."""
     raw = F.coalesce("speaker_raw", "speaker") if "speaker_raw" in segments.columns else F.col("speaker")

@@ -285,6 +285,23 @@ def quality_report(results: DataFrame, threshold: float = 0.85, min_words: int =
     )
 
 
+def flagged(results: DataFrame, threshold: float = 0.85, min_words: int = 4) -> DataFrame:
+    """Segments to be rendered again, failed ones before suspect ones: job_id, id, verdict, place (from 1 in each job)."""
+    low = results.filter(F.col("similarity") < threshold)
+    failed, suspect = low.filter(F.col("words") >= min_words), low.filter(F.col("words") < min_words)
+    both = failed.select("job_id", "id", F.lit("failed").alias("verdict")).unionByName(suspect.select("job_id", "id", F.lit("suspect").alias("verdict")))
+    return both.withColumn("place", F.row_number().over(Window.partitionBy("job_id").orderBy("verdict", "id")))
+
+
+#: What a stage's record says of the stage itself, and not of its work.
+STAGE_STATE = ("status", "at", "artifact")
+
+
+def stage_details(record: Column) -> Column:
+    """What a stage recorded (a map) besides its state."""
+    return F.map_filter(record, lambda key, _: ~key.isin(*STAGE_STATE))
+
+
 def best_take(takes: DataFrame, enough: float = 0.95, rerolls: int = 3) -> DataFrame:
     """The take that stays of each (job_id, id): takes (attempt from 0, score) count until the best so far is
     ``enough``; only a strictly better one replaces it."""

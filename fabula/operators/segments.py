@@ -239,6 +239,16 @@ def output_projection(segments: DataFrame) -> DataFrame:
     )
 
 
+def analyser_lines(segments: DataFrame) -> DataFrame:
+    """Segments as an outside analysis hands them on, ``kind`` among the fields: chapter_id, id, kind, speaker, original_text, spoken_text, pause_before_ms.
+    Narration is the narrator's; texts and pauses that are missing are empty and 0."""
+    original = F.coalesce("original_text", F.lit(""))
+    return segments.select(
+        "chapter_id", "id", "kind", F.when(F.col("kind") == "dialogue", F.col("speaker")).otherwise("narrator").alias("speaker"), original.alias("original_text"),
+        F.coalesce(F.nullif("spoken_text", F.lit("")), original).alias("spoken_text"), F.coalesce("pause_before_ms", F.lit(0)).alias("pause_before_ms"),
+    )
+
+
 def context_windows(segments: DataFrame, around: int = 6, max_chars: int = 200) -> DataFrame:
     """For each unresolved line, the segments within ``around`` places of it in order, texts cut."""
     item = F.struct("id", "kind", "speaker", F.substring("original_text", 1, max_chars).alias("text"))
