@@ -164,7 +164,7 @@ def quality(
     A line (its words, A-Z lower-cased) is boilerplate if over ``percent`` of a hundred different documents
     of its host have it, and more than ``floor`` in all.  A document is kept unless the rules fail it, or
     its other lines hold under ``min_words`` words or under ``min_share`` of its words.  Null hosts are one
-    host; a null text is empty and so fails.  Documents are told apart by id and text, so rows that repeat
+    host; a null text is empty and so fails.  Documents are told apart by id, text and host, so rows that repeat
     one count once and are judged alike.  An empty table gives an empty result.  Other columns are not carried.
     """
     return _judged(docs, floor, percent, min_share, min_words, id_col, text_col, host_col).drop("uid", "gone")
