@@ -1,24 +1,25 @@
 """Job status, progress and incremental renders as streams with keyed state.
 
-A processor keeps one state for each job (or segment) in Spark's state store: what a batch brings is folded into it, and
+A state for each job (or block of a job's segments) is in Spark's state store: what a batch brings is folded into it, and
 nothing that earlier batches brought is read again, so plans and batches stay as large as what arrives.  State and
 offsets are committed together: a batch that is run again after a failure starts from the state before it.  The present
 state of all keys is a table of the checkpoint (``state_of``).
 
-Events of one key are reduced within each task before they are dealt out by key, so that a job with very many events sends
+Events of one job are reduced within each task before they are dealt out by key, so that a job with very many events sends
 one row for each input batch of a task.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
-from pyspark.sql.types import LongType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, DataType, LongType, StringType, StructField, StructType
 
 from fabula.sources.tables import Folder, work_dir
 
@@ -136,33 +137,78 @@ def phases_stream(events: DataFrame, folder: str) -> DataFrame:
     return out.select("job_id", _phase(F.col("far"), F.col("phase")).alias("phase"), "events")
 
 
+#: Segments whose state is one value: so many ids in a row, or, of ids that are no whole numbers, a part of a job's by hash.
+BLOCK, PARTS = 256, 256
+#: Decisions that leave a task at once.
+CHUNK = 10_000
+
+
+def _block(rows: DataFrame) -> Column:
+    """The block of a job that a segment is in; those without an id are one of their own."""
+    whole = rows.schema["id"].dataType.typeName() in ("byte", "short", "integer", "long")
+    return F.floor(F.col("id") / BLOCK) if whole else F.when(F.col("id").isNotNull(), F.pmod(F.xxhash64("id"), F.lit(PARTS)))
+
+
 class Renders(StatefulProcessor):
-    """For each segment of a job, the fingerprint last asked for or rendered, and its clip."""
+    """For each segment of a block, the fingerprint last asked for or rendered, and its clip.
+
+    A call for each segment would cost far more than what it decides, so a block's segments are one state."""
+
+    def __init__(self, kind: DataType):
+        self.schema = StructType([StructField("ids", ArrayType(kind)), StructField("fingerprints", ArrayType(StringType())), StructField("clips", ArrayType(StringType()))])
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.clip = handle.getValueState("clip", StructType([StructField("fingerprint", StringType()), StructField("clip", StringType())]))
+        self.state = handle.getValueState("clips", self.schema)
+
+    def _known(self) -> dict:
+        if not self.state.exists():
+            return {}
+        ids, fingerprints, clips = self.state.get()
+        return dict(zip(ids, zip(fingerprints, clips, strict=True), strict=True))
+
+    def _keep(self, known: dict) -> None:
+        if known:
+            self.state.update((list(known), [f for f, _ in known.values()], [c for _, c in known.values()]))
 
     def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
-        row = initialState.iloc[0]
-        self.clip.update((row["fingerprint"], row["clip"]))
+        known = self._known()
+        for ident, fingerprint, clip in _plain(initialState, "id", "fingerprint", "clip"):
+            known[ident] = (fingerprint, clip)
+        self._keep(known)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        have = self.clip.get() if self.clip.exists() else (None, None)
-        out = []
-        for fingerprint in sorted(pd.concat(list(rows))["fingerprint"].dropna()):
-            if fingerprint == have[0]:
-                out.append((*key, fingerprint, "reuse", have[1]))
-            else:
-                have = (fingerprint, f"new_{key[0]}_{key[1]}")
-                out.append((*key, fingerprint, "todo", None))
-        if have[0] is not None:
-            self.clip.update(have)
-        yield pd.DataFrame(out, columns=["job_id", "id", "fingerprint", "action", "clip"])
+        asked = Counter()
+        for batch in rows:
+            asked.update(x for x in _plain(batch, "id", "fingerprint") if x[1] is not None)
+        known, out = self._known(), []
+        for (ident, fingerprint), times in sorted(asked.items(), key=lambda x: x[0][1]):
+            have = known.get(ident, (None, None))
+            if fingerprint != have[0]:
+                have = known[ident] = (fingerprint, f"new_{key[0]}_{ident}")
+                out.append((key[0], ident, fingerprint, "todo", None))
+                times -= 1
+            while times:
+                now = min(times, CHUNK)
+                out += [(key[0], ident, fingerprint, "reuse", have[1])] * now
+                times -= now
+                if len(out) >= CHUNK:
+                    yield pd.DataFrame(out, columns=DECIDED)
+                    out = []
+        self._keep(known)
+        yield pd.DataFrame(out, columns=DECIDED)
 
     def close(self) -> None:
         pass
 
 
+DECIDED = ["job_id", "id", "fingerprint", "action", "clip"]
+
+
+def _plain(rows: pd.DataFrame, *columns: str) -> Iterator[tuple]:
+    """Rows as plain values, with None for what is missing."""
+    return zip(*[rows[c].astype(object).where(rows[c].notna(), None).tolist() for c in columns], strict=True)
+
+
 def incremental_renders(segments: DataFrame, ledger: DataFrame, folder: str) -> DataFrame:
     """Follow a stream of segments (job_id, id, fingerprint): what is unchanged since ``ledger`` (job_id, id, fingerprint, clip) or since it was
     last asked for is reused, all else is to do.  Of several fingerprints for a segment in one batch, each is taken in turn, in
@@ -172,7 +218,8 @@ def incremental_renders(segments: DataFrame, ledger: DataFrame, folder: str) ->
     kind = lambda c: segments.schema[c].dataType
     out = StructType([StructField("job_id", kind("job_id")), StructField("id", kind("id"))] + [StructField(c, StringType()) for c in ("fingerprint", "action", "clip")])
     known = ledger.filter("fingerprint is not null").groupBy("job_id", "id").agg(F.max(F.struct("fingerprint", "clip")).alias("l")).select("job_id", "id", "l.*")
-    rows = segments.select("job_id", "id", "fingerprint").groupBy("job_id", "id")
-    rows = rows.transformWithStateInPandas(Renders(), out, "Append", "None", initialState=known.groupBy("job_id", "id"))
+    of = lambda df: df.withColumn("block", _block(df)).groupBy("job_id", "block")
+    rows = of(segments.select("job_id", "id", "fingerprint"))
+    rows = rows.transformWithStateInPandas(Renders(kind("id")), out, "Append", "None", initialState=of(known))
     _caught_up(rows, folder, lambda w: w.format("parquet").option("path", f"{folder}/decisions"), "append")
     return segments.sparkSession.read.schema(out).parquet(f"{folder}/decisions")

@@ -213,3 +213,18 @@ def test_renders_do_not_read_earlier_batches(spark, tmp_path):
     assert new[2] == [(1, 1, "a", "todo", None)]
     assert new[3] == [(1, 1, "a", "reuse", "new_1_1"), (2, 1, "q", "todo", None)]
     assert len(set(plans)) == 1
+
+
+def test_a_block_of_segments_is_one_state(spark, tmp_path):
+    where, folder = str(tmp_path / "in"), str(tmp_path / "out")
+    schema = "job_id long, id long, fingerprint string"
+    stream = lambda: status.events_stream(spark, where, spark.createDataFrame([], schema).schema)
+    ids = [*range(600), -1, 2**60 + 1]
+    ledger = spark.createDataFrame([(1, k, "a", f"c{k}") for k in ids[::2]] + [(7, 7, "a", "c")], schema + ", clip string")
+    spark.createDataFrame([(1, k, f) for k in ids for f in ("a", "b", "b")] + [(1, None, "a"), (1, None, "a")], schema).coalesce(1).write.mode("append").parquet(where)
+    out = status.incremental_renders(stream(), ledger, folder)
+    want = [(1, None, "a", "todo", None), (1, None, "a", "reuse", "new_1_None")]
+    for k in ids:
+        want += [(1, k, "a", *(("reuse", f"c{k}") if k in ids[::2] else ("todo", None))), (1, k, "b", "todo", None), (1, k, "b", "reuse", f"new_1_{k}")]
+    assert sorted((tuple(r) for r in out.collect()), key=repr) == sorted(want, key=repr)
+    assert spark.read.format("statestore").option("stateVarName", "clips").load(f"{folder}/offsets").count() == 7
