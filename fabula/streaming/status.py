@@ -6,7 +6,7 @@ offsets are committed together: a batch that is run again after a failure starts
 state of all keys is a table of the checkpoint (``state_of``).
 
 Events of one job are reduced within each task before they are dealt out by key, so that a job with very many events sends
-one row for each input batch of a task.
+one row for each task.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
-from pyspark.sql.types import ArrayType, DataType, LongType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, DataType, StringType, StructField, StructType
 
 from fabula.sources.tables import Folder, work_dir
 
@@ -51,60 +51,31 @@ def _caught_up(rows: DataFrame, folder: str, sink: Callable, mode: str) -> None:
         sink(rows.writeStream.outputMode(mode)).option("checkpointLocation", f"{folder}/offsets").trigger(availableNow=True).start().awaitTermination()
 
 
-def state_of(spark: SparkSession, folder: str, name: str) -> DataFrame | None:
-    """The present state of every key (key.*, then the state's fields), or nothing before the first batch."""
+def state_of(spark: SparkSession, folder: str, name: str | None = None) -> DataFrame | None:
+    """The present state of every key (key, value), of an aggregate or of a processor's variable ``name``, or nothing before the first batch."""
     if not Folder(spark, f"{folder}/offsets/commits").exists("0"):
         return None
-    return spark.read.format("statestore").option("stateVarName", name).load(f"{folder}/offsets").select("key.*", "value.*")
-
-
-def _reduced(rows: pd.DataFrame, key: str, order: str, columns: list[str]) -> pd.DataFrame:
-    """One row for each key of ``rows`` (key, order, columns, events, far): the last event, the sum of events, the furthest phase."""
-    rows = rows.sort_values([order, *columns], kind="stable", na_position="first")
-    by = rows.groupby(key, sort=False, dropna=False)
-    return by.tail(1)[[key, order, *columns]].merge(by.agg(events=("events", "sum"), far=("far", "max")).reset_index(), on=key)
-
-
-class JobState(StatefulProcessor):
-    """For each job: how many events, how far it is, and its last event (greatest order, ties by the columns)."""
-
-    def __init__(self, key: str, order: str, columns: list[str], state: StructType):
-        self.key, self.order, self.columns, self.schema = key, order, columns, state
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("job", self.schema)
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        fields = [f.name for f in self.schema]
-        new = pd.concat(list(rows))
-        if self.state.exists():
-            old = pd.DataFrame([self.state.get()], columns=fields)
-            old[self.key] = new[self.key].iloc[0]
-            new = pd.concat([new, old.astype(new.dtypes.to_dict(), errors="ignore")])
-        now = _reduced(new, self.key, self.order, self.columns)
-        self.state.update(tuple(None if pd.isna(x) else getattr(x, "item", lambda x=x: x)() for x in now[fields].iloc[0].tolist()))
-        yield now[[self.key, *fields]]
-
-    def close(self) -> None:
-        pass
+    reader = spark.read.format("statestore")
+    return (reader.option("stateVarName", name) if name else reader).load(f"{folder}/offsets").select("key", "value")
 
 
 def job_states(events: DataFrame, key: str, order: str, columns: list[str], folder: str, phase: str | None = None) -> DataFrame:
     """Follow ``events`` until they are read up; for every job seen so far: key, order, events, far (place of the furthest phase in
-    ``PHASES`` from 1, else 0) and the ``columns`` of its last event.  Events without a key or an order take no part."""
+    ``PHASES`` from 1, else 0) and the ``columns`` of its last event (greatest order, ties by the columns).  Events without a key or
+    an order take no part.  The state of a job is what Spark's own aggregate keeps: a struct and two numbers."""
     spark = events.sparkSession
     place = F.array_position(F.array(*[F.lit(p) for p in PHASES]), F.col(phase)) if phase else F.lit(0)
     source = events.filter(F.col(key).isNotNull() & F.col(order).isNotNull())
-    source = source.select(key, order, *columns, F.lit(1).cast("long").alias("events"), F.coalesce(place, F.lit(0)).cast("long").alias("far"))
-    kind = {f.name: f.dataType for f in source.schema}
-    state = StructType([StructField(c, kind[c]) for c in (order, *columns)] + [StructField("events", LongType()), StructField("far", LongType())])
-    out = StructType([StructField(key, kind[key]), *state])
-    own = source.columns
-    partial = source.mapInPandas(lambda batches: (_reduced(b, key, order, columns)[own] for b in batches if len(b)), source.schema)
-    rows = partial.groupBy(key).transformWithStateInPandas(JobState(key, order, columns, state), out, "Update", "None")
+    source = source.select(key, F.struct(order, *columns).alias("last"), F.coalesce(place, F.lit(0)).cast("long").alias("far"))
+    rows = source.groupBy(key).agg(F.max("last").alias("last"), F.count(F.lit(1)).alias("events"), F.max("far").alias("far"))
     _caught_up(rows, folder, lambda w: w.format("noop"), "update")
-    now = state_of(spark, folder, "job")
-    return (spark.createDataFrame([], out) if now is None else now).select(key, order, "events", "far", *columns)
+    now = state_of(spark, folder)
+    if now is None:
+        now = spark.createDataFrame([], rows.schema)
+    else:  # an aggregate names what it keeps after its functions, in their order
+        kept = StructType([f for f in rows.schema if f.name != key])
+        now = now.select(F.col("key")[key].alias(key), F.col("value").cast(kept).alias("value")).select(key, "value.*")
+    return now.select(key, F.col("last")[order].alias(order), "events", "far", *[F.col("last")[c].alias(c) for c in columns])
 
 
 def latest_status_stream(events: DataFrame, key: str, order: str, columns: list[str], folder: str) -> DataFrame:

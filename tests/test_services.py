@@ -228,3 +228,14 @@ def test_a_block_of_segments_is_one_state(spark, tmp_path):
         want += [(1, k, "a", *(("reuse", f"c{k}") if k in ids[::2] else ("todo", None))), (1, k, "b", "todo", None), (1, k, "b", "reuse", f"new_1_{k}")]
     assert sorted((tuple(r) for r in out.collect()), key=repr) == sorted(want, key=repr)
     assert spark.read.format("statestore").option("stateVarName", "clips").load(f"{folder}/offsets").count() == 7
+
+
+def test_last_values_of_a_job_keep_their_precision(spark, tmp_path):
+    where, folder = str(tmp_path / "in"), str(tmp_path / "state")
+    schema = "job_id long, seq long, value long"
+    stream = lambda: status.events_stream(spark, where, spark.createDataFrame([], schema).schema)
+    for batch in ([(1, 1, None), (1, 2, 2**53 + 1), (2, 7, None), (2, 7, 3)], [(2, 7, None), (1, 1, 5), (3, 1, None)]):
+        spark.createDataFrame(batch, schema).coalesce(1).write.mode("append").parquet(where)
+        got = status.latest_status_stream(stream(), "job_id", "seq", ["value"], folder)
+    assert sorted(tuple(r) for r in got.collect()) == [(1, 2, 3, 2**53 + 1), (2, 7, 3, 3), (3, 1, 1, None)]
+    assert "Pandas" not in got._jdf.queryExecution().executedPlan().toString()
