@@ -60,7 +60,7 @@ def attribute_by_model(segments: DataFrame, names: DataFrame, client: Client, si
     Requests, their context and their scenes are all made from the segments, which are therefore written once."""
     segments = kept(segments, "attributed")
     replies = asked(attribution_requests(segments, names, size), client)
-    said = F.from_json("reply", "attributions array<struct<segment_id:int,speaker:string>>")["attributions"]
+    said = F.from_json("reply", f"attributions array<struct<segment_id:{segments.schema['id'].dataType.simpleString()},speaker:string>>")["attributions"]
     rows = replies.select("chapter_id", "candidates", F.posexplode(said).alias("place", "a")).withColumn("who", F.trim("a.speaker"))
     rows = rows.groupBy("chapter_id", F.col("a.segment_id").alias("id")).agg(F.max_by(F.struct("who", "candidates"), "place").alias("x")).select("chapter_id", "id", "x.*")
     rows = rows.filter(F.array_contains("candidates", F.col("who")) & (F.lower("who") != "unknown")).select("chapter_id", "id", "who")
@@ -78,8 +78,9 @@ def emotions_by_model(segments: DataFrame, client: Client, size: int = 30) -> Da
     requests = spoken.groupBy("chapter_id", "batch").agg(F.to_json(F.sort_array(F.collect_list(item))).alias("prompt"))
     said = F.from_json("reply", "emotions array<struct<id:string,emotion:string,intensity:double>>")["emotions"]
     rows = asked(requests, client).select("chapter_id", F.posexplode(said).alias("place", "e"))
-    rows = rows.filter(F.col("e.id").rlike("^-?[0-9]+$") & F.col("e.emotion").isin(*EMOTIONS))
-    rows = rows.groupBy("chapter_id", F.col("e.id").cast("int").alias("id")).agg(F.max_by("e", "place").alias("e"))
+    ident = F.when(F.col("e.id").rlike("^-?[0-9]+$"), F.col("e.id").try_cast(segments.schema["id"].dataType))  # ids are as wide as the segments'
+    rows = rows.withColumn("id", ident).filter(F.col("id").isNotNull() & F.col("e.emotion").isin(*EMOTIONS))
+    rows = rows.groupBy("chapter_id", "id").agg(F.max_by("e", "place").alias("e"))
     rows = rows.select("chapter_id", "id", F.col("e.emotion").alias("_emotion"), F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce("e.intensity", F.lit(0.5)))).alias("_intensity"))
     out = segments.drop("emotion", "intensity").join(rows, ["chapter_id", "id"], "left")
     said_of = lambda c, d: F.when(F.col("kind") == "dialogue", F.coalesce(c, F.lit(d))).otherwise(F.lit(d))

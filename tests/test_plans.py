@@ -155,3 +155,11 @@ def test_incremental_renders(spark, tmp_path):
     spark.createDataFrame([(1, 2, "b"), (1, 3, "c")], schema).coalesce(1).write.mode("append").parquet(where)
     both = status.incremental_renders(stream(), ledger, str(tmp_path / "out"))
     assert sorted((r.id, r.action) for r in both.collect()) == [(1, "reuse"), (2, "reuse"), (2, "todo"), (3, "todo")]
+
+
+def test_wide_ids_get_their_emotions(spark):
+    big = 60_000 * 100_000 + 7
+    said = [{"id": big, "emotion": "happy", "intensity": 0.75}, {"id": "9" * 30, "emotion": "sad", "intensity": 1}, {"id": "x", "emotion": "sad", "intensity": 1}]
+    clips = spark.createDataFrame([(1, big, "a"), (1, big + 1, "b")], "book_id long, id long, text string")
+    got = models.clip_emotions(clips, lambda prompt: json.dumps({"emotions": said}))
+    assert sorted(tuple(r) for r in got.collect()) == [(1, big, "happy", 0.75), (1, big + 1, "neutral", 0.5)]
