@@ -7,7 +7,7 @@ the same in SQL; expressions in both are shared.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fabula.operators import corpus as C
@@ -179,13 +179,11 @@ def label_stats_having(spark, sf_dir):
 
 
 def registry_guard(spark, sf_dir):
-    """Each label is proposed as its neighbours in order, itself, its first and last word, and one that is no label or none."""
+    """Every pair of labels of a book is proposed as a merge, and each label with one that is no label or none."""
     labels = kept(C.label_counts(segments(spark, sf_dir)), "labels")
-    order = Window.partitionBy("book_id").orderBy("label")
-    near = F.array(F.lag("label").over(order), F.lead("label").over(order), F.col("label"), F.substring_index("label", " ", 1), F.substring_index("label", " ", -1))
-    odd = F.array(F.when(F.length("label") % 2 == 0, "Nobody"))
-    pairs = labels.withColumn("near", F.concat(F.array_distinct(F.array_compact(near)), odd)).select("book_id", F.col("label").alias("name"), F.explode("near").alias("canonical"))
-    return C.guard_verdicts(pairs, labels, C.surname_owners(prose(spark, sf_dir), labels))
+    pairs = labels.select("book_id", F.col("label").alias("name")).join(labels.select("book_id", F.col("label").alias("canonical")), "book_id")
+    odd = labels.select("book_id", F.col("label").alias("name")).withColumn("canonical", F.when(F.length("name") % 2 == 0, "Nobody"))
+    return C.guard_verdicts(pairs.unionByName(odd), labels, C.surname_owners(prose(spark, sf_dir), labels))
 
 
 def fts_phrase(spark, sf_dir):
@@ -293,8 +291,7 @@ FULL JOIN (SELECT 'b' || c_custkey AS slug, c_name AS title, 'new' AS author, 'b
     "alias_apply": PRELUDE + DERIVED + "SELECT s.book_id, s.chapter_number, CAST(s.chapter_seq AS INTEGER) AS chapter_seq, coalesce(a.canonical, s.speaker) AS speaker, a.alias AS speaker_raw FROM segments s LEFT JOIN aliases a ON a.book_id = s.book_id AND a.alias = s.speaker",
     "label_stats_having": PRELUDE + "SELECT book_id, speaker AS name, count(*) AS lines, min(chapter_number) AS first_ch, max(chapter_number) AS last_ch FROM segments WHERE kind = 'dialogue' AND speaker NOT IN ('narrator', 'unknown') GROUP BY 1, 2 HAVING count(*) >= 10",
     "registry_guard": PRELUDE + OWNERS + """
-, n AS (SELECT book_id, label, lag(label) OVER w AS before, lead(label) OVER w AS after FROM labels WINDOW w AS (PARTITION BY book_id ORDER BY label)),
-v AS (SELECT book_id, label AS name, unnest(list_distinct([before, after, label, split_part(label, ' ', 1), string_split(label, ' ')[-1]]) || [CASE WHEN length(label) % 2 = 0 THEN 'Nobody' END]) AS canonical FROM n),
+, v AS (SELECT a.book_id, a.label AS name, b.label AS canonical FROM labels a JOIN labels b USING (book_id) UNION ALL SELECT book_id, label, CASE WHEN length(label) % 2 = 0 THEN 'Nobody' END FROM labels),
 amb AS (SELECT DISTINCT book_id, surname FROM owners WHERE ambiguous),
 j AS (SELECT v.*, string_split(v.name, ' ') AS w, k.label IS NOT NULL AS known, o.first AS owner, x.surname IS NOT NULL AS bad_name, y.surname IS NOT NULL AS bad_last, z.surname IS NOT NULL AS bad_target FROM v
   LEFT JOIN labels k ON k.book_id = v.book_id AND k.label = v.canonical LEFT JOIN owners o ON o.book_id = v.book_id AND o.surname = v.name AND NOT o.ambiguous

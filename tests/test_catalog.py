@@ -83,3 +83,9 @@ def test_whole_texts_are_normalised(spark, tmp_path):
     assert breaks[4].had_break and breaks[4].kept == f"{lead}\nThe end & 3/4 of [it]"
     assert not breaks[6].had_break
     assert breaks[7].had_break and breaks[7].kept == f"Effect: ??\n{lead}\nlast"
+
+
+def test_every_pair_of_labels_is_guarded(spark):
+    labels = {(r.book_id, r.label) for r in corpora.C.label_counts(corpora.segments(spark, SF)).collect()}
+    got = QUERIES["registry_guard"](spark, SF).collect()
+    assert len(got) == sum(1 for a in labels for b in labels if a[0] == b[0]) + len(labels)
