@@ -214,12 +214,19 @@ def timeline(clips: DataFrame, crossfade_ms: int = 50) -> DataFrame:
         if at is not None:
             yield pd.DataFrame([(*at, [x for x, _ in pieces], [x for _, x in pieces])], columns=["job_id", "range", "limits", "adds"])
 
-    def applied(key, blocks):
-        length, out = 0, []
-        for place, limits, adds in blocks.sort_values("range")[["range", "limits", "adds"]].itertuples(index=False):
-            out.append((key[0], place, length))
-            length += int(adds[next(k for k, limit in enumerate(limits) if length <= limit)])
-        return pd.DataFrame([(*x, length) for x in out], columns=["job_id", "range", "before", "total_ms"])
+    def applied(batches):
+        job, length, own, out = None, 0, [], []
+        for batch in batches:
+            for now, place, limits, adds in zip(*[batch[c].tolist() for c in ("job_id", "range", "limits", "adds")], strict=True):
+                if own and now != job:
+                    out += [(*x, length) for x in own]
+                    length, own = 0, []
+                job = now
+                own.append((job, place, length))
+                length += int(adds[next(k for k, limit in enumerate(limits) if length <= limit)])
+            yield pd.DataFrame(out, columns=["job_id", "range", "before", "total_ms"])
+            out = []
+        yield pd.DataFrame([(*x, length) for x in own], columns=["job_id", "range", "before", "total_ms"])
 
     def filled(batches):
         at, length = None, 0
@@ -234,7 +241,8 @@ def timeline(clips: DataFrame, crossfade_ms: int = 50) -> DataFrame:
             yield pd.DataFrame({"job_id": batch["job_id"], "id": batch["id"], "start_ms": starts, "total_ms": batch["total_ms"]})
 
     blocks = rows.repartition("job_id", "range").sortWithinPartitions(*order).mapInPandas(functions, f"job_id {kind}, range int, limits array<long>, adds array<long>")
-    before = blocks.groupBy("job_id").applyInPandas(applied, f"job_id {kind}, range int, before long, total_ms long")  # a row for each range of a job
+    ranges = blocks.repartition("job_id").sortWithinPartitions("job_id", "range")  # a row for each range of a job; many jobs in one call
+    before = ranges.mapInPandas(applied, f"job_id {kind}, range int, before long, total_ms long")
     placed = rows.join(before.hint("merge"), ["job_id", "range"]).sortWithinPartitions(*order)
     return placed.mapInPandas(filled, f"job_id {kind}, id long, start_ms long, total_ms long")
 

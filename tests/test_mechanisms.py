@@ -221,3 +221,10 @@ def test_reading_order(spark):
     assert all(got[p] == (None, None, None, True) for p in [*ring, pages[90]]) and all(got[p] == (None, None, None, False) for p in pages[80:82])
     assert len(got) == len({a for a, _ in links if a is not None})
     assert crawl.reading_order(spark.createDataFrame([], "page string, next string")).count() == 0
+
+
+def test_many_jobs_share_a_call(spark):
+    df = spark.createDataFrame([(job, k, 10 * (k % 2), job + k) for job in range(300) for k in range(3)], "job_id int, id int, pause_before_ms int, duration_ms int")
+    out = P.timeline(df)
+    assert "FlatMapGroups" not in out._jdf.queryExecution().executedPlan().toString()
+    assert len({(r.job_id, r.total_ms) for r in out.collect()}) == 300
