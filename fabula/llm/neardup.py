@@ -11,8 +11,8 @@ probability 1 - 2e-5.
 
 Buckets are never expanded into all their pairs.  (1) each member meets its bucket's leader;
 (2) members not connected by that meet the nearest of other leaders; (3) what is still apart is
-compared on signatures, a large bucket in parts of which every two meet once, and only pairs of
-different components that are near enough leave the task.  Links inside a component would not change it, so none that matters is lost.
+compared on signatures: members outside the leader's component with all, a large bucket in parts that meet once, and only
+pairs of different components that are near enough leave the task.  Links inside a component would not change it, so none that matters is lost.
 """
 
 from __future__ import annotations
@@ -33,8 +33,8 @@ MAX_DISTANCE = 2 * CHUNKS - 1
 #: Bits of the second signature, made only for documents of buckets that stay open.  At Jaccard 0.75
 #: 256 of them differ, with a deviation of 15: again 4.5 deviations.
 FINE_BITS, MAX_FINE = 2048, 323
-#: Members of a part of a bucket; two parts meet in a group of their own.
-BLOCK = 1024
+#: Members of a part of a bucket; two parts meet in a group of their own (384 bytes a member).
+BLOCK = 4096
 
 _A = np.random.default_rng(75).integers(0, 2**31, POSITIONS, dtype=np.int64).astype(np.uint32) * np.uint32(2) + np.uint32(1)
 _B = np.random.default_rng(57).integers(0, 2**32, POSITIONS, dtype=np.int64).astype(np.uint32)
@@ -141,29 +141,44 @@ def _distances(batches):
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(far.astype(np.int32))], ["a", "b", "distance"])
 
 
+def _parted(open_: DataFrame) -> DataFrame:
+    """Rows of open buckets (bucket, slot, node, n, comp, outlier, size) in the groups (p, q) in which they are compared: outliers, in
+    parts, meet each part of the others once, and each other; the others do not meet among themselves."""
+    count = open_.groupBy("bucket", "slot").agg(F.count_if("outlier").alias("outliers"))
+    parts_of = lambda n: F.ceil(n / BLOCK).cast("int")
+    own, rest = parts_of(F.col("outliers")), parts_of(F.col("size") - F.col("outliers"))
+    place = F.pmod(F.xxhash64("node"), F.when(F.col("outlier"), own).otherwise(rest)).cast("int")
+    group = lambda p, q: F.struct(p.alias("p"), q.alias("q"))
+    other = lambda j: group(F.least("part", j), -1 - F.greatest(F.col("part"), j))
+    upto = lambda n: F.sequence(F.lit(0), n - 1)
+    later = F.transform(F.filter(upto(own), lambda j: j != F.col("part")), other)
+    groups = F.when(F.col("outlier"), F.concat(F.transform(upto(rest), lambda k: group(F.col("part"), k)), later)).otherwise(F.transform(upto(own), lambda i: group(i, F.col("part"))))
+    open_ = open_.join(count, ["bucket", "slot"]).withColumn("part", place).withColumn("g", F.explode(groups))
+    return open_.select("bucket", "slot", "g.p", "g.q", "part", "node", "n", "comp", "outlier")
+
+
 def _apart(key, rows, size_ratio: float):
-    """Pairs of two parts of one bucket (or of one part) that lie in different components, one of them an
-    outlier, each pair from the first slot only in which it meets."""
+    """Pairs of one bucket that lie in different components, one of them an outlier, each pair from the first slot only in
+    which it meets.  ``key`` ends with a part of the outliers and, from 0, a part of the others (with the first the outliers
+    also meet each other), or -1 less a later part of the outliers."""
     import pandas as pd
 
     slot = int(rows["slot"].iloc[0])
     node, comp, size, part = (rows[c].to_numpy() for c in ("node", "comp", "n", "part"))
     sigs = np.frombuffer(b"".join(rows["sig"]), dtype=np.uint16).reshape(len(rows), POSITIONS)
     fine = np.frombuffer(b"".join(rows["fine"]), dtype=np.uint64).reshape(len(rows), FINE_BITS // 64)
-    is_outlier, chunk, pos = rows["outlier"].to_numpy(), slot // WIDTH, slot % WIDTH
-    two_parts = key[2] != key[3]
+    is_outlier, chunk, pos, other = rows["outlier"].to_numpy(), slot // WIDTH, slot % WIDTH, int(key[3])
     left, right = [], []
     for at in np.flatnonzero(is_outlier):
-        differs = sigs != sigs[at]
-        ok = (differs.sum(axis=1) <= MAX_DISTANCE) & (comp != comp[at])
-        ok &= (np.minimum(size, size[at]) >= size_ratio * np.maximum(size, size[at])) & ~(is_outlier & (node < node[at]))
-        if two_parts:
-            ok &= part != part[at]
-        wrong = differs.reshape(len(rows), CHUNKS, WIDTH)
-        met = wrong.sum(axis=2)
-        ok &= ~(met[:, :chunk] <= 1).any(axis=1)
-        ok &= (met[:, chunk] == 1) | (pos == 0)
+        ok = (comp != comp[at]) & (np.minimum(size, size[at]) >= size_ratio * np.maximum(size, size[at])) & ~(is_outlier & (node < node[at]))
+        if other:
+            ok &= ~is_outlier if other > 0 else part != part[at]
         found = np.flatnonzero(ok)
+        differs = sigs[found] != sigs[at]
+        close = np.count_nonzero(differs, axis=1) <= MAX_DISTANCE
+        found = found[close]
+        met = differs[close].reshape(len(found), CHUNKS, WIDTH).sum(axis=2)
+        found = found[~(met[:, :chunk] <= 1).any(axis=1) & ((met[:, chunk] == 1) | (pos == 0))]
         found = found[np.bitwise_count(fine[found] ^ fine[at]).sum(axis=1, dtype=np.int64) <= MAX_FINE]
         left.append(np.full(len(found), node[at]))
         right.append(node[found])
@@ -282,9 +297,7 @@ def _grouped(docs: DataFrame, percent: int, id_col: str, text_col: str) -> DataF
     asked = open_.select("node").distinct()
     fine = _texts(asked, docs, nodes).mapInArrow(_fine, "node long, fine binary").join(asked, "node", "left_semi").dropDuplicates(["node"])
     fine = written(fine.join(nodes.select("node", "sig"), "node"), "fine")
-    parts = F.ceil(F.col("size") / BLOCK).cast("int")
-    open_ = open_.withColumn("part", F.pmod(F.xxhash64("node"), parts).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
-    open_ = open_.select("bucket", "slot", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"), "part", "node", "n", "comp", "outlier").join(fine, "node")
+    open_ = _parted(open_).join(fine, "node")
     third = open_.groupBy("bucket", "slot", "p", "q").applyInPandas(lambda key, rows: _apart(key, rows, ratio), "a long, b long")
     third = third.distinct().join(tried, ["a", "b"], "left_anti")
     links = links.union(_confirmed(written(third, "near"), docs, nodes, percent).filter("linked").select("a", "b"))

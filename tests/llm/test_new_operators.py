@@ -232,3 +232,21 @@ def test_both_sides_maxima(spark):
     for r in counts:
         assert r.best_a == (r["count"] == max(x["count"] for x in counts if x.a == r.a))
         assert r.best_b == (r["count"] == max(x["count"] for x in counts if x.b == r.b))
+
+
+def test_a_large_bucket_with_few_strangers_is_not_squared(spark, monkeypatch):
+    from fabula.llm import neardup
+
+    monkeypatch.setattr(neardup, "BLOCK", 4)
+    for strangers, rows in ((2, 38 + 2 * 10), (11, None)):
+        own = [(1, 5, k, 9, 100 + k if k < strangers else 7, k < strangers, 40) for k in range(40)]
+        got = neardup._parted(spark.createDataFrame(own, "bucket long, slot byte, node long, n long, comp long, outlier boolean, size long")).collect()
+        assert rows is None or len(got) == rows
+        met = []
+        for key in {(r.p, r.q) for r in got}:
+            group = [r for r in got if (r.p, r.q) == key]
+            for a in (r for r in group if r.outlier):
+                for b in group:
+                    if a.node != b.node and not (b.outlier and b.node < a.node) and not (key[1] > 0 and b.outlier) and not (key[1] < 0 and a.part == b.part):
+                        met.append((a.node, b.node))
+        assert sorted(met) == [(a, b) for a in range(strangers) for b in range(40) if a < b]
