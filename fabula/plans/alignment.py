@@ -5,9 +5,11 @@ in seconds after ``from_s``."""
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Sequence
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,6 +20,8 @@ Aligner = Callable[[int, Sequence[str], float, float], Sequence[tuple[float, flo
 BLOCK, TAIL = 1200, 150
 MARGIN, PAD_S = 1.7, 15.0
 FRAMES, CELLS = 50.0, 1.6e9
+#: Words that leave a task at once, or those of one chapter.
+ROWS = 50_000
 
 
 def word_blocks(words: Column, block: int = BLOCK, tail: int = TAIL) -> Column:
@@ -39,11 +43,10 @@ def aligned(chapters: DataFrame, aligner: Aligner, block: int = BLOCK, tail: int
     block: where a block starts depends on where the one before ended, so a chapter is one row and its blocks are
     one loop; chapters are independent.  Null or no words give no rows."""
 
-    def spans(chapter: int, words: list[str], seconds: float):
+    def spans(chapter: int, words: list[str], seconds: float) -> np.ndarray:
         if seconds * FRAMES * (2 * sum(map(len, words)) + 1) <= cells:
-            yield from aligner(chapter, words, 0.0, seconds)
-            return
-        at, begin = 0, 0.0
+            return _times(aligner(chapter, words, 0.0, seconds))
+        done, at, begin = [], 0, 0.0
         per_word = seconds / len(words)
         while at < len(words):
             part = words[at : at + block]
@@ -52,16 +55,59 @@ def aligned(chapters: DataFrame, aligner: Aligner, block: int = BLOCK, tail: int
             if not final:
                 room = min(room, len(part) * per_word * MARGIN + PAD_S)
             times = aligner(chapter, part, begin, begin + room)
-            kept = times if final else times[: max(1, block - tail)]
-            yield from ((s + begin, e + begin, score) for s, e, score in kept)
-            begin += kept[-1][1] if kept[-1][1] > 0 else room
+            kept = _times(times if final else times[: max(1, block - tail)])
+            done.append(kept + np.array([begin, begin, 0.0]))
+            begin += float(kept[-1, 1]) if kept[-1, 1] > 0 else room
             at += len(kept)
+        return np.concatenate(done)
 
     def run(batches):
         for batch in batches:
-            for chapter, words, seconds in zip(batch["chapter_id"], batch["words"], batch["seconds"]):
-                if words is not None and len(words):
-                    rows = [(chapter, i, w, round(s, 3), round(e, 3), score) for i, (w, (s, e, score)) in enumerate(zip(words, spans(chapter, list(words), seconds)))]
-                    yield pd.DataFrame(rows, columns=["chapter_id", "idx", "word", "start", "end", "score"])
+            found, size = [], 0
+            words, seconds = batch.column("words"), batch.column("seconds")
+            for k, chapter in enumerate(batch.column("chapter_id").to_pylist()):
+                own = words[k].values
+                if own is None or not len(own):
+                    continue
+                length = seconds[k].as_py()
+                times = spans(chapter, own.to_numpy(zero_copy_only=False).tolist(), math.nan if length is None else length)[: len(own)]
+                found.append((k, own[: len(times)], times))
+                size += len(times)
+                if size >= ROWS:
+                    yield _rows(batch, found)
+                    found, size = [], 0
+            if found:
+                yield _rows(batch, found)
 
-    return chapters.select("chapter_id", "words", "seconds").mapInPandas(run, "chapter_id long, idx int, word string, start double, end double, score double")
+    return chapters.select(F.col("chapter_id").cast("long").alias("chapter_id"), "words", F.col("seconds").cast("double").alias("seconds")).mapInArrow(
+        run, "chapter_id long, idx int, word string, start double, end double, score double"
+    )
+
+
+def _times(times: Sequence[tuple[float, float, float]]) -> np.ndarray:
+    return np.array(times, dtype=np.float64).reshape(-1, 3)
+
+
+def _rounded(values: np.ndarray) -> np.ndarray:
+    """``round(x, 3)`` of each value: scaled, but for those so near to a tie that scaling might decide it."""
+    scaled = values * 1000
+    out = np.rint(scaled) / 1000
+    for k in np.flatnonzero(~(np.abs(np.abs(scaled - np.floor(scaled)) - 0.5) > 1e-4) | (np.abs(scaled) > 1e9)):
+        out[k] = round(float(values[k]), 3)
+    return out
+
+
+def _rows(batch: pa.RecordBatch, found: list[tuple[int, pa.Array, np.ndarray]]) -> pa.RecordBatch:
+    """The words of chapters, with their times, as one batch; the words themselves are taken over as they are."""
+    lengths = [len(times) for _, _, times in found]
+    times = np.concatenate([times for _, _, times in found])
+    number = lambda x: pa.array(x, pa.float64(), from_pandas=True)
+    return pa.RecordBatch.from_arrays(
+        [
+            batch.column("chapter_id").take(pa.array(np.repeat([k for k, _, _ in found], lengths))),
+            pa.array(np.concatenate([np.arange(n, dtype=np.int32) for n in lengths])),
+            pa.concat_arrays([words for _, words, _ in found]),
+            number(_rounded(times[:, 0])), number(_rounded(times[:, 1])), number(times[:, 2]),
+        ],
+        ["chapter_id", "idx", "word", "start", "end", "score"],
+    )

@@ -111,3 +111,14 @@ def test_stage_modules_are_found(tmp_path, monkeypatch):
 
     assert isinstance(found_stages, types.ModuleType) and stages.discover(found_stages) == ["shout"]
     assert sys.modules["found_stages.shout"].SEEN
+
+
+def test_aligned_words_leave_as_whole_batches(spark):
+    from fabula.plans import alignment as W
+
+    rows = [(k, [f"w{k}", "é", "x" * k][: k % 4], 1.0 + k) for k in range(9)] + [(90, None, 2.0), (91, [], None), (None, ["a"], 1.0)]
+    out = W.aligned(spark.createDataFrame(rows, "chapter_id long, words array<string>, seconds double"), lambda c, words, a, b: [(i * 1.0005, i + 0.0625, None) for i in range(len(words))], block=2, tail=1, cells=1.0)
+    assert "MapInPandas" not in out._jdf.queryExecution().executedPlan().toString()
+    got = sorted((r.chapter_id or -1, r.idx, r.word, r.start, r.score) for r in out.collect())
+    want = sorted((k if k else -1, i, w) for k, words, _ in rows if words for i, w in enumerate(words))
+    assert [(k if k else -1, i, w) for k, i, w, _, _ in got] == [((-1 if k is None else k), i, w) for k, i, w in want] and all(x[4] is None for x in got)
