@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from fabula.llm.shared import unused, written
+from fabula.llm.shared import small_batches, unused, written
 from fabula.llm.wordhash import Words, mix, shingle_sets, slices
 
 SHINGLE_WORDS = 5
@@ -91,13 +91,14 @@ def _fine(batches):
 
 
 def _shingled(batches):
+    """A batch for each slice: sets are larger than their texts."""
     for batch in batches:
-        keys, sets = [], []
         for _, data, offsets in slices(batch.column("text")):
+            keys, sets = [], []
             for _, own in shingle_sets(Words(data, offsets, lower=True), SHINGLE_WORDS):
                 keys.append(_set_key(own) if len(own) else None)
                 sets.append(own.view(np.int64))
-        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], ["node", "shingles"])
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], ["node", "shingles"])
 
 
 def chunk_keys(sigs: np.ndarray) -> np.ndarray:
@@ -247,6 +248,11 @@ def deduplicated(docs: DataFrame, percent: int = 75, id_col: str = "doc_id", tex
 
 
 def _grouped(docs: DataFrame, percent: int, id_col: str, text_col: str) -> DataFrame:
+    with small_batches(docs.sparkSession):  # all that runs in Python is written before the result is returned
+        return _groups(docs, percent, id_col, text_col)
+
+
+def _groups(docs: DataFrame, percent: int, id_col: str, text_col: str) -> DataFrame:
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     signed = docs.withColumn("text_key", F.xxhash64("text")).mapInArrow(_signed, "doc_id long, text_key long, node long, n_shingles long, sig binary")
     rows = written(signed, "signatures")

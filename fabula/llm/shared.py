@@ -4,11 +4,18 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 _own: dict[str, str] = {}
 
+#: Rows with whole texts that a task and its Python worker hand each other at once; Spark's own 10,000 are tens of megabytes.
+BATCH_ROWS = 1000
+_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder named by ``spark.checkpoint.dir``.  Where none is named, a local session (tests) has a
@@ -40,3 +47,20 @@ def unused(columns: list[str], *names: str) -> list[str]:
     while any(lead + n.lower() in have for n in names):
         lead += "_"
     return [lead + n for n in names]
+
+
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Jobs that run within it hand rows to Python in batches of ``BATCH_ROWS`` at most; the session's setting is put back."""
+    was = spark.conf.get(_ROWS)
+    spark.conf.set(_ROWS, min(BATCH_ROWS, int(was)) if int(was) > 0 else BATCH_ROWS)
+    try:
+        yield
+    finally:
+        spark.conf.set(_ROWS, was)
+
+
+def pieces(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """``batch`` in runs of ``BATCH_ROWS`` rows at most."""
+    for at in range(0, len(batch), BATCH_ROWS):
+        yield batch.slice(at, BATCH_ROWS)

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fabula.llm.shared import written
+from fabula.llm.shared import pieces, written
 
 #: Labelled rows from which weights are learned, the first by a hash of their ids.
 MAX_TRAIN_ROWS = 20_000
@@ -238,7 +238,8 @@ def accepted(docs: DataFrame, lexicon: Lexicon, text_col: str = "text") -> DataF
 
     def run(batches):
         for batch in batches:
-            keep = [lexicon.score(lexicon.weight(t)) < 0.5 for t in batch.column(text_col).to_pylist()]
-            yield batch.filter(pa.array(keep, pa.bool_()))
+            for piece in pieces(batch):
+                keep = [lexicon.score(lexicon.weight(t)) < 0.5 for t in piece.column(text_col).to_pylist()]
+                yield piece.filter(pa.array(keep, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
