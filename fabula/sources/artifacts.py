@@ -4,11 +4,15 @@ from __future__ import annotations
 
 import io
 import wave
+from functools import reduce
+from operator import and_
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
+from pyspark.sql.types import DoubleType, StructType
+
+from fabula.sources.tables import Folder, kept
 
 SEGMENTS = (
     "segments array<struct<id:int,kind:string,speaker:string,text:string,attribution_source:string,char_offset_start:int,char_offset_end:int>>, "
@@ -19,6 +23,8 @@ ALIGNMENT = (
     "words array<struct<word:string,segment_id:int,start:double,end:double,score:double>>, "
     "segments array<struct<segment_id:int,start:double,end:double,duration:double,words:int,mean_score:double>>"
 )
+#: Numbers of one book in a folder of a chapter table: a folder for each chapter takes the driver most of the time.
+FOLDER_CHAPTERS = 1000
 MARKERS = "chapters array<struct<start_time:string,end_time:string,tags:struct<title:string>>>"
 MARKER_TITLE = r"(?i)^\s*Chapter\s+(\d+)\s*[:.\-–—]?\s*(.*)$"
 
@@ -131,8 +137,21 @@ def voice_files(spark: SparkSession, path: str, builtin: DataFrame) -> DataFrame
 
 
 def write_chapter_table(rows: DataFrame, path: str) -> None:
-    """Write rows with book_id and chapter_number; only the chapters they hold are replaced."""
-    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("book_id", "chapter_number").parquet(path)
+    """Write rows with book_id and chapter_number; only the chapters they hold are replaced.
+
+    A folder holds ``FOLDER_CHAPTERS`` numbers of a book, and its name is one more column, ``chapters``, for whoever reads the
+    table.  Of a folder that is written again, the other chapters are carried over."""
+    spark, folder = rows.sparkSession, ["book_id", "chapters"]
+    new = rows.withColumn("chapters", F.expr(f"chapter_number div {FOLDER_CHAPTERS}"))
+    if any(n.startswith("book_id=") for n in Folder(spark, path).names(folders=True)):
+        new = kept(new, "chapters")
+        found = spark.read.option("mergeSchema", True).parquet(path).schema
+        held = spark.read.schema(StructType([new.schema[f.name] if f.name in folder else f for f in found])).parquet(path)
+        for key, how in ((folder, "left_semi"), (["book_id", "chapter_number"], "left_anti")):
+            own = new.select(*[F.col(c).alias(f"_{c}") for c in key]).distinct()
+            held = held.join(own, reduce(and_, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in key]), how)
+        new = new.unionByName(held, allowMissingColumns=True)
+    new.hint("rebalance", *folder).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*folder).parquet(path)
 
 
 def write_json_lines(rows: DataFrame, path: str) -> None:
