@@ -71,10 +71,12 @@ def attribute_by_model(segments: DataFrame, names: DataFrame, client: Client, si
 
 
 def emotions_by_model(segments: DataFrame, client: Client, size: int = 30) -> DataFrame:
-    """Add ``emotion`` and ``intensity``: what ``client`` says of dialogue, if it is an emotion we know, else neutral and 0.5."""
+    """Add ``emotion`` and ``intensity``: what ``client`` says of dialogue, if it is an emotion we know, else neutral and 0.5.
+
+    A request holds ``size`` whole texts of a chapter."""
     spoken = segments.filter("kind = 'dialogue'")
     spoken = spoken.withColumn("batch", F.floor((F.row_number().over(S.per_chapter()) - 1) / size))
-    item = F.struct("id", "speaker", F.substring("original_text", 1, 300).alias("text"))
+    item = F.struct("id", "speaker", F.col("original_text").alias("text"))
     requests = spoken.groupBy("chapter_id", "batch").agg(F.to_json(F.sort_array(F.collect_list(item))).alias("prompt"))
     said = F.from_json("reply", "emotions array<struct<id:string,emotion:string,intensity:double>>")["emotions"]
     rows = asked(requests, client).select("chapter_id", F.posexplode(said).alias("place", "e"))

@@ -163,3 +163,16 @@ def test_wide_ids_get_their_emotions(spark):
     clips = spark.createDataFrame([(1, big, "a"), (1, big + 1, "b")], "book_id long, id long, text string")
     got = models.clip_emotions(clips, lambda prompt: json.dumps({"emotions": said}))
     assert sorted(tuple(r) for r in got.collect()) == [(1, big, "happy", 0.75), (1, big + 1, "neutral", 0.5)]
+
+
+def test_emotions_are_told_from_whole_texts(spark):
+    def client(prompt):  # goes by the last word of a text
+        says = {"furious": "angry", "smiling": "happy"}
+        return json.dumps({"emotions": [{"id": x["id"], "emotion": says.get(x["text"].split()[-1], "calm"), "intensity": len(x["text"]) / 2e6} for x in json.loads(prompt)]})
+
+    texts = ["word " * 80 + "furious", "word " * 200_000 + "smiling", "smiling", "word " * 59 + "ends furious", "\U0001f600" * 400 + " furious", "word " * 80]
+    clips = spark.createDataFrame([(1, k, t) for k, t in enumerate(texts)], "book_id long, id long, text string")
+    want = {k: ("happy" if "smiling" in t else "angry" if "furious" in t else "calm", len(t) / 2e6) for k, t in enumerate(texts)}
+    assert {r.id: (r.emotion, r.intensity) for r in models.clip_emotions(clips, client, 2).collect()} == want
+    lines = clips.selectExpr("book_id as chapter_id", "id", "'dialogue' as kind", "'' as speaker", "text as original_text")
+    assert {r.id: (r.emotion, r.intensity) for r in models.emotions_by_model(lines, client).collect()} == want
